@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, toxicity
+from . import decontamination, jaccard_join, packing, sharding, substring_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,39 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return jaccard_join.join_near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside occurrences of benchmark windows."""
+    return decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, placed in sequences of 2048 ids."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token count and score of every document."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
+    "op6_packing": op6_packing,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_token_counts": op9_token_counts,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 #: DuckDB SQL by query; a query without is tested against a brute-force version in tests/llm.
