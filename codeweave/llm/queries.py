@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, packing, sharding, substring_dedup, token_counts, toxicity
+from . import ann, decontamination, jaccard_join, packing, sharding, substring_dedup, token_counts, toxicity, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,15 +47,73 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; a page counts as bad where `labels` gives the document of its number quality 0."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return url_filters.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture derived from `pages`, its 304 records resolved."""
+    found = warc.resolve_revisits(warc.captures(_table(spark, sf_dir, "pages")))
+    names = ("etag", "cache-control", "date", "expires", "last-modified", "content-type", "content-length")
+    headers = [F.col("headers").getItem(n).alias(n.replace("-", "_")) for n in names]
+    return found.select("record_id", "canonical_url", "status", "outcome", "source_id", "digest", "length", *headers)
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every twentieth vector."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
+    "op5_warc_revisits": op5_warc_revisits,
     "op6_packing": op6_packing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 #: DuckDB SQL by query; a query without is tested against a brute-force version in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc_revisits": """
+with base as (select page_id p, url, md5(coalesce(html, '')) digest, strlen(coalesce(html, '')) len from pages),
+rec as (
+  select p * 2 record_id, url, p * 100 ts, 200 status, digest, len, '"' || left(digest, 16) || '"' etag, 'max-age=60' cache_control,
+    cast(p * 100 as varchar) date, cast(null as varchar) expires, cast(p * 100 - 7 as varchar) last_modified from base
+  union all
+  select p * 2 + 1, url || '#again', t, 304, null, null,
+    case when p % 5 = 0 then null when p % 7 = 0 then '"changed"' when p % 3 = 0 then 'W/"' || left(digest, 16) || '"' else '"' || left(digest, 16) || '"' end,
+    case when p % 2 = 0 then 'max-age=120' end, cast(t as varchar), cast(t + 120 as varchar), case when p % 10 = 0 then cast(p * 100 - 7 as varchar) end
+  from (select *, p * 100 + case when p % 11 = 0 then -50 else 50 + (p % 5) * 1000 end t from base)),
+parts as (select *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^#]*)', 1) rest from rec),
+named as (
+  select *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^(?:[^/?@]*@)?([^/?]*)', 1)), ':(80|443)$', ''), '^www\\.', '') host,
+    regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\\?(.*)$', 1), '&'), x -> x <> '' and not regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))), '&') query
+  from parts),
+canon as (select *, case when host <> '' then host || path || case when query = '' then '' else '?' || query end end canonical_url from named),
+joined as (
+  select *, case when canonical_url is not null then last_value(case when status = 200 then {'record_id': record_id, 'digest': digest, 'len': len, 'etag': etag,
+      'cache_control': cache_control, 'date': date, 'expires': expires, 'last_modified': last_modified} end ignore nulls)
+    over (partition by canonical_url order by ts, record_id rows between unbounded preceding and 1 preceding) end source from canon),
+judged as (
+  select *, case when status = 200 then 'response' when source is null then 'missing'
+    when etag is not null then case when regexp_replace(etag, '^W/', '') = regexp_replace(source.etag, '^W/', '') then 'resolved' else 'mismatch' end
+    when last_modified is not null and source.last_modified is not null then case when last_modified = source.last_modified then 'resolved' else 'mismatch' end
+    else 'unchecked' end outcome from joined)
+select record_id, canonical_url, status, outcome, case when status = 200 then record_id when outcome in ('resolved', 'unchecked') then source.record_id end source_id,
+  case when outcome in ('resolved', 'unchecked') then source.digest else digest end digest, case when outcome in ('resolved', 'unchecked') then source.len else len end length,
+  case when outcome in ('resolved', 'unchecked') then coalesce(etag, source.etag) else etag end etag,
+  case when outcome in ('resolved', 'unchecked') then coalesce(cache_control, source.cache_control) else cache_control end cache_control,
+  date, expires, case when outcome in ('resolved', 'unchecked') then coalesce(last_modified, source.last_modified) else last_modified end last_modified,
+  case when status = 200 or outcome in ('resolved', 'unchecked') then 'text/html' end content_type,
+  case when status = 200 then cast(len as varchar) when outcome in ('resolved', 'unchecked') then cast(source.len as varchar) else '0' end content_length
+from judged
+""",
+}

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,3 +205,31 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     marks = repeated_windows(docs, length, seed).groupBy("doc_id").agg(F.collect_list(F.expr("cast(lo as long) * 64 + n")).alias("runs"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     return docs.join(marks, "doc_id", "left").mapInArrow(_removal_batches(length), schema)
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """The rows of docs, all columns, without the words of repeated windows.
+
+    A row with nothing to cut stays as it is. Where words go, text is the kept words joined by one space, and n_chars, if there
+    is such a column, its length. A row that loses all its words goes. The text is shuffled with its row, not joined anew.
+    """
+    marks = repeated_windows(docs, length, seed).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.expr("cast(lo as long) * 64 + n")).alias("_runs"))
+    both = docs.join(marks, docs["doc_id"].cast("long") == marks["_doc"], "left").drop("_doc")
+    schema = docs.schema
+    counted = "n_chars" in schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _removal_batches(length)
+        for batch in batches:
+            narrow = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("_runs")], names=["doc_id", "text", "runs"])
+            verdict = next(judge(iter([narrow])))
+            cut = pa.compute.greater(verdict.column("n_removed"), 0)
+            text = pa.compute.if_else(cut, verdict.column("kept_text").cast(batch.column("text").type), batch.column("text"))
+            columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if f.name != "_runs"} | {"text": text}
+            if counted:
+                length_now = pa.compute.utf8_length(text).cast(columns["n_chars"].type)
+                columns["n_chars"] = pa.compute.if_else(cut, length_now, columns["n_chars"])
+            stays = pa.compute.or_(pa.compute.invert(cut), pa.compute.greater(verdict.column("n_words"), verdict.column("n_removed")))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(stays)
+
+    return both.mapInArrow(run, schema)
