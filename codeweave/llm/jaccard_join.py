@@ -14,6 +14,8 @@ words, if fewer). Two documents are linked if the Jaccard similarity of their sh
    threshold, under a uniform prior, is below TOLERANCE (BayesLSH, Satuluri and Parthasarathy 2012). What is left is
    verified on the shingle sets (64-bit fingerprints) and counted. A group returns a count and a root for each node.
 5. The roots' components are the classes.
+
+The two large joins are merge joins at every size: sides that are small on a small table would else be broadcast there only.
 """
 
 from __future__ import annotations
@@ -229,7 +231,7 @@ def join_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: flo
     nodes = materialise(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "jaccard-nodes")
     banded = signed.join(nodes.select("k1", "k2", F.col("node").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").filter("n > 0").select(F.col("doc_id").alias("node"), "n", F.explode("bands").alias("band"))
     centres = banded.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("most")).filter("centre < most").select("band", "centre")
-    stars = banded.join(centres, "band").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    stars = banded.join(centres.hint("merge"), "band").select(F.col("node").alias("u"), F.col("centre").alias("v"))
     groups = connected_components(stars, "jaccard-candidates").withColumnRenamed("component", "comp")
     sizes = signed.select(F.col("doc_id").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n"))
     members = groups.join(sizes, "node").join(nodes.select("node", "copies"), "node")
@@ -247,7 +249,7 @@ def join_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: flo
            struct(comp as comp, level as l1, cast(block as int) as b1, o.level as l2, b as b2, 0 as side),
            struct(comp as comp, o.level as l1, b as b1, level as l2, cast(block as int) as b2, 1 as side)))))"""
     dealt = dealt.selectExpr("doc_id", "copies", f"{pairs} as pairs")
-    sets = docs.join(dealt, "doc_id")
+    sets = docs.join(dealt.hint("merge"), "doc_id")
     pair_type = "array<struct<comp:long,l1:int,b1:int,l2:int,b2:int,side:int>>"
     sets = sets.select("doc_id", "text", "copies", "pairs").mapInArrow(_set_batches(shingle), f"doc_id long, copies long, pairs {pair_type}, shingles binary, minima binary")
     sets = sets.select("doc_id", "copies", "shingles", "minima", F.explode("pairs").alias("pair")).select("doc_id", "copies", "shingles", "minima", "pair.*")
