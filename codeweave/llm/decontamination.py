@@ -22,12 +22,18 @@ LENGTH = 10
 #: Rows of the items' windows, terms or positions that may be broadcast: some tens of MB at most.
 MAX_ITEM_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: ASCII but for digits and letters.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """Words of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    """Words of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased; none for null.
+
+    lower() alone would change other letters, so it serves only texts that are ASCII throughout.
+    """
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.array_remove(F.split(folded, SEPARATORS), "")
 
 
 def item_windows(items: DataFrame, length: int = LENGTH) -> DataFrame:
