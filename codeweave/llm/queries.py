@@ -95,7 +95,7 @@ parts as (select *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^#]*)', 1)
 named as (
   select *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^(?:[^/?@]*@)?([^/?]*)', 1)), ':(80|443)$', ''), '^www\\.', '') host,
     regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') path,
-    array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\\?(.*)$', 1), '&'), x -> x <> '' and not regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))), '&') query
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))), '&') query
   from parts),
 canon as (select *, case when host <> '' then host || path || case when query = '' then '' else '?' || query end end canonical_url from named),
 joined as (
