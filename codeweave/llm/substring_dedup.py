@@ -214,18 +214,18 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Data
     is such a column, its length. A row that loses all its words goes. The text is shuffled with its row, not joined anew.
     """
     marks = repeated_windows(docs, length, seed).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.expr("cast(lo as long) * 64 + n")).alias("_runs"))
-    both = docs.join(marks, docs["doc_id"].cast("long") == marks["_doc"], "left").drop("_doc")
+    both = docs.join(marks, docs["doc_id"].cast("long") == marks["_doc"], "left").drop(marks["_doc"])  # the runs come last
     schema = docs.schema
     counted = "n_chars" in schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _removal_batches(length)
         for batch in batches:
-            narrow = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("_runs")], names=["doc_id", "text", "runs"])
+            narrow = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column(batch.num_columns - 1)], names=["doc_id", "text", "runs"])
             verdict = next(judge(iter([narrow])))
             cut = pa.compute.greater(verdict.column("n_removed"), 0)
             text = pa.compute.if_else(cut, verdict.column("kept_text").cast(batch.column("text").type), batch.column("text"))
-            columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if f.name != "_runs"} | {"text": text}
+            columns = {f.name: batch.column(i) for i, f in enumerate(list(batch.schema)[:-1])} | {"text": text}
             if counted:
                 length_now = pa.compute.utf8_length(text).cast(columns["n_chars"].type)
                 columns["n_chars"] = pa.compute.if_else(cut, length_now, columns["n_chars"])

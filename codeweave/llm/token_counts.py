@@ -4,7 +4,8 @@ The best segmentation has the highest sum of piece scores. Aho-Corasick enumerat
 dynamic programme carries, for each character, only the best score and its number of pieces. Tie rules are those of
 the public sentencepiece library: of equal sums the one found first stays, and edges into a character are met by start,
 so the longest last piece wins; a start where no one-character piece matches gets an unknown edge of one character, at
-the lowest score less 10; unknown characters count one piece for each byte (byte fallback). Sums are double precision.
+the lowest score less 10; unknown characters count one piece for each byte (byte fallback). Sums are double precision,
+where the library's are single: beside this vocabulary's sentinel scores of -1e9 single precision loses all other differences.
 
 Texts are normalised as the vocabulary's model says: a blank in front, blanks as U+2581. No piece of the vocabulary has
 U+2581 after another character (checked on loading), so no piece crosses the place before a run of blanks, and the
