@@ -25,7 +25,7 @@ from .common import ALNUM, BYTE_BASE, LOWER, U64, Words, _ranges, mix, words_of
 
 BITS, PREFIXES = 18, (4, 5, 6)
 MAX_FIT_ROWS, MAX_FIT_FEATURES = 12_000, 2_000
-REJECT = 0.5
+REJECT = 0.3
 
 
 def _features(w: Words, texts: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
