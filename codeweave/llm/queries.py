@@ -79,8 +79,43 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
+
+
+def _url_filters_sql() -> str:
+    """The template tree in SQL, level by level, written apart from the operator."""
+    u = url_filters
+    levels = "".join(f"""
+    s{i} as (select host, template, segs[{i}] as seg, sum(n) as n, sum(l) as l, sum(b) as b from t{i - 1} where len(segs) >= {i} group by all),
+    n{i} as (select host, template, sum(n) as n, sum(l) as l, sum(b) as b from s{i} group by all),
+    k{i} as (select s.* from s{i} s join n{i} t using (host, template) where s.n >= {u.MIN_ROWS} and s.n >= {u.MIN_SHARE} * t.n),
+    o{i} as (select host, template, sum(n) as n, sum(l) as l, sum(b) as b from k{i} group by all),
+    a{i} as (select host, template, seg, l, b, false as star from k{i} union all select host, template, '*', t.l - o.l, t.b - o.b, true from n{i} t join o{i} o using (host, template) where t.n > o.n),
+    w{i} as (select *, case when l > 0 then b / l else -1 end as share from a{i}),
+    x{i} as (select *, lag(l) over (partition by host, template order by share, star, seg) as l0, lag(b) over (partition by host, template order by share, star, seg) as b0 from w{i}),
+    y{i} as (select *, case when l0 is null then 1 when l = 0 or l0 = 0 then 0
+        when power(b / l - b0 / l0, 2) > {u.CHI2} * ((b + b0) / (l + l0)) * (1 - (b + b0) / (l + l0)) * (1.0 / l + 1.0 / l0) then 1 else 0 end as apart from x{i}),
+    z{i} as (select *, sum(apart) over (partition by host, template order by share, star, seg) as merged from y{i}),
+    g{i} as (select host, template, list_sort(list(seg)) as segs from z{i} group by host, template, merged having not bool_or(star)),
+    h{i} as (select host, template, unnest(segs) as seg, case when len(segs) = 1 then segs[1] else '{{' || array_to_string(segs, '|') || '}}' end as label from g{i}),
+    t{i} as (select t.host, t.path, t.n, t.l, t.b, t.segs, case when len(t.segs) < {i} then t.template else t.template || '/' || coalesce(h.label, '*') end as template
+        from t{i - 1} t left join h{i} h on h.host = t.host and h.template = t.template and h.seg = t.segs[{i}]),""" for i in range(1, u.DEPTH + 1))
+    rules = sorted(u.RULES, key=lambda r: -len(r[1] + r[2]))
+    hits = [(f"(host = '{h}' or host like '%.{h}') and starts_with(path, '{p}')", h + p, said) for said, h, p in rules]
+    rule = "case " + " ".join(f"when {test} then '{name}'" for test, name, _ in hits) + " end"
+    verdict = "case " + " ".join(f"when {test} then '{said}'" for test, _, said in hits)
+    return f"""with r0 as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+    r1 as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r0),
+    known as (select doc_id as page_id, max(1 - quality) as bad from labels where quality is not null group by doc_id),
+    t0 as (select host, path, count(*) as n, count(bad) as l, coalesce(sum(bad), 0) as b, list_filter(string_split(path, '/'), lambda s: s <> '') as segs, '' as template from r1 left join known using (page_id) where host <> '' group by host, path),{levels}
+    done as (select host, path, l, b, template || case when len(segs) > {u.DEPTH} then '/**' else '' end || case when path = '' or ends_with(path, '/') then '/' else '' end as template from t{u.DEPTH}),
+    judged as (select host, template, (sum(b) + {u.A}) / (sum(l) + {u.A} + {u.B}) >= {u.REJECT} as rejected from done group by all)
+    select page_id, host, path, {rule} as rule, {verdict} when rejected then 'block' else 'allow' end as verdict, template
+    from r1 left join (select host, path, template from done) using (host, path) left join judged using (host, template)"""
+
+
 #: DuckDB SQL by query; a query without is tested against a brute-force version in tests/llm.
 ORACLES: dict[str, str] = {
+    "op1_url_filters": _url_filters_sql(),
     "op5_warc_revisits": """
 with base as (select page_id p, url, md5(coalesce(html, '')) digest, strlen(coalesce(html, '')) len from pages),
 rec as (
