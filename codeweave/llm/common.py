@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -153,6 +153,11 @@ def first_of_key(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def own_key(name: str) -> Column:
+    """A long column as an expression of its own: sums by it are shuffled again before a join by it, so AQE may split the join's hot keys."""
+    return F.expr(f"{name} ^ 0L").alias(name)
+
+
 def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as (u, v) longs; component is its least node.
 
@@ -164,10 +169,10 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
     before = None
     for _ in range(max_rounds):
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(own_key("u"), F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
+        small = large.join(down.select(own_key("u"), "m"), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(down.select("u", "m")).distinct()
         now = materialise(small, name)
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
