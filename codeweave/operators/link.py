@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from .graph import connected_components, materialise
 
 #: Least score of two records with tokens, and of others; score of two records without tokens.
 NEAR, LEAST, BOTH_EMPTY = 0.55, 0.03, 0.05
@@ -96,32 +97,46 @@ def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float
     return found.select(*out, "score").union(blank.select(*out, F.lit(both_empty).alias("score")))
 
 
+PAIR_ORDER = ["score", "prov_pair", "left_id", "right_id"]
+MEMBERS = "bucket string, record_id long, score double, prov_pair string, left_id long, right_id long"
+
+
 def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Members of groups: pairs in order found or extend groups that have no code of the joiner's province."""
-    pairs = pairs.sort_values(["score", "prov_pair", "left_id", "right_id"], ascending=[False, True, True, True], kind="stable")
+    """Members of groups, each with the pair that founded its group: pairs in order found or extend groups that have no code of the joiner's province."""
+    pairs = pairs.sort_values(PAIR_ORDER, ascending=[False, True, True, True], kind="stable", ignore_index=True)
     group: dict[int, int] = {}
     provinces: list[set[str]] = []
-    for a, b, pa_, pb in zip(pairs["left_id"], pairs["right_id"], pairs["left_prov"], pairs["right_prov"], strict=True):
+    founders: list[int] = []
+    for at, (a, b, pa_, pb) in enumerate(zip(pairs["left_id"], pairs["right_id"], pairs["left_prov"], pairs["right_prov"], strict=True)):
         ga, gb = group.get(a), group.get(b)
         if ga is None and gb is None:
             group[a] = group[b] = len(provinces)
             provinces.append({pa_, pb})
+            founders.append(at)
         elif ga is None or gb is None:
             g, new, province = (gb, a, pa_) if ga is None else (ga, b, pb)
             if province not in provinces[g]:
                 group[new] = g
                 provinces[g].add(province)
-    return pd.DataFrame({"bucket": pairs["bucket"].iloc[0], "record_id": list(group), "group_no": [g + 1 for g in group.values()]})
+    founded = pairs[PAIR_ORDER].iloc[[founders[g] for g in group.values()]].reset_index(drop=True)
+    return pd.concat([pd.DataFrame({"bucket": pairs["bucket"].iloc[0], "record_id": list(group)}), founded], axis=1)
 
 
 def greedy_groups(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """(bucket, record_id, group_no): the order-dependent fold over a bucket's accepted pairs, which are few against its records.
+    """(bucket, record_id, group_no): the order-dependent fold over accepted pairs.
 
-    The fold needs a bucket's pairs in one order, so a bucket is one group; pairs are narrow rows of records that passed 0.55.
+    Records of different connected components never meet in a group, so the fold runs in a task for each component; groups are then
+    numbered within their bucket in the order of the pairs that founded them.
     """
+    pairs = materialise(pairs, "link-pairs")
+    parts = connected_components(pairs.select(F.col("left_id").alias("u"), F.col("right_id").alias("v")), "link-components")
     who = records.select("record_id", "province")
     both = pairs.join(who.selectExpr("record_id as left_id", "province as left_prov"), "left_id").join(who.selectExpr("record_id as right_id", "province as right_prov"), "right_id")
-    return both.groupBy("bucket").applyInPandas(_greedy, "bucket string, record_id long, group_no long")
+    both = both.join(parts.select(F.col("node").alias("left_id"), "component"), "left_id")
+    members = materialise(both.groupBy("component").applyInPandas(_greedy, MEMBERS), "link-members")
+    founders = members.select("bucket", *PAIR_ORDER).distinct()
+    numbered = founders.selectExpr("*", "cast(row_number() over (partition by bucket order by score desc, prov_pair, left_id, right_id) as long) as group_no")
+    return members.join(numbered, ["bucket", *PAIR_ORDER]).select("bucket", "record_id", "group_no")
 
 
 def top_keys(records: DataFrame, groups: DataFrame) -> DataFrame:
