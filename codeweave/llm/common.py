@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components, materialise, shared_dir  # noqa: F401
+
 U64 = np.uint64
 #: Bytes of text hashed at once: the numpy temporaries are a few dozen times this.
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        there = current.get() if current.isDefined() else None
-    if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(there)
-    return there
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if it is counted to have max_rows rows at most, else df as it is (a shuffled join)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
@@ -151,34 +131,3 @@ def first_of_key(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(order):
         new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
     return order, new
-
-
-def own_key(name: str) -> Column:
-    """A long column as an expression of its own: sums by it are shuffled again before a join by it, so AQE may split the join's hot keys."""
-    return F.expr(f"{name} ^ 0L").alias(name)
-
-
-def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of an undirected graph given as (u, v) longs; component is its least node.
-
-    Alternating large-star and small-star rounds (Kiveris et al. 2014): each links neighbours to the least known
-    node, so the number of rounds is logarithmic and no component meets in one task: a star's centre is found by
-    a pre-aggregated minimum, then joined back, which AQE may split. Each round is written to the shared folder.
-    """
-    now = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    before = None
-    for _ in range(max_rounds):
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(own_key("u"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down.select(own_key("u"), "m"), "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(down.select("u", "m")).distinct()
-        now = materialise(small, name)
-        state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("connected components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
