@@ -8,9 +8,10 @@ the lowest score less 10; unknown characters count one piece for each byte (byte
 where the library's are single: beside this vocabulary's sentinel scores of -1e9 single precision loses all other differences.
 
 Texts are normalised as the vocabulary's model says: a blank in front, blanks as U+2581. No piece of the vocabulary has
-U+2581 after another character (checked on loading), so no piece crosses the place before a run of blanks, and the
-segmentation of a text is that of its chunks, each a run of blanks with what follows. A batch's chunks are told apart
-by 64-bit fingerprints and length, and each distinct chunk is solved once.
+U+2581 after another character (checked on loading), so no piece crosses the place before a run of blanks, nor an ASCII
+character that no piece has (a line feed, say), and the segmentation of a text is that of its chunks: such a character, or a
+run of blanks with what follows up to the next. A slice's chunks are told apart by 64-bit fingerprints and length. Each
+distinct chunk is solved once, all new ones of a slice in one pass of the automaton over them, set apart by NULs.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Chunks of more bytes are not remembered, and a memory of more entries is begun anew.
 LONG_CHUNK, MOST_KEPT = 200, 500_000
+#: Bytes of text whose chunks are told apart together.
+SLICE = 2 << 20
 
 _vocabularies: dict[str, Vocabulary] = {}
 
@@ -60,8 +63,34 @@ class Vocabulary:
         self.matches.make_automaton()
         self.single = {piece: score for piece, score in scores.items() if len(piece) == 1}
         self.unknown = min(scores.values(), default=0.0) - 10.0
+        used = set().union(*scores) | {" "}
+        self.free = np.zeros(256, dtype=bool)
+        self.free[[c for c in range(128) if chr(c) not in used]] = True
         self.known: dict[tuple[int, int], tuple[float, int, int]] = {}
 
+    def solve_all(self, chunks: list[str]) -> list[tuple[float, int, int]]:
+        """solve() for many texts. Those of known characters only go through the automaton together."""
+        out: list = [None] * len(chunks)
+        odd = set("".join(chunks)) - self.single.keys()
+        plain = [i for i, c in enumerate(chunks) if not odd or odd.isdisjoint(c)]
+        for i in set(range(len(chunks))) - set(plain):
+            out[i] = self.solve(chunks[i])
+        text = "\0".join([chunks[i] for i in plain])
+        best, count = [0.0] * (len(text) + 1), [0] * (len(text) + 1)
+        for end, (size, score) in self.matches.iter(text):  # of one end, the longest first
+            start = end + 1 - size
+            total = best[start] + score
+            end += 1
+            if not count[end] or total > best[end]:
+                best[end] = total
+                count[end] = count[start] + 1
+        at = 0
+        for i in plain:
+            at += len(chunks[i])
+            out[i] = (best[at], count[at], 0)
+            at += 1
+        return out
+
     def solve(self, text: str) -> tuple[float, int, int]:
         """(best score, pieces, unknown characters) of a normalised text."""
         n = len(text)
@@ -96,28 +125,30 @@ def _count_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[
     n = len(offsets) - 1
     if not len(data):
         return np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    blank = data == 0x20
-    start = blank.copy()
-    start[1:] &= ~blank[:-1]
+    blank, free = data == 0x20, v.free[data]
+    start = blank | free
+    start[1:] &= ~blank[:-1] | free[1:]
+    start[1:] |= free[:-1]
     start[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(start)
     ends = np.append(starts[1:], len(data))
     text = np.searchsorted(offsets, starts, side="right") - 1
     head = starts == offsets[text]  # a chunk at a text's start has one blank more
-    prints = mix(_ranges(data.astype(U64) + U64(1), BYTE_BASE, starts, ends) + (ends - starts).astype(U64) * U64(2) + head.astype(U64))
+    prints = mix(_ranges(data.astype(U64) + U64(1), BYTE_BASE, starts, ends) + (ends - starts).astype(U64) * U64(2) + head.astype(U64) * U64(0x9E3779B97F4A7C15))
     unique, first, inverse = np.unique(prints, return_index=True, return_inverse=True)
-    results = np.zeros((len(unique), 3))
     if len(v.known) > MOST_KEPT:
         v.known.clear()
-    for i, (key, at) in enumerate(zip(unique.tolist(), first.tolist(), strict=True)):
-        size = int(ends[at] - starts[at])
-        found = v.known.get((key, size))
-        if found is None:
-            chunk = data[starts[at] : ends[at]].tobytes().decode("utf-8", "replace").replace(" ", BLANK)
-            found = v.solve(BLANK + chunk if head[at] else chunk)
-            if size <= LONG_CHUNK:
-                v.known[(key, size)] = found
-        results[i] = found
+    raw = data.tobytes()
+    keys = list(zip(unique.tolist(), (ends - starts)[first].tolist(), strict=True))
+    found = [v.known.get(k) for k in keys]
+    new = [i for i, f in enumerate(found) if f is None]
+    at = first[new]
+    chunks = [(BLANK if h else "") + raw[a:b].decode("utf-8", "replace").replace(" ", BLANK) for a, b, h in zip(starts[at].tolist(), ends[at].tolist(), head[at].tolist(), strict=True)]
+    for i, result in zip(new, v.solve_all(chunks), strict=True):
+        found[i] = result
+        if keys[i][1] <= LONG_CHUNK:
+            v.known[keys[i]] = result
+    results = np.array(found, dtype=float).reshape(-1, 3)
     each = results[inverse]
     return tuple(np.bincount(text, weights=each[:, j], minlength=n) for j in range(3))
 
@@ -126,7 +157,7 @@ def _count_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            parts = [_count_slice(v, data, offsets) for _, _, data, offsets in slices(batch.column("text"))]
+            parts = [_count_slice(v, data, offsets) for _, _, data, offsets in slices(batch.column("text"), SLICE)]
             score, count, lost = (np.concatenate([p[j] for p in parts]) if parts else np.zeros(0) for j in range(3))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(lost.astype(np.int64)), pa.array(score)], names=["doc_id", "n_tokens", "n_unknown", "score"])
 
