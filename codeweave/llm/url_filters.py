@@ -1,13 +1,15 @@
 """URL filters: fixed rules first, then a tree of path templates judged by labelled purity. DataFrame operations only.
 
-Per host the tree is grown one path segment at a time. At a node, a child segment that has at least MIN_ROWS urls and
-MIN_SHARE of the node's stays a literal, so a node has 1 / MIN_SHARE literals at most; all others are variable and become
-`*`. Children in order of their share of bad pages are merged with the one before where a two-proportion test can't
-tell the two apart; merged literals read `{a|b}`, and what is merged with `*` is `*`. Segments past DEPTH read `**`. A
+Per host the tree is grown one path segment at a time. At a node, a child segment stays a literal if it has at
+least MIN_ROWS urls and MIN_SHARE of the node's, or if a two-proportion test tells its bad share from the rest of the
+node's, however many such children there are; only the others are variable and become `*`. The test takes LEAST_LABELS
+labels, the fewest with which a template can be rejected. The children of MIN_SHARE (1 / MIN_SHARE a node at most) and `*`, in order of their share of bad pages, are merged with the one before where the test can't tell the
+two apart; merged literals read `{a|b}`, and what is merged with `*` is `*`. The small ones that differ stand alone, so no
+node is gathered. Segments past DEPTH read `**`. A
 template is rejected if its smoothed share of bad labels, (bad + A) / (labelled + A + B), is at least REJECT.
 
-All counts are pre-aggregated by (host, template, segment). The maps from segments to labels are small (literals only);
-they are broadcast if counted to be so, else joined by shuffle, where AQE splits a host that has a third of all rows.
+All counts are pre-aggregated by (host, template, segment). The maps from segments to labels hold literals only; they are
+broadcast if counted to be small, else joined by shuffle, where AQE splits a host that has a third of all rows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 DEPTH, MIN_ROWS, MIN_SHARE = 4, 5, 0.05
 CHI2 = 3.84
 A, B, REJECT = 1.0, 3.0, 0.5
+LEAST_LABELS = (REJECT * (A + B) - A) / (1 - REJECT)
 MAX_MAP_ROWS = 200_000
 
 
@@ -42,25 +45,33 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return rule, verdict
 
 
+def _apart(labelled: str, bad: str, other_labelled: str, other_bad: str) -> str:
+    """SQL of the two-proportion test; false where a side has no labels, null where it has no row."""
+    p = f"(({bad} + {other_bad}) / ({labelled} + {other_labelled}))"
+    differ = f"power({bad} / {labelled} - {other_bad} / {other_labelled}, 2) > {CHI2} * {p} * (1 - {p}) * (1.0 / {labelled} + 1.0 / {other_labelled})"
+    return f"if({labelled} = 0 or {other_labelled} = 0, false, {differ})"
+
+
 def _labels(stat: DataFrame) -> DataFrame:
     """(host, template, segment, label) of the literal children whose label isn't `*`, from their counts."""
     node = ["host", "template"]
-    total = stat.groupBy(*node).agg(F.sum("n").alias("total"))
-    literal = stat.join(bounded_broadcast(total, MAX_MAP_ROWS), node).filter((F.col("n") >= MIN_ROWS) & (F.col("n") >= MIN_SHARE * F.col("total"))).drop("total")
+    total = stat.groupBy(*node).agg(F.sum("n").alias("total"), F.sum("labelled").alias("all_l"), F.sum("bad").alias("all_b"))
+    literal = stat.join(bounded_broadcast(total, MAX_MAP_ROWS), node).withColumn("large", (F.col("n") >= MIN_ROWS) & (F.col("n") >= MIN_SHARE * F.col("total")))
+    literal = literal.filter(F.col("large") | (F.col("labelled") >= LEAST_LABELS) & F.expr(_apart("labelled", "bad", "(all_l - labelled)", "(all_b - bad)"))).drop("total", "all_l", "all_b")
     # what is left of a node is its variable branch
     own = literal.groupBy(*node).agg(F.sum("labelled").alias("own_l"), F.sum("bad").alias("own_b"), F.sum("n").alias("own_n"))
     star = stat.groupBy(*node).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"), F.sum("n").alias("t")).join(own, node)
     star = star.filter("t > own_n").select(*node, F.lit("*").alias("segment"), (F.col("t") - F.col("own_n")).alias("n"), (F.col("l") - F.col("own_l")).alias("labelled"), (F.col("b") - F.col("own_b")).alias("bad"), F.lit(True).alias("star"))
-    kids = literal.select(*node, "segment", "n", "labelled", "bad", F.lit(False).alias("star")).union(star)
+    kids = literal.filter("large").select(*node, "segment", "n", "labelled", "bad", F.lit(False).alias("star")).union(star)
     kids = kids.withColumn("share", F.expr("coalesce(bad / nullif(labelled, 0), -1.0)"))
     w = "over (partition by host, template order by share, star, segment)"
     kids = kids.selectExpr("*", f"lag(labelled) {w} as l0", f"lag(bad) {w} as b0")
-    p = "((bad + b0) / (labelled + l0))"
-    apart = f"coalesce(if(labelled = 0 or l0 = 0, false, power(bad / labelled - b0 / l0, 2) > {CHI2} * {p} * (1 - {p}) * (1.0 / labelled + 1.0 / l0)), true)"
+    apart = f"coalesce({_apart('labelled', 'bad', 'l0', 'b0')}, true)"
     kids = kids.selectExpr("*", f"sum(cast({apart} as int)) {w} as merged")
     kids = kids.groupBy(*node, "merged").agg(F.max("star").alias("star"), F.sort_array(F.collect_list("segment")).alias("segments")).filter("not star")
     kids = kids.withColumn("label", F.expr("if(size(segments) = 1, segments[0], concat('{', array_join(segments, '|'), '}'))"))
-    return kids.select(*node, F.explode("segments").alias("segment"), "label")
+    alone = literal.filter("not large").select(*node, "segment", F.col("segment").alias("label"))
+    return kids.select(*node, F.explode("segments").alias("segment"), "label").union(alone)
 
 
 def template_tree(pages: DataFrame, labels: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:

@@ -99,3 +99,19 @@ def test_empty(spark):
     assert U.judge_urls(pages(spark, []), spark.createDataFrame([], "page_id long, bad int")).count() == 0
     host, path = U.host_and_path(F.lit("a://b://c/d?e"))
     assert tuple(spark.range(1).select(host, path).first()) == ("b:", "//c/d")
+
+
+def test_small_branches_of_a_large_host(spark):
+    """Sixty sections of a sixtieth each, one of them bad: no share of the host hides it."""
+    urls = [f"http://hot.org/s{i % 60}/p{i}" for i in range(600)]
+    labels = [(i, int(i % 60 == 7)) for i in range(600) if i % 120 < 60]
+    got = U.judge_urls(pages(spark, urls), spark.createDataFrame(labels, "page_id long, bad int"), rules=()).collect()
+    assert {r.page_id % 60 for r in got if r.verdict == "block"} == {7} and sum(r.verdict == "block" for r in got) == 10
+    assert {r.template for r in got} == {"/s7/*", "/*/*"}
+
+
+def test_branch_of_four(spark):
+    """Four urls of two hundred, all labelled bad, are rejected by themselves."""
+    urls = [f"http://hot.org/{'bad' if i < 4 else 'ok'}/p{i}" for i in range(200)]
+    got = U.judge_urls(pages(spark, urls), spark.createDataFrame([(i, int(i < 4)) for i in range(200)], "page_id long, bad int"), rules=()).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == {0, 1, 2, 3}
