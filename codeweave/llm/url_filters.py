@@ -5,7 +5,9 @@ least MIN_ROWS urls and MIN_SHARE of the node's, or if a two-proportion test tel
 node's, however many such children there are; only the others are variable and become `*`. The test takes LEAST_LABELS
 labels, the fewest with which a template can be rejected. The children of MIN_SHARE (1 / MIN_SHARE a node at most) and `*`, in order of their share of bad pages, are merged with the one before where the test can't tell the
 two apart; merged literals read `{a|b}`, and what is merged with `*` is `*`. The small ones that differ stand alone, so no
-node is gathered. Segments past DEPTH read `**`. A
+node is gathered. The first DEPTH
+segments are always written out. Past them the tree goes on, level by level, at every node of several paths whose labels
+are mixed, and a template is written out to the last level that divided its node; what is left of it reads `**`. A
 template is rejected if its smoothed share of bad labels, (bad + A) / (labelled + A + B), is at least REJECT.
 
 All counts are pre-aggregated by (host, template, segment). The maps from segments to labels hold literals only; they are
@@ -74,6 +76,43 @@ def _labels(stat: DataFrame) -> DataFrame:
     return kids.select(*node, F.explode("segments").alias("segment"), "label").union(alone)
 
 
+def _next_level(paths: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """paths with their segment at the level and its label (null for `*`), and the nodes, with whether they have several labels."""
+    at = paths.withColumn("segment", F.expr(f"try_element_at(segments, {level})"))
+    stat = at.filter("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    stat = materialise(stat, "urls-stat")
+    known = bounded_broadcast(materialise(_labels(stat), "urls-labels"), MAX_MAP_ROWS)
+    label = F.coalesce("label", F.lit("*"))
+    nodes = stat.join(known, ["host", "template", "segment"], "left").groupBy("host", "template").agg((F.min(label) != F.max(label)).alias("divided"))
+    return at.join(known, ["host", "template", "segment"], "left"), nodes
+
+
+def _deeper(paths: DataFrame, level: int, longest: int) -> DataFrame:
+    """paths with `shown`, the template to the last level that divided its node, and `written`, that level.
+
+    Each round takes the nodes that labels may still divide: several paths that go on, some labels bad and some not.
+    """
+    done = []
+    while level < longest:
+        level += 1
+        node = paths.filter(F.size("segments") >= level).groupBy("host", "template").agg(F.count("*").alias("own"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+        node = node.filter("own > 1 and b > 0 and b < l").select("host", "template", F.lit(True).alias("open"))
+        now = paths.join(bounded_broadcast(node, MAX_MAP_ROWS), ["host", "template"], "left")
+        now = materialise(now.withColumn("open", F.col("open").isNotNull() & (F.size("segments") >= level)), "urls-deeper")
+        done.append(now.filter("not open").drop("open"))
+        paths = now.filter("open").drop("open")
+        if paths.isEmpty():
+            break
+        at, nodes = _next_level(paths, level)
+        at = at.join(bounded_broadcast(nodes.filter("divided"), MAX_MAP_ROWS), ["host", "template"], "left")
+        at = at.withColumn("template", F.expr("concat(template, '/', coalesce(label, '*'))"))
+        at = at.withColumn("shown", F.expr("if(divided, template, shown)")).withColumn("written", F.expr(f"if(divided, {level}, written)"))
+        paths = at.drop("segment", "label", "divided")
+    for part in done:
+        paths = paths.unionByName(part)
+    return paths
+
+
 def template_tree(pages: DataFrame, labels: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """(templates, judged): judged has page_id, host, path, template; templates has host, template, n, labelled, bad, purity, rejected.
 
@@ -86,13 +125,13 @@ def template_tree(pages: DataFrame, labels: DataFrame, depth: int = DEPTH) -> tu
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     paths = paths.filter("host <> ''").withColumn("segments", F.expr("filter(split(path, '/'), s -> s <> '')")).withColumn("template", F.lit(""))
     paths = materialise(paths, "urls-paths")
+    longest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
     for level in range(1, depth + 1):
-        at = paths.withColumn("segment", F.expr(f"try_element_at(segments, {level})"))
-        stat = at.filter("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        known_labels = materialise(_labels(materialise(stat, "urls-stat")), "urls-labels")
-        at = at.join(bounded_broadcast(known_labels, MAX_MAP_ROWS), ["host", "template", "segment"], "left")
+        at, _ = _next_level(paths, level)
         paths = at.withColumn("template", F.expr("if(segment is null, template, concat(template, '/', coalesce(label, '*')))")).drop("segment", "label")
-    paths = paths.withColumn("template", F.expr(f"concat(template, if(size(segments) > {depth}, '/**', ''), if(endswith(path, '/') or path = '', '/', ''))"))
+    paths = paths.withColumn("shown", F.col("template")).withColumn("written", F.lit(depth))
+    paths = _deeper(paths, depth, longest) if longest > depth else paths
+    paths = paths.withColumn("template", F.expr("concat(shown, if(size(segments) > written, '/**', ''), if(endswith(path, '/') or path = '', '/', ''))"))
     paths = materialise(paths.select("host", "path", "template", "n", "labelled", "bad"), "urls-templates")
     templates = paths.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     templates = templates.withColumn("purity", (F.col("bad") + A) / (F.col("labelled") + A + B)).withColumn("rejected", F.col("purity") >= REJECT)

@@ -115,3 +115,14 @@ def test_branch_of_four(spark):
     urls = [f"http://hot.org/{'bad' if i < 4 else 'ok'}/p{i}" for i in range(200)]
     got = U.judge_urls(pages(spark, urls), spark.createDataFrame([(i, int(i < 4)) for i in range(200)], "page_id long, bad int"), rules=()).collect()
     assert {r.page_id for r in got if r.verdict == "block"} == {0, 1, 2, 3}
+
+
+def test_branches_past_the_depth(spark):
+    """Labels divide the tree at the fifth and at the seventh segment; where they don't, `**` stays."""
+    urls = [f"http://x.org/a/b/c/d/{'spam' if i % 2 else 'docs'}/p{i}" for i in range(80)]
+    urls += [f"http://y.org/a/b/c/d/e/f/{'spam' if i % 2 else 'docs'}/g/p{i}" for i in range(80)] + ["http://y.org/a/b/c/d/e", "http://z.org/a/b/c/d/e/f"]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 160) if i % 8 < 4], "page_id long, bad int")
+    got = {r.page_id: r for r in U.judge_urls(pages(spark, urls), labels, rules=()).collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {i for i in range(160) if i % 2}
+    assert got[1].template == "/a/b/c/d/spam/**" and got[81].template == "/a/b/c/d/e/f/spam/**"
+    assert got[160].template == "/a/b/c/d/**" and got[161].template == "/*/*/*/*/**"
