@@ -4,8 +4,9 @@ P(grade >= k) = sigmoid(w . x - theta_k), theta_1 < theta_2 < ...: one weight ve
 hashed features a text has: its words and their leading 4, 5 and 6 bytes (A-Z lower-cased), so inflected forms of
 a stem share a feature. Expected severity is the sum of P(grade >= k) over k.
 
-Fitting takes a bounded sample of labelled rows (MAX_FIT_ROWS, those of least hash of doc_id): executors turn texts to
-feature numbers, the driver takes gradient steps with an L2 penalty. Scoring covers every row, map-side; the
+Fitting takes a bounded sample of labelled rows (MAX_FIT_ROWS, those of least hash of doc_id), each with its whole text:
+executors count the rows and toxic rows of every feature, then send the selected features of each row; the driver takes
+gradient steps with an L2 penalty. Scoring covers every row, map-side; the
 model is 2**BITS numbers whatever the corpus. Only features that a chi-square test ties to a grade above 0 get weights,
 so the many rare features of single texts can't explain the labels away.
 """
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, BYTE_BASE, LOWER, U64, Words, _ranges, mix, words_of
+from .common import ALNUM, BYTE_BASE, LOWER, U64, Words, _ranges, materialise, mix, words_of
 
 BITS, PREFIXES = 18, (4, 5, 6)
-MAX_FIT_ROWS, MAX_FIT_FEATURES = 12_000, 2_000
+MAX_FIT_ROWS = 12_000
 REJECT = 0.3
 
 
@@ -39,16 +40,38 @@ def _features(w: Words, texts: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return both >> bits, both & ((1 << bits) - 1)
 
 
-def _feature_batches(bits: int, most: int):
+def _count_batches(bits: int):
+    """(feature, n, hot) of a task: rows and rows of grade above 0 that have the feature; all rows count for feature -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, hot, total = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            positive = batch.column("grade").to_numpy(zero_copy_only=False) > 0
+            total += (len(positive), positive.sum())
+            for first, end, w in words_of(batch.column("text"), ALNUM, LOWER):
+                text, feature = _features(w, end - first, bits)
+                n += np.bincount(feature, minlength=1 << bits)
+                hot += np.bincount(feature[positive[first + text]], minlength=1 << bits)
+        seen = np.flatnonzero(n)
+        columns = (np.append(seen, -1).astype(np.int32), np.append(n[seen], total[0]), np.append(hot[seen], total[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["feature", "n", "hot"])
+
+    return run
+
+
+def _feature_batches(bits: int, shared):
+    """The selected features of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = np.zeros(1 << bits, dtype=bool)
+        chosen[shared.value] = True
         for batch in batches:
             lists = []
             for first, end, w in words_of(batch.column("text"), ALNUM, LOWER):
                 text, feature = _features(w, end - first, bits)
+                text, feature = text[chosen[feature]], feature[chosen[feature]]
                 cuts = np.searchsorted(text, np.arange(end - first + 1))
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    own = feature[a:b]
-                    lists.append(own if len(own) <= most else own[np.argsort(mix(own.astype(U64)))[:most]])
+                lists += [feature[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(lists, pa.list_(pa.int32()))], names=["grade", "features"])
 
     return run
@@ -65,12 +88,21 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - margin[:, None], -40, 40)))
 
 
+def _tied(seen: np.ndarray, hot: np.ndarray, share: float, least_chi2: float = 20.0, least_rows: int = 4) -> np.ndarray:
+    return (seen >= least_rows) & ((hot - seen * share) ** 2 >= least_chi2 * np.maximum(seen * share * (1 - share), 1e-9))
+
+
+def _strong(seen: np.ndarray, hot: np.ndarray, n: int, toxic: int) -> np.ndarray:
+    strong = np.log((hot + 0.5) / (toxic + 1)) - np.log((seen - hot + 0.5) / (n - toxic + 1)) > 3
+    return strong & (hot >= 3)
+
+
 def associated(rows: np.ndarray, features: np.ndarray, positive: np.ndarray, bits: int, least_chi2: float = 20.0, least_rows: int = 4) -> np.ndarray:
     """Which features occur in at least least_rows texts and significantly more or less often in positive ones."""
     size, share = 1 << bits, positive.mean() if len(positive) else 0.0
     seen = np.bincount(features, minlength=size)
     hot = np.bincount(features, weights=positive[rows], minlength=size)
-    return (seen >= least_rows) & ((hot - seen * share) ** 2 >= least_chi2 * np.maximum(seen * share * (1 - share), 1e-9))
+    return _tied(seen, hot, share, least_chi2, least_rows)
 
 
 def fit_ordinal(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, bits: int = BITS, l2: float = 1e-4, steps: int = 400) -> OrdinalModel:
@@ -111,9 +143,7 @@ def severity_grades(rows: np.ndarray, features: np.ndarray, toxic: np.ndarray, b
     """
     size, n = 1 << bits, len(toxic)
     hot = np.bincount(features, weights=toxic[rows], minlength=size)
-    cold = np.bincount(features, minlength=size) - hot
-    strong = np.log((hot + 0.5) / (toxic.sum() + 1)) - np.log((cold + 0.5) / (n - toxic.sum() + 1)) > 3
-    strong &= hot >= 3
+    strong = _strong(np.bincount(features, minlength=size), hot, n, toxic.sum())
     count = np.bincount(rows, weights=strong[features], minlength=n)
     middle = np.median(count[toxic == 1]) if (toxic == 1).any() else 0
     return np.where(toxic == 1, np.where(count > middle, 2, 1), 0).astype(np.int64)
@@ -128,7 +158,13 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str | None = None, max_rows:
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(grade or "toxic").cast("int").alias("grade")).filter("doc_id is not null and grade >= 0")
     y = y.groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(y), "doc_id").select("grade", "text").mapInArrow(_feature_batches(bits, MAX_FIT_FEATURES), "grade int, features array<int>").toArrow()
+    rows = materialise(texts.join(F.broadcast(y), "doc_id").select("grade", "text"), "toxicity-sample")
+    counts = rows.mapInArrow(_count_batches(bits), "feature int, n long, hot long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hot").alias("hot")).toArrow()
+    feature, seen, hot = (counts.column(c).to_numpy() for c in ("feature", "n", "hot"))
+    n, toxic = int(seen[feature < 0].sum()), int(hot[feature < 0].sum())
+    chosen = _tied(seen, hot, toxic / n if n else 0.0) | _strong(seen, hot, n, toxic)
+    shared = docs.sparkSession.sparkContext.broadcast(feature[chosen & (feature >= 0)])
+    sample = rows.mapInArrow(_feature_batches(bits, shared), "grade int, features array<int>").toArrow()
     lists = sample.column("features").combine_chunks()
     features = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     rows = np.repeat(np.arange(len(lists)), np.array(lists.value_lengths().to_pylist(), dtype=np.int64))

@@ -51,3 +51,19 @@ def test_odd_rows(spark):
     assert len(got) == 5 and not any(r.toxic for r in got)
     assert T.judge(documents(spark, []), labels).count() == 0
     assert T.drop_toxic(docs, labels.limit(0)).count() == 5
+
+
+def test_features_of_long_texts_all_count(spark):
+    """The toxic words' features come last by hash among the thousands of each text."""
+    import pyarrow as pa
+
+    def last(word):
+        for _, _, w in T.words_of(pa.array([word]), T.ALNUM, T.LOWER):
+            return T.mix(T._features(w, 1, T.BITS)[1].astype(T.U64)).min()
+
+    words = sorted((f"q{i}" for i in range(3000)), key=last)[-1:]
+    r = random.Random(4)
+    rows = [(i, " ".join([f"w{r.randint(0, 10**9)}" for _ in range(1500)] + words * (i % 3 == 0)), int(i % 3 == 0)) for i in range(120)]
+    docs, labels = documents(spark, [(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {x.doc_id: x.toxic for x in T.judge(docs, labels).collect()}
+    assert got == {i: bool(y) for i, _, y in rows}
