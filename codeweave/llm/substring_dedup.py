@@ -89,6 +89,7 @@ def _seed_batches(length: int, seed: int):
 
 def _seed_rows(doc, lo, n, anchor, content) -> Iterator[pa.RecordBatch]:
     order, new = first_of_key(anchor, content, doc, lo)
+    order = order[new]  # equal rows of one doc_id start at the same place: neither is the other's repeat
     doc, lo, n, anchor, content = (x[order] for x in (doc, lo, n, anchor, content))
     if not len(doc):
         return
@@ -137,7 +138,8 @@ def _window_batches(length: int, seed: int):
 
 
 def _window_rows(key, other, doc, lo) -> Iterator[pa.RecordBatch]:
-    order, _ = first_of_key(key, other, doc, lo)
+    order, new = first_of_key(key, other, doc, lo)
+    order = order[new]
     key, other, doc, lo = (x[order] for x in (key, other, doc, lo))
     repeat = np.zeros(len(key), bool)
     repeat[1:] = (key[1:] == key[:-1]) & (other[1:] == other[:-1])
@@ -158,7 +160,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     met = met.filter(f"kind = {REPEAT} or (kind = {COMPARE}) or (not many and (doc_id > first or several))")
     met = met.selectExpr(f"kind = {REPEAT} or (kind = {MEET} and doc_id > first) as repeat", "doc_id", "lo", "n")
     met = materialise(met, "substring-runs")
-    compare = met.filter("not repeat").groupBy("doc_id").agg(F.collect_list(F.expr("cast(lo as long) * 64 + n")).alias("runs"))
+    compare = met.filter("not repeat").groupBy("doc_id").agg(F.collect_set(F.expr("cast(lo as long) * 64 + n")).alias("runs"))
     windows = docs.join(compare, "doc_id").mapInArrow(_window_batches(length, seed), WINDOWS)
     windows = windows.selectExpr("repeat", "doc_id", "lo", "min(doc_id) over (partition by w, a) as first").filter("repeat or doc_id > first")
     return met.filter("repeat").select("doc_id", "lo", "n").union(windows.selectExpr("doc_id", "lo", "1"))
@@ -195,14 +197,14 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     """One row a document: doc_id, n_words, n_removed, kept_sha256, kept_text (the kept words joined by one space).
 
     Words are `[^\\x20\\x09-\\x0D]+`. A null or empty text has no words: zero counts and the digest of nothing. Rows
-    with a null doc_id are neither judged nor matched, and come back whole. A doc_id that occurs twice counts as one
-    document whose windows repeat where either copy's do, later rows being judged by the same starts. Other columns
-    of docs are ignored. An empty table gives no rows.
+    with a null doc_id are neither judged nor matched, and come back whole. Equal rows of one doc_id are judged alike, in any
+    partitioning: none is earlier than the other, so each keeps what a single row would. Rows of one doc_id with different
+    texts count as one document whose windows repeat where either text's do. Other columns of docs are ignored. An empty table gives no rows.
     """
     if not seed <= length <= 50:
         raise ValueError("seed <= length <= 50")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = repeated_windows(docs, length, seed).groupBy("doc_id").agg(F.collect_list(F.expr("cast(lo as long) * 64 + n")).alias("runs"))
+    marks = repeated_windows(docs, length, seed).groupBy("doc_id").agg(F.collect_set(F.expr("cast(lo as long) * 64 + n")).alias("runs"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     return docs.join(marks, "doc_id", "left").mapInArrow(_removal_batches(length), schema)
 
@@ -213,7 +215,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Data
     A row with nothing to cut stays as it is. Where words go, text is the kept words joined by one space, and n_chars, if there
     is such a column, its length. A row that loses all its words goes. The text is shuffled with its row, not joined anew.
     """
-    marks = repeated_windows(docs, length, seed).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.expr("cast(lo as long) * 64 + n")).alias("_runs"))
+    marks = repeated_windows(docs, length, seed).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.expr("cast(lo as long) * 64 + n")).alias("_runs"))
     both = docs.join(marks, docs["doc_id"].cast("long") == marks["_doc"], "left").drop(marks["_doc"])  # the runs come last
     schema = docs.schema
     counted = "n_chars" in schema.names

@@ -52,3 +52,18 @@ def test_cut_repeats_keeps_rows_and_columns(spark):
     assert got[1].text == f"one\n{passage}  two" and got[2].text == "three four" and got[2].n_chars == 10
     assert 3 not in got and got[4].text == "left   as it\tis" and got[5].text is None
     assert S.cut_repeats(docs).columns == docs.columns and got[2].runs == "r" and got[2]._doc == 9
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_doubled_rows_keep_their_words(spark, parts):
+    """Equal rows of one doc_id, in one batch or in several: as if each were there once."""
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"a {passage} b"), (2, " ".join(f"v{i}" for i in range(40))), (3, f"c d {passage} e {passage[:-4]} f"), (4, " ".join(f"u{i}" for i in range(25)) + " x " + " ".join(f"u{i}" for i in range(25)))]
+    docs = documents(spark, rows * 3).repartition(parts)
+    if parts > 1:
+        docs = documents(spark, rows).coalesce(1)
+        docs = docs.union(docs).union(docs)
+    want = brute(rows, 20)
+    found = S.dedup_substrings(docs).collect()
+    assert len(found) == 12 and all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in found)
+    assert S.cut_repeats(docs).filter("doc_id = 2").count() == 3
