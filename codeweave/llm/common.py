@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components, materialise, shared_dir  # noqa: F401
+from ..operators.graph import connected_components, materialise, own_key, shared_dir  # noqa: F401
 
 U64 = np.uint64
 #: Bytes of text hashed at once: the numpy temporaries are a few dozen times this.
@@ -75,6 +76,19 @@ def hash_runs(word_hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return mix(_ranges(word_hashes, WORD_BASE, starts, ends) + (ends - starts).astype(U64) * U64(0x632BE59BD9B4E019))
 
 
+#: Byte strings from this length on are hashed one by one: of kilobytes, polynomials modulo 2**64 have known collisions.
+LONG_BYTES = 512
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of the byte strings data[start:end]."""
+    sizes = ends - starts
+    out = mix(_ranges(data.astype(U64) + U64(1), BYTE_BASE, starts, ends) + sizes.astype(U64))
+    for i in np.flatnonzero(sizes >= LONG_BYTES):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
 class Words:
     """The words of a slice of texts: byte spans, text index and 64-bit hash of each; bounds[i]:bounds[i+1] are those of text i."""
 
@@ -95,7 +109,8 @@ class Words:
         self.ends = np.flatnonzero(word & ~after) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
         self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bounds))
-        self.hashes = mix(_ranges(fold[data].astype(U64) + U64(1), BYTE_BASE, self.starts, self.ends) + (self.ends - self.starts).astype(U64))
+        folded = fold[data]
+        self.hashes = byte_hashes(folded, self.starts, self.ends)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

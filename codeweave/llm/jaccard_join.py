@@ -3,19 +3,23 @@
 Words are the blank-separated ones, unchanged; a text's shingles are its sets of `shingle` consecutive words (all its
 words, if fewer). Two documents are linked if the Jaccard similarity of their shingle sets is at least `threshold`.
 
-1. One pass over the texts gives each a 128-bit fingerprint and BANDS band keys of ROWS minima each. A pair at the
-   threshold 0.8 shares a band with probability 1 - (1 - 0.8**ROWS)**BANDS, all but about 1e-7; above it, more.
-2. Equal texts form one node, the one of least doc_id. Per band key the least node is found by a pre-aggregated minimum
-   and joined back; the stars' components hold every candidate pair.
-3. A component's nodes are dealt to blocks of about BLOCK nodes by size level (linked sets differ in size by the
+1. A node is a text, named by 64 bits of its MD5, so rows of one doc_id with different texts stay apart. One pass over
+   the texts gives each row its minima; rows of a node become one by a pre-aggregated group, however many there are.
+2. Each node has BANDS band keys of ROWS minima. A pair at the threshold 0.8 shares a band with probability
+   1 - (1 - 0.8**ROWS)**BANDS, all but about 1e-7; above it, more. Buckets of the same nodes count once.
+3. Pruning. A bucket of SMALL nodes at most is one row: its pairs' minima are compared STEP at a time, and a pair is
+   dropped once the posterior probability of reaching the threshold, under a uniform prior, is below TOLERANCE (BayesLSH,
+   Satuluri and Parthasarathy 2012). What is left is a forest, one edge a node at most. A larger bucket, whose nodes
+   all share a band, stays together as a star round its least node. So boilerplate that only lets weakly similar
+   texts share a band now and then doesn't chain them: components hold what may reach the threshold.
+4. A component's nodes are dealt to blocks, bounded in nodes and in bytes, by size level (linked sets differ in size by the
    threshold at most, so only the same or adjacent levels meet). Each pair of blocks is one group of two bounded blocks:
    pairs of all nodes of a group are looked at inside the task and never become rows.
-4. In a group the minima are compared STEP at a time; a pair is dropped once the posterior probability of reaching the
-   threshold, under a uniform prior, is below TOLERANCE (BayesLSH, Satuluri and Parthasarathy 2012). What is left is
-   verified on the shingle sets (64-bit fingerprints) and counted. A group returns a count and a root for each node.
-5. The roots' components are the classes.
+5. In a group the minima are compared as above, and what is left is verified on the shingle sets (64-bit fingerprints)
+   and counted. A group returns a count and a root for each node.
+6. The components of verified links are the classes.
 
-The two large joins are merge joins at every size: sides that are small on a small table would else be broadcast there only.
+The joins of texts are merge joins at every size: a side grows with the corpus, so it is shuffled from the start.
 """
 
 from __future__ import annotations
@@ -26,18 +30,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, connected_components, hash_runs, materialise, mix, words_of
+from .common import U64, Words, connected_components, hash_runs, materialise, mix, own_key, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 5
 STEP, TOLERANCE = 20, 1e-9
-BLOCK = 128
+SMALL = 128
+#: A block of a component: about so many nodes, and so many bytes of shingle sets, at most.
+BLOCK, BLOCK_BYTES = 128, 32 << 20
 _MULTIPLIERS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0xA0761D6478BD642F)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 
 
+def text_digest(text: Column) -> Column:
+    """64 bits of the text's MD5 as a long; a null text counts as empty."""
+    return F.conv(F.left(F.md5(F.coalesce(text.cast("string"), F.lit(""))), F.lit(16)), 16, -10).cast("long")
+
+
 def _shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, fingerprint) of every shingle of a slice, in order, with repeats."""
     count = np.diff(w.bounds)
@@ -62,52 +73,60 @@ def _minima(text: np.ndarray, prints: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _fixed(column: pa.Array, dtype) -> np.ndarray:
+    """Rows of a binary column of equal lengths as a matrix."""
+    n = len(column)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + n + 1]
+    return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view(dtype).reshape(n, -1)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a binary column."""
+    flat, width = np.ascontiguousarray(rows), rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)), pa.py_buffer(flat)])
+
+
 def _signature_batches(k: int):
+    """doc_id, node, number of distinct shingles and minima of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two, sizes, keys = [], [], [], []
+            sizes, signs = [np.zeros(0, np.int64)], [np.zeros((0, BANDS * ROWS), np.uint32)]
             for first, end, w in words_of(batch.column("text")):
                 n = end - first
-                raw = [w.data[w.offsets[i] : w.offsets[i + 1]].tobytes() for i in range(n)]
-                digests = np.array([_digest(x) for x in raw], dtype=np.int64).reshape(n, 2)
                 text, prints = _shingles(w, k)
-                minima = _minima(text, prints, n)
-                bands = np.zeros((n, BANDS), dtype=U64)
-                for r in range(ROWS):
-                    bands = mix(bands ^ minima[:, r::ROWS].astype(U64)) + np.arange(BANDS, dtype=U64)[None, :]
-                one.append(digests[:, 0])
-                two.append(digests[:, 1])
+                signs.append(_minima(text, prints, n))
                 _, at = np.unique(prints ^ mix(text.astype(U64)), return_index=True)
-                sizes.append(np.bincount(text[at], minlength=n).astype(np.int32))
-                keys.append(bands.view(np.int64))
-            if one:
-                flat = np.concatenate(keys).reshape(-1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), pa.array(np.concatenate(sizes)), lists], names=["doc_id", "k1", "k2", "n", "bands"])
+                sizes.append(np.bincount(text[at], minlength=n))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(np.concatenate(sizes)), _binary(np.concatenate(signs))], names=["doc_id", "node", "n", "minima"])
 
     return run
 
 
-def _digest(raw: bytes) -> tuple[int, int]:
-    import xxhash
-
-    d = xxhash.xxh3_128_digest(raw)
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, node): the BANDS band keys of each node."""
+    for batch in batches:
+        if len(batch):
+            minima = _fixed(batch.column("minima"), np.uint32)
+            bands = np.zeros((len(batch), BANDS), dtype=U64)
+            for r in range(ROWS):
+                bands = mix(bands ^ minima[:, r::ROWS].astype(U64)) + np.arange(BANDS, dtype=U64)[None, :]
+            node = np.repeat(batch.column("node").to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(bands.reshape(-1).view(np.int64)), pa.array(node)], names=["band", "node"])
 
 
 def _set_batches(k: int):
-    """Each node's distinct shingles and minima, as bytes."""
+    """Each node's distinct shingles, as bytes, beside its other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, signs = [], []
+            sets = []
             for first, end, w in words_of(batch.column("text")):
                 text, prints = _shingles(w, k)
-                minima = _minima(text, prints, end - first)
                 cuts = np.searchsorted(text, np.arange(end - first + 1))
                 sets += [np.unique(prints[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                signs += [x.tobytes() for x in minima]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copies"), batch.column("pairs"), pa.array(sets, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "copies", "pairs", "shingles", "minima"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "copies", "pairs", "minima")] + [pa.array(sets, pa.binary())], names=["node", "copies", "pairs", "minima", "shingles"])
 
     return run
 
@@ -128,6 +147,18 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, st
     return out
 
 
+def surviving(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of rows of minima a and b that Bayesian pruning leaves."""
+    same, at = np.zeros(len(i), dtype=np.int64), 0
+    for n, m in least.items():
+        if not len(i):
+            break
+        same += (a[i, at:n] == b[j, at:n]).sum(axis=1)
+        go = same >= m
+        i, j, same, at = i[go], j[go], same[go], n
+    return i, j
+
+
 def _matched(left: list[np.ndarray], right: list[np.ndarray], pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of left[i] and right[j] for the given pairs."""
     i, j = pairs
@@ -157,6 +188,12 @@ def _matched(left: list[np.ndarray], right: list[np.ndarray], pairs: tuple[np.nd
     return counts[at_l, at_r].astype(np.int64)
 
 
+def _near(n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sizes may reach the threshold."""
+    near = np.minimum(n_a[:, None], n_b[None, :]) >= threshold * np.maximum(n_a[:, None], n_b[None, :]) - 1e-9
+    return near & (n_a[:, None] > 0) & (n_b[None, :] > 0)
+
+
 def linked_pairs(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Indices (i, j) of linked rows of two blocks, or of one block with itself (i < j)."""
     one = right is None
@@ -166,16 +203,8 @@ def linked_pairs(left: pd.DataFrame, right: pd.DataFrame | None, threshold: floa
     sets_a = [np.frombuffer(x, dtype=U64) for x in left["shingles"]]
     sets_b = [np.frombuffer(x, dtype=U64) for x in right["shingles"]]
     n_a, n_b = np.array([len(x) for x in sets_a]), np.array([len(x) for x in sets_b])
-    near = np.minimum(n_a[:, None], n_b[None, :]) >= threshold * np.maximum(n_a[:, None], n_b[None, :])
-    near &= (n_a[:, None] > 0) & (n_b[None, :] > 0)
-    i, j = np.nonzero(np.triu(near, 1) if one else near)
-    same, at = np.zeros(len(i), dtype=np.int64), 0
-    for n, m in least.items():
-        if not len(i):
-            break
-        same += (a[i, at:n] == b[j, at:n]).sum(axis=1)
-        go = same >= m
-        i, j, same, at = i[go], j[go], same[go], n
+    near = _near(n_a, n_b, threshold)
+    i, j = surviving(a, b, *np.nonzero(np.triu(near, 1) if one else near), least)
     if not len(i):
         return i, j
     both = _matched(sets_a, sets_b, (i, j))
@@ -196,9 +225,36 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
+def _prune_batches(threshold: float, least: dict[int, int]):
+    """Buckets (members: node, n, minima) to edges (u, v) from each node to the root of its component of surviving pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column("members")
+            rows, sizes = members.flatten(), np.array(members.value_lengths().to_pylist(), dtype=np.int64)
+            if not len(rows):
+                continue
+            node, n, minima = rows.field("node").to_numpy(), rows.field("n").to_numpy(), _fixed(rows.field("minima"), np.uint32)
+            starts, parts = np.cumsum(sizes) - sizes, []
+            # all pairs i < j of each bucket; buckets of one size together
+            for size in np.unique(sizes):
+                at = starts[sizes == size]
+                a, b = np.triu_indices(size, 1)
+                step = max(1, (1 << 20) // max(1, len(a)))
+                for some in range(0, len(at), step):
+                    i, j = (at[some : some + step, None] + a).reshape(-1), (at[some : some + step, None] + b).reshape(-1)
+                    may = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
+                    parts.append(surviving(minima, minima, i[may], j[may], least))
+            root = _roots(len(rows), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            some = np.flatnonzero(root != np.arange(len(rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]])], names=["u", "v"])
+
+    return run
+
+
 def _block_pair(threshold: float, least: dict[int, int]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["doc_id", "side"]).sort_values("doc_id", ignore_index=True)
+        rows = rows.sort_values("node", ignore_index=True)
         left, right = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
         one = rows.iloc[0]
         if (one["l1"], one["b1"]) != (one["l2"], one["b2"]):
@@ -208,7 +264,7 @@ def _block_pair(threshold: float, least: dict[int, int]):
             i, j = left[i], right[j]
         else:
             i, j = linked_pairs(rows, None, threshold, least)
-        n, copies, ids = len(rows), rows["copies"].to_numpy(), rows["doc_id"].to_numpy()
+        n, copies, ids = len(rows), rows["copies"].to_numpy(), rows["node"].to_numpy()
         texts = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
         links = np.bincount(i, weights=copies[j], minlength=n) + np.bincount(j, weights=copies[i], minlength=n)
         some = texts > 0
@@ -217,52 +273,90 @@ def _block_pair(threshold: float, least: dict[int, int]):
     return run
 
 
-def join_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """One row a document: doc_id, class_id, n_links, n_text_links, n_copies.
-
-    class_id is the least doc_id that chains of links (or equality) lead to; n_links counts the other documents linked to
-    this one, equal texts included; n_text_links the other texts linked to its text; n_copies the documents of its text.
-    A null text counts as empty; texts without words are equal to each other but not linked to anything else. Rows with
-    a null doc_id are left out, repeated rows of a doc_id count as copies. Other columns are ignored. Thresholds
-    under 0.8 need more bands for the same recall.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
-    signed = materialise(docs.mapInArrow(_signature_batches(shingle), "doc_id long, k1 long, k2 long, n int, bands array<long>"), "jaccard-signatures")
-    nodes = materialise(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "jaccard-nodes")
-    banded = signed.join(nodes.select("k1", "k2", F.col("node").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").filter("n > 0").select(F.col("doc_id").alias("node"), "n", F.explode("bands").alias("band"))
-    centres = banded.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("most")).filter("centre < most").select("band", "centre")
-    stars = banded.join(centres.hint("merge"), "band").select(F.col("node").alias("u"), F.col("centre").alias("v"))
-    groups = connected_components(stars, "jaccard-candidates").withColumnRenamed("component", "comp")
-    sizes = signed.select(F.col("doc_id").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n"))
-    members = groups.join(sizes, "node").join(nodes.select("node", "copies"), "node")
-    step = -math.log(threshold)
-    total = members.groupBy("comp").agg(F.count("*").alias("total"))
-    members = members.join(total, "comp").withColumn("level", F.when(F.col("total") <= block, 0).otherwise(F.floor(F.log("n") / step)).cast("int")).drop("total", "n")
+def _candidate_components(nodes: DataFrame, threshold: float, least: dict[int, int], small: int) -> DataFrame:
+    """(node, comp) of the nodes that have a partner which may reach the threshold."""
+    banded = nodes.filter("n > 0").select("node", "minima").mapInArrow(_band_batches, "band long, node long")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("centre"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mark2"))
+    buckets = buckets.filter("centre < most")
+    # of buckets with the same nodes one is enough
+    kept = buckets.groupBy("size", "centre", "most", "mark", "mark2").agg(F.min("band").alias("band")).select("band", "centre", "size")
+    stars = materialise(banded.join(kept.hint("merge"), "band").select("band", "node", "centre", "size"), "jaccard-buckets")
+    members = stars.filter(F.col("size") <= small).select("band", "node").join(nodes.select("node", "n", "minima").hint("merge"), "node")
+    members = members.groupBy("band").agg(F.collect_list(F.struct("node", "n", "minima")).alias("members")).select("members")  # of `small` nodes at most
+    edges = members.mapInArrow(_prune_batches(threshold, least), "u long, v long")
+    wide = stars.filter((F.col("size") > small) & (F.col("node") != F.col("centre"))).select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    return connected_components(edges.union(wide), "jaccard-candidates").withColumnRenamed("component", "comp")
+
+
+def _judged(docs: DataFrame, shingle: int, threshold: float, tolerance: float, block: int, small: int) -> DataFrame:
+    """doc_id, node, class_id, class_node, n_links, n_text_links, n_copies of each row of docs that has a doc_id."""
+    least = least_matches(threshold, tolerance)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null").withColumn("node", text_digest(F.col("text")))
+    signed = materialise(docs.mapInArrow(_signature_batches(shingle), "doc_id long, node long, n long, minima binary"), "jaccard-signatures")
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("minima").alias("minima"))
+    nodes = materialise(nodes, "jaccard-nodes")
+    members = _candidate_components(nodes, threshold, least, small).join(nodes.select("node", "copies", "n"), "node")
+    total = members.groupBy("comp").agg(F.count("*").alias("total"), F.sum("n").alias("total_n"))
+    fits = (F.col("total") <= block) & (F.col("total_n") * 8 <= BLOCK_BYTES)
+    members = members.join(total.select(own_key("comp"), "total", "total_n"), "comp").withColumn("level", F.when(fits, 0).otherwise(F.floor(F.log("n") / -math.log(threshold))).cast("int")).drop("total", "total_n")
     members = materialise(members, "jaccard-members")
-    blocks = members.groupBy("comp", "level").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    blocks = members.groupBy("comp", "level").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     near = blocks.select("comp", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"), F.struct(F.col("level").alias("level"), "blocks").alias("other"))
-    near = near.groupBy("comp", "level").agg(F.collect_list("other").alias("others"))
-    dealt = members.join(near, ["comp", "level"]).selectExpr("node as doc_id", "copies", "comp", "level", "pmod(xxhash64(node), element_at(filter(others, x -> x.level = level), 1).blocks) as block", "others")
+    near = near.groupBy("comp", "level").agg(F.collect_list("other").alias("others"))  # three at most
+    dealt = members.join(near.select(own_key("comp"), "level", "others"), ["comp", "level"]).selectExpr("node", "copies", "comp", "level", "pmod(xxhash64(node), element_at(filter(others, x -> x.level = level), 1).blocks) as block", "others")
     # a pair of blocks is named by its lesser block (level, block) and its greater; equal blocks meet once
     pairs = """flatten(transform(others, o -> transform(sequence(0, o.blocks - 1), b ->
         if(o.level > level or (o.level = level and b >= block),
            struct(comp as comp, level as l1, cast(block as int) as b1, o.level as l2, b as b2, 0 as side),
            struct(comp as comp, o.level as l1, b as b1, level as l2, cast(block as int) as b2, 1 as side)))))"""
-    dealt = dealt.selectExpr("doc_id", "copies", f"{pairs} as pairs")
-    sets = docs.join(dealt.hint("merge"), "doc_id")
+    dealt = dealt.selectExpr("node", "copies", f"{pairs} as pairs").join(nodes.select("node", F.col("first_id").alias("doc_id"), "minima").hint("merge"), "node")
+    # one row a node carries its text; repeated rows of it meet in a pre-aggregated group
+    texts = docs.join(dealt.select("node", "doc_id").hint("merge"), ["doc_id", "node"], "left_semi").groupBy("node").agg(F.max("text").alias("text"))
     pair_type = "array<struct<comp:long,l1:int,b1:int,l2:int,b2:int,side:int>>"
-    sets = sets.select("doc_id", "text", "copies", "pairs").mapInArrow(_set_batches(shingle), f"doc_id long, copies long, pairs {pair_type}, shingles binary, minima binary")
-    sets = sets.select("doc_id", "copies", "shingles", "minima", F.explode("pairs").alias("pair")).select("doc_id", "copies", "shingles", "minima", "pair.*")
-    found = sets.groupBy("comp", "l1", "b1", "l2", "b2").applyInPandas(_block_pair(threshold, least_matches(threshold, tolerance)), "node long, root long, texts long, links long")
+    sets = texts.join(dealt.select("node", "copies", "pairs", "minima"), "node").select("node", "text", "copies", "pairs", "minima")
+    sets = sets.mapInArrow(_set_batches(shingle), f"node long, copies long, pairs {pair_type}, minima binary, shingles binary")
+    sets = sets.select("node", "copies", "shingles", "minima", F.explode("pairs").alias("pair")).select("node", "copies", "shingles", "minima", "pair.*")
+    found = sets.groupBy("comp", "l1", "b1", "l2", "b2").applyInPandas(_block_pair(threshold, least), "node long, root long, texts long, links long")
     found = materialise(found, "jaccard-links")
-    classes = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "jaccard-classes").withColumnRenamed("component", "class_id")
+    parts = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "jaccard-classes")
     counts = found.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("links").alias("links"))
-    nodes = nodes.join(counts, "node", "left").join(classes, "node", "left")
-    result = nodes.selectExpr("k1", "k2", "coalesce(class_id, node) as class_id", "coalesce(links, 0) + copies - 1 as n_links", "coalesce(texts, 0) as n_text_links", "copies as n_copies")
-    return signed.select("doc_id", "k1", "k2").join(result, ["k1", "k2"]).select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
+    linked = materialise(nodes.select("node", "first_id").join(parts, "node").join(counts, "node", "left"), "jaccard-linked")
+    heads = linked.groupBy("component").agg(F.min(F.struct("first_id", "node")).alias("head"))
+    linked = linked.join(heads.select(own_key("component"), "head"), "component").select("node", F.col("head.first_id").alias("class_id"), F.col("head.node").alias("class_node"), "texts", "links")
+    result = nodes.select("node", "first_id", "copies").join(linked, "node", "left").selectExpr(
+        "node", "coalesce(class_id, first_id) as class_id", "coalesce(class_node, node) as class_node", "coalesce(links, 0) + copies - 1 as n_links", "coalesce(texts, 0) as n_text_links", "copies as n_copies"
+    )
+    return signed.select("doc_id", "node").join(result, "node")
 
 
-def keep_first_of_class(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is its class's least; rows with a null doc_id stay."""
-    gone = join_near_duplicates(docs, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+def join_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, small: int = SMALL) -> DataFrame:
+    """One row a document: doc_id, class_id, n_links, n_text_links, n_copies.
+
+    class_id is the least doc_id that chains of links (or equality) lead to; n_links counts the other rows linked to
+    this one, equal texts included; n_text_links the other texts linked to its text; n_copies the rows of its text.
+    A null text counts as empty; texts without words are equal to each other but not linked to anything else. Rows with
+    a null doc_id are neither judged nor matched and come back with a null class and no links. Repeated rows count as
+    copies; rows of one doc_id with different texts are judged each by its own text. Other columns are ignored, and an
+    empty table gives no rows. Results are exact up to collisions of 64-bit fingerprints. Thresholds under 0.8 need more
+    bands for the same recall.
+    """
+    judged = _judged(docs, shingle, threshold, tolerance, block, small).select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
+    apart = docs.filter("doc_id is null").selectExpr("cast(null as long) as doc_id", "cast(null as long) as class_id", "0L as n_links", "0L as n_text_links", "1L as n_copies")
+    return judged.union(apart)
+
+
+def keep_first_of_class(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, small: int = SMALL) -> DataFrame:
+    """The rows of docs, all columns, that are the first of their class; rows with a null doc_id stay.
+
+    The first is the text of least doc_id (of several texts of that doc_id, the one of least digest). Of its repeated rows one stays.
+    """
+    rows = _judged(docs, shingle, threshold, tolerance, block, small).select("doc_id", "node", ((F.col("doc_id") != F.col("class_id")) | (F.col("node") != F.col("class_node"))).alias("gone"))
+    marks = rows.groupBy("doc_id", "node").agg(F.max("gone").alias("_gone"), F.count("*").alias("n")).filter("_gone or n > 1")
+    marks = materialise(marks.select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node"), "_gone"), "jaccard-marks")
+    keys = (docs["doc_id"].cast("long") == marks["_doc"]) & (text_digest(docs["text"]) == marks["_node"])
+    kept = docs.join(marks.hint("merge"), keys, "left_anti")
+    several = marks.filter("not _gone")
+    if several.isEmpty():
+        return kept
+    once = docs.join(several.select("_doc", "_node"), keys).dropDuplicates(["_doc", "_node"]).select(*[docs[c] for c in docs.columns])
+    return kept.union(once)

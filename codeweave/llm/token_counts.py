@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_BASE, U64, _ranges, mix, slices
+from .common import U64, byte_hashes, mix, slices
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
@@ -134,7 +134,7 @@ def _count_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[
     ends = np.append(starts[1:], len(data))
     text = np.searchsorted(offsets, starts, side="right") - 1
     head = starts == offsets[text]  # a chunk at a text's start has one blank more
-    prints = mix(_ranges(data.astype(U64) + U64(1), BYTE_BASE, starts, ends) + (ends - starts).astype(U64) * U64(2) + head.astype(U64) * U64(0x9E3779B97F4A7C15))
+    prints = mix(byte_hashes(data, starts, ends) + head.astype(U64) * U64(0x9E3779B97F4A7C15))
     unique, first, inverse = np.unique(prints, return_index=True, return_inverse=True)
     if len(v.known) > MOST_KEPT:
         v.known.clear()

@@ -49,11 +49,47 @@ def near_copies(n):
 
 def test_against_brute_force(spark):
     rows = odd_texts() + near_copies(150)
-    for block in (128, 16):
-        got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in J.join_near_duplicates(documents(spark, rows).repartition(3), block=block).collect()}
+    for block, small in ((128, 128), (16, 20)):
+        got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in J.join_near_duplicates(documents(spark, rows).repartition(3), block=block, small=small).collect()}
         assert got == brute(rows)
 
 
+def near(text):
+    """The text with its last word changed."""
+    return " ".join([*text.split()[:-1], "changed"])
+
+
+def test_one_doc_id_with_two_texts(spark):
+    """Rows (1, A), (1, B), (2, A'), (3, B'): no text hides the other's links, in any partitioning."""
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (None, a), (4, "alone")]
+    for parts in (4,):
+        got = sorted((r.doc_id or -1, r.class_id, r.n_links, r.n_copies) for r in J.join_near_duplicates(documents(spark, rows).repartition(parts)).collect())
+        assert got == [(-1, None, 0, 1), (1, 1, 1, 1), (1, 1, 1, 1), (2, 1, 1, 1), (3, 1, 1, 1), (4, 4, 0, 1)]
+        kept = sorted((r.doc_id or -1, r.text) for r in J.keep_first_of_class(documents(spark, rows).repartition(parts)).collect())
+        assert kept == [(-1, a), (1, a), (1, b), (4, "alone")]
+
+
+def test_one_doc_id_whose_texts_are_near(spark):
+    a = " ".join(f"a{i}" for i in range(80))
+    rows = [(5, a), (5, near(a)), (7, a), (5, a)]
+    assert {(r.doc_id, r.class_id, r.n_links) for r in J.join_near_duplicates(documents(spark, rows)).collect()} == {(5, 5, 3), (7, 5, 3)}
+    assert J.keep_first_of_class(documents(spark, rows).repartition(4)).count() == 1
+
+
+def test_weak_similarity_does_not_chain(spark):
+    """Texts that share half their words are candidates now and then; pruning keeps them out of one component."""
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(common + [f"t{i}_{j}" for j in range(60)])) for i in range(300)]
+    docs = documents(spark, rows).withColumn("node", J.text_digest(J.F.col("text")))
+    nodes = docs.select("doc_id", "node", "text").mapInArrow(J._signature_batches(5), "doc_id long, node long, n long, minima binary")
+    assert nodes.mapInArrow(J._band_batches, "band long, node long").groupBy("band").count().filter("count > 1").count() > 10
+    assert J._candidate_components(nodes, 0.8, J.least_matches(), 1000).count() == 0
+    assert J.join_near_duplicates(documents(spark, rows)).filter("n_links > 0").count() == 0
+
+
+
+
 def test_bayes_pruning_keeps_what_can_reach_the_threshold():
     least = J.least_matches()
     r = np.random.default_rng(0)
