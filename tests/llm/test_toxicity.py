@@ -67,3 +67,55 @@ def test_features_of_long_texts_all_count(spark):
     docs, labels = documents(spark, [(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     got = {x.doc_id: x.toxic for x in T.judge(docs, labels).collect()}
     assert got == {i: bool(y) for i, _, y in rows}
+
+
+def test_gradient_against_differences():
+    """loss_and_gradient against the likelihood written out row by row, and its gradient against differences."""
+    r = np.random.default_rng(2)
+    n, m, top = 60, 5, 2
+    x = r.random((n, m)) < 0.4
+    grades = r.integers(0, top + 1, n)
+    rows, features = np.nonzero(x)
+
+    def plain(v):
+        sigmoid = lambda z: 1 / (1 + np.exp(-z))
+        total = 0.0
+        for i in range(n):
+            edges = [1.0, *(sigmoid(v[:m] @ x[i] - t) for t in v[m:]), 0.0]
+            total -= np.log(edges[grades[i]] - edges[grades[i] + 1])
+        return total / n + 0.01 * (v[:m] @ v[:m]) / 2
+
+    for _ in range(3):
+        v = np.concatenate([r.normal(size=m), np.sort(r.normal(size=top) + [0, 1])])
+        loss, grad = T.loss_and_gradient(v, rows, features, grades, m, 0.01)
+        assert abs(loss - plain(v)) < 1e-12
+        steps = np.eye(len(v)) * 1e-6
+        assert np.allclose(grad, [(plain(v + s) - plain(v - s)) / 2e-6 for s in steps], atol=1e-7)
+
+
+def test_threshold_parts_best():
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        p, y = r.random(40).round(2), r.random(40) < 0.4
+        t = T.best_threshold(p, y)
+        right = lambda t: (p[y] >= t).mean() + (p[~y] < t).mean()
+        assert right(t) >= max(right(x) for x in [*p, *(p + 1e-6)]) - 1e-9 or not y.any()
+    assert T.best_threshold(np.array([0.01, 0.02, 0.98, 0.99]), np.array([False, False, True, True])).__round__(9) == 0.5
+    assert T.best_threshold(np.array([0.3]), np.array([True])) == 0.5
+
+
+def test_given_grades_and_repeated_rows(spark):
+    """Severity in the labels themselves: mild words for grade 1, others for 2 and 3. Many rows of one labelled doc_id count once."""
+    r = random.Random(9)
+    rows = []
+    for i in range(1200):
+        grade = i % 4
+        words = [f"w{r.randint(0, 300)}" for _ in range(30)] + [["rude"], ["rude", "nasty"], ["rude", "nasty", "vicious"]][grade - 1] * (grade > 0)
+        rows.append((i, " ".join(words), grade))
+    docs = documents(spark, [(i, t) for i, t, _ in rows] + [(0, rows[0][1])] * 300)
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows if i % 3], "doc_id long, grade int")
+    got = {x.doc_id: x for x in T.judge(docs, labels, grade="grade").collect()}
+    held = [(got[i], g) for i, _, g in rows if i % 3 == 0]
+    assert np.mean([x.grade == g for x, g in held]) > 0.95 and all(x.toxic == (g > 0) for x, g in held)
+    means = [np.mean([x.expected_severity for x, g in held if g == k]) for k in range(4)]
+    assert all(a + 0.5 < b for a, b in zip(means, means[1:], strict=False))
