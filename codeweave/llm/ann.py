@@ -1,30 +1,36 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one for each shard (Vamana, Subramanya et al. 2019).
 
-Rows are dealt to shards by a hash of vec_id: at least MIN_SHARDS, each of at most SHARD_ROWS rows, so a graph fits in
+Rows are dealt to shards by a hash of vec_id: at least MIN_SHARDS, each of about SHARD_ROWS rows, so a graph fits in
 one task. In a shard, equal vectors become one node with the least K + 1 of their ids, more of which can't be asked for.
 The graph is grown in batches of doubling size: greedy searches from the medoid propose neighbours, pruning keeps one
-only if no nearer kept neighbour is ALPHA times closer to it, and reverse edges are pruned alike. Queries are dealt to blocks
-and each block searches each shard with a beam; the best K over all shards are ranked. Graph and query blocks meet in
-groups of one shard and one block, both bounded.
+only if no nearer kept neighbour is ALPHA times closer to it, and reverse edges are pruned alike. Each graph is sent once
+for BLOCK_QUERIES queries, which stream past it in Arrow batches and are searched with a beam; the best K over all
+shards are ranked.
 
 Inner product is turned to distance by one more dimension, sqrt(M^2 - |x|^2), M the shard's largest norm; vectors of equal
-norm are unchanged by it. Scores are inner products of the original vectors, in double precision.
+norm are unchanged by it. Graphs and beams work in single precision on vectors divided by the shard's largest component,
+so none is too small or too large for it. What they find is scored on the original vectors, in double precision.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded_broadcast, materialise
 
 K, EVERY = 20, 20
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
 SEARCH_BEAM = 80
-MIN_SHARDS, SHARD_ROWS, BLOCK_QUERIES = 12, 50_000, 4096
+MIN_SHARDS, SHARD_ROWS, BLOCK_QUERIES = 12, 20_000, 100_000
 TOGETHER = 512
+#: Different vector lengths whose counts may be broadcast.
+MAX_LENGTHS = 100_000
 
 
 def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,12 +122,15 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alph
         by = np.argsort(target, kind="stable")
         source, target = source[by], target[by]
         touched, first, count = np.unique(target, return_index=True, return_counts=True)
-        wide = min(int(count.max(initial=0)), 4 * degree)
         place = np.arange(len(target)) - np.repeat(first, count)
-        offered = np.full((len(touched), wide), -1, dtype=np.int64)
-        fits = place < wide
-        offered[np.repeat(np.arange(len(touched)), count)[fits], place[fits]] = source[fits]
-        graph[touched] = robust_prune(points, touched, np.concatenate([graph[touched], offered], axis=1), degree, alpha)
+        owner = np.repeat(np.arange(len(touched)), count)
+        # of many new friends, so many at a time; what a pass keeps meets the next ones
+        for at in range(0, int(count.max(initial=0)), 4 * degree):
+            now = np.flatnonzero(count > at)
+            offered = np.full((len(touched), min(4 * degree, int(count.max()) - at)), -1, dtype=np.int64)
+            fits = (place >= at) & (place < at + offered.shape[1])
+            offered[owner[fits], place[fits] - at] = source[fits]
+            graph[touched[now]] = robust_prune(points, touched[now], np.concatenate([graph[touched[now]], offered[now]], axis=1), degree, alpha)
         done += len(batch)
     return graph, start
 
@@ -129,71 +138,99 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alph
 def _shard_rows(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """One row: the shard's distinct vectors, their ids, and the graph, as bytes."""
     rows = rows.sort_values("vec_id", ignore_index=True)
-    x = np.stack(rows["embedding"].to_numpy()).astype(np.float32)
-    unique, inverse = np.unique(x, axis=0, return_inverse=True)
+    unique, inverse = np.unique(np.stack(rows["embedding"].to_numpy()).astype(np.float64), axis=0, return_inverse=True)
     inverse = inverse.reshape(-1)
     by = np.argsort(inverse, kind="stable")
     place = np.arange(len(by)) - np.searchsorted(inverse[by], inverse[by])
     by, place = by[place <= k], place[place <= k]
-    norms = np.einsum("ij,ij->i", unique, unique)
-    lifted = np.concatenate([unique, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], axis=1).astype(np.float32)
+    scaled = (unique / np.abs(unique).max()).astype(np.float32)
+    norms = np.einsum("ij,ij->i", scaled, scaled)
+    lifted = np.concatenate([scaled, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], axis=1).astype(np.float32)
     graph, start = build_graph(lifted)
     ids = rows["vec_id"].to_numpy()[by]
-    return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "dim": [x.shape[1]], "start": [start], "points": [lifted.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "ids": [ids.astype(np.int64).tobytes()], "owner": [inverse[by].astype(np.int64).tobytes()]})
-
-
-def _search(shards: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
-    """The k best of one shard for each query of a block."""
-    empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-    if not len(shards) or not len(queries):
-        return empty
-    s = shards.iloc[0]
-    dim = int(s["dim"])
-    points = np.frombuffer(s["points"], dtype=np.float32).reshape(-1, dim + 1)
-    graph = np.frombuffer(s["graph"], dtype=np.int32).reshape(len(points), -1).astype(np.int64)
-    ids, owner = np.frombuffer(s["ids"], dtype=np.int64), np.frombuffer(s["owner"], dtype=np.int64)
-    first = np.searchsorted(owner, np.arange(len(points) + 1))
-    out = []
-    for at in range(0, len(queries), TOGETHER):
-        part = queries.iloc[at : at + TOGETHER]
-        q = np.stack(part["embedding"].to_numpy()).astype(np.float32)
-        # a query's own direction, at the length that orders distances as inner products
-        lifted = np.concatenate([q, np.zeros((len(q), 1), np.float32)], axis=1)
-        nodes, _ = beam_search(points, graph, int(s["start"]), lifted, beam)
-        exact = np.einsum("qd,qbd->qb", q.astype(np.float64), points[np.maximum(nodes, 0), :dim].astype(np.float64))
-        for i, own in enumerate(part["vec_id"].to_numpy()):
-            good = nodes[i] >= 0
-            size = first[nodes[i][good] + 1] - first[nodes[i][good]]
-            got = np.concatenate([ids[first[x] : first[x + 1]] for x in nodes[i][good]])
-            score = np.repeat(exact[i][good], size)
-            keep = got != own
-            got, score = got[keep], score[keep]
-            top = np.lexsort((got, -score))[:k]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": got[top], "score": score[top]}))
-    return pd.concat(out, ignore_index=True) if out else empty
-
-
-def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, beam: int = SEARCH_BEAM) -> DataFrame:
+    return pd.DataFrame({
+        "dim": [unique.shape[1]], "shard": [int(rows["shard"].iloc[0])], "start": [start], "vectors": [unique.tobytes()], "points": [lifted.tobytes()],
+        "graph": [graph.astype(np.int32).tobytes()], "ids": [ids.astype(np.int64).tobytes()], "owner": [inverse[by].astype(np.int64).tobytes()],
+    })
+
+
+class _Shard:
+    """A shard's graph as it comes out of its row."""
+
+    def __init__(self, row: dict):
+        dim = row["dim"]
+        self.key, self.start = (dim, row["shard"]), row["start"]
+        self.vectors = np.frombuffer(row["vectors"], dtype=np.float64).reshape(-1, dim)
+        self.points = np.frombuffer(row["points"], dtype=np.float32).reshape(-1, dim + 1)
+        self.graph = np.frombuffer(row["graph"], dtype=np.int32).reshape(len(self.points), -1).astype(np.int64)
+        self.ids, owner = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["owner"], dtype=np.int64)
+        self.first = np.searchsorted(owner, np.arange(len(self.points) + 1))
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vec_id, score) of the k best for each query, whose own ids take no part."""
+        # a query's direction alone orders inner products
+        q = np.concatenate([queries / np.abs(queries).max(axis=1, keepdims=True), np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+        nodes, _ = beam_search(self.points, self.graph, self.start, q, beam)
+        who, at = np.nonzero(nodes >= 0)
+        node = nodes[who, at]
+        score = np.einsum("ij,ij->i", queries[who], self.vectors[node])
+        size = self.first[node + 1] - self.first[node]
+        ids = self.ids[np.repeat(self.first[node] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        who, score = np.repeat(who, size), np.repeat(score, size)
+        other = ids != own[who]
+        who, ids, score = who[other], ids[other], score[other]
+        by = np.lexsort((ids, -score, who))
+        who, ids, score = who[by], ids[by], score[by]
+        top = np.arange(len(who)) - np.searchsorted(who, who) < k
+        return own[who[top]], ids[top], score[top]
+
+
+def _search_batches(k: int, beam: int):
+    """Rows of a shard's graph, then of queries for it, to the k best of the shard for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for batch in batches:
+            is_graph = batch.column("is_query").to_numpy() == 0
+            keys = np.stack([batch.column("dim").to_numpy(), batch.column("shard").to_numpy()], axis=1)
+            cuts = np.flatnonzero(is_graph | np.append(True, (keys[1:] != keys[:-1]).any(axis=1)) if len(batch) else [])
+            for a, b in zip(cuts, np.append(cuts[1:], len(batch)), strict=True):
+                if is_graph[a]:
+                    shard, a = _Shard(batch.slice(a, 1).to_pylist()[0]), a + 1
+                if a == b or shard is None or shard.key != tuple(keys[a]):
+                    continue  # a shard without rows
+                for at in range(a, b, TOGETHER):
+                    part = batch.slice(at, min(TOGETHER, b - at))
+                    vectors = part.column("embedding").flatten().to_numpy().reshape(len(part), -1)
+                    found = shard.search(part.column("vec_id").to_numpy(), vectors, k, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+GRAPH = "dim int, shard int, start int, vectors binary, points binary, graph binary, ids binary, owner binary"
+
+
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, beam: int = SEARCH_BEAM, min_shards: int = MIN_SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best found for each row whose vec_id is divisible by `every`, its own row apart.
 
-    Vectors that are null, zero, empty, or hold null or non-finite components take no part, nor do rows with a null vec_id or
-    of another length than most (ties: the shorter). Repeated rows of a vec_id count once, with the first vector in
+    Vectors that are null, zero, empty, or hold null or non-finite components take no part, nor do rows with a null vec_id.
+    A vector meets vectors of its own length only. Repeated rows of a vec_id count once, with the first vector in
     order. Ties go to the smaller vec_id. A table of fewer rows gives all candidates; an empty one none. Other columns
     are ignored.
     """
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    v = v.filter("vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < float('inf')) and exists(embedding, x -> x <> 0)")
-    sizes = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim, total = (sizes[0]["d"], sizes[0]["count"]) if sizes else (0, 0)
-    v = v.filter(F.size("embedding") == dim)
-    shards = max(MIN_SHARDS, -(-total // SHARD_ROWS))
-    blocks = max(1, -(-total // (every * BLOCK_QUERIES)))
-    one = v.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    one = materialise(one.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")), "ann-vectors")
-    graph_type = "shard int, dim int, start int, points binary, graph binary, ids binary, owner binary"
-    graphs = materialise(one.groupBy("shard").applyInPandas(lambda rows: _shard_rows(rows, k), graph_type), "ann-graphs")
-    graphs = graphs.withColumn("block", F.explode(F.expr(f"sequence(0, {blocks - 1})")))
-    queries = one.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.expr(f"sequence(0, {shards - 1})")).alias("shard"))
-    found = graphs.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(lambda s, q: _search(s, q, k, beam), "query_id long, vec_id long, score double")
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    v = v.filter("vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)")
+    one = materialise(v.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding")), "ann-rows")
+    sizes = one.groupBy("dim").agg(F.greatest(F.lit(min_shards), F.ceil(F.count("*") / shard_rows)).cast("int").alias("shards"), F.ceil(F.count("*") / (every * BLOCK_QUERIES)).cast("int").alias("blocks"))
+    sizes = materialise(sizes, "ann-sizes")
+    one = one.join(bounded_broadcast(sizes, MAX_LENGTHS), "dim")
+    rows = one.select("dim", F.pmod(F.xxhash64("vec_id"), "shards").cast("int").alias("shard"), "vec_id", "embedding")
+    graphs = materialise(rows.groupBy("dim", "shard").applyInPandas(lambda r: _shard_rows(r, k), GRAPH), "ann-graphs")
+    sent = graphs.join(bounded_broadcast(sizes.select("dim", "blocks"), MAX_LENGTHS), "dim").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+    asked = one.filter(F.col("vec_id") % every == 0).select("dim", F.explode(F.expr("sequence(0, shards - 1)")).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(7)), "blocks").cast("int").alias("block"), "vec_id", "embedding")
+    both = sent.withColumn("is_query", F.lit(0)).unionByName(asked.withColumn("is_query", F.lit(1)), allowMissingColumns=True)
+    lined = both.repartition("dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "is_query")
+    found = lined.mapInArrow(_search_batches(k, beam), "query_id long, vec_id long, score double")
     ranked = found.selectExpr("query_id", "cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank", "vec_id", "score")
     return ranked.filter(F.col("rank") <= k)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from codeweave.llm import ann as A
 
 
@@ -39,6 +40,9 @@ def test_few_rows_and_odd_vectors(spark):
     vectors = [[1.0, 0.0], [0.5, 0.5], None, [0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [None, 1.0], [], [2.0, 0.0], [1.0, 0.0], [1.0, 2.0, 3.0]]
     got = A.nearest(table(spark, vectors)).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 8, 2.0), (0, 2, 9, 1.0), (0, 3, 1, 0.5)]
+    # vectors of another length meet each other only
+    mixed = A.nearest(table(spark, [[1.0], [2.0], [1.0, 2.0], [2.0, 1.0], [3.0, 3.0]], [20, 1, 40, 2, 3])).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in mixed) == [(20, 1, 1, 2.0), (40, 1, 3, 9.0), (40, 2, 2, 4.0)]
     assert A.nearest(table(spark, [])).count() == 0 and A.nearest(table(spark, [[1.0]], [20])).count() == 0
 
 
@@ -46,3 +50,33 @@ def test_robust_prune_keeps_diverse_edges():
     points = np.array([[0.0, 0], [1, 0], [1.1, 0], [0, 2]], dtype=np.float32)
     kept = A.robust_prune(points, np.array([0]), np.array([[1, 2, 3, 1, -1]]), 3, 1.2)[0]
     assert list(kept) == [1, 3, -1]
+
+
+def doubles(spark, vectors):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-50, 1e100])
+def test_double_precision_at_every_size(spark, scale):
+    """Scores are those of the original doubles, and no vector is lost to single precision."""
+    x = np.random.default_rng(6).normal(size=(200, 16)) * scale
+    got = {}
+    for r in A.nearest(doubles(spark, x.tolist())).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, 200, 20)) and all(len(g) == 20 for g in got.values())
+    hits = 0
+    for q, g in got.items():
+        s = x @ x[q]
+        want = [j for j in np.lexsort((np.arange(200), -s)) if j != q][:20]
+        hits += len({v for _, v, _ in g} & set(want))
+        assert all(abs(score - s[v]) <= 1e-12 * np.abs(x[v]) @ np.abs(x[q]) for _, v, score in g)
+    assert hits >= 0.95 * 200
+
+
+def test_all_reverse_edges_are_offered():
+    """A hub is offered far more friends than fit in one pass; a search still finds each point from the hub's side."""
+    r = np.random.default_rng(8)
+    x = np.concatenate([np.zeros((1, 8)), r.normal(size=(900, 8))]).astype(np.float32)
+    graph, start = A.build_graph(x, degree=8, beam=32)
+    nodes, _ = A.beam_search(x, graph, start, x, 32)
+    assert (nodes[:, 0] == np.arange(len(x))).mean() > 0.95 and (graph < len(x)).all()
