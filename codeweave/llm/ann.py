@@ -26,7 +26,7 @@ from .common import bounded_broadcast, materialise
 
 K, EVERY = 20, 20
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
-SEARCH_BEAM = 80
+SEARCH_BEAM = 128
 MIN_SHARDS, SHARD_ROWS, BLOCK_QUERIES = 12, 20_000, 100_000
 TOGETHER = 512
 #: Different vector lengths whose counts may be broadcast.

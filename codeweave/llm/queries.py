@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import ann, decontamination, jaccard_join, packing, sharding, substring_dedup, token_counts, toxicity, url_filters, warc
 
 
+#: Characters of text that a page has at least, if it isn't thin.
+THIN = 1400
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,9 +52,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page's url; a page counts as bad where `labels` gives the document of its number quality 0."""
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return url_filters.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+    """Verdict on every page's url. The pages whose number occurs in `labels` are the reviewed ones; of those a page is bad if it is
+    thin, with fewer than THIN characters outside its tags."""
+    pages, reviewed = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"))
+    thin = F.length(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", "")) < THIN
+    labels = pages.join(reviewed, "page_id", "left_semi").select("page_id", thin.cast("int").alias("bad"))
+    return url_filters.judge_urls(pages.select("page_id", "url"), labels)
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,19 +91,24 @@ QUERIES = {
 def _url_filters_sql() -> str:
     """The template tree in SQL, level by level, written apart from the operator."""
     u = url_filters
+
+    def apart(l, b, l0, b0):
+        p = f"(({b} + {b0}) / ({l} + {l0}))"
+        return f"({l} > 0 and {l0} > 0 and power({b} / {l} - {b0} / {l0}, 2) > {u.CHI2} * {p} * (1 - {p}) * (1.0 / {l} + 1.0 / {l0}))"
+
     levels = "".join(f"""
     s{i} as (select host, template, segs[{i}] as seg, sum(n) as n, sum(l) as l, sum(b) as b from t{i - 1} where len(segs) >= {i} group by all),
     n{i} as (select host, template, sum(n) as n, sum(l) as l, sum(b) as b from s{i} group by all),
-    k{i} as (select s.* from s{i} s join n{i} t using (host, template) where s.n >= {u.MIN_ROWS} and s.n >= {u.MIN_SHARE} * t.n),
+    k{i} as (select s.*, s.n >= {u.MIN_ROWS} and s.n >= {u.MIN_SHARE} * t.n as large from s{i} s join n{i} t using (host, template)
+        where (s.n >= {u.MIN_ROWS} and s.n >= {u.MIN_SHARE} * t.n) or (s.l >= {u.LEAST_LABELS} and {apart('s.l', 's.b', '(t.l - s.l)', '(t.b - s.b)')})),
     o{i} as (select host, template, sum(n) as n, sum(l) as l, sum(b) as b from k{i} group by all),
-    a{i} as (select host, template, seg, l, b, false as star from k{i} union all select host, template, '*', t.l - o.l, t.b - o.b, true from n{i} t join o{i} o using (host, template) where t.n > o.n),
+    a{i} as (select host, template, seg, l, b, false as star from k{i} where large union all select host, template, '*', t.l - o.l, t.b - o.b, true from n{i} t join o{i} o using (host, template) where t.n > o.n),
     w{i} as (select *, case when l > 0 then b / l else -1 end as share from a{i}),
-    x{i} as (select *, lag(l) over (partition by host, template order by share, star, seg) as l0, lag(b) over (partition by host, template order by share, star, seg) as b0 from w{i}),
-    y{i} as (select *, case when l0 is null then 1 when l = 0 or l0 = 0 then 0
-        when power(b / l - b0 / l0, 2) > {u.CHI2} * ((b + b0) / (l + l0)) * (1 - (b + b0) / (l + l0)) * (1.0 / l + 1.0 / l0) then 1 else 0 end as apart from x{i}),
-    z{i} as (select *, sum(apart) over (partition by host, template order by share, star, seg) as merged from y{i}),
-    g{i} as (select host, template, list_sort(list(seg)) as segs from z{i} group by host, template, merged having not bool_or(star)),
-    h{i} as (select host, template, unnest(segs) as seg, case when len(segs) = 1 then segs[1] else '{{' || array_to_string(segs, '|') || '}}' end as label from g{i}),
+    x{i} as (select host, template, list([{{'l': l, 'b': b, 'star': star, 'segs': [seg]}}] order by share, star, seg) as kids from w{i} group by all),
+    y{i} as (select host, template, unnest(list_reduce(kids, lambda g, x: case when (g[-1].l = 0) <> (x[1].l = 0) or {apart('g[-1].l', 'g[-1].b', 'x[1].l', 'x[1].b')}
+        then g || x else g[1:len(g) - 1] || [{{'l': g[-1].l + x[1].l, 'b': g[-1].b + x[1].b, 'star': g[-1].star or x[1].star, 'segs': g[-1].segs || x[1].segs}}] end)) as g from x{i}),
+    g{i} as (select host, template, list_sort(g.segs) as segs from y{i} where not g.star),
+    h{i} as (select host, template, unnest(segs) as seg, case when len(segs) = 1 then segs[1] else '{{' || array_to_string(segs, '|') || '}}' end as label from g{i} union all select host, template, seg, seg from k{i} where not large),
     t{i} as (select t.host, t.path, t.n, t.l, t.b, t.segs, case when len(t.segs) < {i} then t.template else t.template || '/' || coalesce(h.label, '*') end as template
         from t{i - 1} t left join h{i} h on h.host = t.host and h.template = t.template and h.seg = t.segs[{i}]),""" for i in range(1, u.DEPTH + 1))
     rules = sorted(u.RULES, key=lambda r: -len(r[1] + r[2]))
@@ -105,7 +117,7 @@ def _url_filters_sql() -> str:
     verdict = "case " + " ".join(f"when {test} then '{said}'" for test, _, said in hits)
     return f"""with r0 as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
     r1 as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r0),
-    known as (select doc_id as page_id, max(1 - quality) as bad from labels where quality is not null group by doc_id),
+    known as (select page_id, cast(max(case when length(regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g')) < {THIN} then 1 else 0 end) as int) as bad from pages where page_id in (select doc_id from labels) group by page_id),
     t0 as (select host, path, count(*) as n, count(bad) as l, coalesce(sum(bad), 0) as b, list_filter(string_split(path, '/'), lambda s: s <> '') as segs, '' as template from r1 left join known using (page_id) where host <> '' group by host, path),{levels}
     done as (select host, path, l, b, template || case when len(segs) > {u.DEPTH} then '/**' else '' end || case when path = '' or ends_with(path, '/') then '/' else '' end as template from t{u.DEPTH}),
     judged as (select host, template, (sum(b) + {u.A}) / (sum(l) + {u.A} + {u.B}) >= {u.REJECT} as rejected from done group by all)

@@ -3,9 +3,10 @@
 Per host the tree is grown one path segment at a time. At a node, a child segment stays a literal if it has at
 least MIN_ROWS urls and MIN_SHARE of the node's, or if a two-proportion test tells its bad share from the rest of the
 node's, however many such children there are; only the others are variable and become `*`. The test takes LEAST_LABELS
-labels, the fewest with which a template can be rejected. The children of MIN_SHARE (1 / MIN_SHARE a node at most) and `*`, in order of their share of bad pages, are merged with the one before where the test can't tell the
-two apart; merged literals read `{a|b}`, and what is merged with `*` is `*`. The small ones that differ stand alone, so no
-node is gathered. The first DEPTH
+labels, the fewest with which a template can be rejected. The children of MIN_SHARE (1 / MIN_SHARE a node at most) and `*`, in order of their share of bad pages, are merged with the
+group before where the test can't tell a child from all the group's labels together, so differing ends of a chain don't
+meet; unlabelled children merge with each other only. Merged literals read `{a|b}`, and what is merged with `*` is `*`.
+The small ones that differ stand alone, so no node is gathered. The first DEPTH
 segments are always written out. Past them the tree goes on, level by level, at every node of several paths whose labels
 are mixed, and a template is written out to the last level that divided its node; what is left of it reads `**`. A
 template is rejected if its smoothed share of bad labels, (bad + A) / (labelled + A + B), is at least REJECT.
@@ -54,6 +55,15 @@ def _apart(labelled: str, bad: str, other_labelled: str, other_bad: str) -> str:
     return f"if({labelled} = 0 or {other_labelled} = 0, false, {differ})"
 
 
+_GROUPS = "array<struct<labelled:bigint,bad:bigint,star:boolean,segments:array<string>>>"
+#: SQL of the merge: children in order, each to the group before if its labels can't be told from the group's, else to a new one.
+_POOLED = f"""aggregate(kids, cast(array() as {_GROUPS}), (groups, x) -> case
+    when size(groups) = 0 or (element_at(groups, -1).labelled = 0) <> (x.labelled = 0) or {_apart("x.labelled", "x.bad", "element_at(groups, -1).labelled", "element_at(groups, -1).bad")}
+    then concat(groups, cast(array(struct(x.labelled, x.bad, x.star, array(x.segment))) as {_GROUPS}))
+    else concat(slice(groups, 1, size(groups) - 1), cast(array(struct(element_at(groups, -1).labelled + x.labelled, element_at(groups, -1).bad + x.bad,
+        element_at(groups, -1).star or x.star, concat(element_at(groups, -1).segments, array(x.segment)))) as {_GROUPS})) end)"""
+
+
 def _labels(stat: DataFrame) -> DataFrame:
     """(host, template, segment, label) of the literal children whose label isn't `*`, from their counts."""
     node = ["host", "template"]
@@ -66,11 +76,9 @@ def _labels(stat: DataFrame) -> DataFrame:
     star = star.filter("t > own_n").select(*node, F.lit("*").alias("segment"), (F.col("t") - F.col("own_n")).alias("n"), (F.col("l") - F.col("own_l")).alias("labelled"), (F.col("b") - F.col("own_b")).alias("bad"), F.lit(True).alias("star"))
     kids = literal.filter("large").select(*node, "segment", "n", "labelled", "bad", F.lit(False).alias("star")).union(star)
     kids = kids.withColumn("share", F.expr("coalesce(bad / nullif(labelled, 0), -1.0)"))
-    w = "over (partition by host, template order by share, star, segment)"
-    kids = kids.selectExpr("*", f"lag(labelled) {w} as l0", f"lag(bad) {w} as b0")
-    apart = f"coalesce({_apart('labelled', 'bad', 'l0', 'b0')}, true)"
-    kids = kids.selectExpr("*", f"sum(cast({apart} as int)) {w} as merged")
-    kids = kids.groupBy(*node, "merged").agg(F.max("star").alias("star"), F.sort_array(F.collect_list("segment")).alias("segments")).filter("not star")
+    # a node has 1 / MIN_SHARE + 1 such children at most
+    kids = kids.groupBy(*node).agg(F.sort_array(F.collect_list(F.struct("share", "star", "segment", "labelled", "bad"))).alias("kids"))
+    kids = kids.select(*node, F.explode(F.expr(_POOLED)).alias("g")).filter("not g.star").select(*node, F.sort_array("g.segments").alias("segments"))
     kids = kids.withColumn("label", F.expr("if(size(segments) = 1, segments[0], concat('{', array_join(segments, '|'), '}'))"))
     alone = literal.filter("not large").select(*node, "segment", F.col("segment").alias("label"))
     return kids.select(*node, F.explode("segments").alias("segment"), "label").union(alone)

@@ -1,5 +1,8 @@
+import os
 from collections import defaultdict
 
+import pytest
+from codeweave.llm import queries
 from codeweave.llm import url_filters as U
 from pyspark.sql import functions as F
 
@@ -20,22 +23,25 @@ def brute_templates(paths, depth):
         labels = {}
         for node, kids in nodes.items():
             total = sum(v[0] for v in kids.values())
-            literal = {s: v for s, v in kids.items() if v[0] >= U.MIN_ROWS and v[0] >= U.MIN_SHARE * total}
+            apart = lambda a, b: bool(a[1] and b[1]) and (b[2] / b[1] - a[2] / a[1]) ** 2 > U.CHI2 * (q := (a[2] + b[2]) / (a[1] + b[1])) * (1 - q) * (1 / b[1] + 1 / a[1])
+            rest_of = lambda v: [sum(k[j] for k in kids.values()) - v[j] for j in range(3)]
+            large = {s for s, v in kids.items() if v[0] >= U.MIN_ROWS and v[0] >= U.MIN_SHARE * total}
+            literal = {s: v for s, v in kids.items() if s in large or (v[1] >= U.LEAST_LABELS and apart(v, rest_of(v)))}
             rest = [v for s, v in kids.items() if s not in literal]
-            rows = [(s, v, False) for s, v in literal.items()]
+            rows = [(s, v, False) for s, v in literal.items() if s in large]
+            for s in literal.keys() - large:
+                labels[(*node, s)] = s
             if rest and literal:
                 rows.append(("*", [sum(v[j] for v in rest) for j in range(3)], True))
             rows.sort(key=lambda r: (r[1][2] / r[1][1] if r[1][1] else -1.0, r[2], r[0]))
-            groups = []
-            for i, r in enumerate(rows):
-                apart = True
-                if i:
-                    (_, a, _), (_, b, _) = rows[i - 1], r
-                    apart = False
-                    if a[1] and b[1]:
-                        p = (a[2] + b[2]) / (a[1] + b[1])
-                        apart = (b[2] / b[1] - a[2] / a[1]) ** 2 > U.CHI2 * p * (1 - p) * (1 / b[1] + 1 / a[1])
-                groups.append([r]) if apart else groups[-1].append(r)
+            groups, pooled = [], []
+            for r in rows:
+                if groups and bool(pooled[1]) == bool(r[1][1]) and not apart(pooled, r[1]):
+                    groups[-1].append(r)
+                    pooled = [x + y for x, y in zip(pooled, r[1], strict=True)]
+                else:
+                    groups.append([r])
+                    pooled = list(r[1])
             for g in groups:
                 if not any(star for *_, star in g):
                     names = sorted(s for s, *_ in g)
@@ -126,3 +132,21 @@ def test_branches_past_the_depth(spark):
     assert {i for i, r in got.items() if r.verdict == "block"} == {i for i in range(160) if i % 2}
     assert got[1].template == "/a/b/c/d/spam/**" and got[81].template == "/a/b/c/d/e/f/spam/**"
     assert got[160].template == "/a/b/c/d/**" and got[161].template == "/*/*/*/*/**"
+
+
+def test_merging_pools_the_group(spark):
+    """Sections with 0, 2, 4 and 6 bad labels of 6: neighbours are alike, the ends are not; a section without labels stays apart."""
+    urls = [f"http://x.org/s{i // 6}/p{i}" for i in range(30)]
+    labels = spark.createDataFrame([(i, int(i % 6 < 2 * (i // 6))) for i in range(24)], "page_id long, bad int")
+    got = U.judge_urls(pages(spark, urls), labels, rules=()).collect()
+    assert {r.template for r in got} == {"/{s0|s1}/*", "/{s2|s3}/*", "/s4/*"}
+    assert {r.page_id // 6 for r in got if r.verdict == "block"} == {2, 3}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_query_rejects_and_keeps(spark, sf):
+    """The tree decides pages both ways where no fixed rule does."""
+    if not os.path.isdir(f"/root/testdata/{sf}"):
+        pytest.skip("no test tables here")
+    got = queries.op1_url_filters(spark, f"/root/testdata/{sf}").filter("rule is null and host <> ''").groupBy("verdict").agg(F.count_distinct("host", "template").alias("n")).collect()
+    assert {r.verdict: r.n > 0 for r in got} == {"allow": True, "block": True}
