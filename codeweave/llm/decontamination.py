@@ -1,11 +1,14 @@
 """Benchmark decontamination over a positional inverted index of the training texts, in DataFrame operations only.
 
 1. Item texts become windows of `length` words (an item of fewer words is one window).
-2. A count of the items' terms over all documents ranks them by rarity; each window keeps its two rarest terms.
-3. The index: a stored table of postings (term, doc_id, pos) of those terms.
-4. Postings meet the items' positions by term; pos - item position is a diagonal. A diagonal on which both rare terms of
-   some window stand is a candidate: the intersection of offset-adjusted lists, from the rarest terms on.
-5. Candidates go to their document and are compared word by word, so matches are exact.
+2. The index: a stored table of postings (term, doc_id, pos) of every term that an item has, over all documents. Other
+   terms can't stand in a match, so they are left out: it answers these items, not later ones.
+3. The index's counts rank terms by rarity; each window keeps its two rarest terms, each item its NEAR_TERMS rarest.
+4. Phrases. Postings meet the items' positions by term; pos - item position is a diagonal. A diagonal on which both rare
+   terms of some window stand is a candidate: the intersection of offset-adjusted lists, from the rarest terms on.
+   Candidates go to their document and are compared word by word, so matches are exact.
+5. Proximity. An item is near in a document if its rarest terms stand within NEAR_WORDS words: at each posting the last
+   positions of the others are known from a running maximum.
 
 The items' side is broadcast only if it is counted to be small (MAX_ITEM_ROWS); otherwise the same joins shuffle. A
 passage that a third of all documents hold gives one candidate for each document and item, never pairs of documents.
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, materialise
 
 LENGTH = 10
+NEAR_TERMS, NEAR_WORDS = 3, 20
 #: Rows of the items' windows, terms or positions that may be broadcast: some tens of MB at most.
 MAX_ITEM_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,10 +53,11 @@ def index_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return tokens.join(bounded_broadcast(terms.select("term").distinct(), MAX_ITEM_ROWS), "term").select("term", "doc_id", "pos")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df): occurrences over all documents; terms that don't occur are missing."""
-    tokens = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    return tokens.join(bounded_broadcast(terms.select("term").distinct(), MAX_ITEM_ROWS), "term").groupBy("term").agg(F.count("*").alias("df"))
+def build_index(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(index, counts): stored postings (term, doc_id, pos) of the items' terms, and occurrences (term, df) of those that occur."""
+    terms = items.filter("item_id is not null").select(F.explode(words(F.col("text"))).alias("term"))
+    index = materialise(index_terms(docs.filter("doc_id is not null"), terms), "decontamination-index")
+    return index, materialise(index.groupBy("term").agg(F.count("*").alias("df")), "decontamination-counts")
 
 
 def rare_positions(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -63,19 +68,23 @@ def rare_positions(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return best.filter("seen = span").selectExpr("item_id", "item_words", "span", "start", "ranked[0].p as p1", "ranked[least(span - 1, 1)].p as p2")
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, length: int = LENGTH, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(doc_id, item_id, starts, span, n_words) for each document row; without matches item_id and starts are null.
 
-    starts: first words, in the document, of the occurrences of the item's windows. Several rows a document.
+    starts: first words, in the document, of the occurrences of the item's windows. Several rows a document. index: what
+    build_index gave for the same tables, if it is there already.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _plain(docs)
+    postings, counts = index or build_index(docs, items)
     windows = materialise(item_windows(items, length), "decontamination-windows")
-    counts = materialise(term_counts(docs, windows.select(F.explode("item_words").alias("term"))), "decontamination-counts")
     rare = materialise(rare_positions(windows, counts), "decontamination-rare")
     keys = rare.select("item_id", F.explode(F.array("p1", "p2")).alias("p"), "item_words").selectExpr("item_id", "p", "element_at(item_words, p + 1) as term").distinct()
-    index = materialise(index_terms(docs.filter("doc_id is not null"), keys), "decontamination-index")
     wanted = rare.groupBy("item_id", "item_words", "span").agg(F.collect_list(F.struct("p1", "p2")).alias("wanted"))
-    diagonals = index.join(bounded_broadcast(keys, MAX_ITEM_ROWS), "term").select("doc_id", "item_id", (F.col("pos") - F.col("p")).alias("d"), "p")
+    diagonals = postings.join(bounded_broadcast(keys, MAX_ITEM_ROWS), "term").select("doc_id", "item_id", (F.col("pos") - F.col("p")).alias("d"), "p")
     diagonals = diagonals.groupBy("doc_id", "item_id", "d").agg(F.collect_set("p").alias("found"))
     wanted = bounded_broadcast(wanted, MAX_ITEM_ROWS)
     candidates = diagonals.join(wanted, "item_id").filter("exists(wanted, w -> array_contains(found, w.p1) and array_contains(found, w.p2))")
@@ -91,31 +100,51 @@ def phrase_matches(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> D
     return matched.selectExpr("doc_id", "n_words", "if(size(starts) > 0, item_id, null) as item_id", "span", "if(size(starts) > 0, starts, null) as starts")
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, terms: int = 3, within: int = 20) -> DataFrame:
-    """(doc_id, item_id, pos): the item's `terms` rarest distinct words (all, if fewer) stand within `within` words that end at pos."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+def proximity_matches(docs: DataFrame, items: DataFrame, terms: int = NEAR_TERMS, within: int = NEAR_WORDS, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(doc_id, item_id, pos): the item's `terms` rarest distinct words (all, if fewer) stand within `within` words that end at pos.
+
+    An item with a word that no document has is near in none if that word is among its rarest.
+    """
+    postings, counts = index or build_index(_plain(docs), items)
     own = items.select(F.col("item_id").cast("string").alias("item_id"), F.explode(F.array_distinct(words(F.col("text")))).alias("term")).filter("item_id is not null").distinct()
-    own = own.join(term_counts(docs, own), "term", "left")
+    own = own.join(counts, "term", "left")
     ranked = own.groupBy("item_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))), 1, terms).alias("rarest"))
-    keys = materialise(ranked.select("item_id", F.size("rarest").alias("need"), F.explode("rarest.term").alias("term")), "proximity-terms")
-    hits = index_terms(docs, keys).join(bounded_broadcast(keys, MAX_ITEM_ROWS), "term")
-    near = hits.selectExpr("doc_id", "item_id", "need", "pos", f"size(collect_set(term) over (partition by doc_id, item_id order by pos range between {within - 1} preceding and current row)) as got")
-    return near.filter("got = need").select("doc_id", "item_id", "pos")
+    keys = materialise(ranked.select("item_id", F.size("rarest").alias("need"), F.posexplode("rarest.term").alias("k", "term")), "decontamination-near")
+    hits = postings.join(bounded_broadcast(keys, MAX_ITEM_ROWS), "term").select("doc_id", "item_id", "need", "k", "pos")
+    # only documents that hold all of an item's terms go on
+    whole = hits.groupBy("doc_id", "item_id").agg(F.expr("bit_or(1 << k)").alias("seen"), F.max("need").alias("need")).filter("seen = (1 << need) - 1").select("doc_id", "item_id")
+    hits = hits.join(whole, ["doc_id", "item_id"], "left_semi")
+    last = [f"if({k} < need, max(if(k = {k}, pos, null)) over (partition by doc_id, item_id order by pos), pos)" for k in range(terms)]
+    near = hits.selectExpr("doc_id", "item_id", "pos", f"array({', '.join(last)}) as last")
+    return near.filter(f"forall(last, x -> coalesce(x > pos - {within}, false))").select("doc_id", "item_id", "pos")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row a document: doc_id, n_words, n_hit, n_items, items (sorted), items_sha256, contaminated.
+    """One row a document: doc_id, n_words, n_hit, n_items, items (sorted), items_sha256, contaminated, n_near, near_items, near_sha256.
 
-    A word is hit if it lies in an occurrence of any item's window. Null and empty texts have no words, null and empty
-    items no windows; items with a null item_id are left out; rows with a null doc_id are one document that is never hit.
-    Rows with an equal doc_id count as one, of the greatest n_words. Other columns of either table are ignored.
+    A word is hit if it lies in an occurrence of any item's window; near_items are those of proximity_matches, whether hit or not.
+    Null and empty texts have no words, null and empty items no windows; items with a null item_id are left out. Each row with a
+    null doc_id comes back with its words counted and none hit. Rows with an equal doc_id count as one, of the greatest
+    n_words. Other columns of either table are ignored.
     """
-    found = phrase_matches(docs, items, length)
+    docs = _plain(docs)
+    index = build_index(docs, items)
+    named = docs.filter("doc_id is not null")
+    found = phrase_matches(named, items, length, index)
     spans = "array_distinct(flatten(transform(flatten(hits), h -> sequence(h.s, h.s + h.span - 1))))"
     hits = found.withColumn("hit", F.expr("transform(starts, s -> struct(s, span))"))
     whole = hits.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("hit").alias("hits"), F.sort_array(F.collect_set("item_id")).alias("items"))
-    whole = whole.withColumn("n_hit", F.size(F.expr(spans)).cast("long"))
-    return whole.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    whole = whole.select("doc_id", "n_words", F.size(F.expr(spans)).cast("long").alias("n_hit"), "items")
+    near = proximity_matches(named, items, index=index).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("near_items"))
+    none = F.array().cast("array<string>")
+    whole = whole.join(near, "doc_id", "left")
+    apart = docs.filter("doc_id is null").select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items"), none.alias("near_items"))
+    both = whole.union(apart).withColumn("near_items", F.coalesce("near_items", none))
+    digest = lambda c: F.sha2(F.array_join(c, ","), 256)
+    return both.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", digest("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"), "near_items", digest("near_items").alias("near_sha256"),
+    )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -326,6 +326,7 @@ def _judged(docs: DataFrame, shingle: int, threshold: float, tolerance: float, b
     result = nodes.select("node", "first_id", "copies").join(linked, "node", "left").selectExpr(
         "node", "coalesce(class_id, first_id) as class_id", "coalesce(class_node, node) as class_node", "coalesce(links, 0) + copies - 1 as n_links", "coalesce(texts, 0) as n_text_links", "copies as n_copies"
     )
+    result = result.select(own_key("node"), "class_id", "class_node", "n_links", "n_text_links", "n_copies")
     return signed.select("doc_id", "node").join(result, "node")
 
 

@@ -32,8 +32,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every document inside occurrences of benchmark windows."""
-    return decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+    """Words of every document inside occurrences of benchmark windows, and the items whose rarest words stand near each other in it."""
+    return decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items", "near_items")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,15 +129,17 @@ def _url_filters_sql() -> str:
 ORACLES: dict[str, str] = {
     "op1_url_filters": _url_filters_sql(),
     "op5_warc_revisits": """
-with base as (select page_id p, url, md5(coalesce(html, '')) digest, strlen(coalesce(html, '')) len from pages),
+with base as (select page_id p, url, [md5(coalesce(html, '') || '#0'), md5(coalesce(html, '') || '#1'), md5(coalesce(html, '') || '#2')] ds, strlen(coalesce(html, '')) len from pages),
+full_ as (select *, p * 100 + v * 900 ts, ds[v + 1] digest from (select *, unnest(range(0, p % 3 + 1)) v from base)),
+again as (select *, case when w = 1 then p * 100 + 1950 when p % 11 = 0 then p * 100 - 50 else p * 100 + 50 + p % 3 * 1000 end t, ds[case when w = 0 then p % 2 else p % 3 end + 1] named from (select *, unnest([0, 1]) w from base)),
 rec as (
-  select p * 2 record_id, url, p * 100 ts, 200 status, digest, len, '"' || left(digest, 16) || '"' etag, 'max-age=60' cache_control,
-    cast(p * 100 as varchar) date, cast(null as varchar) expires, cast(p * 100 - 7 as varchar) last_modified from base
+  select p * 8 + v record_id, url, ts, 200 status, digest, len, '"' || left(digest, 16) || '"' etag, 'max-age=60' cache_control,
+    cast(ts as varchar) date, cast(null as varchar) expires, cast(ts - 7 as varchar) last_modified from full_
   union all
-  select p * 2 + 1, url || '#again', t, 304, null, null,
-    case when p % 5 = 0 then null when p % 7 = 0 then '"changed"' when p % 3 = 0 then 'W/"' || left(digest, 16) || '"' else '"' || left(digest, 16) || '"' end,
+  select p * 8 + 4 + w, url || '#again', t, 304, null, null,
+    case when p % 5 = 0 then null when p % 3 = 0 then 'W/"' || left(named, 16) || '"' else '"' || left(named, 16) || '"' end,
     case when p % 2 = 0 then 'max-age=120' end, cast(t as varchar), cast(t + 120 as varchar), case when p % 10 = 0 then cast(p * 100 - 7 as varchar) end
-  from (select *, p * 100 + case when p % 11 = 0 then -50 else 50 + (p % 5) * 1000 end t from base)),
+  from again),
 parts as (select *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^#]*)', 1) rest from rec),
 named as (
   select *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^(?:[^/?@]*@)?([^/?]*)', 1)), ':(80|443)$', ''), '^www\\.', '') host,

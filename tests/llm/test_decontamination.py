@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 from codeweave.llm import decontamination as D
 
@@ -35,17 +36,38 @@ def test_against_brute_force(spark):
     rows += [(500, item[20:].upper() + "! tail"), (501, "İstanbul ÉTÉ " + item), (502, item), (503, item), (504, item + " " + item)]
     items = [(1, item), (2, "one"), (10, "a-b c"), (3, None), (4, "..."), (None, "alpha"), (5, "İstanbul ÉTÉ"), (6, item), (6, item), (7, "emoji 😀 here")]
     got = D.decontaminate(documents(spark, rows).repartition(3), spark.createDataFrame([(*x, "e") for x in items], "item_id long, text string, p string"))
-    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()} == brute(rows, items)
+    got = got.collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == brute(rows, items)
+    assert {r.doc_id: set(r.near_items) for r in got} == brute_near(rows, items)
+
+
+def brute_near(rows, items, terms=3, within=20):
+    """Items whose rarest distinct words stand within so many words of a document."""
+    split = lambda t: WORD.findall((t or "").translate(LOW))
+    texts = {d: split(t) for d, t in rows}
+    count = Counter(w for d, ws in texts.items() if d is not None for w in ws)
+    out = {d: set() for d in texts}
+    for i in {i for i, _ in items if i is not None}:
+        own = {w for j, t in items if j == i for w in split(t)}
+        rarest = {w for _, w in sorted((count[w], w) for w in own)[:terms]}
+        for d, ws in texts.items():
+            last = {}
+            for at, w in enumerate(ws):
+                if w in rarest:
+                    last[w] = at
+                    if d is not None and len(last) == len(rarest) and min(last.values()) > at - within:
+                        out[d].add(str(i))
+    return out
 
 
 def test_empty_tables_and_null_ids(spark):
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
-    docs = documents(spark, [(1, "x a b c y"), (None, "a b c"), (2, None)])
-    assert {r.doc_id: r.n_hit for r in D.decontaminate(docs, items).collect()} == {1: 3, None: 0, 2: 0}
+    docs = documents(spark, [(1, "x a b c y"), (None, "a b c"), (None, "d"), (2, None)])
+    assert sorted((r.doc_id or -1, r.n_words, r.n_hit) for r in D.decontaminate(docs, items).collect()) == [(-1, 1, 0), (-1, 3, 0), (1, 5, 3), (2, 0, 0)]
     assert D.decontaminate(docs, items.limit(0)).filter("contaminated").count() == 0
     assert D.decontaminate(docs.limit(0), items).count() == 0
     kept = D.drop_contaminated(docs, items)
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2] and kept.columns == docs.columns
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 2] and kept.columns == docs.columns
 
 
 def test_proximity(spark):

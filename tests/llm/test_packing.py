@@ -36,6 +36,15 @@ def test_round_trip(spark):
     assert len(by_sequence) <= sum(r.length for r in got) / 2048 + 3
 
 
+def test_both_libraries_at_the_border():
+    """Texts just under and over LONG_TEXT characters go to different libraries, which give the same ids."""
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    base = "Straße 12, año <|endoftext|> l'été 日本\n\n  x1 " * 30_000
+    for size in (P.LONG_TEXT - 3, P.LONG_TEXT + 3):
+        text = base[:size]
+        assert len(text) == size and P.encoder("byte_bpe_50k")(text).tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 300), min_size=33, max_size=33))
 def test_recipe_places_every_piece(counts):

@@ -47,12 +47,20 @@ def test_against_brute_force(spark):
         rows.append((i, r.choice(urls) if i % 3 else urls[0], r.randint(0, 150), r.choice([200, 304, 304, 404, None]), h if r.random() < 0.95 else None, f"d{i}", i))
     df = records(spark, rows)
     canon = {x.record_id: x.c for x in df.select("record_id", W.canonical_url(F.col("url")).alias("c")).collect()}
-    for slices in (64, 2):
+    for slices in (64, 2, None):
         got = {x.record_id: (x.outcome, x.source_id, x.headers, x.digest) for x in W.resolve_revisits(df.repartition(3), slices).collect()}
         assert got == brute(rows, canon)
     assert {v[0] for v in got.values()} == {"response", "other", "missing", "resolved", "mismatch", "unchecked"}
 
 
+def test_equal_times_and_clashing_columns(spark):
+    """All records at one time are cut by record_id; columns named as the operator's own change nothing."""
+    rows = [(i, "http://a.com/x", 5, 200 if i % 10 == 0 else 304, {"etag": '"1"'}, f"d{i}", i) for i in range(300)]
+    df = records(spark, rows).selectExpr("*", "'c' as canonical_url", "1 as near", "2 as far", "3 as full", "4 as source", "5 as outcome", "6 as taken", "7 as source_id")
+    got = {x.record_id: x.source_id for x in W.resolve_revisits(df, 16).collect()}
+    assert got == {i: i // 10 * 10 for i in range(300)}
+
+
 def test_canonical_urls(spark):
     cases = {
         "HTTP://User:p@WWW.Example.com:80/a/b/?b=2&utm_source=x&a=1#frag": "example.com/a/b?a=1&b=2", "https://example.com": "example.com", "https://example.com:8443/": "example.com:8443",
