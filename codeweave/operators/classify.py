@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,18 +42,69 @@ def with_label(df: DataFrame, categories: DataFrame, code: str, out: str, order:
     return df.join(dim, code, "left")
 
 
-def best_by_tokens(left: DataFrame, right: DataFrame, weights: tuple[float, float] = scores.CLASSIFY, least: float = ACCEPT) -> DataFrame:
+def _score_blocks(cells: np.ndarray, starts: np.ndarray, vocabulary: pa.Array, weights: tuple[float, float], least: float, block: int):
+    """(id, place, score, shared) of the best right row of each left row: 0/1 blocks of left rows against the right rows' 0/1 matrix.
+
+    vocabulary: the right rows' tokens in order; cells[starts[i]:starts[i + 1]] are those of row i.
+    """
+    j, o = weights
+    sizes = np.diff(starts).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right = np.zeros((len(sizes), len(vocabulary)), dtype=np.float32)
+        right[np.repeat(np.arange(len(sizes)), np.diff(starts)), cells] = 1
+        for batch in batches:
+            tokens = batch.column("tokens")
+            ends = np.append(0, np.cumsum(np.array(pc.list_value_length(tokens).to_pylist(), dtype=np.int64)))
+            column = pc.index_in(tokens.flatten(), value_set=vocabulary).fill_null(-1).to_numpy()
+            for at in range(0, len(batch), block):
+                own = ends[at : at + block + 1]
+                row, cell = np.repeat(np.arange(len(own) - 1), np.diff(own)), column[own[0] : own[-1]]
+                row, cell = row[cell >= 0], cell[cell >= 0]
+                left = np.zeros((len(own) - 1, len(vocabulary)), dtype=np.float32)
+                left[row, cell] = 1
+                n, na = (left @ right.T).astype(np.float64), np.diff(own)[:, None].astype(np.float64)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = np.where(n > 0, j * (n / (na + sizes - n)) + o * (n / na), 0.0)
+                place = score.argmax(axis=1)  # the first of equal ones
+                score = score[np.arange(len(place)), place]
+                good = np.flatnonzero(score >= least)
+                row, cell = np.nonzero(left[good] * right[place[good]])
+                shared = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(good) + 1)).astype(np.int32)), vocabulary.take(pa.array(cell)))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, block).take(pa.array(good)), pa.array(place[good]), pa.array(score[good]), shared], names=["id", "place", "score", "shared"])
+
+    return run
+
+
+#: Up to so many cells a right side is one matrix, which every task gets whole; beyond it both sides are shuffled by token.
+MAX_CELLS, BLOCK = 20_000_000, 256
+
+
+def best_by_tokens(left: DataFrame, right: DataFrame, weights: tuple[float, float] = scores.CLASSIFY, least: float = ACCEPT, max_cells: int = MAX_CELLS) -> DataFrame:
     """(id, other, score, shared): for each left row the right row of highest score, the least `ord` of equal ones, if it reaches `least`.
 
-    left: id, tokens; right: other, ord, tokens. An inverted index: the token sets meet by token and are counted, so pairs without
-    a common token, whose score is 0, are never made.
+    left: id, tokens; right: other, ord, tokens. The right side is a dimension: if it is counted to be small, it goes to every task as
+    a 0/1 matrix, and left rows are scored where they lie. Otherwise the token sets meet by token and are counted, so pairs
+    without a common token, whose score is 0, are never made. Common tokens are looked up for the winners only.
     """
+    size = right.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens")).first()
+    if 0 < size["rows"] * size["tokens"] <= max_cells:
+        known = right.orderBy("ord").select("other", "tokens").toArrow()
+        tokens = known.column("tokens").combine_chunks()
+        vocabulary = pc.unique(tokens.flatten())
+        vocabulary = vocabulary.take(pc.sort_indices(vocabulary))
+        starts = np.append(0, np.cumsum(pc.list_value_length(tokens).to_pylist())).astype(np.int64)
+        run = _score_blocks(pc.index_in(tokens.flatten(), value_set=vocabulary).to_numpy(), starts, vocabulary, weights, least, BLOCK)
+        scored = left.select("id", "tokens").mapInArrow(run, f"id {left.schema['id'].dataType.simpleString()}, place long, score double, shared array<string>")
+        others = left.sparkSession.createDataFrame(list(enumerate(known.column("other").to_pylist())), f"place long, other {right.schema['other'].dataType.simpleString()}")
+        return scored.join(F.broadcast(others), "place").select("id", "other", "score", "shared")
     a = left.select("id", F.size("tokens").alias("na"), F.explode("tokens").alias("token"))
     b = right.select("other", "ord", F.size("tokens").alias("nb"), F.explode("tokens").alias("token"))
-    pairs = a.join(b, "token").groupBy("id", "na", "other", "ord", "nb").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("token")).alias("shared"))
+    pairs = a.join(b, "token").groupBy("id", "na", "other", "ord", "nb").agg(F.count("*").alias("n"))
     scored = pairs.withColumn("score", scores.blended(F.col("n"), F.col("na"), F.col("nb"), weights)).filter(F.col("score") >= least)
-    best = scored.groupBy("id").agg(F.max_by(F.struct("other", "score", "shared"), F.struct("score", (-F.col("ord")).alias("o"))).alias("b"))
-    return best.select("id", "b.*")
+    best = scored.groupBy("id").agg(F.min_by(F.struct("other", "score", "ord"), F.struct((-F.col("score")).alias("s"), "ord")).alias("b")).select("id", "b.*")
+    both = best.join(left.select("id", "tokens"), "id").join(right.select("other", "ord", F.col("tokens").alias("_t")), ["other", "ord"])
+    return both.select("id", "other", "score", F.array_sort(F.array_intersect("tokens", "_t")).alias("shared"))
 
 
 def _hit(code: Column, label: Column, rationale: Column, confidence: Column, method: str, score: Column, observed: Column | None = None) -> Column:

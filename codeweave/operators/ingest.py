@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from .records import dedup_first
+from .records import dedup_first, numbered
 
 CODE_FIELDS = "fsc_code STRING, fsc_fn STRING, fsc_description STRING, price STRING, chapter STRING, section STRING"
 WINDOW_RESULT = f"codes ARRAY<STRUCT<{CODE_FIELDS}>>, chapter STRING, section STRING"
@@ -58,12 +58,10 @@ def with_meta(records: DataFrame) -> DataFrame:
 
 
 def with_record_ids(records: DataFrame, order: list[str], provinces: tuple[str, ...] = ("ON", "BC", "YT")) -> DataFrame:
-    """record_id from 0 in order of province and `order`: numbered within a province, then shifted by the provinces before it."""
+    """record_id from 0 in order of province (the known ones first) and `order`."""
     place = F.array_position(F.array(*map(F.lit, provinces)), F.col("province"))
-    counts = records.groupBy("province").agg(F.count("*").alias("_n")).withColumn("_place", place)
-    base = counts.selectExpr("province", "coalesce(sum(_n) over (order by if(_place = 0, 99, _place), province rows between unbounded preceding and 1 preceding), 0) as _base")
-    keys = ", ".join(order)
-    return records.join(F.broadcast(base), "province").selectExpr(f"_base + row_number() over (partition by province order by {keys}) - 1 as record_id", *records.columns)
+    placed = records.withColumn("_place", F.when(place == 0, 99).otherwise(place))
+    return numbered(placed, [], ["_place", "province", *order], "record_id").select("record_id", *records.columns)
 
 
 EXPORT = [

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from .graph import connected_components, materialise
+from .graph import materialise, own_key
+from .records import numbered
 
 #: Least score of two records with tokens, and of others; score of two records without tokens.
 NEAR, LEAST, BOTH_EMPTY = 0.55, 0.03, 0.05
@@ -21,7 +22,19 @@ def bucket_of(category: Column) -> Column:
     return F.coalesce(text.nonblank(category), F.lit(NO_CATEGORY))
 
 
-def bucket_pairs(records: DataFrame, near: float = NEAR, both_empty: float = BOTH_EMPTY) -> DataFrame:
+def _blank_pairs(r: DataFrame, every: bool) -> DataFrame:
+    """(bucket, lp, rp, left_id, right_id) of records without tokens: every pair, or only those of the same rank in their provinces.
+
+    The fold that builds groups takes the i-th such record of each province together, so it needs no others.
+    """
+    empty = r.filter("size(tokens) = 0").select("bucket", "place", "record_id")
+    keys = ["bucket"]
+    if not every:
+        empty, keys = numbered(empty, ["bucket", "place"], ["record_id"], "i"), ["bucket", "i"]
+    return empty.withColumnsRenamed({"place": "lp", "record_id": "left_id"}).join(empty.withColumnsRenamed({"place": "rp", "record_id": "right_id"}), keys).filter("lp < rp")
+
+
+def bucket_pairs(records: DataFrame, near: float = NEAR, both_empty: float = BOTH_EMPTY, every_blank: bool = True) -> DataFrame:
     """(bucket, left_id, right_id, prov_pair, score): pairs of different provinces of one bucket whose score reaches its threshold.
 
     records: record_id, province, bucket, tokens (distinct). The left province of a pair is the one that comes first in the
@@ -43,47 +56,63 @@ def bucket_pairs(records: DataFrame, near: float = NEAR, both_empty: float = BOT
     sets = r.select("record_id", "tokens")
     pairs = pairs.join(sets.select(F.col("record_id").alias("left_id"), F.col("tokens").alias("lt")), "left_id").join(sets.select(F.col("record_id").alias("right_id"), F.col("tokens").alias("rt")), "right_id")
     scored = pairs.withColumn("score", scores.token_score(F.col("lt"), F.col("rt"))).filter(F.col("score") >= near)
-    empty = r.filter("size(tokens) = 0").select("bucket", "place", "record_id")
-    blank = empty.selectExpr("bucket", "place as lp", "record_id as left_id").join(empty.selectExpr("bucket", "place as rp", "record_id as right_id"), "bucket").filter("lp < rp")
+    blank = _blank_pairs(r, every_blank)
     pair = F.format_string("%06d-%06d", "lp", "rp").alias("prov_pair")
     out = ["bucket", "left_id", "right_id", pair]
     return scored.select(*out, "score").union(blank.select(*out, F.lit(both_empty).alias("score")))
 
 
-def _dense_block(near: float):
+def _flat(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the rows' token sets, and of each token its row and hash."""
+    sizes = rows["tokens"].map(len).to_numpy()
+    return sizes, np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows["tokens"].to_numpy())
+
+
+def _dense_block(near: float, wide: int = 2048):
+    """Pairs of two blocks that reach `near`, counted through the tokens that both have, `wide` of them at a time."""
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"left_id": np.zeros(0, np.int64), "right_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(left) or not len(right):
-            return none
-        vocabulary: dict[str, int] = {}
-        for tokens in left["tokens"]:
-            for t in tokens:
-                vocabulary.setdefault(t, len(vocabulary))
-        a, b = (np.zeros((len(x), len(vocabulary)), dtype=np.float32) for x in (left, right))
-        for m, side in ((a, left), (b, right)):
-            for i, tokens in enumerate(side["tokens"]):
-                m[i, [vocabulary[t] for t in tokens if t in vocabulary]] = 1
-        na, nb = left["tokens"].map(len).to_numpy()[:, None], right["tokens"].map(len).to_numpy()[None, :]
-        n = (a @ b.T).astype(np.float64)
+            return pd.DataFrame({"left_id": np.zeros(0, np.int64), "right_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        (na, row_a, token_a), (nb, row_b, token_b) = _flat(left), _flat(right)
+        both = np.intersect1d(token_a, token_b)
+        n = np.zeros((len(left), len(right)), dtype=np.float32)
+        sides = []
+        for row, token in ((row_a, token_a), (row_b, token_b)):
+            cell = np.searchsorted(both, token)
+            known = both[np.minimum(cell, len(both) - 1)] == token if len(both) else np.zeros(len(token), bool)
+            row, cell = row[known], cell[known]
+            by = np.argsort(cell, kind="stable")
+            sides.append((row[by], cell[by]))
+        for at in range(0, len(both), wide):
+            m = []
+            for (row, cell), rows in zip(sides, (left, right), strict=True):
+                a, b = np.searchsorted(cell, [at, at + wide])
+                x = np.zeros((len(rows), min(wide, len(both) - at)), dtype=np.float32)
+                x[row[a:b], cell[a:b] - at] = 1
+                m.append(x)
+            n += m[0] @ m[1].T
+        n = n.astype(np.float64)
         j, o = scores.LOOKUP
-        score = j * (n / (na + nb - n)) + o * (n / na)
+        score = j * (n / (na[:, None] + nb[None, :] - n)) + o * (n / na[:, None])
         i, k = np.nonzero(score >= near)
         return pd.DataFrame({"left_id": left["record_id"].to_numpy()[i], "right_id": right["record_id"].to_numpy()[k], "score": score[i, k]})
 
     return run
 
 
-def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float = BOTH_EMPTY, block: int = 1000) -> DataFrame:
+def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float = BOTH_EMPTY, block: int = 1000, every_blank: bool = True) -> DataFrame:
     """bucket_pairs for buckets in which most pairs share tokens: blocks of both sides meet as 0/1 matrices.
 
-    Blocks hold about `block` records of one bucket and province; each pair of blocks is one group, so no bucket is gathered.
+    Blocks hold about `block` records of one bucket and province; each pair of blocks is one group, so no bucket is gathered. Tokens
+    travel, and are compared, as 64-bit hashes.
     """
     r = records.filter(F.col("bucket") != NO_CATEGORY)
     first = r.groupBy("bucket", "province").agg(F.min("record_id").alias("first"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     place = first.selectExpr("bucket", "province", "blocks", "row_number() over (partition by bucket order by first) as place", "count(*) over (partition by bucket) as provinces")
     others = place.groupBy("bucket").agg(F.collect_list(F.struct("place", "blocks")).alias("others"))  # a row for each province
     r = r.join(place.filter("provinces > 1"), ["bucket", "province"]).join(others, "bucket").withColumn("own", F.pmod(F.xxhash64("record_id"), "blocks"))
-    full = r.filter("size(tokens) > 0")
+    full = r.filter("size(tokens) > 0").withColumn("tokens", F.transform("tokens", lambda t: F.xxhash64(t)))
     left = full.selectExpr("bucket", "place as lp", "own as lb", "record_id", "tokens", "explode(flatten(transform(filter(others, o -> o.place > place), o -> transform(sequence(0, o.blocks - 1), b -> struct(o.place as rp, cast(b as bigint) as rb))))) as p").select("bucket", "lp", "lb", "p.rp", "p.rb", "record_id", "tokens")
     right = full.selectExpr("bucket", "place as rp", "own as rb", "record_id", "tokens", "explode(flatten(transform(filter(others, o -> o.place < place), o -> transform(sequence(0, o.blocks - 1), b -> struct(o.place as lp, cast(b as bigint) as lb))))) as p").select(*[F.col(c).alias(c.split(".")[-1]) for c in ("bucket", "p.lp", "p.lb", "rp", "rb", "record_id", "tokens")])
     key = ["bucket", "lp", "lb", "rp", "rb"]
@@ -91,63 +120,101 @@ def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float
     where = r.select("record_id", "bucket", "place")
     pair = F.format_string("%06d-%06d", "lp", "rp").alias("prov_pair")
     found = found.join(where.selectExpr("record_id as left_id", "bucket", "place as lp"), "left_id").join(where.selectExpr("record_id as right_id", "place as rp"), "right_id")
-    empty = r.filter("size(tokens) = 0").select("bucket", "place", "record_id")
-    blank = empty.selectExpr("bucket", "place as lp", "record_id as left_id").join(empty.selectExpr("bucket", "place as rp", "record_id as right_id"), "bucket").filter("lp < rp")
+    blank = _blank_pairs(r, every_blank)
     out = ["bucket", "left_id", "right_id", pair]
     return found.select(*out, "score").union(blank.select(*out, F.lit(both_empty).alias("score")))
 
 
 PAIR_ORDER = ["score", "prov_pair", "left_id", "right_id"]
-MEMBERS = "bucket string, record_id long, score double, prov_pair string, left_id long, right_id long"
+#: Pairs that one task may fold.
+LAST_PAIRS = 200_000
+STATE = ["left_id", "right_id", "left_group", "right_group", "left_taken", "right_taken"]
+
 
+def _fold(pairs: pd.DataFrame) -> pd.DataFrame:
+    """(record_id, group): what the pairs, taken in order, add to groups.
 
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Members of groups, each with the pair that founded its group: pairs in order found or extend groups that have no code of the joiner's province."""
+    A pair of two records without a group founds one, named by its left record; a record without a group joins the other's
+    group if that has no code of its province. left_group, right_group: groups already known; left_taken, right_taken: their provinces.
+    """
     pairs = pairs.sort_values(PAIR_ORDER, ascending=[False, True, True, True], kind="stable", ignore_index=True)
     group: dict[int, int] = {}
-    provinces: list[set[str]] = []
-    founders: list[int] = []
-    for at, (a, b, pa_, pb) in enumerate(zip(pairs["left_id"], pairs["right_id"], pairs["left_prov"], pairs["right_prov"], strict=True)):
+    taken: dict[int, set[str]] = {}
+    for side in ("left", "right"):
+        for record, g, provinces in zip(pairs[f"{side}_id"], pairs[f"{side}_group"], pairs[f"{side}_taken"], strict=True):
+            if not pd.isna(g):
+                group[record] = int(g)
+                taken[int(g)] = set(provinces)
+    added: dict[int, int] = {}
+    for a, b, pa_, pb in zip(pairs["left_id"], pairs["right_id"], pairs["left_prov"], pairs["right_prov"], strict=True):
         ga, gb = group.get(a), group.get(b)
         if ga is None and gb is None:
-            group[a] = group[b] = len(provinces)
-            provinces.append({pa_, pb})
-            founders.append(at)
+            group[a] = group[b] = added[a] = added[b] = a
+            taken[a] = {pa_, pb}
         elif ga is None or gb is None:
             g, new, province = (gb, a, pa_) if ga is None else (ga, b, pb)
-            if province not in provinces[g]:
-                group[new] = g
-                provinces[g].add(province)
-    founded = pairs[PAIR_ORDER].iloc[[founders[g] for g in group.values()]].reset_index(drop=True)
-    return pd.concat([pd.DataFrame({"bucket": pairs["bucket"].iloc[0], "record_id": list(group)}), founded], axis=1)
+            if province not in taken[g]:
+                group[new] = added[new] = g
+                taken[g].add(province)
+    return pd.DataFrame({"record_id": list(added), "group": list(added.values())}, dtype="int64")
 
 
-def greedy_groups(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """(bucket, record_id, group_no): the order-dependent fold over accepted pairs.
+def greedy_groups(pairs: DataFrame, records: DataFrame, last_pairs: int = LAST_PAIRS) -> DataFrame:
+    """(bucket, record_id, group_no): the order-dependent fold over accepted pairs, in rounds of joins.
 
-    Records of different connected components never meet in a group, so the fold runs in a task for each component; groups are then
-    numbered within their bucket in the order of the pairs that founded them.
+    A pair founds or extends a group, named by its founding pair's left record, if the order lets it. What a pair does depends only
+    on earlier pairs of its two records or of their groups. So in a round every pair that is the first undecided one on both of its
+    sides is decided, at once with all others; a pair whose records both have a group, or whose joiner's province is taken, has
+    no effect any more and goes. A round accepts at least the first pair of all. Once last_pairs or fewer are left, one
+    task folds them. Groups are numbered within their bucket in the order of the pairs that founded them.
     """
-    pairs = materialise(pairs, "link-pairs")
-    parts = connected_components(pairs.select(F.col("left_id").alias("u"), F.col("right_id").alias("v")), "link-components")
     who = records.select("record_id", "province")
-    both = pairs.join(who.selectExpr("record_id as left_id", "province as left_prov"), "left_id").join(who.selectExpr("record_id as right_id", "province as right_prov"), "right_id")
-    both = both.join(parts.select(F.col("node").alias("left_id"), "component"), "left_id")
-    members = materialise(both.groupBy("component").applyInPandas(_greedy, MEMBERS), "link-members")
-    founders = members.select("bucket", *PAIR_ORDER).distinct()
-    numbered = founders.selectExpr("*", "cast(row_number() over (partition by bucket order by score desc, prov_pair, left_id, right_id) as long) as group_no")
-    return members.join(numbered, ["bucket", *PAIR_ORDER]).select("bucket", "record_id", "group_no")
+    pairs = pairs.join(who.selectExpr("record_id as left_id", "province as left_prov"), "left_id").join(who.selectExpr("record_id as right_id", "province as right_prov"), "right_id")
+    pairs = materialise(pairs.select("bucket", *PAIR_ORDER, "left_prov", "right_prov"), "link-pairs")
+    members = pairs.select(F.col("left_id").alias("record_id"), F.col("left_id").alias("group")).limit(0)
+    rank = F.struct((-F.col("score")).alias("s"), "prov_pair", "left_id", "right_id")
+    left = pairs
+    while True:
+        state = members.join(who, "record_id")
+        taken = state.groupBy("group").agg(F.collect_set("province").alias("taken"))  # a code of each province at most
+        known = members.join(taken, "group")
+        for side in ("left", "right"):
+            left = left.join(known.selectExpr(f"record_id as {side}_id", f"group as {side}_group", f"taken as {side}_taken"), f"{side}_id", "left")
+        both = F.col("left_group").isNotNull() & F.col("right_group").isNotNull()
+        blocked = F.coalesce(F.array_contains("left_taken", F.col("right_prov")), F.lit(False)) | F.coalesce(F.array_contains("right_taken", F.col("left_prov")), F.lit(False))
+        left = materialise(left.filter(~both & ~blocked), "link-round")
+        if left.limit(last_pairs + 1).count() <= last_pairs:
+            break
+        sided = left.select("*", rank.alias("rank"), F.coalesce("left_group", "left_id").alias("a"), F.coalesce("right_group", "right_id").alias("b"))
+        first = sided.select(F.explode(F.array("a", "b")).alias("e"), "rank").groupBy("e").agg(F.min("rank").alias("first")).select(own_key("e"), "first")
+        now = sided.join(first.selectExpr("e as a", "first as fa"), "a").filter("rank = fa").join(first.selectExpr("e as b", "first as fb"), "b").filter("rank = fb")
+        group = F.coalesce("left_group", "right_group", "left_id")
+        added = now.select(F.explode(F.filter(F.array(F.when(F.col("left_group").isNull(), F.col("left_id")), F.when(F.col("right_group").isNull(), F.col("right_id"))), lambda x: x.isNotNull())).alias("record_id"), group.alias("group"))
+        members = materialise(members.union(added), "link-members")
+        left = left.drop(*STATE[2:])
+    rest = left.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_fold, "record_id long, group long")
+    members = materialise(members.union(rest), "link-groups")
+    # a group's founding pair is the first of all pairs within it
+    inside = pairs.join(members.selectExpr("record_id as left_id", "group"), "left_id").join(members.selectExpr("record_id as right_id", "group as other"), "right_id").filter("group = other")
+    founders = inside.groupBy("bucket", "group").agg(F.min(rank).alias("rank")).select("bucket", "group", "rank.*")
+    no = numbered(founders, ["bucket"], ["s", "prov_pair", "left_id", "right_id"], "group_no").select("bucket", "group", (F.col("group_no") + 1).alias("group_no"))
+    return members.join(no, "group").select("bucket", "record_id", "group_no")
 
 
 def top_keys(records: DataFrame, groups: DataFrame) -> DataFrame:
-    """records (record_id, province, fsc_code, bucket) with top_key: group numbers in order of creation, then single records in order."""
+    """records (record_id, province, fsc_code, bucket) with top_key: group numbers in order of creation, then single records in order.
+
+    Records without a category have a key of their own and are not numbered.
+    """
+    keep = records.columns
     r = records.join(groups.select("record_id", "group_no"), "record_id", "left")
+    named = F.concat(F.col("bucket"), F.lit("_"), F.format_string("%04d", F.col("group_no")))
+    none = F.col("bucket") == NO_CATEGORY
+    grouped = r.filter(none | F.col("group_no").isNotNull()).withColumn("top_key", F.when(none, F.concat_ws("_", F.lit(NO_CATEGORY), "province", "fsc_code")).otherwise(named))
     base = groups.groupBy("bucket").agg(F.max("group_no").alias("base"))
-    r = r.join(base, "bucket", "left").withColumn("single", F.col("group_no").isNull())
-    number = F.expr("coalesce(group_no, coalesce(base, 0) + row_number() over (partition by bucket, single order by record_id))")
-    none = F.concat_ws("_", F.lit(NO_CATEGORY), "province", "fsc_code")
-    key = F.when(F.col("bucket") == NO_CATEGORY, none).otherwise(F.concat(F.col("bucket"), F.lit("_"), F.format_string("%04d", number)))
-    return r.withColumn("top_key", key).drop("group_no", "base", "single")
+    single = numbered(r.filter(~none & F.col("group_no").isNull()).drop("group_no"), ["bucket"], ["record_id"], "no").join(base, "bucket", "left")
+    single = single.withColumn("group_no", F.coalesce("base", F.lit(0)) + F.col("no") + 1).withColumn("top_key", named)
+    return grouped.select(*keep, "top_key").unionByName(single.select(*keep, "top_key"))
 
 
 def link(records: DataFrame, dense: bool = False) -> DataFrame:
@@ -155,7 +222,7 @@ def link(records: DataFrame, dense: bool = False) -> DataFrame:
     tokens = text.tokens(F.concat_ws(" ", text.text_or_blank("fsc_fn"), text.text_or_blank("fsc_description")))
     r = records.withColumn("bucket", bucket_of(F.col("NGS_code")))
     narrow = r.select("record_id", "province", "bucket", tokens.alias("tokens"))
-    pairs = (bucket_pairs_dense if dense else bucket_pairs)(narrow)
+    pairs = (bucket_pairs_dense if dense else bucket_pairs)(narrow, every_blank=False)
     return top_keys(r, greedy_groups(pairs, r)).drop("bucket")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import nonblank
+from .graph import materialise
 
 
 def up_to_now(by: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -35,10 +36,30 @@ def first_in_order(value: Column, order: Column) -> Column:
     return F.min_by(value, F.when(value.isNotNull(), order))
 
 
-def dedup_first(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str]) -> DataFrame:
-    """The first row of each key in the given order, which must name a unique order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df with `name`, the row's number from 0 within `by` in the given order, which must name a unique order.
+
+    Rows are dealt by ranges of (by, order); a range's first number follows from the counts of those before it, so no key's rows
+    are gathered: a window holds one range of one key, or one count for each range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(df.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    keys = ", ".join(by) or "0"
+    counts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = counts.selectExpr(*[f"{c} as _k_{c}" for c in [*by, "_part"]], f"sum(_n) over (partition by {keys} order by _part) - _n as _before")
+    on = F.lit(True)
+    for c in [*by, "_part"]:
+        on &= F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    both = dealt.join(before, on)
+    inner = ", ".join([*by, "_part"])
+    return both.selectExpr(*[f"`{c}`" for c in df.columns], f"_before + row_number() over (partition by {inner} order by {', '.join(order)}) - 1 as {name}")
+
+
+def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key in the given order, which must name a unique order. Aggregated with map-side combining."""
+    rest = [c for c in df.columns if c not in keys]
+    out = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return out.select(*[F.col(f"_first.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
 def dedup_coalesce(df: DataFrame, keys: Sequence[str], order: str, fill: Sequence[str]) -> DataFrame:

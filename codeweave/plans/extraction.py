@@ -1,18 +1,22 @@
 """The page path to raw codes: pages are read once, windows extracted once, suspicious empty windows again. Services are the caller's.
 
-Tables under the root: ocr_pages (province, page, markdown), done_windows (province, start, status), raw_codes. Each pass appends what is
-missing, so a run that stops is taken up where it stood; a window counts as done with its codes, which are written before it.
+Tables under the root: ocr_pages (province, page, markdown), done_windows (province, start, status), raw_codes. Each pass works in
+batches of bounded size and appends what a batch gave before the next one starts, so a run that stops repeats one batch of calls at
+most. A window counts as done with its codes, which are written before it; one whose call failed is tried again by
+the next pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest, pages
 from ..operators.graph import materialise
+from ..operators.records import numbered
 from ..sources import clients
 
 PAGES = "province STRING, page INT, markdown STRING"
@@ -26,18 +30,44 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def read_missing_pages(spark: SparkSession, root: str, counts: DataFrame, read: Callable[[str, list[int]], list[str]]) -> None:
-    """Read the pages 0 .. n - 1 of counts (province, n) that the table lacks."""
+#: Calls of a batch: what a run that stops pays for twice at most.
+BATCH = 256
+
+
+def _batches(todo: DataFrame, keys: list[str], size: int, calls: int = 1) -> Iterator[DataFrame]:
+    """todo in parts of about `size` calls of `calls` rows each, by key; only their number comes to the driver."""
+    todo = materialise(todo, "todo")
+    parts = -(-todo.count() // (size * calls))
+    if parts <= 1:
+        yield todo
+        return
+    dealt = materialise(numbered(todo, [], keys, "_no"), "todo-numbered")
+    for at in range(parts):
+        yield dealt.filter(F.col("_no").between(at * size * calls, (at + 1) * size * calls - 1)).drop("_no")
+
+
+def read_missing_pages(spark: SparkSession, root: str, counts: DataFrame, read: Callable[[str, list[int]], list[str]], delete: Callable[[str], None] | None = None, batch: int = BATCH) -> None:
+    """Read the pages 0 .. n - 1 of counts (province, n) that the table lacks.
+
+    delete, if given, is called with each province once all its pages are there, to remove what the service keeps of it; its errors
+    are ignored, as nothing depends on it.
+    """
     every = counts.filter("n > 0").select("province", F.explode(F.expr("sequence(0, cast(n as int) - 1)")).alias("page"))
     todo = pages.not_done(every, _table(spark, f"{root}/ocr_pages", PAGES), ["province", "page"])
-    clients.read_pages(todo, read).write.mode("append").parquet(f"{root}/ocr_pages")
+    for part in _batches(todo, ["province", "page"], batch, pages.SIZE):
+        clients.read_pages(part, read).write.mode("append").parquet(f"{root}/ocr_pages")
+    if delete:
+        for r in counts.select("province").distinct().collect():  # a row for each document
+            with contextlib.suppress(Exception):
+                delete(r["province"])
 
 
-def _extract(spark: SparkSession, root: str, texts: DataFrame, extract: Callable[[str], str]) -> None:
-    """Append the codes, then the windows; the calls' results are stored first, as each is paid for once."""
-    found = materialise(clients.extract_windows(texts, extract), "extraction")
-    ingest.window_codes(found).select("province", "page_start", "pos", "fsc_code", "fsc_fn", "fsc_description", "price", "chapter", "section").write.mode("append").parquet(f"{root}/raw_codes")
-    found.select("province", "start", "status").write.mode("append").parquet(f"{root}/done_windows")
+def _extract(spark: SparkSession, root: str, texts: DataFrame, extract: Callable[[str], str], batch: int) -> None:
+    """Batch by batch, append the codes, then the windows; a batch's results are stored first, as each call is paid for once."""
+    for part in _batches(texts, ["province", "start"], batch):
+        found = materialise(clients.extract_windows(part, extract), "extraction")
+        ingest.window_codes(found).select("province", "page_start", "pos", "fsc_code", "fsc_fn", "fsc_description", "price", "chapter", "section").write.mode("append").parquet(f"{root}/raw_codes")
+        found.select("province", "start", "status").write.mode("append").parquet(f"{root}/done_windows")
 
 
 def _texts(spark: SparkSession, root: str) -> DataFrame:
@@ -45,22 +75,27 @@ def _texts(spark: SparkSession, root: str) -> DataFrame:
     return pages.window_texts(pages.page_windows(have, "province", "page"), have, "province", "page", "markdown")
 
 
-def extract_missing_windows(spark: SparkSession, root: str, extract: Callable[[str], str]) -> None:
-    """Extract every window of the pages that isn't done."""
-    todo = pages.not_done(_texts(spark, root), _table(spark, f"{root}/done_windows", DONE), ["province", "start"])
-    _extract(spark, root, todo, extract)
+def _done(spark: SparkSession, root: str) -> DataFrame:
+    return _table(spark, f"{root}/done_windows", DONE).filter("status = 'done'")
+
+
+def extract_missing_windows(spark: SparkSession, root: str, extract: Callable[[str], str], provinces: list[str] | None = None, batch: int = BATCH) -> None:
+    """Extract every window of the pages (of the given provinces) that isn't done or whose call failed."""
+    todo = pages.not_done(_texts(spark, root), _done(spark, root), ["province", "start"])
+    _extract(spark, root, todo.filter(F.col("province").isin(provinces)) if provinces else todo, extract, batch)
 
 
 def windows_to_repair(spark: SparkSession, root: str, min_hints: int = 10) -> DataFrame:
     """(province, start, hints): windows that are done without codes although their text looks as if it had some."""
     codes = _table(spark, f"{root}/raw_codes", CODES).select("province", F.col("page_start").alias("start"))
-    return pages.zero_windows(_texts(spark, root), _table(spark, f"{root}/done_windows", DONE), codes, "province", min_hints)
+    return pages.zero_windows(_texts(spark, root), _done(spark, root), codes, "province", min_hints)
 
 
-def repair(spark: SparkSession, root: str, extract: Callable[[str], str], min_hints: int = 10) -> int:
-    """Extract those windows again; how many there were."""
-    again = materialise(windows_to_repair(spark, root, min_hints), "repair")
-    _extract(spark, root, _texts(spark, root).join(again.select("province", "start"), ["province", "start"]), extract)
+def repair(spark: SparkSession, root: str, extract: Callable[[str], str], min_hints: int = 10, provinces: list[str] | None = None, batch: int = BATCH) -> int:
+    """Extract those windows (of the given provinces) again; how many there were."""
+    again = windows_to_repair(spark, root, min_hints)
+    again = materialise(again.filter(F.col("province").isin(provinces)) if provinces else again, "repair")
+    _extract(spark, root, _texts(spark, root).join(again.select("province", "start"), ["province", "start"]), extract, batch)
     return again.count()
 
 

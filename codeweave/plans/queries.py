@@ -467,13 +467,13 @@ def _(t):
 
 def _keyed(t) -> DataFrame:
     r = _link_records(t)
-    return link.top_keys(r, link.greedy_groups(link.bucket_pairs_dense(r), r))
+    return link.top_keys(r, link.greedy_groups(link.bucket_pairs_dense(r, every_blank=False), r))
 
 
 @query("greedy_groups")
 def _(t):
     r = _link_records(t)
-    return link.greedy_groups(link.bucket_pairs_dense(r), r)
+    return link.greedy_groups(link.bucket_pairs_dense(r, every_blank=False), r)
 
 
 @query("top_keys")

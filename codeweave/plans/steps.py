@@ -1,13 +1,18 @@
 """The batch pipeline: steps that read and write tables of one folder, skipped where their result is there, stopped at the first failure.
 
-    python -m codeweave.plans.steps --root FOLDER [--force] [--only STEP ...]
+    python -m codeweave.plans.steps --root FOLDER [--source layout|pages] [--force] [--only STEP ...] [--province P ...] [--skip-ocr]
+        [--min-code-hints N] [--clients MODULE] [--map-date DATE]
 
-Tables are Parquet folders under the root. Inputs: layout_lines (or raw_codes), docx_body. Linking and embedding depend on mapping only.
+Tables are Parquet folders under the root. Inputs: layout_lines or page_counts (province, n), and docx_body. fee_codes comes from one
+source: the parsed layout, or the pages' codes. The first that has its input is taken, the layout before the pages, unless
+--source names one. MODULE has the functions of the page path's services: read(province, pages), extract(prompt), and, if it likes,
+delete(province). Without it the page steps wait. Linking and embedding depend on mapping only. Each step tells what it counted.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,8 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import classify, ingest, layout, link, records, reference_docs
+from ..operators import classify, ingest, layout, link, metrics, records, reference_docs
 from ..sources import clients, tables
+from . import extraction
+
+
+Reporter = Callable[[DataFrame], dict]
 
 
 @dataclass(frozen=True)
@@ -25,12 +34,17 @@ class Step:
     needs: tuple[str, ...]
     makes: str
     run: Callable[..., DataFrame]
+    report: Reporter | None = None
+    source: str | None = None
 
 
 def _parse(lines: DataFrame) -> DataFrame:
-    found = layout.post_process(layout.parse_layout(lines)).withColumn("_at", F.col("page") * 1_000_000 + F.col("line_no"))
+    """Records of layout lines; lines of several files (a column `file`) are documents of their own."""
+    by = ["province", "file"] if "file" in lines.columns else ["province"]
+    at = [*by[1:], "page", "line_no"]
+    found = layout.post_process(layout.parse_layout(lines, by)).withColumn("_at", F.struct(*at))
     once = records.dedup_coalesce(found, ["province", "fsc_code"], "_at", ["fsc_fn", "fsc_description", "fsc_notes", "price"])
-    return ingest.with_record_ids(once, ["_at", "fsc_code"]).drop("_at", "line_no")
+    return ingest.with_record_ids(once, ["_at", "fsc_code"]).drop("_at", "line_no", *by[1:])
 
 
 def _from_codes(codes: DataFrame) -> DataFrame:
@@ -41,18 +55,53 @@ def _from_codes(codes: DataFrame) -> DataFrame:
 
 def _embed(mapped: DataFrame) -> DataFrame:
     parts = [F.col(c) for c in ("fsc_fn", "fsc_description", "fsc_section", "fsc_subsection", "fsc_chapter", "NGS_label")]
-    return clients.embed(mapped.select("record_id", text.record_text(*parts, code=F.col("fsc_code")).alias("text")), "text")
+    vectors = clients.embed(mapped.select("record_id", text.record_text(*parts, code=F.col("fsc_code")).alias("text")), "text")
+    return mapped.select("record_id", "province", "fsc_code").join(vectors, "record_id")
+
+
+def _rules(body: DataFrame) -> DataFrame:
+    """Rules of the paragraphs, and examples of the tables."""
+    return reference_docs.province_rules(body).withColumn("ord", F.struct("ord.file", "ord.ord", F.lit(None).cast("int").alias("row_no"))).unionByName(reference_docs.example_rules(reference_docs.routed_tables(body)))
+
+
+def _export(date: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda linked: ingest.export_rows(linked.withColumn("anchor_code", F.col("top_key")).withColumn("row_type", F.lit("ANCHOR")).withColumn("sim_score", F.lit(None).cast("double")), date)
+
+
+def _row(df: DataFrame) -> dict:
+    return df.first().asDict()
+
+
+def _mapped_counts(mapped: DataFrame) -> dict:
+    methods = {r["match_method"]: r["n"] for r in metrics.method_breakdown(mapped).collect()}
+    return {**_row(metrics.confidence_summary(mapped)), "methods": methods}
+
+
+def steps(map_date: str = "") -> list[Step]:
+    routed = reference_docs.routed_tables
+    return [
+        Step("parse", ("layout_lines",), "fee_codes", _parse, _quality, "layout"),
+        Step("parse-codes", ("raw_codes",), "fee_codes", _from_codes, _quality, "pages"),
+        Step("categories", ("docx_body",), "ngs_categories", reference_docs.categories, _rows),
+        Step("roles", ("docx_body",), "role_tables", lambda body: reference_docs.role_tables(routed(body)), _rows),
+        Step("ccp", ("docx_body",), "ccp_map", lambda body: reference_docs.ccp_map(routed(body)), _rows),
+        Step("rules", ("docx_body",), "province_rules", _rules, _rows),
+        Step("map", ("fee_codes", "ngs_categories", "role_tables"), "mapped", classify.cascade, _mapped_counts),
+        Step("link", ("mapped",), "linked", lambda mapped: ingest.with_meta(link.link(mapped)), lambda linked: _row(link.group_sizes(linked))),
+        Step("embed", ("mapped",), "embeddings", _embed, _rows),
+        Step("export", ("linked",), "export_rows", _export(map_date), _rows),
+    ]
+
+
+def _rows(df: DataFrame) -> dict:
+    return {"rows": df.count()}
+
+
+def _quality(codes: DataFrame) -> dict:
+    return {r["province"]: {k: v for k, v in r.asDict().items() if k != "province"} for r in metrics.quality_counts(codes).collect()}
 
 
-STEPS = [
-    Step("parse", ("layout_lines",), "fee_codes", _parse),
-    Step("parse-codes", ("raw_codes",), "fee_codes", _from_codes),
-    Step("categories", ("docx_body",), "ngs_categories", reference_docs.categories),
-    Step("roles", ("docx_body",), "role_tables", lambda body: reference_docs.role_tables(reference_docs.routed_tables(body))),
-    Step("map", ("fee_codes", "ngs_categories", "role_tables"), "mapped", classify.cascade),
-    Step("link", ("mapped",), "linked", lambda mapped: ingest.with_meta(link.link(mapped))),
-    Step("embed", ("mapped",), "embeddings", _embed),
-]
+STEPS = steps()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -60,30 +109,65 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def run(spark: SparkSession, root: str, force: bool = False, only: list[str] | None = None) -> dict[str, str]:
-    """What became of each step: done, skipped (its table is there) or waiting (an input is missing). An error ends the run."""
+def run_pages(spark: SparkSession, root: str, services, provinces: list[str] | None = None, skip_ocr: bool = False, min_hints: int = 10) -> dict[str, str]:
+    """The page path: read the missing pages (unless skip_ocr), extract the missing windows, repair suspicious empty ones."""
     out = {}
-    for step in STEPS:
+    if not skip_ocr and _exists(spark, f"{root}/page_counts"):
+        counts = spark.read.parquet(f"{root}/page_counts")
+        extraction.read_missing_pages(spark, root, counts.filter(F.col("province").isin(provinces)) if provinces else counts, services.read, getattr(services, "delete", None))
+        out["read"] = "done"
+    if not _exists(spark, f"{root}/ocr_pages"):
+        return {**out, "extract": "waiting", "repair": "waiting"}
+    extraction.extract_missing_windows(spark, root, services.extract, provinces)
+    again = extraction.repair(spark, root, services.extract, min_hints, provinces)
+    return {**out, "extract": "done", "repair": f"{again} windows again"}
+
+
+def run(
+    spark: SparkSession, root: str, force: bool = False, only: list[str] | None = None, source: str | None = None, services=None, provinces: list[str] | None = None, skip_ocr: bool = False, min_hints: int = 10,
+    map_date: str = "", say: Callable[[str], None] | None = None,
+) -> dict[str, str]:
+    """What became of each step: done, skipped (its table is there) or waiting (an input is missing, or another source makes its table).
+
+    An error ends the run. The same source makes fee_codes with and without force.
+    """
+    out: dict[str, str] = {}
+    if services and source != "layout" and not only:
+        out |= run_pages(spark, root, services, provinces, skip_ocr, min_hints)
+    todo = steps(map_date)
+    ready = [s.source for s in todo if s.source and all(_exists(spark, f"{root}/{t}") for t in s.needs)]
+    chosen = source or (ready[0] if ready else None)
+    for step in todo:
         if only and step.name not in only:
             continue
         made = f"{root}/{step.makes}"
-        if not all(_exists(spark, f"{root}/{t}") for t in step.needs):
+        if (step.source and step.source != chosen) or not all(_exists(spark, f"{root}/{t}") for t in step.needs):
             out[step.name] = "waiting"
         elif _exists(spark, made) and not force:
             out[step.name] = "skipped"
         else:
             tables.write_array(step.run(*[spark.read.parquet(f"{root}/{t}") for t in step.needs]), made)
             out[step.name] = "done"
+            if say and step.report:
+                say(f"{step.name}: {step.report(spark.read.parquet(made))}")
     return out
 
 
 def main(args: list[str] | None = None) -> None:
-    p = argparse.ArgumentParser(description=__doc__)
+    p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("--root", required=True)
     p.add_argument("--force", action="store_true")
     p.add_argument("--only", nargs="*")
+    p.add_argument("--source", choices=["layout", "pages"])
+    p.add_argument("--province", nargs="*", help="the page path's provinces; all by default")
+    p.add_argument("--skip-ocr", action="store_true", help="take the pages as they are")
+    p.add_argument("--min-code-hints", type=int, default=10, help="code-like words from which on an empty window is extracted again")
+    p.add_argument("--clients", help="module with read, extract and perhaps delete")
+    p.add_argument("--map-date", default="")
     a = p.parse_args(args)
-    for name, state in run(SparkSession.builder.getOrCreate(), a.root, a.force, a.only).items():
+    services = importlib.import_module(a.clients) if a.clients else None
+    done = run(SparkSession.builder.getOrCreate(), a.root, a.force, a.only, a.source, services, a.province, a.skip_ocr, a.min_code_hints, a.map_date, print)
+    for name, state in done.items():
         print(f"{name}: {state}")
 
 

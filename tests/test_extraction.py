@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from codeweave.plans import extraction as E
 
 
@@ -23,3 +24,43 @@ def test_passes_take_up_where_they_stood(spark, tmp_path):
     assert E.repair(spark, root, lambda prompt: 1 / 0, 5) == 0
     got = {(r.fsc_code, r.page_start) for r in E.codes(spark, root).collect()}
     assert got == {("K001", 0), ("K007", 0), ("K006", 6), ("K008", 6), ("K009", 6)}
+
+
+def test_a_run_that_is_killed_repeats_one_batch(spark, tmp_path):
+    import os
+
+    root, calls = str(tmp_path / "root"), str(tmp_path / "calls")
+    counts = spark.createDataFrame([("ON", 30)], "province string, n int")
+    E.read_missing_pages(spark, root, counts, lambda p, numbers: [f"K{n:03d}" for n in numbers], batch=2)
+    assert spark.read.parquet(f"{root}/ocr_pages").count() == 30
+
+    def extract(prompt, dies=True):
+        if dies and "K018" in prompt and "K012" not in prompt:
+            os._exit(1)
+        with open(calls, "a") as f:
+            f.write(prompt.split()[0] + "\n")
+        return json.dumps({"codes": [{"fsc_code": w} for w in prompt.split()]})
+
+    with pytest.raises(Exception, match="Python worker"):
+        E.extract_missing_windows(spark, root, extract, batch=2)
+    kept = {r.start for r in spark.read.parquet(f"{root}/done_windows").collect()}
+    assert kept == {0, 6}
+    E.extract_missing_windows(spark, root, lambda p: extract(p, dies=False), batch=2)
+    with open(calls) as f:
+        asked = f.read().split()
+    assert asked.count("K000") == asked.count("K006") == 1
+    assert {r.start for r in spark.read.parquet(f"{root}/done_windows").filter("status = 'done'").collect()} == {0, 6, 12, 18, 24}
+    assert E.codes(spark, root).count() == 30
+
+
+def test_failed_windows_are_tried_again(spark, tmp_path, monkeypatch):
+    from codeweave.sources import clients
+
+    monkeypatch.setattr(clients, "with_retries", lambda call: call)
+    root = str(tmp_path)
+    E.read_missing_pages(spark, root, spark.createDataFrame([("ON", 2)], "province string, n int"), lambda p, numbers: ["K1 K2" for _ in numbers])
+    E.extract_missing_windows(spark, root, lambda prompt: 1 / 0)
+    assert [r.status for r in spark.read.parquet(f"{root}/done_windows").collect()] == ["failed"]
+    E.extract_missing_windows(spark, root, lambda prompt: json.dumps({"codes": [{"fsc_code": "K1"}]}))
+    E.extract_missing_windows(spark, root, lambda prompt: 1 / 0)
+    assert sorted(r.status for r in spark.read.parquet(f"{root}/done_windows").collect()) == ["done", "failed"]

@@ -70,6 +70,30 @@ def test_linking_against_a_plain_checker(spark):
         assert {x.record_id: x.top_key for x in link.link(fees(spark, rows), dense).collect()} == want
 
 
+def test_rounds_against_one_fold(spark):
+    """Rounds of joins to the last pair give the groups that one task gives."""
+    import random
+
+    r = random.Random(4)
+    records = spark.createDataFrame([(i, r.choice(["ON", "BC", "YT", "NL"])) for i in range(60)], "record_id long, province string")
+    pairs = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(300)})
+    pairs = spark.createDataFrame([("b" if a % 2 else "c", a, b, "1-2", r.randint(1, 20) / 20) for a, b in pairs if a % 2 == b % 2], "bucket string, left_id long, right_id long, prov_pair string, score double")
+    groups = [sorted(map(tuple, link.greedy_groups(pairs, records, last).collect())) for last in (0, 40, 10**6)]
+    assert groups[0] == groups[1] == groups[2] and len(groups[0]) > 20
+
+
+def test_best_by_tokens_both_ways(spark):
+    import random
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    left = spark.createDataFrame([(i, r.sample(words, r.randint(0, 9))) for i in range(600)], "id long, tokens array<string>")
+    right = spark.createDataFrame([(f"c{i % 17}", i, r.sample(words, r.randint(0, 6))) for i in range(20)], "other string, ord int, tokens array<string>")
+    small, large = ({x.id: (x.other, x.score, x.shared) for x in classify.best_by_tokens(left, right, max_cells=n).collect()} for n in (10**6, 0))
+    assert small == large and len(small) > 500
+    assert classify.best_by_tokens(left, right.limit(0)).count() == 0
+
+
 def test_roles(spark):
     roles = spark.createDataFrame([("ON", "B", ["073.000"], 1), ("BC", "B", ["075.000"], 2), ("ON", "C", [], 3)], "province string, role_code string, ngs_codes array<string>, ord int")
     codes = spark.createDataFrame([("ON", "B"), ("BC", "B"), ("NL", "B"), ("ON", "C"), ("ON", "")], "province string, role string")

@@ -107,12 +107,58 @@ def test_steps(spark, tmp_path, body):
     spark.createDataFrame(rows, "province string, page int, line_no int, text string, x0 double, font_size double").write.parquet(f"{root}/layout_lines")
     body.write.parquet(f"{root}/docx_body")
     first = steps.run(spark, root)
-    assert first == {"parse": "done", "parse-codes": "waiting", "categories": "done", "roles": "done", "map": "done", "link": "done", "embed": "done"}
+    assert first == {"parse": "done", "parse-codes": "waiting", **dict.fromkeys(("categories", "roles", "ccp", "rules", "map", "link", "embed", "export"), "done")}
     assert set(steps.run(spark, root).values()) == {"skipped", "waiting"} and steps.run(spark, root, force=True, only=["link"]) == {"link": "done"}
     linked = {r.fsc_code: r for r in spark.read.parquet(f"{root}/linked").collect()}
+    assert spark.read.parquet(f"{root}/export_rows").columns == ingest.EXPORT and set(spark.read.parquet(f"{root}/embeddings").columns) == {"record_id", "province", "fsc_code", "embedding"}
     assert linked["0615"].NGS_code == "043.000" and linked["K040"].price == "5.00" and linked["K040"].top_key.startswith("NOMAP_ON_")
 
 
+def test_two_documents(spark, tmp_path):
+    """Files are worked on side by side: each table has its own file's province and rows, and the first category of a code is the first file's."""
+    table_of = lambda role: table(("Role Code", "Description", "Notes"), (role, "assist", "see 073.000"))
+    write_docx(tmp_path / "a.docx", paragraph("Consultations", "H1") + paragraph("001.000 First") + paragraph("Ontario") + table_of("B"))
+    write_docx(tmp_path / "b.docx", paragraph("Other", "H1") + paragraph("more") + paragraph("001.000 Second") + paragraph("Yukon") + table_of("C") + paragraph("002.000 Only") + paragraph("tail"))
+    docx.register(spark)
+    body = spark.read.format("docx_body").load(f"{tmp_path}/a.docx,{tmp_path}/b.docx")
+    roles = reference_docs.role_tables(reference_docs.routed_tables(body)).collect()
+    assert sorted((r.province, r.role_code) for r in roles) == [("ON", "B"), ("YT", "C")]
+    got = {r.ngs_code: (r.ngs_label, r.ngs_section, r.ngs_description) for r in reference_docs.categories(body).collect()}
+    assert got == {"001.000": ("First", "Consultations", "Ontario"), "002.000": ("Only", "Other", "tail")}
+
+
+def test_high_pages_and_the_choice_of_source(spark, tmp_path):
+    """Line order holds on page 5000, and the layout makes fee_codes with and without force where both inputs are there."""
+    root = str(tmp_path / "root")
+    rows = [("ON", page, 0, f"K040 Page {page} {page}.00", 43.0, 12.0) for page in (800, 9)] + [("BC", 5000, 0, "00158 Far", 70.0, 10.0), ("BC", 4999, 5, "00158 Near", 70.0, 10.0)]
+    spark.createDataFrame(rows, "province string, page int, line_no int, text string, x0 double, font_size double").write.parquet(f"{root}/layout_lines")
+    raw = [("ON", 0, 0, "z1", "From pages", "", "", "", "")]
+    spark.createDataFrame(raw, "province string, page_start int, pos int, fsc_code string, fsc_fn string, fsc_description string, price string, chapter string, section string").write.parquet(f"{root}/raw_codes")
+    for force in (False, True):
+        done = steps.run(spark, root, force)
+        assert done["parse"] == "done" and done["parse-codes"] == "waiting"
+        assert {(r.fsc_code, r.page, r.fsc_fn) for r in spark.read.parquet(f"{root}/fee_codes").collect()} == {("K040", 9, "Page 9"), ("00158", 4999, "Near")}
+    said = []
+    assert steps.run(spark, root, True, ["parse", "parse-codes"], "pages", say=said.append) == {"parse": "waiting", "parse-codes": "done"}
+    assert [r.fsc_fn for r in spark.read.parquet(f"{root}/fee_codes").collect()] == ["From pages"] and "'raw': 1" in said[0]
+
+
+def test_page_path_as_steps(spark, tmp_path):
+    import types
+
+    root = str(tmp_path / "root")
+    spark.createDataFrame([("ON", 7), ("BC", 3)], "province string, n int").write.parquet(f"{root}/page_counts")
+    gone = []
+    services = types.SimpleNamespace(
+        read=lambda province, numbers: [f"{province} K{n:03d}" for n in numbers], delete=lambda province: gone.append(province) or 1 / 0,
+        extract=lambda prompt: json.dumps({"codes": [{"fsc_code": w, "fsc_fn": "name"} for w in prompt.split() if w.startswith("K")]}),
+    )
+    done = steps.run(spark, root, services=services, provinces=["ON"])
+    assert done["read"] == done["extract"] == done["parse-codes"] == "done" and done["repair"] == "0 windows again" and gone == ["ON"]
+    assert spark.read.parquet(f"{root}/fee_codes").filter("province = 'ON'").count() == 7
+    assert "read" not in steps.run(spark, root, services=services, skip_ocr=True) and spark.read.parquet(f"{root}/ocr_pages").count() == 7
+
+
 def test_workbook(spark):
     df = spark.createDataFrame([("K1", "ANCHOR", None, "ON", True), ("K1", "MATCH", 0.25, "BC", False)], "anchor_code string, row_type string, sim_score double, province string, same boolean")
     data = xlsx.workbook(ingest.export_rows(df.coalesce(1), "2024-01-31"))
