@@ -470,23 +470,42 @@ def _keyed(t) -> DataFrame:
     return link.top_keys(r, link.greedy_groups(link.bucket_pairs_dense(r, every_blank=False), r))
 
 
-@query("greedy_groups")
+#: The fold in SQL: a recursion that takes the pairs of each bucket in order, with the members known so far as a list.
+_GROUPS_SQL = _REC_SQL.replace("with r as", "with recursive r as") + """, f as (select lang, province, min(record_id) as first from r group by all), pl as (select *, row_number() over (partition by lang order by first) as place from f),
+    q as (select r.*, place from r join pl using (lang, province)),
+    p as (select a.lang as bucket, a.record_id as left_id, b.record_id as right_id, a.province as lp, b.province as rp, a.place as la, b.place as lb, len(a.t) as na, len(b.t) as nb, len(list_intersect(a.t, b.t)) as n
+      from q a join q b on a.lang = b.lang and a.place < b.place where len(a.t) + len(b.t) = 0 or (len(a.t) > 0 and len(b.t) >= 0.55 * len(a.t) - 1e-9)),
+    s as (select *, case when na + nb = 0 then 0.05 else 0.4 * (cast(n as double) / (na + nb - n)) + 0.6 * (cast(n as double) / na) end as score from p),
+    o as (select *, row_number() over (partition by bucket order by score desc, la, lb, left_id, right_id) as i from s where na + nb = 0 or score >= 0.55),
+    g(bucket, i, m) as (select distinct bucket, cast(0 as bigint), cast([] as struct(r bigint, g bigint, p varchar)[]) from o union all
+      select bucket, i + 1, case when ga is null and gb is null then m || [{'r': left_id, 'g': no, 'p': lp}, {'r': right_id, 'g': no, 'p': rp}]
+          when ga is null and not list_contains(list_transform(list_filter(m, lambda x: x.g = gb), lambda x: x.p), lp) then m || [{'r': left_id, 'g': gb, 'p': lp}]
+          when gb is null and not list_contains(list_transform(list_filter(m, lambda x: x.g = ga), lambda x: x.p), rp) then m || [{'r': right_id, 'g': ga, 'p': rp}] else m end
+      from (select g.bucket, g.i, g.m, o.left_id, o.right_id, o.lp, o.rp, list_filter(m, lambda x: x.r = o.left_id)[1].g as ga, list_filter(m, lambda x: x.r = o.right_id)[1].g as gb,
+          coalesce(list_max(list_transform(m, lambda x: x.g)), 0) + 1 as no from g join o on o.bucket = g.bucket and o.i = g.i + 1)),
+    groups as (select bucket, x.r as record_id, x.g as group_no from (select bucket, unnest(m) as x from g qualify row_number() over (partition by bucket order by i desc) = 1)),
+    keyed as (select record_id, province, 'D' || record_id as fsc_code, lang || '_' || printf('%04d', coalesce(group_no, coalesce(base, 0) + row_number() over (partition by lang, group_no is null order by record_id))) as top_key
+      from r left join groups using (record_id) left join (select bucket, max(group_no) as base from groups group by bucket) on bucket_1 = lang)""".replace("on bucket_1 = lang", "b on b.bucket = lang")
+
+
+@query("greedy_groups", _GROUPS_SQL + " select bucket, record_id, group_no from groups")
 def _(t):
     r = _link_records(t)
     return link.greedy_groups(link.bucket_pairs_dense(r, every_blank=False), r)
 
 
-@query("top_keys")
+@query("top_keys", _GROUPS_SQL + " select record_id, province, top_key from keyed")
 def _(t):
     return _keyed(t).select("record_id", "province", "top_key")
 
 
-@query("group_size_stats")
+@query("group_size_stats", _GROUPS_SQL + " select count(*) as groups, count(*) filter (where n > 1) as cross_groups, count(*) filter (where n = 1) as singletons, max(n) as largest from (select count(*) as n from keyed group by top_key)")
 def _(t):
     return link.group_sizes(_keyed(t))
 
 
-@query("group_sample")
+@query("group_sample", _GROUPS_SQL + """ select top_key, count(*) as n, count(distinct province) as provinces, '[' || string_agg('{"province":"' || province || '","fsc_code":"' || fsc_code || '"}', ',' order by province, fsc_code) || ']' as members
+    from keyed group by top_key having count(*) between 2 and 4 and count(distinct province) >= 2 order by top_key limit 8""")
 def _(t):
     return link.sample_groups(_keyed(t)).select("top_key", "n", "provinces", F.to_json("members").alias("members"))
 
