@@ -56,7 +56,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     thin, with fewer than THIN characters outside its tags."""
     pages, reviewed = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"))
     thin = F.length(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", "")) < THIN
-    labels = pages.join(reviewed, "page_id", "left_semi").select("page_id", thin.cast("int").alias("bad"))
+    labels = pages.select("page_id", thin.cast("int").alias("bad")).join(reviewed, "page_id", "left_semi")  # html stays where it is
     return url_filters.judge_urls(pages.select("page_id", "url"), labels)
 
 
