@@ -31,7 +31,7 @@ def strip(c: Column) -> Column:
 
 
 def _squeezed(c: Column) -> Column:
-    return strip(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.btrim(F.regexp_replace(c, f"{SPACE}+", " "))  # runs are single blanks by then
 
 
 def clean(c: Column) -> Column:

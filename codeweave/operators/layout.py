@@ -17,11 +17,13 @@ from .records import carried, first_in_order, ordered_concat, segment
 
 #: The first page of the ON indexes.
 ON_INDEX_PAGE = 829
+#: How lines with a code begin.
 ON_CODE, ON_HASH = r"^([A-Z]\d{3,5})\b", r"^#\s+([A-Z]\d{3,5})\b"
 BC_CODE, YT_CODE = r"^([A-Z]{0,2}\d{4,6})\b", r"^(\d{4,6})\b"
 #: Lines that are no part of the schedule.
 ON_SKIP = r"^(Amd|February|March|April|May|June|July|August|September|October|November|December|NOT ALLOCATED)\b|^\d{4}\s*\(effective"
 YT_SKIP = r"^(These fees|YHCIP|YWCHSB|Anes|or Proc|Code|Page \d+)"
+#: A line that is an amount, and how notes begin.
 PRICE_ONLY = r"^\$?\d{1,6}\.\d{2}$"
 ON_NOTE = r"^(payment ?rules?|\[?commentary|note:|\d+\.|[a-z]\.|claims ?submission)"
 BC_NOTE = r"^(note|(i{1,4}v?|vi{0,3}|ix|x{0,3})\)|\d+\))"
@@ -35,10 +37,15 @@ def before_index(lines: DataFrame, first_page: int = ON_INDEX_PAGE) -> DataFrame
     return lines.filter(F.col("page") < first_page)
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns, computed once however often they are used: they come out of a generator, which nothing is pushed through."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def _prepared(lines: DataFrame, default_size: float) -> DataFrame:
     zero = lambda c, d: F.coalesce(F.nullif(F.col(c), F.lit(0.0)), F.lit(float(d)))
-    lines = lines.withColumn("text", text.clean(text.text_or_blank("text"))).withColumn("x0", zero("x0", 0)).withColumn("size", zero("font_size", default_size))
-    return lines.filter("text <> ''")
+    lines = lines.withColumn("x0", zero("x0", 0)).withColumn("size", zero("font_size", default_size)).withColumnRenamed("text", "_raw")
+    return _once(lines, text=text.clean(text.text_or_blank("_raw"))).drop("_raw").filter("text <> ''")
 
 
 def _mostly_upper(c: Column) -> Column:
@@ -60,10 +67,9 @@ def classify_on(lines: DataFrame) -> DataFrame:
     ], F.lit("body"))
     after = F.when(hashed, text.strip_leaders(F.regexp_replace(t, ON_HASH, ""))).otherwise(F.regexp_replace(t, ON_CODE, ""))
     code = F.when(hashed, F.regexp_extract(t, ON_HASH, 1)).otherwise(F.regexp_extract(t, ON_CODE, 1))
-    body = text.strip_leaders(t)
-    note = F.lower(body).rlike(ON_NOTE)
-    return before_index(lines).select(
-        "*", kind.alias("kind"), _opened(t, code, after).alias("opened"), body.alias("body"), note.alias("note"), ((x >= 60) & ~note).alias("can_name"), ((x < 60) & ~note).alias("margin"), F.lit(True).alias("splits"),
+    note = F.lower("body").rlike(ON_NOTE)
+    return _once(before_index(lines), kind=kind, body=text.strip_leaders(t)).select(
+        "*", F.when(F.col("kind") == "code", _opened(t, code, after)).alias("opened"), note.alias("note"), ((x >= 60) & ~note).alias("can_name"), ((x < 60) & ~note).alias("margin"), F.lit(True).alias("splits"),
     ).withColumns({"chapter_event": F.when(F.col("kind") == "chapter", rules.on_chapter(t)), "section_event": F.when(F.col("kind") == "close", t), "sub_event": F.lit(None).cast("string")})
 
 
@@ -74,13 +80,12 @@ def classify_bc(lines: DataFrame) -> DataFrame:
         (t.rlike(r"^\d+-\d+$") | t.isin("$", "Anes.", "Level", "Anes"), F.lit("none")), (header, F.lit("chapter")), (t.rlike(PRICE_ONLY) & (x > 400), F.lit("price")), ((size > 10.4) & (x < 82), F.lit("close")),
         ((x > 80) & (x < 115) & (size >= 9.5), F.lit("sub")), ((x > 60) & (x < 82) & (size > 9.5) & (size < 10.4) & t.rlike(BC_CODE), F.lit("code")), (x > 115, F.lit("body")),
     ], F.lit("none"))
-    body = text.strip_leaders(t)
     small = size < 9.7
-    note = small | F.lower(body).rlike(BC_NOTE)
+    note = small | F.lower("body").rlike(BC_NOTE)
     k = F.col("kind")
-    return lines.select(
-        "*", kind.alias("kind"), _opened(t, F.regexp_extract(t, BC_CODE, 1), F.regexp_replace(t, BC_CODE, "")).alias("opened"), body.alias("body"), note.alias("note"),
-        (~small & ~F.lower(body).startswith("note")).alias("can_name"), F.lit(False).alias("margin"), F.lit(True).alias("splits"),
+    return _once(lines, kind=kind, body=text.strip_leaders(t)).select(
+        "*", F.when(k == "code", _opened(t, F.regexp_extract(t, BC_CODE, 1), F.regexp_replace(t, BC_CODE, ""))).alias("opened"), note.alias("note"),
+        (~small & ~F.lower("body").startswith("note")).alias("can_name"), F.lit(False).alias("margin"), F.lit(True).alias("splits"),
     ).withColumns({
         "chapter_event": F.when(k == "chapter", rules.first_contained(t, [(c, c) for c in rules.BC_CHAPTERS])), "section_event": F.when(k == "close", t),
         "sub_event": F.when(k == "close", F.lit("")).when(k == "sub", t),
@@ -95,11 +100,10 @@ def classify_yt(lines: DataFrame) -> DataFrame:
         (t.rlike(YT_SKIP), F.lit("none")), (t.rlike(PRICE_ONLY) & (x > 350), F.lit("price")), (size >= 14, F.lit("close")), (sub, F.lit("close")),
         (t.rlike(YT_CODE) & x.between(35, 80) & (size < 11), F.lit("code")), (x >= 90, F.lit("body")),
     ], F.lit("none"))
-    body = text.strip_leaders(t)
-    note = F.lower(body).rlike(YT_NOTE)
+    note = F.lower("body").rlike(YT_NOTE)
     closing, big, label = F.col("kind") == "close", size >= 14, F.rtrim(t, F.lit(":"))
-    return lines.select(
-        "*", kind.alias("kind"), _opened(t, F.regexp_extract(t, YT_CODE, 1), F.regexp_replace(t, YT_CODE, "")).alias("opened"), body.alias("body"), note.alias("note"),
+    return _once(lines, kind=kind, body=text.strip_leaders(t)).select(
+        "*", F.when(F.col("kind") == "code", _opened(t, F.regexp_extract(t, YT_CODE, 1), F.regexp_replace(t, YT_CODE, ""))).alias("opened"), note.alias("note"),
         (~note).alias("can_name"), F.lit(False).alias("margin"), F.lit(False).alias("splits"),
     ).withColumns({
         "chapter_event": F.when(closing & big, t), "section_event": F.when(closing & big, F.lit("")).when(closing & upper, label),

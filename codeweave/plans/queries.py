@@ -291,10 +291,10 @@ def _(t):
     return e.join(b, "vec_id").select("vec_id", "next_id", F.round(scores.dot(F.col("embedding"), F.col("b")), 6).alias("cosine"))
 
 
-@query("l2_normalize", "with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double) * 3) as v from embeddings), n as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from e) select vec_id, round(v[1] / norm, 6) as first, round(v[len(v)] / norm, 6) as last from n")
+@query("l2_normalize", "with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double) * 3) as v from embeddings), n as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from e) select vec_id, array_to_string(list_transform(v, lambda x: cast(cast(round(x / norm * 1000000) as bigint) as varchar)), ' ') as millionths from n")
 def _(t):
     v = scores.l2_normalised(F.transform("embedding", lambda x: x.cast("double") * 3))
-    return t("embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
+    return t("embeddings").select("vec_id", F.array_join(F.transform(v, lambda x: F.round(x * 1_000_000).cast("long").cast("string")), " ").alias("millionths"))
 
 
 @query("lookup_semantic_topk", """with a as (select * from embeddings where label % 3 = 0 order by vec_id limit 1), c as (select e.vec_id as record_id, list_sum(list_transform(list_zip(a.embedding, e.embedding), lambda x: cast(x[1] as double) * cast(x[2] as double))) as s from embeddings e, a where e.label % 3 = 1)
@@ -376,6 +376,17 @@ def _(t):
     return s.select("s_suppkey", "name", rules.rule_field(F.col("at"), rules.KEYWORD_RULES, 1).alias("ngs_code"))
 
 
+@query("keyword_rules_texts", "select doc_id, case " + " ".join(f"when regexp_matches(text, '(?i){p}') then '{c}'" for p, c, _r in rules.KEYWORD_RULES) + " end as ngs_code from documents")
+def _(t):
+    d = t("documents").select("doc_id", rules.first_rule(F.col("text"), rules.KEYWORD_RULES).alias("at"))
+    return d.select("doc_id", rules.rule_field(F.col("at"), rules.KEYWORD_RULES, 1).alias("ngs_code"))
+
+
+@query("section_rules_texts", "select conv_id, turn, role, md5(text) as digest, case " + " ".join(f"when contains(upper(role || ' ' || text), '{k.upper()}') then '{c}'" for k, c in rules.SECTION_RULES) + " end as ngs_code from conversations")
+def _(t):
+    return t("conversations").select("conv_id", "turn", "role", F.md5("text").alias("digest"), rules.section_category(F.col("role"), F.col("text")).alias("ngs_code"))
+
+
 _SECTIONS = [f"Section {k}s" for k, _c in rules.SECTION_RULES] + ["Something else"]
 
 
@@ -530,9 +541,9 @@ def _(t):
     return layout.before_index(t("pages").select(F.col("page_id").alias("page"), "html")).select("page", F.length("html").cast("long").alias("n"))
 
 
-@query("carry_forward", f"select doc_id, cast(line_no as int) as line_no, coalesce(last_value(case when line_no % 5 = 0 then left(text, 20) when line_no % 7 = 3 then '' end ignore nulls) over (partition by doc_id order by line_no), '') as section from {LINES_SQL}")
+@query("carry_forward", f"select doc_id, cast(line_no as int) as line_no, coalesce(last_value(case when line_no % 5 = 0 then text when line_no % 7 = 3 then '' end ignore nulls) over (partition by doc_id order by line_no), '') as section from {LINES_SQL}")
 def _(t):
-    event = F.when(F.col("line_no") % 5 == 0, F.left("text", F.lit(20))).when(F.col("line_no") % 7 == 3, "")
+    event = F.when(F.col("line_no") % 5 == 0, F.col("text")).when(F.col("line_no") % 7 == 3, "")
     return doc_lines(t).select("doc_id", "line_no", records.carried(event, ["doc_id"], ["line_no"]).alias("section"))
 
 
@@ -553,26 +564,103 @@ def _(t):
     return t("orders").groupBy("o_custkey").agg(records.first_in_order(price, F.col("o_orderkey")).alias("price"))
 
 
-def _layout_query(province_code: str, code: Column, x0: Column, size: Column):
+#: By province: what stands at the places of a document's lines, as SQL that both engines read: code, text of other lines, x0, size.
+_HEAD = "translate(regexp_replace(text, '[^ -~]', ''{g}), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_LAYOUTS = {
+    "ON": (
+        "'K' || lpad(cast(line_no % 1000 as varchar(9)), 3, '0')", "",
+        "case when line_no % 6 = 0 then 43.0 when line_no % 6 = 3 then 400.0 when line_no % 34 = 1 then 90.0 when line_no % 17 = 1 then 50.0 else 70.0 end", "case when line_no % 17 = 1 then 18.0 else 12.0 end",
+    ),
+    "BC": (
+        "lpad(cast(line_no % 100000 as varchar(9)), 5, '0')",
+        "when line_no % 23 = 5 then 'Medical Services Commission ' || case line_no % 4 when 0 then 'Diagnostic' when 1 then 'Surgery' when 2 then 'Obstetrics' else 'Part' end",
+        "case when line_no % 6 = 0 then 70.0 when line_no % 6 = 3 then 450.0 when line_no % 23 = 5 then 72.0 when line_no % 34 = 1 then 60.0 when line_no % 17 = 1 then 100.0 else 120.0 end",
+        "case when line_no % 34 = 1 then 12.0 when line_no % 5 = 4 and line_no % 6 <> 0 then 9.0 else 10.0 end",
+    ),
+    "YT": (
+        "lpad(cast(line_no % 10000 as varchar(9)), 4, '0')", "when line_no % 23 = 5 then text || ':'",
+        "case when line_no % 6 = 0 then 40.0 when line_no % 6 = 3 then 400.0 when line_no % 17 = 1 or line_no % 23 = 5 then 50.0 else 95.0 end", "case when line_no % 34 = 1 then 14.0 else 9.0 end",
+    ),
+}
+
+
+def _made_line(province_code: str, every: str) -> tuple[str, str, str]:
+    """SQL of a line's text, x0 and font size. every: what regexp_replace needs to replace all (an argument, in one engine)."""
+    code, more, x0, size = _LAYOUTS[province_code]
+    made = f"case when line_no % 6 = 0 then {code} || ' ' || text || ' .... 12.34' {more} when line_no % 17 = 1 then {_HEAD.format(g=every)} when line_no % 6 = 3 then cast(line_no + 10 as varchar(9)) || '.50' else text end"
+    return made, x0, size
+
+
+def _layout_query(province_code: str):
     """Lines of the documents with codes and places that follow from line_no."""
 
     def run(t):
-        lines = doc_lines(t).withColumn("province", F.lit(province_code)).withColumn("page", (F.col("line_no") / 40).cast("int"))
-        made = F.when(F.col("line_no") % 6 == 0, F.concat(code, F.lit(" "), F.left("text", F.lit(40)), F.lit(" .... 12.34"))).when(F.col("line_no") % 17 == 1, F.upper(F.left("text", F.lit(30)))).when(F.col("line_no") % 6 == 3, F.concat((F.col("line_no") + 10).cast("string"), F.lit(".50"))).otherwise(F.col("text"))
-        found = layout.parse_layout(lines.select("doc_id", "province", "page", "line_no", made.alias("text"), x0.alias("x0"), size.alias("font_size")), ["doc_id", "province"])
-        return layout.post_process(found).drop("line_no", "fsc_others")
+        made, x0, size = _made_line(province_code, "")
+        lines = doc_lines(t).selectExpr("doc_id", f"'{province_code}' as province", "cast(floor(line_no / 40) as int) as page", "line_no", f"{made} as text", f"cast({x0} as double) as x0", f"cast({size} as double) as font_size")
+        return layout.post_process(layout.parse_layout(lines, ["doc_id", "province"])).drop("line_no", "fsc_others")
 
     return run
 
 
-
-def _at(n: int) -> Column:
-    return F.col("line_no") % 6 == n
-
-
-query("layout_on")(lambda t: _layout_query("ON", F.concat(F.lit("K"), F.lpad((F.col("line_no") % 1000).cast("string"), 3, "0")), F.when(_at(0), 43.0).when(_at(3), 400.0).otherwise(70.0), F.when(F.col("line_no") % 17 == 1, 18.0).otherwise(12.0))(t))
-query("layout_bc")(lambda t: _layout_query("BC", F.lpad((F.col("line_no") % 100000).cast("string"), 5, "0"), F.when(_at(0), 70.0).when(_at(3), 450.0).when(F.col("line_no") % 17 == 1, 60.0).otherwise(120.0), F.when(F.col("line_no") % 17 == 1, 12.0).otherwise(10.0))(t))
-query("layout_yt")(lambda t: _layout_query("YT", F.lpad((F.col("line_no") % 10000).cast("string"), 4, "0"), F.when(_at(0), 40.0).when(_at(3), 400.0).when(F.col("line_no") % 17 == 1, 50.0).otherwise(95.0), F.lit(9.0))(t))
+def _layout_sql(province_code: str) -> str:
+    """The parser in SQL, written apart from the operator: classes of lines, segments, names and prices by windows."""
+    made, x0, size = _made_line(province_code, ", 'g'")
+    clean = CLEAN_SQL.replace("translate(text,", "translate(made,")
+    leaders = lambda x: rf"trim(regexp_replace({x}, '\.{{3,}}', ' ', 'g'), ' .-')"
+    ends = rf"\$?(\d{{1,6}}\.\d{{2}}){text.SPACE}*$"
+    price, bare = (lambda x: f"nullif(regexp_extract({x}, '{ends}', 1), '')"), (lambda x: leaders(f"regexp_replace({x}, '{ends}', '')"))
+    upper = r"coalesce(len(regexp_extract_all(t, '\p{Lu}')) / nullif(len(regexp_extract_all(t, '\p{L}')), 0) > 0.8, false)"
+    has = lambda p, x="t": f"regexp_matches({x}, '{p}')"
+    amount = has(layout.PRICE_ONLY)
+    none, blank = "cast(null as varchar)", "''"
+    if province_code == "ON":
+        heading = f"not {has(layout.ON_CODE)} and not {has(layout.ON_HASH)} and length(t) > 4 and {upper} and len(string_split(t, ' ')) <= 18"
+        kind = f"""case when {has(layout.ON_SKIP)} then 'none' when (x0 < 45 and {has(layout.ON_HASH)}) or (x0 < 60 and {has(layout.ON_CODE)}) then 'code' when {has(r'^[A-Z]{1,3}\d+\s*$')} then 'none'
+            when x0 > 85 and size >= 14 and {heading} then 'chapter' when x0 < 65 and size >= 10 and {heading} then 'close' when {amount} and x0 > 350 then 'price' when {has(r'^\d{1,2}$')} and x0 > 380 then 'none' else 'body' end"""
+        opens, note, name, margin, splits = layout.ON_CODE, has(layout.ON_NOTE, "lower(body)"), "x0 >= 60 and not note", "x0 < 60 and not note", "true"
+        chapter = "case when kind = 'chapter' then case " + " ".join(f"when contains(upper(replace(t, ' ', '')), '{k}') then '{v}'" for k, v in rules.ON_CHAPTERS) + " else upper(replace(t, ' ', '')) end end"
+        section, sub = "case when kind = 'close' then t end", none
+    elif province_code == "BC":
+        kind = f"""case when {has(r'^\d+-\d+$')} or t in ('$', 'Anes.', 'Level', 'Anes') then 'none' when contains(t, 'Medical Services Commission') and x0 < 82 then 'chapter' when {amount} and x0 > 400 then 'price'
+            when size > 10.4 and x0 < 82 then 'close' when x0 > 80 and x0 < 115 and size >= 9.5 then 'sub' when x0 > 60 and x0 < 82 and size > 9.5 and size < 10.4 and {has(layout.BC_CODE)} then 'code' when x0 > 115 then 'body' else 'none' end"""
+        opens, note, name, margin, splits = layout.BC_CODE, f"size < 9.7 or {has(layout.BC_NOTE, 'lower(body)')}", "size >= 9.7 and not starts_with(lower(body), 'note')", "false", "true"
+        chapter = "case when kind = 'chapter' then case " + " ".join(f"when contains(t, '{c}') then '{c}'" for c in rules.BC_CHAPTERS) + " end end"
+        section, sub = "case when kind = 'close' then t end", f"case kind when 'close' then {blank} when 'sub' then t end"
+    else:
+        closes = f"x0 <= 55 and size <= 12 and not {has(layout.YT_CODE)} and {has(r'\p{L}')} and ({upper} or ends_with(t, ':'))"
+        kind = f"""case when {has(layout.YT_SKIP)} then 'none' when {amount} and x0 > 350 then 'price' when size >= 14 then 'close' when {closes} then 'close'
+            when {has(layout.YT_CODE)} and x0 between 35 and 80 and size < 11 then 'code' when x0 >= 90 then 'body' else 'none' end"""
+        opens, note, name, margin, splits = layout.YT_CODE, has(layout.YT_NOTE, "lower(body)"), "not note", "false", "false"
+        chapter, section = "case when kind = 'close' and size >= 14 then t end", f"case when kind = 'close' and size >= 14 then {blank} when kind = 'close' and {upper} then rtrim(t, ':') end"
+        sub = f"case when kind = 'close' and (size >= 14 or {upper}) then {blank} when kind = 'close' then rtrim(t, ':') end"
+    rest = strip_sql(f"regexp_replace(t, '{opens}', '')")
+    so_far, ordered = "over (partition by doc_id order by line_no)", "over (partition by doc_id, seg order by line_no)"
+    names = "case " + " ".join(f"when trim(fsc_chapter) = '{k}' then '{v}'" for k, v in rules.CHAPTER_NAMES.items()) + " else trim(fsc_chapter) end"
+    tail = rf"{text.SPACE}+\$?(\d{{1,6}}\.\d{{2}}){text.SPACE}*$"
+    return f"""with a as (select doc_id, line_no, cast(line_no // 40 as int) as page, {made} as made, cast({x0} as double) as x0, cast({size} as double) as size from {LINES_SQL}),
+    b as (select *, {clean} as t from a), c as (select *, {kind} as kind, {leaders('t')} as body from b where t <> '' {"and page < 829" if province_code == "ON" else ""}), d as (select *, {note} as note from c),
+    e as (select *, {name} as can_name, {margin} as margin, sum(case when kind in ('code', 'close') then 1 else 0 end) {so_far} as seg,
+      coalesce(last_value({chapter} ignore nulls) {so_far}, '') as chapter, coalesce(last_value({section} ignore nulls) {so_far}, '') as section, coalesce(last_value({sub} ignore nulls) {so_far}, '') as sub,
+      case when kind = 'code' then {bare(rest)} end as title0, case when kind = 'code' then {price(rest)} end as price0 from d),
+    f as (select *, max(case when kind in ('code', 'close') then kind end) over (partition by doc_id, seg) as head, max(title0) over (partition by doc_id, seg) as title from e),
+    g as (select *, kind = 'body' and can_name and title = '' and sum(case when kind = 'body' and can_name then 1 else 0 end) {ordered} = 1 as waited from f where head = 'code' and kind in ('code', 'price', 'body')),
+    h as (select *, case when waited and {splits} then {bare('body')} else body end as value from g),
+    i as (select *, case when title = '' and (waited or (kind = 'body' and margin)) then nullif(value, '') end as candidate from h),
+    j as (select *, count(candidate) {ordered} as named from i),
+    k as (select *, candidate is not null and named = 1 as names, kind = 'body' and note and not waited as noted,
+      case when kind = 'code' then price0 when kind = 'price' then ltrim(t, '$') when waited and {splits} and named - (case when candidate is null then 0 else 1 end) = 0 then {price('body')} end as price from j),
+    r as (select doc_id, max(case when kind = 'code' then regexp_extract(t, '{opens}', 1) end) as fsc_code, coalesce(nullif(max(title), ''), max(value) filter (where names), '') as fsc_fn, max(chapter) filter (where kind = 'code') as fsc_chapter,
+      max(section) filter (where kind = 'code') as fsc_section, max(sub) filter (where kind = 'code') as fsc_subsection, coalesce(string_agg(value, ' ' order by line_no) filter (where kind = 'body' and not noted and not names and value <> ''), '') as fsc_description,
+      coalesce(string_agg(body, ' ' order by line_no) filter (where noted and body <> ''), '') as fsc_notes, arg_min(price, line_no) filter (where price is not null) as price, max(page) filter (where kind = 'code') as page, max(x0) filter (where kind = 'code') as entry_x0
+      from k group by doc_id, seg),
+    z as (select *, nullif(regexp_extract(fsc_fn, '{tail}', 1), '') as found from r)
+    select doc_id, '{province_code}' as province, fsc_code, {strip_sql(f"case when found is not null then trim(regexp_replace(fsc_fn, '{tail}', ''), ' .') else fsc_fn end")} as fsc_fn,
+      {strip_sql(f"case when regexp_matches({names}, '^,?GP[0-9]') then 'GP – General Preamble' else {names} end")} as fsc_chapter, {strip_sql('fsc_section')} as fsc_section, {strip_sql('fsc_subsection')} as fsc_subsection,
+      {strip_sql('fsc_description')} as fsc_description, {strip_sql('fsc_notes')} as fsc_notes, case when found is not null then coalesce(nullif(price, ''), found) else price end as price, page, entry_x0 from z"""
+
+
+for _province in _LAYOUTS:
+    query(f"layout_{_province.lower()}", _layout_sql(_province))(_layout_query(_province))
 
 
 @query("adjacent_dedup", "with c as (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn, role) as before from conversations) select conv_id, string_agg(role, ',' order by turn, role) as roles from c where before is null or before <> role group by conv_id")
@@ -655,6 +743,14 @@ def _(t):
     return pages.zero_windows(texts, c.filter("start % 2 = 0"), c.filter("start % 4 = 0"), "conv_id", 2)
 
 
+@query("zero_windows_texts", rf"with w as (select conv_id, turn, string_agg(coalesce(text, ''), chr(10) order by text) as x from conversations group by all) select conv_id, cast(turn as int) as start, hints from (select *, len(regexp_extract_all(x, '{text.CODE_HINT}')) as hints from w) where turn % 2 = 0 and turn % 4 <> 0 and hints >= 0")
+def _(t):
+    c = t("conversations").withColumn("start", F.col("turn").cast("int"))
+    texts = c.groupBy("conv_id", "start").agg(F.array_join(F.sort_array(F.collect_list(text.text_or_blank("text"))), "\n").alias("text"))
+    keys = texts.select("conv_id", "start")
+    return pages.zero_windows(texts, keys.filter("start % 2 = 0"), keys.filter("start % 4 = 0"), "conv_id", 0).withColumn("hints", F.col("hints").cast("long"))
+
+
 @query("resume_anti_join", f"with {_WINDOWS_SQL} select distinct conv_id, cast(start as int) as start from w where not exists (select 1 from conversations c where c.conv_id = w.conv_id and c.turn = w.start and c.role = 'assistant')")
 def _(t):
     w = pages.page_windows(t("conversations"), "conv_id", "turn", 3, 2).select("conv_id", "start").distinct()
