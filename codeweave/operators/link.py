@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from .blocks import shared_counts
 from .graph import materialise, own_key
 from .records import numbered
 
@@ -62,39 +63,15 @@ def bucket_pairs(records: DataFrame, near: float = NEAR, both_empty: float = BOT
     return scored.select(*out, "score").union(blank.select(*out, F.lit(both_empty).alias("score")))
 
 
-def _flat(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes of the rows' token sets, and of each token its row and hash."""
-    sizes = rows["tokens"].map(len).to_numpy()
-    return sizes, np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows["tokens"].to_numpy())
-
-
-def _dense_block(near: float, wide: int = 2048):
-    """Pairs of two blocks that reach `near`, counted through the tokens that both have, `wide` of them at a time."""
+def _dense_block(near: float):
+    """Pairs of two blocks that reach `near`."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"left_id": np.zeros(0, np.int64), "right_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        (na, row_a, token_a), (nb, row_b, token_b) = _flat(left), _flat(right)
-        both = np.intersect1d(token_a, token_b)
-        n = np.zeros((len(left), len(right)), dtype=np.float32)
-        sides = []
-        for row, token in ((row_a, token_a), (row_b, token_b)):
-            cell = np.searchsorted(both, token)
-            known = both[np.minimum(cell, len(both) - 1)] == token if len(both) else np.zeros(len(token), bool)
-            row, cell = row[known], cell[known]
-            by = np.argsort(cell, kind="stable")
-            sides.append((row[by], cell[by]))
-        for at in range(0, len(both), wide):
-            m = []
-            for (row, cell), rows in zip(sides, (left, right), strict=True):
-                a, b = np.searchsorted(cell, [at, at + wide])
-                x = np.zeros((len(rows), min(wide, len(both) - at)), dtype=np.float32)
-                x[row[a:b], cell[a:b] - at] = 1
-                m.append(x)
-            n += m[0] @ m[1].T
-        n = n.astype(np.float64)
+        na, nb, n = shared_counts(left["tokens"], right["tokens"])
         j, o = scores.LOOKUP
-        score = j * (n / (na[:, None] + nb[None, :] - n)) + o * (n / na[:, None])
+        score = j * (n / (na + nb - n)) + o * (n / na)
         i, k = np.nonzero(score >= near)
         return pd.DataFrame({"left_id": left["record_id"].to_numpy()[i], "right_id": right["record_id"].to_numpy()[k], "score": score[i, k]})
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from .blocks import shared_counts
 
 #: Provinces in their order.
 PROVINCES = ("ON", "BC", "YT")
@@ -60,21 +66,59 @@ def _ranked(top: DataFrame) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sim_score"), "record_id")))  # n rows
 
 
-def batch_by_tokens(anchors: DataFrame, candidates: DataFrame, n: int = 5) -> DataFrame:
+def _rounded(x: np.ndarray, digits: int = 4) -> np.ndarray:
+    """x rounded half up in its shortest decimal form, as SQL rounds."""
+    scaled = x * 10**digits
+    out = np.floor(scaled + 0.5) / 10**digits
+    for at in np.argwhere(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
+        out[tuple(at)] = float(Decimal(repr(float(x[tuple(at)]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
+
+
+def _best_of_blocks(anchors: DataFrame, candidates: DataFrame, value: str, score: Callable[[pd.Series, pd.Series], np.ndarray], n: int, block: int) -> DataFrame:
+    """(anchor_id, record_id, sim_score, rank): blocks of both sides meet, each pair of blocks in a group of its own, and give the n best
+    of the block for each of its anchors; of these the n best are ranked, equal ones by record_id."""
+    left, right = (max(1, -(-side.count() // block)) for side in (anchors, candidates))
+    a = anchors.select("anchor_id", value, F.pmod(F.xxhash64("anchor_id"), F.lit(left)).alias("lb"), F.explode(F.expr(f"sequence(0L, {right - 1}L)")).alias("rb"))
+    c = candidates.select("record_id", F.col(value).alias("theirs"), F.pmod(F.xxhash64("record_id"), F.lit(right)).alias("rb"), F.explode(F.expr(f"sequence(0L, {left - 1}L)")).alias("lb"))
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"anchor_id": np.zeros(0, np.int64), "record_id": np.zeros(0, np.int64), "sim_score": np.zeros(0)})
+        y = y.sort_values("record_id", ignore_index=True)
+        s = score(x[value], y["theirs"])
+        best = np.argsort(-s, axis=1, kind="stable")[:, :n]
+        return pd.DataFrame({"anchor_id": np.repeat(x["anchor_id"].to_numpy(), best.shape[1]), "record_id": y["record_id"].to_numpy()[best.reshape(-1)], "sim_score": np.take_along_axis(s, best, 1).reshape(-1)})
+
+    hits = a.groupBy("lb", "rb").cogroup(c.groupBy("lb", "rb")).applyInPandas(meet, "anchor_id long, record_id long, sim_score double")
+    w = Window.partitionBy("anchor_id").orderBy(F.desc("sim_score"), "record_id")
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def batch_by_tokens(anchors: DataFrame, candidates: DataFrame, n: int = 5, block: int = 2048) -> DataFrame:
     """(anchor_id, record_id, sim_score, rank) for many anchors (anchor_id, tokens) over candidates (record_id, tokens).
 
-    An inverted index scores pairs with a common token; each anchor is filled up with the n candidates of least record_id at 0,
-    which are the same few for all. Ranked by score rounded to 4, then record_id.
+    Blocks meet as 0/1 matrices, so no token, however frequent, makes rows of pairs. Ranked by score rounded to 4, then record_id;
+    candidates without a common token count 0 and may fill up. Tokens are compared by 64-bit hashes.
     """
-    a = anchors.select("anchor_id", F.size("tokens").alias("na"), F.explode("tokens").alias("token"))
-    c = candidates.select("record_id", F.size("tokens").alias("nc"), F.explode("tokens").alias("token"))
-    hits = a.join(c, "token").groupBy("anchor_id", "na", "record_id", "nc").agg(F.count("*").alias("n"))
-    hits = hits.select("anchor_id", "record_id", F.round(scores.blended(F.col("n"), F.col("na"), F.col("nc")), 4).alias("sim_score"))
-    least = candidates.select("record_id").orderBy("record_id").limit(n)
-    fill = anchors.select("anchor_id").join(F.broadcast(least), how="cross").withColumn("sim_score", F.lit(0.0))
-    both = hits.union(fill).groupBy("anchor_id", "record_id").agg(F.max("sim_score").alias("sim_score"))
-    w = Window.partitionBy("anchor_id").orderBy(F.desc("sim_score"), "record_id")
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+    def score(x: pd.Series, y: pd.Series) -> np.ndarray:
+        na, nb, shared = shared_counts(x, y)
+        j, o = scores.LOOKUP
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return _rounded(np.where(shared > 0, j * (shared / (na + nb - shared)) + o * (shared / na), 0.0))
+
+    hashed = F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")
+    return _best_of_blocks(anchors.select("anchor_id", hashed), candidates.select("record_id", hashed), "tokens", score, n, block)
+
+
+def batch_by_vectors(anchors: DataFrame, candidates: DataFrame, n: int = 5, block: int = 4096) -> DataFrame:
+    """The same by inner product of (anchor_id, embedding) and (record_id, embedding); rows without a vector drop out."""
+
+    def score(x: pd.Series, y: pd.Series) -> np.ndarray:
+        return np.stack(x.to_numpy()).astype(np.float64) @ np.stack(y.to_numpy()).astype(np.float64).T
+
+    return _best_of_blocks(anchors.filter("embedding is not null"), candidates.filter("embedding is not null"), "embedding", score, n, block)
 
 
 class Lookup:
@@ -110,12 +154,16 @@ class Lookup:
         return found.withColumn("ngs_match", same_category(F.col("_ngs"), F.col("NGS_code"))).withColumn("score_method", F.lit(method)).drop("_ngs", "tokens", "embedding")
 
     def search_batch(self, anchors: DataFrame, out_province: str, top_n: int = 5) -> DataFrame:
-        """search by tokens for many anchors (province, fsc_code) at once: anchor_id, record_id, sim_score, rank."""
+        """search for many anchors (province, fsc_code) at once, by vectors where there are any, else by tokens: anchor_id, record_id, sim_score, rank."""
         wanted = anchors.select("province", text.canonical_code(F.col("fsc_code")).alias("_code")).distinct()
         keyed = self.records.withColumn("_code", text.canonical_code(F.col("fsc_code"))).join(wanted, ["province", "_code"])
         first = keyed.groupBy("province", "_code").agg(F.min_by(F.struct("record_id", "tokens"), "record_id").alias("r"))
         chosen = first.select(F.col("r.record_id").alias("anchor_id"), F.col("r.tokens").alias("tokens"))
-        return batch_by_tokens(chosen, self.records.filter(F.col("province") == out_province), top_n)
+        candidates = self.records.filter(F.col("province") == out_province)
+        if not self.embedding_available:
+            return batch_by_tokens(chosen, candidates, top_n)
+        vectors = self.embeddings.select("record_id", "embedding")
+        return batch_by_vectors(chosen.join(vectors.withColumnRenamed("record_id", "anchor_id"), "anchor_id"), candidates.select("record_id").join(vectors, "record_id"), top_n)
 
 
 def province_list(records: DataFrame, provinces=PROVINCES) -> DataFrame:

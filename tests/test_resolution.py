@@ -138,6 +138,18 @@ def test_lookup_by_vectors(spark):
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (2, [0.6, 0.8]), (4, [1.0, 0.0])], "record_id long, embedding array<float>")
     api = lookup.Lookup(lookups(spark), vectors)
     assert [(r.record_id, round(r.sim_score, 4)) for r in api.search("K040", "ON", "BC").orderBy("rank").collect()] == [(4, 1.0), (2, 0.6)]
+    batch = api.search_batch(spark.createDataFrame([("ON", "k040"), ("ON", "none")], "province string, fsc_code string"), "BC", 2).orderBy("rank").collect()
+    assert [(r.anchor_id, r.record_id, round(r.sim_score, 4)) for r in batch] == [(0, 4, 1.0), (0, 2, 0.6)]
+
+
+def test_batch_by_vectors_in_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(7, 4)), r.normal(size=(50, 4)).round(1)
+    frame = lambda m, name: spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())] + [(99, None)], f"{name} long, embedding array<double>")
+    got = {(r.anchor_id, r["rank"]): r.record_id for r in lookup.batch_by_vectors(frame(x, "anchor_id"), frame(y, "record_id"), 3, block=10).collect()}
+    assert got == {(i, k + 1): int(j) for i in range(7) for k, j in enumerate(np.lexsort((np.arange(50), -(y @ x[i])))[:3])}
 
 
 def test_windows(spark):
