@@ -53,3 +53,25 @@ def test_pipeline_on_null_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
     assert {(r.doc_id, r.text) for r in docs.collect()} >= {(None, "a text"), (3, "some words here")}
+
+
+def test_pipeline_on_an_empty_table(spark):
+    docs = documents(spark, [])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        assert not docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_pipeline_on_repeated_rows(spark):
+    """Rows that occur twice, copies and clean texts: one row of each group is left and packed once."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(4)]
+    docs = documents(spark, [(1, texts[0]), (1, texts[0]), (2, texts[0]), (3, texts[1]), (3, texts[1]), (3, texts[2]), (4, texts[3] + " end"), (5, texts[3])]).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        if name == "toxicity":
+            assert docs.count() == 8
+    left = sorted((r.doc_id, r.text) for r in docs.collect())
+    assert left == [(1, texts[0]), (3, texts[1]), (3, texts[2]), (4, texts[3] + " end")]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in packed) == [1, 3, 3, 4]
