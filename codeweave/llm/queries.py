@@ -125,7 +125,7 @@ def _url_filters_sql() -> str:
     from r1 left join (select host, path, template from done) using (host, path) left join judged using (host, template)"""
 
 
-#: DuckDB SQL by query; a query without is tested against a brute-force version in tests/llm.
+#: DuckDB SQL by query (op10's without bands or hashes: all pairs with a common shingle); a query without is tested against a brute-force version in tests/llm.
 ORACLES: dict[str, str] = {
     "op1_url_filters": _url_filters_sql(),
     "op5_warc_revisits": """
@@ -164,5 +164,46 @@ select record_id, canonical_url, status, outcome, case when status = 200 then re
   case when status = 200 or outcome in ('resolved', 'unchecked') then 'text/html' end content_type,
   case when status = 200 then cast(len as varchar) when outcome in ('resolved', 'unchecked') then cast(source.len as varchar) else '0' end content_length
 from judged
+""",
+    "op2_substring_dedup": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
+windows as (select doc_id, s, array_to_string(ws[s:s + 19], ' ') as k from (select *, unnest(range(1, len(ws) - 18)) as s from w)),
+repeats as (select doc_id, s from windows qualify row_number() over (partition by k order by doc_id, s) > 1),
+gone as (select distinct doc_id, unnest(range(s, s + 20)) as i from repeats),
+kept as (select doc_id, string_agg(word, ' ' order by i) as text from words anti join gone using (doc_id, i) group by doc_id),
+removed as (select doc_id, count(*) as n from gone group by doc_id)
+select doc_id, len(ws) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256 from w left join kept using (doc_id) left join removed using (doc_id)
+""",
+    "op7_benchmark_decontamination": r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark where item_id is not null),
+iw as (select distinct item, span, array_to_string(ws[s:s + span - 1], ' ') as k from (select *, unnest(range(1, len(ws) - span + 2)) as s from (select *, least(10, len(ws)) as span from b where len(ws) > 0))),
+dw as (select doc_id, span, s, array_to_string(ws[s:s + span - 1], ' ') as k from (select *, unnest(range(1, len(ws) - span + 2)) as s from d, (select distinct span from iw) where len(ws) >= span)),
+hits as (select doc_id, item, s, span from dw join iw using (span, k)),
+counted as (select doc_id, count(distinct i) as n_hit from (select doc_id, unnest(range(s, s + span)) as i from hits) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by doc_id),
+tokens as (select doc_id, unnest(ws) as term, generate_subscripts(ws, 1) as pos from d),
+terms as (select distinct item, unnest(ws) as term from b),
+rare as (select item, term from terms left join (select term, count(*) as df from tokens group by term) using (term) qualify row_number() over (partition by item order by coalesce(df, 0), term) <= 3),
+near as (select distinct doc_id, item from (select doc_id, item, need, count(distinct term) over (partition by doc_id, item order by pos range between 19 preceding and current row) as got
+    from tokens join (select *, count(*) over (partition by item) as need from rare) using (term)) where got = need),
+nears as (select doc_id, count(*) as n_near, string_agg(item, ',' order by item) as items from near group by doc_id)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items.items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near, sha256(coalesce(nears.items, '')) as near_sha256
+from d left join counted using (doc_id) left join items using (doc_id) left join nears using (doc_id)
+""",
+    "op10_ngram_jaccard_join": r"""
+with recursive t as (select coalesce(text, '') as text, min(doc_id) as node, count(*) as copies from documents group by 1),
+w as (select node, copies, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from t),
+sh as (select distinct node, array_to_string(ws[s:s + 4], ' ') as k from (select *, unnest(range(1, greatest(len(ws) - 3, 2))) as s from w where len(ws) > 0)),
+n as (select node, count(*) as n from sh group by node),
+c as (select a.node as u, b.node as v, count(*) as shared from sh a join sh b on a.k = b.k and a.node < b.node group by all),
+linked as (select u, v from c join n a on a.node = u join n b on b.node = v where shared >= 0.8 * (a.n + b.n - shared) - 1e-9),
+edges as (select u, v from linked union all select v, u from linked),
+reach(node, root) as (select node, node from t union select edges.v, reach.root from reach join edges on edges.u = reach.node),
+classes as (select node, min(root) as class_id from reach group by node),
+links as (select u as node, sum(copies) as links, count(*) as texts from edges join t on t.node = v group by u)
+select doc_id, class_id, cast(coalesce(links, 0) + copies - 1 as bigint) as n_links, coalesce(texts, 0) as n_text_links, copies as n_copies
+from documents d join t on coalesce(d.text, '') = t.text join classes using (node) left join links using (node)
 """,
 }
