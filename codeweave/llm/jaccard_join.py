@@ -41,6 +41,8 @@ STEP, TOLERANCE = 20, 1e-9
 SMALL = 128
 #: A block of a component: about so many nodes, and so many bytes of shingle sets, at most.
 BLOCK, BLOCK_BYTES = 128, 32 << 20
+#: The most texts whose verdicts are broadcast because they have many copies.
+HOT_TEXTS = 10_000
 _MULTIPLIERS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0xA0761D6478BD642F)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -326,8 +328,13 @@ def _judged(docs: DataFrame, shingle: int, threshold: float, tolerance: float, b
     result = nodes.select("node", "first_id", "copies").join(linked, "node", "left").selectExpr(
         "node", "coalesce(class_id, first_id) as class_id", "coalesce(class_node, node) as class_node", "coalesce(links, 0) + copies - 1 as n_links", "coalesce(texts, 0) as n_text_links", "copies as n_copies"
     )
-    result = result.select(own_key("node"), "class_id", "class_node", "n_links", "n_text_links", "n_copies")
-    return signed.select("doc_id", "node").join(result, "node")
+    result = materialise(result, "jaccard-result")
+    # texts with more than a HOT_TEXTS-th of all rows, of which there are fewer than HOT_TEXTS, meet their rows without a shuffle
+    rows = result.agg(F.coalesce(F.sum("n_copies"), F.lit(0))).first()[0]
+    hot = F.col("n_copies") * HOT_TEXTS > F.lit(rows)
+    keyed, many = signed.select("doc_id", "node"), F.broadcast(result.filter(hot))
+    rest = keyed.join(F.broadcast(result.filter(hot).select("node")), "node", "left_anti").join(result.filter(~hot), "node")
+    return keyed.join(many, "node").unionByName(rest)
 
 
 def join_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, small: int = SMALL) -> DataFrame:
