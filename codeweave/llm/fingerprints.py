@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, words_of
+from .common import U64, mix, words_of
 from .jaccard_join import _shingles
 
 SHINGLE, SCALE = 5, 4
@@ -28,33 +28,50 @@ DIGITS = 16
 RANGES_A_TASK = 4
 
 
-def fingerprints(texts: pa.Array, shingle: int = SHINGLE, scale: int = SCALE) -> list[str]:
-    """The fingerprint of each text."""
+def _sketches(texts: pa.Array, shingle: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the kept hashes, both ascending, each once."""
     limit = U64(((1 << 64) - 1) // scale)
-    out: list[str] = []
+    texts_, prints_ = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
     for first, end, w in words_of(texts):
         text, prints = _shingles(w, shingle)
+        if not len(text):
+            continue
         kept = prints <= limit
-        if len(text):
-            heads = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-            none = np.bincount(text[kept], minlength=end - first)[text[heads]] == 0
-            least = np.minimum.reduceat(prints, heads)[none]
-            text, prints = np.append(text[kept], text[heads][none]), np.append(prints[kept], least)
+        heads = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        none = np.bincount(text[kept], minlength=end - first)[text[heads]] == 0
+        least = np.minimum.reduceat(prints, heads)[none]
+        text, prints = np.append(text[kept], text[heads][none]), np.append(prints[kept], least)
         order = np.lexsort((prints, text))
         text, prints = text[order], prints[order]
-        if len(text):
-            once = np.append(True, (text[1:] != text[:-1]) | (prints[1:] != prints[:-1]))
-            text, prints = text[once], prints[once]
-        digits = prints.astype(">u8").tobytes().hex()
-        cuts = np.searchsorted(text, np.arange(end - first + 1)) * DIGITS
-        out += [digits[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    return out
+        once = np.append(True, (text[1:] != text[:-1]) | (prints[1:] != prints[:-1]))
+        texts_.append(first + text[once])
+        prints_.append(prints[once])
+    return np.concatenate(texts_), np.concatenate(prints_)
+
+
+def _spelt(text: np.ndarray, prints: np.ndarray, n: int) -> list[str]:
+    """The fingerprints of n texts."""
+    digits = prints.astype(">u8").tobytes().hex()
+    cuts = np.searchsorted(text, np.arange(n + 1)) * DIGITS
+    return [digits[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def _likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """likeness() of the sketches of equal number, for numbers under n."""
+    keys = [mix(prints + mix(text.astype(U64))) for text, prints in (a, b)]
+    _, at, _ = np.intersect1d(*keys, assume_unique=True, return_indices=True)
+    shared, sizes = np.bincount(a[0][at], minlength=n)[:n], [np.bincount(x[0], minlength=n)[:n] for x in (a, b)]
+    return np.where(np.maximum(*sizes) == 0, 1.0, shared / np.maximum(np.minimum(*sizes), 1))
+
+
+def fingerprints(texts: pa.Array, shingle: int = SHINGLE, scale: int = SCALE) -> list[str]:
+    """The fingerprint of each text."""
+    return _spelt(*_sketches(texts, shingle, scale), len(texts))
 
 
 def hashes(fingerprint: Column) -> Column:
     """The hashes of a fingerprint as an array of strings."""
-    whole = F.transform(F.sequence(F.lit(0), F.greatest(F.length(fingerprint) / DIGITS, F.lit(1)).cast("int") - 1), lambda i: F.substr(fingerprint, i * DIGITS + 1, F.lit(DIGITS)))
-    return F.when(F.coalesce(fingerprint, F.lit("")) == "", F.array().cast("array<string>")).otherwise(whole)
+    return F.regexp_extract_all(fingerprint, F.lit(f".{{{DIGITS}}}"), F.lit(0))
 
 
 def containment(part: Column, whole: Column) -> Column:
@@ -125,22 +142,30 @@ def _neighbour_batches(shingle: int, scale: int):
         for batch in batches:
             rows = held + list(zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "is_end", "copies")], strict=True))
             held = rows[-1:]
-            own = fingerprints(pa.array([r[1] for r in rows], pa.string()), shingle, scale)
-            out = []
-            for i in range(len(rows) - 1):
-                doc, text, part, is_end, copies = rows[i]
-                if is_end:
-                    continue
+            if len(rows) < 2:
+                continue
+            own = _sketches(pa.array([r[1] for r in rows], pa.string()), shingle, scale)
+            spelt = _spelt(*own, len(rows))
+            behind = _likeness(own, (own[0][own[0] > 0] - 1, own[1][own[0] > 0]), len(rows) - 1)
+            at, edited, near_next, copies = [], [], [], []
+            for i, (_, text, _, is_end, many) in enumerate(rows[:-1]):
                 # all but the last of equal rows are followed by their like
-                for n, following in ((copies - 1, i), (1, i + 1)):
-                    if n:
+                for n, following, near in ((many - 1, text, 1.0), (1, rows[i + 1][1], behind[i])):
+                    if n and not is_end:
                         half = len(text) // 2
-                        out.append((doc, len(text), text[: len(text) - half] + rows[following][1][:half], own[i], own[following], n))
-            doc, size, edited, mine, theirs, n = (list(x) for x in zip(*out, strict=True)) if out else ([] for _ in range(6))
+                        at.append(i)
+                        edited.append(text[: len(text) - half] + following[:half])
+                        near_next.append(near)
+                        copies.append(n)
+            changed = _sketches(pa.array(edited, pa.string()), shingle, scale)
+            bounds = np.searchsorted(own[0], np.arange(len(rows) + 1))
+            many = np.diff(bounds)[at] if at else np.zeros(0, np.int64)
+            mine = np.repeat(bounds[at] - np.cumsum(many) + many, many) + np.arange(many.sum()) if at else np.zeros(0, np.int64)
             columns = {
-                "doc_id": pa.array(doc, pa.int64()), "n_chars": pa.array(size, pa.int64()), "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], pa.string()),
-                "fingerprint": pa.array(mine, pa.string()), "edited_fingerprint": pa.array(fingerprints(pa.array(edited, pa.string()), shingle, scale), pa.string()),
-                "next_fingerprint": pa.array(theirs, pa.string()), "copies": pa.array(n, pa.int64()),
+                "doc_id": pa.array([rows[i][0] for i in at], pa.int64()), "n_chars": pa.array([len(rows[i][1]) for i in at], pa.int64()),
+                "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), "fingerprint": pa.array([spelt[i] for i in at], pa.string()),
+                "edited_fingerprint": pa.array(_spelt(*changed, len(at)), pa.string()), "near_edited": pa.array(_likeness((np.repeat(np.arange(len(at)), many), own[1][mine]), changed, len(at))),
+                "near_next": pa.array(near_next, pa.float64()), "copies": pa.array(copies, pa.int64()),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -168,6 +193,6 @@ def compare_with_edits(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCA
     shared = spark.sparkContext.broadcast(heads)
     dealt = rows.mapInArrow(_ranged_batches(shared), "late boolean, doc_id long, digest long, text string, part int, is_end boolean, copies long")
     dealt = dealt.repartition(tasks, "part").sortWithinPartitions("part", "is_end", *order)
-    found = dealt.select("doc_id", "text", "part", "is_end", "copies").mapInArrow(_neighbour_batches(shingle, scale), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string, copies long")
-    found = found.select("*", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("next_fingerprint", "copies", "copy")
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, copies long"
+    found = dealt.select("doc_id", "text", "part", "is_end", "copies").mapInArrow(_neighbour_batches(shingle, scale), schema)
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy")

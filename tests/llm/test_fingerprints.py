@@ -41,6 +41,8 @@ def check(spark, rows):
     assert Counter((r.doc_id, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == Counter(
         (d, hashlib.sha256(e.encode()).hexdigest(), by_text[t], by_text[e], round(like(t, e), 9), round(like(t, a), 9)) for d, _, e, t, a in want
     )
+    columns = fp.compare_with_edits(docs).select("near_edited", fp.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("by_column")).collect()
+    assert all(abs(r.near_edited - r.by_column) < 1e-12 for r in columns)
     return got
 
 
