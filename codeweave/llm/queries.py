@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, fingerprints, jaccard_join, packing, sharding, substring_dedup, token_counts, toxicity, url_filters, warc
+from . import ann, collocations, decontamination, fingerprints, jaccard_join, packing, sharding, substring_dedup, token_alignment, token_counts, toxicity, url_filters, warc
 
 
 #: Characters of text that a page has at least, if it isn't thin.
@@ -73,6 +73,16 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language of `documents`."""
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of two tokenizers over every document, with the corpus-wide counts of its id pairs."""
+    return token_alignment.align_and_count(_table(spark, sf_dir, "documents"))
+
+
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents"))
@@ -89,6 +99,8 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_token_alignment": op12_token_alignment,
     "op13_document_fingerprints": op13_document_fingerprints,
 }
 
@@ -197,6 +209,22 @@ near as (select distinct doc_id, item from (select doc_id, item, need, count(dis
 nears as (select doc_id, count(*) as n_near, string_agg(item, ',' order by item) as items from near group by doc_id)
 select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items.items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near, sha256(coalesce(nears.items, '')) as near_sha256
 from d left join counted using (doc_id) left join items using (doc_id) left join nears using (doc_id)
+""",
+    "op11_phrase_collocations": r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from (select lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as piece from d)),
+g as (select lang, k, array_to_string(ws[s:s + k - 1], ' ') as phrase from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as s from p, (select unnest([1, 2, 3, 4]) as k) where len(ws) >= k)),
+f as (select lang, k, phrase, count(*) as f from g group by all),
+n as (select lang, sum(f) as n from f where k = 1 group by lang),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from f where k > 1 and f >= 30),
+cuts as (select lang, c.phrase, c.k, a, cut, x.f as l, y.f as r, cast(2000000::hugeint * a // (x.f + y.f) as bigint) as score
+  from (select *, unnest(range(1, k)) as cut, array_to_string(ws[1:cut], ' ') as first_part, array_to_string(ws[cut + 1:k], ' ') as rest from c) c
+  join f x using (lang) join f y using (lang) where x.phrase = first_part and x.k = cut and y.phrase = rest and y.k = c.k - cut),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+around as (select lang, array_to_string(ws[s:s + m - 1], ' ') as phrase, max(a) as most from (select *, unnest(range(1, k - m + 2)) as s from (select *, unnest(range(2, k)) as m from c)) group by all),
+kept as (select best.* from best left join around using (lang, phrase) where most is null or 100 * most < 80 * a)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join n using (lang) where rank <= 2000
 """,
     "op10_ngram_jaccard_join": r"""
 with recursive t as (select coalesce(text, '') as text, min(doc_id) as node, count(*) as copies from documents group by 1),
