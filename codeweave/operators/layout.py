@@ -3,17 +3,21 @@
 Lines: province, page, line_no, text, x0, font_size (further columns pass unused). A line is of one kind:
 code (opens a record), close (heading that ends one), chapter and sub (headings that don't), price, body (continues an
 open record) or none. Records are the segments between code and close lines; lines before the first or after a close belong to none.
+
+The parser's state (headings, open record) goes from one range of pages to the next by a segmented prefix scan: ranges are reduced to
+parts of records, one summary a range says what it leaves open, and an exclusive scan over the summaries what lay open before it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from .records import carried, first_in_order, ordered_concat, segment
+from .graph import materialise
+from .records import ordered_concat, up_to_now
 
 #: The first page of the ON indexes.
 ON_INDEX_PAGE = 829
@@ -29,6 +33,9 @@ ON_NOTE = r"^(payment ?rules?|\[?commentary|note:|\d+\.|[a-z]\.|claims ?submissi
 BC_NOTE = r"^(note|(i{1,4}v?|vi{0,3}|ix|x{0,3})\)|\d+\))"
 YT_NOTE = r"^(note|\d+\.|[a-z]\.)"
 ORDER = ("page", "line_no")
+HEADINGS = ("chapter", "section", "sub")
+#: Pages of a range.
+RANGE_PAGES = 16
 FIELDS = ["province", "fsc_code", "fsc_fn", "fsc_chapter", "fsc_section", "fsc_subsection", "fsc_description", "fsc_notes", "fsc_others", "price", "page", "entry_x0"]
 
 
@@ -111,61 +118,80 @@ def classify_yt(lines: DataFrame) -> DataFrame:
     })
 
 
-def _records(lines: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Classified lines to records."""
-    lines = lines.withColumn("seg", segment(F.col("kind").isin("code", "close"), by, ORDER))
-    for field, event in (("chapter", "chapter_event"), ("section", "section_event"), ("sub", "sub_event")):
-        lines = lines.withColumn(field, carried(F.col(event), by, ORDER))
-    of_seg = [*by, "seg"]
-    first = F.first_value(F.when(F.col("kind").isin("code", "close"), F.struct("kind", "opened"))).over(_whole(of_seg))
-    lines = lines.filter("kind in ('code', 'close', 'price', 'body')").withColumn("head", first).filter("head.kind = 'code'")
-    body = F.col("kind") == "body"
-    pending = F.col("head.opened.title") == ""
-    # the line that the pending name waits for: the first that may name the record
-    place = F.sum((body & F.col("can_name")).cast("int")).over(_so_far(of_seg))
-    lines = lines.withColumn("waited", body & F.col("can_name") & pending & (place == 1))
-    split = F.col("waited") & F.col("splits")
-    value = F.when(split, text.without_price(F.col("body"))).otherwise(F.col("body"))
-    candidate = F.when(pending & (F.col("waited") | (body & F.col("margin"))), text.nonblank(value))
-    lines = lines.withColumns({"value": value, "candidate": candidate})
-    named = F.count("candidate").over(_so_far(of_seg))
-    lines = lines.withColumn("names", F.col("candidate").isNotNull() & (named == 1)).withColumn("unnamed_before", (named - F.col("candidate").isNotNull().cast("int")) == 0)
-    price = (
-        F.when(F.col("kind") == "code", F.col("opened.price"))
-        .when(F.col("kind") == "price", F.ltrim(F.col("text"), F.lit("$")))
-        .when(split & F.col("unnamed_before"), text.price_at_end(F.col("body")))
-    )
-    note = body & F.col("note") & ~F.col("waited")
-    at = F.struct("page", "line_no")
-    code = F.col("kind") == "code"
-    only = lambda c: F.max(F.when(code, c))  # noqa: E731  one code line a segment
-    out = lines.groupBy(*of_seg).agg(
-        *([] if "province" in by else [only(F.col("province")).alias("province")]), only(F.col("opened.code")).alias("fsc_code"), F.coalesce(text.nonblank(only(F.col("opened.title"))), F.max(F.when(F.col("names"), F.col("value"))), F.lit("")).alias("fsc_fn"),
-        only(F.col("chapter")).alias("fsc_chapter"), only(F.col("section")).alias("fsc_section"), only(F.col("sub")).alias("fsc_subsection"),
-        ordered_concat(F.when(body & ~note & ~F.col("names"), F.col("value")), at).alias("fsc_description"), ordered_concat(F.when(note, F.col("body")), at).alias("fsc_notes"), F.lit("").alias("fsc_others"),
-        first_in_order(price, at).alias("price"), only(F.col("page")).alias("page"), only(F.col("x0")).alias("entry_x0"), only(F.col("line_no")).alias("line_no"),
+def _parts(lines: DataFrame, by: Sequence[str], range_pages: int) -> DataFrame:
+    """Classified lines to parts: what one record has in one range of pages (`rng`). Ranges are worked on side by side.
+
+    seg names the record by its boundary line; null where the boundary lies before the range. chapter, section and sub are null where
+    the range has no event yet.
+    """
+    lines = lines.filter("kind <> 'none'").withColumn("rng", F.floor(F.coalesce("page", F.lit(-1)) / range_pages))
+    here = up_to_now([*by, "rng"], ORDER)
+    last = lambda e: F.last_value(e, ignoreNulls=F.lit(True)).over(here)
+    boundary = F.when(F.col("kind").isin("code", "close"), F.struct(*ORDER, (F.col("kind") == "code").alias("is_code")))
+    lines = lines.select("*", last(boundary).alias("seg"), last(F.col("chapter_event")).alias("chapter"), last(F.col("section_event")).alias("section"), last(F.col("sub_event")).alias("sub"))
+    body = (F.col("kind") == "body") & F.coalesce(F.col("seg.is_code"), F.lit(True))
+    first = lambda when, *values: F.min(F.when(when, F.struct(*ORDER, *values)))
+    province = [] if "province" in by else ["province"]
+    return lines.groupBy(*by, "rng", "seg").agg(
+        F.max(F.when(F.col("kind") == "code", F.struct(*ORDER, "opened", "x0", "chapter", "section", "sub", *province))).alias("head"),  # one code line a record
+        first(body & F.col("can_name"), "body", "splits").alias("waited"), first(body & F.col("margin") & text.nonblank("body").isNotNull(), "body").alias("margin"),
+        first(F.col("kind") == "price", F.ltrim(F.col("text"), F.lit("$")).alias("price")).alias("amount"),
+        F.collect_list(F.when(body, F.struct(*ORDER, "note", "body"))).alias("texts"), F.max(F.struct(*ORDER, "chapter", "section", "sub")).alias("last"),
     )
-    return out.select(*[c for c in by if c not in FIELDS], *FIELDS, "line_no")
-
-
-def _whole(by: Sequence[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*by).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-
-def _so_far(by: Sequence[str]):
-    from .records import up_to_now
-
-    return up_to_now(by, ORDER)
 
 
-def parse_layout(lines: DataFrame, by: Sequence[str] = ("province",)) -> DataFrame:
-    """Records of all provinces' lines (ON, BC, YT; others give none), with line_no. by: columns that name one document."""
+def _before(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The state before each range (open record, headings), from an exclusive scan over one summary a range."""
+    summaries = parts.groupBy(*by, "rng").agg(F.max("seg").alias("seg"), F.max("last").alias("last"))
+    w = Window.partitionBy(*by).orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c: F.last_value(c, ignoreNulls=F.lit(True)).over(w)
+    return summaries.select(*[F.col(c).alias(f"_{c}") for c in [*by, "rng"]], last("seg").alias("_seg"), F.struct(*[last(f"last.{c}").alias(c) for c in HEADINGS]).alias("_headings"))
+
+
+def _records(lines: DataFrame, by: Sequence[str], range_pages: int) -> DataFrame:
+    """Classified lines to records: parts of each range, what lies open before it, and the parts of one record together."""
+    parts = materialise(_parts(lines, by, range_pages), "layout-parts")
+    on = F.lit(True)
+    for c in [*by, "rng"]:
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    parts = parts.join(_before(parts, by), on).withColumn("seg", F.coalesce("seg", "_seg")).filter("seg.is_code")
+    headings = [F.coalesce(f"head.{c}", f"_headings.{c}", F.lit("")).alias(c) for c in HEADINGS]
+    # a record's first part has its code line
+    head = F.max(F.when(F.col("head").isNotNull(), F.struct("head", *headings))).alias("h")
+    r = parts.groupBy(*by, "seg").agg(head, *[F.min(c).alias(c) for c in ("waited", "margin", "amount")], F.array_sort(F.flatten(F.collect_list("texts"))).alias("texts"))
+    place = lambda c: F.struct(*[F.col(f"{c}.{x}") for x in ORDER])
+    title = F.col("h.head.opened.title")
+    # the line that a pending name waits for, and lines at the margin, which may name the record too
+    r = r.withColumns({"waited": F.when(title == "", F.col("waited")), "margin": F.when(title == "", F.col("margin"))})
+    r = r.withColumn("value", F.when(F.col("waited.splits"), text.without_price(F.col("waited.body"))).otherwise(F.col("waited.body")))
+    unnamed = F.col("waited").isNotNull() & (F.col("margin").isNull() | (place("waited") < place("margin")))
+    by_waited = unnamed & text.nonblank("value").isNotNull()
+    r = r.withColumns({"name": F.when(by_waited, F.col("value")).otherwise(F.col("margin.body")), "named_at": F.when(by_waited, place("waited")).when(F.col("margin").isNotNull(), place("margin"))})
+    split_off = F.when(unnamed & F.col("waited.splits"), text.price_at_end(F.col("waited.body")))
+    after = F.least("amount", F.when(split_off.isNotNull(), F.struct("waited.page", "waited.line_no", split_off.alias("price"))))
+    at = lambda x: F.struct(*[x[c] for c in ORDER])
+    is_waited = lambda x: F.coalesce(F.col("waited").isNotNull() & at(x).eqNullSafe(place("waited")), F.lit(False))
+    is_name = lambda x: F.coalesce(F.col("named_at").isNotNull() & at(x).eqNullSafe(F.col("named_at")), F.lit(False))
+    joined = lambda keep, value: F.array_join(F.filter(F.transform(F.filter("texts", keep), value), lambda v: v != ""), " ")
+    return r.select(
+        *[c for c in by if c not in FIELDS], *([] if "province" in by else [F.col("h.head.province").alias("province")]), *[c for c in by if c in FIELDS], F.col("h.head.opened.code").alias("fsc_code"),
+        F.coalesce(text.nonblank(title), F.col("name"), F.lit("")).alias("fsc_fn"), F.col("h.chapter").alias("fsc_chapter"), F.col("h.section").alias("fsc_section"), F.col("h.sub").alias("fsc_subsection"),
+        joined(lambda x: (~x["note"] | is_waited(x)) & ~is_name(x), lambda x: F.when(is_waited(x), F.col("value")).otherwise(x["body"])).alias("fsc_description"),
+        joined(lambda x: x["note"] & ~is_waited(x), lambda x: x["body"]).alias("fsc_notes"), F.lit("").alias("fsc_others"), F.coalesce("h.head.opened.price", after["price"]).alias("price"),
+        F.col("h.head.page").alias("page"), F.col("h.head.x0").alias("entry_x0"), F.col("h.head.line_no").alias("line_no"),
+    ).select(*[c for c in by if c not in FIELDS], *FIELDS, "line_no")
+
+
+def parse_layout(lines: DataFrame, by: Sequence[str] = ("province",), range_pages: int = RANGE_PAGES) -> DataFrame:
+    """Records of all provinces' lines (ON, BC, YT; others give none), with line_no. by: columns that name one document.
+
+    A document is cut into ranges of pages that are worked on side by side: windows hold the lines of one range, or one summary for
+    each range of a document.
+    """
     of = lambda p: F.col("province") == p
-    on = _records(classify_on(_prepared(lines.filter(of("ON")), 12)), by).withColumn("fsc_subsection", F.lit(""))
-    bc = _records(classify_bc(_prepared(lines.filter(of("BC")), 10)), by)
-    yt = _records(classify_yt(_prepared(lines.filter(of("YT")), 9)), by)
+    on = _records(classify_on(_prepared(lines.filter(of("ON")), 12)), by, range_pages).withColumn("fsc_subsection", F.lit(""))
+    bc = _records(classify_bc(_prepared(lines.filter(of("BC")), 10)), by, range_pages)
+    yt = _records(classify_yt(_prepared(lines.filter(of("YT")), 9)), by, range_pages)
     return on.unionByName(bc).unionByName(yt)
 
 

@@ -591,13 +591,13 @@ def _made_line(province_code: str, every: str) -> tuple[str, str, str]:
     return made, x0, size
 
 
-def _layout_query(province_code: str):
+def _layout_query(province_code: str, range_pages: int = layout.RANGE_PAGES):
     """Lines of the documents with codes and places that follow from line_no."""
 
     def run(t):
         made, x0, size = _made_line(province_code, "")
         lines = doc_lines(t).selectExpr("doc_id", f"'{province_code}' as province", "cast(floor(line_no / 40) as int) as page", "line_no", f"{made} as text", f"cast({x0} as double) as x0", f"cast({size} as double) as font_size")
-        return layout.post_process(layout.parse_layout(lines, ["doc_id", "province"])).drop("line_no", "fsc_others")
+        return layout.post_process(layout.parse_layout(lines, ["doc_id", "province"], range_pages)).drop("line_no", "fsc_others")
 
     return run
 

@@ -85,3 +85,43 @@ def test_spans(spark):
 def test_carry_forward_resets(spark):
     df = spark.createDataFrame([(0, "a"), (1, None), (2, ""), (3, None), (4, "b")], "n int, e string").withColumn("g", F.lit(1))
     assert [r.v for r in df.select("n", records.carried(F.col("e"), ["g"], ["n"]).alias("v")).orderBy("n").collect()] == ["a", "a", "", "", "b"]
+
+
+def test_ranges_of_pages_give_the_rows_of_one_pass(spark):
+    """A document of eight pages, cut into eight ranges, three and one: records, names, prices and headings go on across them."""
+    import random
+
+    r = random.Random(8)
+    kinds = {
+        "ON": [("K%03d Title", 43, 12), ("K%03d", 43, 12), ("text here 4.50", 70, 12), ("Note: one", 70, 12), ("margin words", 50, 12), ("9.99", 400, 12), ("BIG CHAPTER WORDS", 100, 18), ("SMALL HEADING", 40, 12)],
+        "BC": [("%05d Title", 70, 10), ("%05d", 70, 10), ("text here 4.50", 120, 10), ("i) item", 120, 10), ("small", 120, 9), ("77.00", 450, 10), ("Medical Services Commission Diagnostic", 60, 9), ("A Section", 70, 12), ("Sub", 100, 10)],
+        "YT": [("%04d Title", 40, 9), ("%04d", 40, 9), ("text here 4.50", 95, 9), ("note a", 95, 9), ("5.00", 400, 9), ("HUGE", 50, 14), ("UPPER HEAD", 50, 9), ("Sub head:", 50, 9)],
+    }
+    rows = []
+    for province, choices in kinds.items():
+        for page in range(8):
+            for line in range(r.choice([1, 2, 3, 12])):
+                text, x0, size = r.choices(choices, [1, 1, 5, 3, 2] + [1] * (len(choices) - 5))[0]
+                rows.append((province, page, line, text % r.randint(0, 999) if "%" in text else text, float(x0), float(size)))
+    df = spark.createDataFrame(rows, "province string, page int, line_no int, text string, x0 double, font_size double")
+    whole = sorted(map(repr, layout.parse_layout(df, range_pages=100).collect()))
+    assert len(whole) > 10
+    for pages in (1, 3):
+        assert sorted(map(repr, layout.parse_layout(df, range_pages=pages).collect())) == whole
+
+
+def test_windows_hold_one_range_or_summaries(spark):
+    """No window is partitioned by the document alone but the scan over summaries."""
+    df = lines(spark, "ON", ON)
+    plan = layout._parts(layout.classify_on(layout._prepared(df, 12)), ["province"], 2)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x]
+    assert windows and all("rng" in x.split("windowspecdefinition(")[1].split(" ASC")[0] for x in windows)
+
+
+def test_a_document_key_and_page_may_be_null(spark):
+    df = lines(spark, "ON", ON).withColumn("file", F.lit(None).cast("string")).withColumn("page", F.lit(None).cast("int"))
+    df = df.withColumn("province", F.lit("BC")).unionByName(df)
+    got = layout.parse_layout(df, ["file", "province"]).filter("province = 'ON'").collect()
+    assert got == [] or {r.file for r in got} == {None}
+    df = lines(spark, "ON", ON).withColumn("file", F.lit(None).cast("string"))
+    assert {r.fsc_code for r in layout.parse_layout(df, ["file", "province"]).collect()} == {"K040", "S207"}
