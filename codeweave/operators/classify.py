@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, scores, text
+from .topk import top_by_token_sets
 
 ACCEPT = 0.10
 #: Scores of the steps that don't compute one.
@@ -84,8 +85,8 @@ def best_by_tokens(left: DataFrame, right: DataFrame, weights: tuple[float, floa
     """(id, other, score, shared): for each left row the right row of highest score, the least `ord` of equal ones, if it reaches `least`.
 
     left: id, tokens; right: other, ord, tokens. The right side is a dimension: if it is counted to be small, it goes to every task as
-    a 0/1 matrix, and left rows are scored where they lie. Otherwise the token sets meet by token and are counted, so pairs
-    without a common token, whose score is 0, are never made. Common tokens are looked up for the winners only.
+    a 0/1 matrix, and left rows are scored where they lie. Otherwise left rows meet right ones by their rarest tokens until nothing
+    better can come (see topk). Common tokens are looked up for the winners only.
     """
     size = right.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens")).first()
     if 0 < size["rows"] * size["tokens"] <= max_cells:
@@ -98,11 +99,9 @@ def best_by_tokens(left: DataFrame, right: DataFrame, weights: tuple[float, floa
         scored = left.select("id", "tokens").mapInArrow(run, f"id {left.schema['id'].dataType.simpleString()}, place long, score double, shared array<string>")
         others = left.sparkSession.createDataFrame(list(enumerate(known.column("other").to_pylist())), f"place long, other {right.schema['other'].dataType.simpleString()}")
         return scored.join(F.broadcast(others), "place").select("id", "other", "score", "shared")
-    a = left.select("id", F.size("tokens").alias("na"), F.explode("tokens").alias("token"))
-    b = right.select("other", "ord", F.size("tokens").alias("nb"), F.explode("tokens").alias("token"))
-    pairs = a.join(b, "token").groupBy("id", "na", "other", "ord", "nb").agg(F.count("*").alias("n"))
-    scored = pairs.withColumn("score", scores.blended(F.col("n"), F.col("na"), F.col("nb"), weights)).filter(F.col("score") >= least)
-    best = scored.groupBy("id").agg(F.min_by(F.struct("other", "score", "ord"), F.struct((-F.col("score")).alias("s"), "ord")).alias("b")).select("id", "b.*")
+    # beyond it the sets meet by rarest tokens until no better one can come
+    found = top_by_token_sets(left.select(F.col("id").alias("anchor_id"), "tokens"), right.select(F.struct("ord", "other").alias("record_id"), "tokens"), 1, weights, None, least, fill=False)
+    best = found.select(F.col("anchor_id").alias("id"), "record_id.*", F.col("sim_score").alias("score"))
     both = best.join(left.select("id", "tokens"), "id").join(right.select("other", "ord", F.col("tokens").alias("_t")), ["other", "ord"])
     return both.select("id", "other", "score", F.array_sort(F.array_intersect("tokens", "_t")).alias("shared"))
 

@@ -28,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
-def _store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """materialise(), and the table's path for discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -37,7 +38,7 @@ def _store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and survives a lost executor."""
-    return _store(df, name)[0]
+    return stored(df, name)[0]
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -60,7 +61,7 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
     one before it removed.
     """
     spark = edges.sparkSession
-    now, path = _store(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    now, path = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     before = None
     for _ in range(max_rounds):
         both = now.union(now.select("v", "u"))
@@ -70,7 +71,7 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
         small = large.join(down.select(own_key("u"), "m"), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(down.select("u", "m")).distinct()
         last = path
-        now, path = _store(small, name)
+        now, path = stored(small, name)
         discard(spark, last)
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:

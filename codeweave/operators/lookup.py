@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from .blocks import shared_counts
+from .topk import top_by_token_sets
 
 #: Provinces in their order.
 PROVINCES = ("ON", "BC", "YT")
@@ -66,15 +65,6 @@ def _ranked(top: DataFrame) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sim_score"), "record_id")))  # n rows
 
 
-def _rounded(x: np.ndarray, digits: int = 4) -> np.ndarray:
-    """x rounded half up in its shortest decimal form, as SQL rounds."""
-    scaled = x * 10**digits
-    out = np.floor(scaled + 0.5) / 10**digits
-    for at in np.argwhere(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
-        out[tuple(at)] = float(Decimal(repr(float(x[tuple(at)]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
-    return out
-
-
 def _best_of_blocks(anchors: DataFrame, candidates: DataFrame, value: str, score: Callable[[pd.Series, pd.Series], np.ndarray], n: int, block: int) -> DataFrame:
     """(anchor_id, record_id, sim_score, rank): blocks of both sides meet, each pair of blocks in a group of its own, and give the n best
     of the block for each of its anchors; of these the n best are ranked, equal ones by record_id."""
@@ -95,21 +85,13 @@ def _best_of_blocks(anchors: DataFrame, candidates: DataFrame, value: str, score
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def batch_by_tokens(anchors: DataFrame, candidates: DataFrame, n: int = 5, block: int = 2048) -> DataFrame:
+def batch_by_tokens(anchors: DataFrame, candidates: DataFrame, n: int = 5) -> DataFrame:
     """(anchor_id, record_id, sim_score, rank) for many anchors (anchor_id, tokens) over candidates (record_id, tokens).
 
-    Blocks meet as 0/1 matrices, so no token, however frequent, makes rows of pairs. Ranked by score rounded to 4, then record_id;
-    candidates without a common token count 0 and may fill up. Tokens are compared by 64-bit hashes.
+    Ranked by score rounded to 4, then record_id; candidates without a common token count 0 and may fill up. Anchors meet candidates by
+    their rarest tokens until nothing better can come (see topk).
     """
-
-    def score(x: pd.Series, y: pd.Series) -> np.ndarray:
-        na, nb, shared = shared_counts(x, y)
-        j, o = scores.LOOKUP
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return _rounded(np.where(shared > 0, j * (shared / (na + nb - shared)) + o * (shared / na), 0.0))
-
-    hashed = F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")
-    return _best_of_blocks(anchors.select("anchor_id", hashed), candidates.select("record_id", hashed), "tokens", score, n, block)
+    return top_by_token_sets(anchors, candidates, n, scores.LOOKUP)
 
 
 def batch_by_vectors(anchors: DataFrame, candidates: DataFrame, n: int = 5, block: int = 4096) -> DataFrame:
