@@ -9,14 +9,17 @@ words, if fewer). Two documents are linked if the Jaccard similarity of their sh
    1 - (1 - 0.8**ROWS)**BANDS, all but about 1e-7; above it, more. Buckets of the same nodes count once.
 3. Pruning. A bucket of SMALL nodes at most is one row: its pairs' minima are compared STEP at a time, and a pair is
    dropped once the posterior probability of reaching the threshold, under a uniform prior, is below TOLERANCE (BayesLSH,
-   Satuluri and Parthasarathy 2012). What is left is a forest, one edge a node at most. A larger bucket, whose nodes
-   all share a band, stays together as a star round its least node. So boilerplate that only lets weakly similar
-   texts share a band now and then doesn't chain them: components hold what may reach the threshold.
+   Satuluri and Parthasarathy 2012). What is left is a forest, one edge a node at most. Nodes of larger buckets meet
+   once more by shingles: linked sets share one of the first n - ceil(threshold * n) + 1 shingles of each, in any order of
+   all shingles that both follow. Those that many of these nodes have come last in that order, so texts that share
+   boilerplate, however many they are, meet only if it fills threshold / (2 - threshold) of them, about two thirds. Buckets
+   of one shingle are pruned like the others; one that is still large stays together as a star round its least node.
 4. A component's nodes are dealt to blocks, bounded in nodes and in bytes, by size level (linked sets differ in size by the
    threshold at most, so only the same or adjacent levels meet). Each pair of blocks is one group of two bounded blocks:
    pairs of all nodes of a group are looked at inside the task and never become rows.
-5. In a group the minima are compared as above, and what is left is verified on the shingle sets (64-bit fingerprints)
-   and counted. A group returns a count and a root for each node.
+5. In a component of several blocks the minima alone meet first: only nodes with a pair that survives send their shingle
+   sets to that group. There what is left is verified on the sets (64-bit fingerprints) and counted. A group returns a count
+   and a root for each node.
 6. The components of verified links are the classes.
 
 The joins of texts are merge joins at every size: a side grows with the corpus, so it is shuffled from the start.
@@ -41,6 +44,8 @@ STEP, TOLERANCE = 20, 1e-9
 SMALL = 128
 #: A block of a component: about so many nodes, and so many bytes of shingle sets, at most.
 BLOCK, BLOCK_BYTES = 128, 32 << 20
+#: The most shingles that may be put last in the order of a node's shingles. The order is free, so results don't depend on it.
+HOT_SHINGLES = 1_000_000
 #: The most texts whose verdicts are broadcast because they have many copies.
 HOT_TEXTS = 10_000
 _MULTIPLIERS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0xA0761D6478BD642F)) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -118,8 +123,8 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(bands.reshape(-1).view(np.int64)), pa.array(node)], names=["band", "node"])
 
 
-def _set_batches(k: int):
-    """Each node's distinct shingles, as bytes, beside its other columns."""
+def _set_batches(k: int, names: list[str]):
+    """Each node's distinct shingles, as bytes, beside the named columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +133,7 @@ def _set_batches(k: int):
                 text, prints = _shingles(w, k)
                 cuts = np.searchsorted(text, np.arange(end - first + 1))
                 sets += [np.unique(prints[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "copies", "pairs", "minima")] + [pa.array(sets, pa.binary())], names=["node", "copies", "pairs", "minima", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(sets, pa.binary())], names=[*names, "shingles"])
 
     return run
 
@@ -254,6 +259,25 @@ def _prune_batches(threshold: float, least: dict[int, int]):
     return run
 
 
+def _minima_pair(least: dict[int, int]):
+    """The nodes of a group that have a pair whose minima survive, with the group."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node", ignore_index=True)
+        minima = np.stack([np.frombuffer(x, dtype=np.uint32) for x in rows["minima"]])
+        one, side = rows.iloc[0], rows["side"].to_numpy()
+        if (one["l1"], one["b1"]) != (one["l2"], one["b2"]):
+            i, j = (x.reshape(-1) for x in np.meshgrid(np.flatnonzero(side == 0), np.flatnonzero(side == 1), indexing="ij"))
+        else:
+            i, j = np.triu_indices(len(rows), 1)
+        kept = np.unique(np.concatenate(surviving(minima, minima, i, j, least)))
+        names = ["comp", "l1", "b1", "l2", "b2", "side"]
+        groups = rows[names].iloc[kept].to_dict("records")
+        return pd.DataFrame({"node": rows["node"].to_numpy()[kept], "pair": pd.Series(groups, dtype=object)})
+
+    return run
+
+
 def _block_pair(threshold: float, least: dict[int, int]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
@@ -275,9 +299,8 @@ def _block_pair(threshold: float, least: dict[int, int]):
     return run
 
 
-def _candidate_components(nodes: DataFrame, threshold: float, least: dict[int, int], small: int) -> DataFrame:
-    """(node, comp) of the nodes that have a partner which may reach the threshold."""
-    banded = nodes.filter("n > 0").select("node", "minima").mapInArrow(_band_batches, "band long, node long")
+def _bucket_edges(banded: DataFrame, nodes: DataFrame, threshold: float, least: dict[int, int], small: int) -> tuple[DataFrame, DataFrame]:
+    """((u, v) edges that pruning leaves in buckets of `small` nodes at most, (node, centre) of the larger ones) of (band, node)."""
     buckets = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("centre"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mark2"))
     buckets = buckets.filter("centre < most")
     # of buckets with the same nodes one is enough
@@ -285,9 +308,57 @@ def _candidate_components(nodes: DataFrame, threshold: float, least: dict[int, i
     stars = materialise(banded.join(kept.hint("merge"), "band").select("band", "node", "centre", "size"), "jaccard-buckets")
     members = stars.filter(F.col("size") <= small).select("band", "node").join(nodes.select("node", "n", "minima").hint("merge"), "node")
     members = members.groupBy("band").agg(F.collect_list(F.struct("node", "n", "minima")).alias("members")).select("members")  # of `small` nodes at most
-    edges = members.mapInArrow(_prune_batches(threshold, least), "u long, v long")
-    wide = stars.filter((F.col("size") > small) & (F.col("node") != F.col("centre"))).select(F.col("node").alias("u"), F.col("centre").alias("v"))
-    return connected_components(edges.union(wide), "jaccard-candidates").withColumnRenamed("component", "comp")
+    return members.mapInArrow(_prune_batches(threshold, least), "u long, v long"), stars.filter(F.col("size") > small).select("node", "centre")
+
+
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, n): the shingles of a batch's sets and in how many of them they are."""
+    for batch in batches:
+        found, n = np.unique(_joined(batch.column("shingles")), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+
+def _joined(sets: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sets.to_pylist()), dtype=U64)
+
+
+def _prefix_batches(shared, threshold: float):
+    """(band, node): the first shingles of each node's set, those in `shared` last; a linked pair has one of them in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        for batch in batches:
+            sizes = np.array([len(x) // 8 for x in batch.column("shingles").to_pylist()], dtype=np.int64)
+            shingles, owner = _joined(batch.column("shingles")), np.repeat(np.arange(len(batch)), sizes)
+            at = np.minimum(np.searchsorted(hot, shingles), max(0, len(hot) - 1))
+            late = hot[at] == shingles if len(hot) else np.zeros(len(shingles), bool)
+            order = np.lexsort((shingles, late, owner))
+            place = np.arange(len(shingles)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            first = place < (sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(shingles[order][first].view(np.int64)), pa.array(batch.column("node").to_numpy()[owner[first]])], names=["band", "node"])
+
+    return run
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes (node, doc_id of one row that has it); repeated rows meet in a pre-aggregated group."""
+    return docs.join(nodes.select("node", "doc_id").hint("merge"), ["doc_id", "node"], "left_semi").groupBy("node").agg(F.max("text").alias("text"))
+
+
+def _candidate_components(docs: DataFrame, nodes: DataFrame, shingle: int, threshold: float, least: dict[int, int], small: int) -> DataFrame:
+    """(node, comp) of the nodes that have a partner which may reach the threshold. docs: doc_id, node, text; nodes: node, first_id, n, minima."""
+    banded = nodes.filter("n > 0").select("node", "minima").mapInArrow(_band_batches, "band long, node long")
+    edges, large = _bucket_edges(banded, nodes, threshold, least, small)
+    large = materialise(large.select("node").distinct(), "jaccard-large")
+    if not large.isEmpty():
+        wide = large.join(nodes.select("node", F.col("first_id").alias("doc_id")).hint("merge"), "node")
+        sets = materialise(_texts_of(docs, wide).mapInArrow(_set_batches(shingle, ["node"]), "node long, shingles binary"), "jaccard-sets")
+        often = sets.select("shingles").mapInArrow(_shingle_batches, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > small)
+        hot = often.orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).select("shingle").toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(hot.column("shingle").to_numpy().view(U64)))
+        more, stars = _bucket_edges(sets.mapInArrow(_prefix_batches(shared, threshold), "band long, node long"), nodes, threshold, least, small)
+        edges = edges.union(more).union(stars.filter("node <> centre").selectExpr("node as u", "centre as v"))
+    return connected_components(edges, "jaccard-candidates").withColumnRenamed("component", "comp")
 
 
 def _judged(docs: DataFrame, shingle: int, threshold: float, tolerance: float, block: int, small: int) -> DataFrame:
@@ -297,7 +368,7 @@ def _judged(docs: DataFrame, shingle: int, threshold: float, tolerance: float, b
     signed = materialise(docs.mapInArrow(_signature_batches(shingle), "doc_id long, node long, n long, minima binary"), "jaccard-signatures")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("minima").alias("minima"))
     nodes = materialise(nodes, "jaccard-nodes")
-    members = _candidate_components(nodes, threshold, least, small).join(nodes.select("node", "copies", "n"), "node")
+    members = _candidate_components(docs, nodes, shingle, threshold, least, small).join(nodes.select("node", "copies", "n"), "node")
     total = members.groupBy("comp").agg(F.count("*").alias("total"), F.sum("n").alias("total_n"))
     fits = (F.col("total") <= block) & (F.col("total_n") * 8 <= BLOCK_BYTES)
     members = members.join(total.select(own_key("comp"), "total", "total_n"), "comp").withColumn("level", F.when(fits, 0).otherwise(F.floor(F.log("n") / -math.log(threshold))).cast("int")).drop("total", "total_n")
@@ -311,14 +382,19 @@ def _judged(docs: DataFrame, shingle: int, threshold: float, tolerance: float, b
         if(o.level > level or (o.level = level and b >= block),
            struct(comp as comp, level as l1, cast(block as int) as b1, o.level as l2, b as b2, 0 as side),
            struct(comp as comp, o.level as l1, b as b1, level as l2, cast(block as int) as b2, 1 as side)))))"""
-    dealt = dealt.selectExpr("node", "copies", f"{pairs} as pairs").join(nodes.select("node", F.col("first_id").alias("doc_id"), "minima").hint("merge"), "node")
-    # one row a node carries its text; repeated rows of it meet in a pre-aggregated group
-    texts = docs.join(dealt.select("node", "doc_id").hint("merge"), ["doc_id", "node"], "left_semi").groupBy("node").agg(F.max("text").alias("text"))
+    dealt = dealt.selectExpr("node", "copies", "aggregate(others, 0, (s, o) -> s + o.blocks) > 1 as several", f"{pairs} as pairs")
+    dealt = materialise(dealt.join(nodes.select("node", F.col("first_id").alias("doc_id"), "minima").hint("merge"), "node"), "jaccard-dealt")
+    key = ["comp", "l1", "b1", "l2", "b2"]
     pair_type = "array<struct<comp:long,l1:int,b1:int,l2:int,b2:int,side:int>>"
-    sets = texts.join(dealt.select("node", "copies", "pairs", "minima"), "node").select("node", "text", "copies", "pairs", "minima")
-    sets = sets.mapInArrow(_set_batches(shingle), f"node long, copies long, pairs {pair_type}, minima binary, shingles binary")
+    # of several blocks: the groups in which a node has a pair that survives
+    met = dealt.filter("several").select("node", "minima", F.explode("pairs").alias("pair")).select("node", "minima", "pair.*")
+    met = met.groupBy(*key).applyInPandas(_minima_pair(least), f"node long, pair {pair_type[6:-1]}").groupBy("node").agg(F.collect_list("pair").alias("pairs"))  # its own blocks and those opposite
+    several = dealt.filter("several").drop("pairs", "several").join(met.hint("merge"), "node")
+    dealt = materialise(dealt.filter("not several").drop("several").unionByName(several), "jaccard-meeting")
+    sets = _texts_of(docs, dealt).join(dealt.select("node", "copies", "pairs", "minima"), "node").select("node", "text", "copies", "pairs", "minima")
+    sets = sets.mapInArrow(_set_batches(shingle, ["node", "copies", "pairs", "minima"]), f"node long, copies long, pairs {pair_type}, minima binary, shingles binary")
     sets = sets.select("node", "copies", "shingles", "minima", F.explode("pairs").alias("pair")).select("node", "copies", "shingles", "minima", "pair.*")
-    found = sets.groupBy("comp", "l1", "b1", "l2", "b2").applyInPandas(_block_pair(threshold, least), "node long, root long, texts long, links long")
+    found = sets.groupBy(*key).applyInPandas(_block_pair(threshold, least), "node long, root long, texts long, links long")
     found = materialise(found, "jaccard-links")
     parts = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "jaccard-classes")
     counts = found.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("links").alias("links"))

@@ -77,17 +77,41 @@ def test_one_doc_id_whose_texts_are_near(spark):
     assert J.keep_first_of_class(documents(spark, rows).repartition(4)).count() == 1
 
 
-def test_weak_similarity_does_not_chain(spark):
-    """Texts that share half their words are candidates now and then; pruning keeps them out of one component."""
-    common = [f"c{i}" for i in range(60)]
-    rows = [(i, " ".join(common + [f"t{i}_{j}" for j in range(60)])) for i in range(300)]
-    docs = documents(spark, rows).withColumn("node", J.text_digest(J.F.col("text")))
-    nodes = docs.select("doc_id", "node", "text").mapInArrow(J._signature_batches(5), "doc_id long, node long, n long, minima binary")
-    assert nodes.mapInArrow(J._band_batches, "band long, node long").groupBy("band").count().filter("count > 1").count() > 10
-    assert J._candidate_components(nodes, 0.8, J.least_matches(), 1000).count() == 0
-    assert J.join_near_duplicates(documents(spark, rows)).filter("n_links > 0").count() == 0
+def components(spark, rows):
+    docs = documents(spark, rows).withColumn("node", J.text_digest(J.F.col("text"))).select("doc_id", "node", "text")
+    nodes = docs.mapInArrow(J._signature_batches(5), "doc_id long, node long, n long, minima binary").withColumnRenamed("doc_id", "first_id")
+    assert nodes.mapInArrow(J._band_batches, "band long, node long").groupBy("band").count().filter(f"count > {J.SMALL}").count() > 0
+    return J._candidate_components(docs, nodes, J.SHINGLE, J.THRESHOLD, J.least_matches(), J.SMALL)
 
 
+def test_weak_similarity_does_not_chain(spark):
+    """6,000 texts with 40 common and 20 own words, no pair linked: many share a band, none ends in a large component."""
+    common = [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join(common + [f"t{i}_{j}" for j in range(20)])) for i in range(6000)]
+    assert components(spark, rows).groupBy("comp").count().filter(f"count > {J.SMALL}").count() == 0
+
+
+def test_links_within_boilerplate_are_found(spark):
+    """Of texts that share two thirds of their words, every tenth has near copies: their links, and no others."""
+    common = [f"c{i}" for i in range(40)]
+    rows = []
+    for i in range(400):
+        own = [f"t{i}_{j}" for j in range(20)]
+        rows.append((10 * i, " ".join(common + own)))
+        if i % 10 == 0:
+            rows += [(10 * i + k, " ".join(common + own[:-1] + [f"end{k}"])) for k in (1, 2)]
+    comp = components(spark, rows)
+    assert comp.groupBy("comp").count().agg(J.F.max("count")).first()[0] <= 3
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in J.join_near_duplicates(documents(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_large_clusters_of_near_copies(spark):
+    """More copies than a block or bucket holds, and boilerplate beside them: minima meet before the shingle sets do."""
+    common = [f"c{i}" for i in range(60)]
+    rows = near_copies(330) + [(i, " ".join(common + [f"t{i}_{j}" for j in range(30)])) for i in range(300)]
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in J.join_near_duplicates(documents(spark, rows).repartition(3)).collect()}
+    assert got == brute(rows)
 
 
 def test_bayes_pruning_keeps_what_can_reach_the_threshold():
