@@ -203,7 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str | None = None, max_rows:
     at most and none is rejected.
     """
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(grade or "toxic").cast("int").alias("grade")).filter("doc_id is not null and grade >= 0")
-    y = y.groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # only labels of these documents count towards the bound
+    here = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    y = y.groupBy("doc_id").agg(F.max("grade").alias("grade")).join(here, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     once = texts.join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.max("grade").alias("grade"), F.max("text").alias("text"))
     rows = materialise(once.select("grade", "text"), "toxicity-sample")

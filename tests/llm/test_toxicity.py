@@ -119,3 +119,37 @@ def test_given_grades_and_repeated_rows(spark):
     assert np.mean([x.grade == g for x, g in held]) > 0.95 and all(x.toxic == (g > 0) for x, g in held)
     means = [np.mean([x.expected_severity for x, g in held if g == k]) for k in range(4)]
     assert all(a + 0.5 < b for a, b in zip(means, means[1:], strict=False))
+
+
+def test_foreign_labels_change_nothing(spark):
+    """Labels of documents that aren't there, many times the bound: the model is the same without them."""
+    rows = corpus(400, 6)
+    docs = documents(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    foreign = spark.range(10_000, 40_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    a, b = T.fit(docs, labels, max_rows=300), T.fit(docs, labels.union(foreign), max_rows=300)
+    assert (a.weights == b.weights).all() and (a.thresholds == b.thresholds).all() and a.reject == b.reject and (a.weights != 0).any()
+    assert T.judge(docs, labels.union(foreign), max_rows=300).filter("toxic").count() > 40
+
+
+def test_fit_against_newton():
+    """Weights and thresholds against Newton steps on the likelihood written out plainly, derivatives by differences."""
+    r = np.random.default_rng(8)
+    n, m = 1500, 4
+    x = r.random((n, m)) < 0.4
+    score = x @ np.array([2.5, 1.8, -2.0, 1.2])
+    grades = (score + r.logistic(size=n) > 1).astype(int) + (score + r.logistic(size=n) > 3).astype(int)
+
+    def loss(v):
+        above = 1 / (1 + np.exp(v[m:][None, :] - (x @ v[:m])[:, None]))
+        edges = np.column_stack([np.ones(n), above, np.zeros(n)])
+        return -np.log(edges[np.arange(n), grades] - edges[np.arange(n), grades + 1]).mean() + 1e-4 * (v[:m] @ v[:m]) / 2
+
+    v, h = np.array([0.0] * m + [0.5, 2.0]), 1e-4
+    steps = np.eye(len(v)) * h
+    for _ in range(12):
+        grad = np.array([(loss(v + s) - loss(v - s)) / (2 * h) for s in steps])
+        hess = np.array([[(loss(v + s + t) - loss(v + s - t) - loss(v - s + t) + loss(v - s - t)) / (4 * h * h) for t in steps] for s in steps])
+        v = v - np.linalg.solve(hess, grad)
+    model = T.fit_ordinal(*np.nonzero(x), grades, bits=6)
+    assert np.allclose(model.weights[:m], v[:m], atol=0.02) and np.allclose(model.thresholds, v[m:], atol=0.02)
