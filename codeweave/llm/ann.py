@@ -7,9 +7,10 @@ only if no nearer kept neighbour is ALPHA times closer to it, and reverse edges
 for BLOCK_QUERIES queries, which stream past it in Arrow batches and are searched with a beam; the best K over all
 shards are ranked.
 
-Inner product is turned to distance by one more dimension, sqrt(M^2 - |x|^2), M the shard's largest norm; vectors of equal
-norm are unchanged by it. Graphs and beams work in single precision on vectors divided by the shard's largest component,
-so none is too small or too large for it. What they find is scored on the original vectors, in double precision.
+Graphs join directions: they are built on vectors of length 1. Beams follow their edges ranked by inner product, from the medoid and
+the STARTS longest vectors, so a long vector is found from any of its direction's neighbours. Both work in single precision, beams on
+vectors divided by the shard's largest component, so none is too large for it. What they find is scored on the original
+vectors, in double precision.
 """
 
 from __future__ import annotations
@@ -26,26 +27,28 @@ from .common import bounded_broadcast, materialise
 
 K, EVERY = 20, 20
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
-SEARCH_BEAM = 128
+SEARCH_BEAM, STARTS = 192, 16
 MIN_SHARDS, SHARD_ROWS, BLOCK_QUERIES = 12, 20_000, 100_000
 TOGETHER = 512
 #: Different vector lengths whose counts may be broadcast.
 MAX_LENGTHS = 100_000
 
 
-def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(points: np.ndarray, graph: np.ndarray, start: int | np.ndarray, queries: np.ndarray, beam: int, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, squared distances) of the `beam` nearest that a greedy search of each query finds, nearest first; -1 where fewer.
 
-    graph: neighbours of each node, -1 for none. All queries step together: each expands its nearest node not yet expanded.
+    graph: neighbours of each node, -1 for none; start: the node or nodes to begin with. inner: nearest by inner product, its
+    negative double stands for the distance. All queries step together: each expands its nearest node not yet expanded.
     """
     q, n = len(queries), len(points)
-    norms = np.einsum("ij,ij->i", points, points)
-    own = np.einsum("ij,ij->i", queries, queries)
+    start = np.atleast_1d(start)[:beam]
+    norms = np.zeros(n, dtype=points.dtype) if inner else np.einsum("ij,ij->i", points, points)
+    own = np.zeros(q, dtype=points.dtype) if inner else np.einsum("ij,ij->i", queries, queries)
     nodes = np.full((q, beam), -1, dtype=np.int64)
     dist = np.full((q, beam), np.inf, dtype=np.float32)
     open_ = np.zeros((q, beam), dtype=bool)
-    nodes[:, 0], open_[:, 0] = start, True
-    dist[:, 0] = norms[start] - 2 * queries @ points[start] + own
+    nodes[:, : len(start)], open_[:, : len(start)] = start, True
+    dist[:, : len(start)] = norms[start] - 2 * queries @ points[start].T + own[:, None]
     seen = np.zeros((q, n), dtype=bool)
     seen[:, start] = True
     live = np.arange(q)
@@ -144,12 +147,14 @@ def _shard_rows(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     place = np.arange(len(by)) - np.searchsorted(inverse[by], inverse[by])
     by, place = by[place <= k], place[place <= k]
     scaled = (unique / np.abs(unique).max()).astype(np.float32)
-    norms = np.einsum("ij,ij->i", scaled, scaled)
-    lifted = np.concatenate([scaled, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], axis=1).astype(np.float32)
-    graph, start = build_graph(lifted)
+    unit = unique / np.abs(unique).max(axis=1, keepdims=True)
+    norms = np.sqrt(np.einsum("ij,ij->i", unit, unit))
+    graph, start = build_graph((unit / norms[:, None]).astype(np.float32))
+    longest = np.argsort(-norms * (np.abs(unique).max(axis=1) / np.abs(unique).max()), kind="stable")[:STARTS]
+    starts = np.append(start, longest[longest != start])
     ids = rows["vec_id"].to_numpy()[by]
     return pd.DataFrame({
-        "dim": [unique.shape[1]], "shard": [int(rows["shard"].iloc[0])], "start": [start], "vectors": [unique.tobytes()], "points": [lifted.tobytes()],
+        "dim": [unique.shape[1]], "shard": [int(rows["shard"].iloc[0])], "starts": [starts.astype(np.int64).tobytes()], "vectors": [unique.tobytes()], "points": [scaled.tobytes()],
         "graph": [graph.astype(np.int32).tobytes()], "ids": [ids.astype(np.int64).tobytes()], "owner": [inverse[by].astype(np.int64).tobytes()],
     })
 
@@ -159,9 +164,9 @@ class _Shard:
 
     def __init__(self, row: dict):
         dim = row["dim"]
-        self.key, self.start = (dim, row["shard"]), row["start"]
+        self.key, self.starts = (dim, row["shard"]), np.frombuffer(row["starts"], dtype=np.int64)
         self.vectors = np.frombuffer(row["vectors"], dtype=np.float64).reshape(-1, dim)
-        self.points = np.frombuffer(row["points"], dtype=np.float32).reshape(-1, dim + 1)
+        self.points = np.frombuffer(row["points"], dtype=np.float32).reshape(-1, dim)
         self.graph = np.frombuffer(row["graph"], dtype=np.int32).reshape(len(self.points), -1).astype(np.int64)
         self.ids, owner = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["owner"], dtype=np.int64)
         self.first = np.searchsorted(owner, np.arange(len(self.points) + 1))
@@ -169,8 +174,8 @@ class _Shard:
     def search(self, own: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, vec_id, score) of the k best for each query, whose own ids take no part."""
         # a query's direction alone orders inner products
-        q = np.concatenate([queries / np.abs(queries).max(axis=1, keepdims=True), np.zeros((len(queries), 1))], axis=1).astype(np.float32)
-        nodes, _ = beam_search(self.points, self.graph, self.start, q, beam)
+        q = (queries / np.abs(queries).max(axis=1, keepdims=True)).astype(np.float32)
+        nodes, _ = beam_search(self.points, self.graph, self.starts, q, beam, inner=True)
         who, at = np.nonzero(nodes >= 0)
         node = nodes[who, at]
         score = np.einsum("ij,ij->i", queries[who], self.vectors[node])
@@ -208,7 +213,7 @@ def _search_batches(k: int, beam: int):
     return run
 
 
-GRAPH = "dim int, shard int, start int, vectors binary, points binary, graph binary, ids binary, owner binary"
+GRAPH = "dim int, shard int, starts binary, vectors binary, points binary, graph binary, ids binary, owner binary"
 
 
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, beam: int = SEARCH_BEAM, min_shards: int = MIN_SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from codeweave.llm import ann as A
 
@@ -80,3 +81,25 @@ def test_all_reverse_edges_are_offered():
     graph, start = A.build_graph(x, degree=8, beam=32)
     nodes, _ = A.beam_search(x, graph, start, x, 32)
     assert (nodes[:, 0] == np.arange(len(x))).mean() > 0.95 and (graph < len(x)).all()
+
+
+def unequal(n, spread, seed, dim=64):
+    """Gaussian vectors; spread: deviation of the logarithm of a further factor of their length."""
+    r = np.random.default_rng(seed)
+    return r.normal(size=(n, dim)) * np.exp(spread * r.normal(size=(n, 1)))
+
+
+@pytest.mark.parametrize("n, spread", [(5000, 0.0), (5000, 0.3), (5000, 0.7), (20_000, 0.0)])
+def test_recall_of_one_graph_on_unequal_norms(n, spread):
+    """Inner products of vectors of unequal length, one shard of n rows, against brute force."""
+    x = unequal(n, spread, n)
+    row = A._shard_rows(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x), "shard": 0}), A.K).iloc[0].to_dict()
+    own = np.arange(0, n, n // 200)
+    q, v, _ = A._Shard(row).search(own, x[own], A.K, A.SEARCH_BEAM)
+    hits = 0
+    for i in own:
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(set(v[q == i]) & set(np.argsort(-s)[: A.K]))
+    print(n, spread, hits / A.K / len(own))
+    assert hits >= 0.9 * A.K * len(own)
