@@ -1,12 +1,14 @@
 """Benchmark decontamination over a positional inverted index of the training texts, in DataFrame operations only.
 
 1. Item texts become windows of `length` words (an item of fewer words is one window).
-2. The index: a stored table of postings (term, doc_id, pos) of every term that an item has, over all documents. Other
-   terms can't stand in a match, so they are left out: it answers these items, not later ones.
+2. The index: a stored table of postings (term, key, pos) of every term that an item has, over all documents; a row's key is a
+   64-bit hash of doc_id and text. Other terms can't stand in a match, so they are left out: it answers these items,
+   not later ones. Each row also leaves one entry without a term, at its number of words. Texts are split here, once.
 3. The index's counts rank terms by rarity; each window keeps its two rarest terms, each item its NEAR_TERMS rarest.
 4. Phrases. Postings meet the items' positions by term; pos - item position is a diagonal. A diagonal on which both rare
    terms of some window stand is a candidate: the intersection of offset-adjusted lists, from the rarest terms on.
-   Candidates go to their document and are compared word by word, so matches are exact.
+   Candidates meet the other postings of their stretch of the document, and a window is matched if all its words stand on the
+   diagonal, so matches are exact and texts are not read again.
 5. Proximity. An item is near in a document if its rarest terms stand within NEAR_WORDS words: at each posting the last
    positions of the others are known from a running maximum.
 
@@ -23,6 +25,8 @@ from .common import bounded_broadcast, materialise
 
 LENGTH = 10
 NEAR_TERMS, NEAR_WORDS = 3, 20
+#: Words of a stretch in which candidates meet postings.
+STRETCH = 64
 #: Rows of the items' windows, terms or positions that may be broadcast: some tens of MB at most.
 MAX_ITEM_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,31 +45,37 @@ def words(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, length: int = LENGTH) -> DataFrame:
-    """item_id, item_words, span (words of a window), start (of each window in the item)."""
+    """item_id, item_words, variant (a hash of them, as an item may have several texts), span (words of a window), start (of each window in the item)."""
     texts = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("item_words")).filter("item_id is not null and size(item_words) > 0").distinct()
-    texts = texts.withColumn("span", F.least(F.lit(length), F.size("item_words")))
+    texts = texts.withColumn("span", F.least(F.lit(length), F.size("item_words"))).withColumn("variant", F.xxhash64("item_words"))
     return texts.select("*", F.explode(F.expr("sequence(0, size(item_words) - span)")).alias("start"))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit("")))
+
+
 def index_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings (term, doc_id, pos) of the given terms (one column, term) in docs (doc_id, text); pos counts from 0."""
-    tokens = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return tokens.join(bounded_broadcast(terms.select("term").distinct(), MAX_ITEM_ROWS), "term").select("term", "doc_id", "pos")
+    """Postings (term, doc_id, key, pos) of the given terms (one column, term) in docs (doc_id, text), pos from 0; and for each row one of a null term at its number of words."""
+    tokens = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(None).cast("string")))).alias("pos", "term"))
+    marker = docs.sparkSession.range(1).select(F.lit(None).cast("string"))
+    wanted = bounded_broadcast(terms.select(F.col("term").alias("_term")).distinct().union(marker), MAX_ITEM_ROWS)
+    return tokens.join(wanted, F.col("term").eqNullSafe(F.col("_term")), "left_semi")
 
 
 def build_index(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(index, counts): stored postings (term, doc_id, pos) of the items' terms, and occurrences (term, df) of those that occur."""
+    """(index, counts): stored postings (term, doc_id, key, pos) of the items' terms, with each row's number of words, and occurrences (term, df) of those that occur."""
     terms = items.filter("item_id is not null").select(F.explode(words(F.col("text"))).alias("term"))
-    index = materialise(index_terms(docs.filter("doc_id is not null"), terms), "decontamination-index")
-    return index, materialise(index.groupBy("term").agg(F.count("*").alias("df")), "decontamination-counts")
+    index = materialise(index_terms(docs, terms), "decontamination-index")
+    return index, materialise(index.filter("term is not null and doc_id is not null").groupBy("term").agg(F.count("*").alias("df")), "decontamination-counts")
 
 
 def rare_positions(windows: DataFrame, counts: DataFrame) -> DataFrame:
     """Each window's two rarest positions p1, p2 (the same one for a window of one word); windows with an unseen word are gone."""
-    at = windows.select("item_id", "item_words", "span", "start", F.explode(F.expr("sequence(start, start + span - 1)")).alias("p"))
+    at = windows.select("item_id", "item_words", "variant", "span", "start", F.explode(F.expr("sequence(start, start + span - 1)")).alias("p"))
     at = at.withColumn("term", F.expr("element_at(item_words, p + 1)")).join(counts, "term", "left")
-    best = at.groupBy("item_id", "item_words", "span", "start").agg(F.count("df").alias("seen"), F.sort_array(F.collect_list(F.struct("df", "term", "p"))).alias("ranked"))
-    return best.filter("seen = span").selectExpr("item_id", "item_words", "span", "start", "ranked[0].p as p1", "ranked[least(span - 1, 1)].p as p2")
+    best = at.groupBy("item_id", "item_words", "variant", "span", "start").agg(F.count("df").alias("seen"), F.sort_array(F.collect_list(F.struct("df", "term", "p"))).alias("ranked"))
+    return best.filter("seen = span").selectExpr("item_id", "item_words", "variant", "span", "start", "ranked[0].p as p1", "ranked[least(span - 1, 1)].p as p2")
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -73,50 +83,49 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, length: int = LENGTH, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(doc_id, item_id, starts, span, n_words) for each document row; without matches item_id and starts are null.
+    """(key, item_id, starts, span) of the rows of docs, by their keys, that hold windows of items.
 
-    starts: first words, in the document, of the occurrences of the item's windows. Several rows a document. index: what
-    build_index gave for the same tables, if it is there already.
+    starts: first words, in the document, of the occurrences of the item's windows of `span` words; one row a diagonal. index: what
+    build_index gave for the same tables, if it is there already. Rows without a doc_id are matched with none.
     """
-    docs = _plain(docs)
-    postings, counts = index or build_index(docs, items)
+    postings, counts = index or build_index(_plain(docs), items)
+    postings = postings.filter("term is not null and doc_id is not null")
     windows = materialise(item_windows(items, length), "decontamination-windows")
     rare = materialise(rare_positions(windows, counts), "decontamination-rare")
-    keys = rare.select("item_id", F.explode(F.array("p1", "p2")).alias("p"), "item_words").selectExpr("item_id", "p", "element_at(item_words, p + 1) as term").distinct()
-    wanted = rare.groupBy("item_id", "item_words", "span").agg(F.collect_list(F.struct("p1", "p2")).alias("wanted"))
-    diagonals = postings.join(bounded_broadcast(keys, MAX_ITEM_ROWS), "term").select("doc_id", "item_id", (F.col("pos") - F.col("p")).alias("d"), "p")
-    diagonals = diagonals.groupBy("doc_id", "item_id", "d").agg(F.collect_set("p").alias("found"))
-    wanted = bounded_broadcast(wanted, MAX_ITEM_ROWS)
-    candidates = diagonals.join(wanted, "item_id").filter("exists(wanted, w -> array_contains(found, w.p1) and array_contains(found, w.p2))")
-    by_doc = candidates.groupBy("doc_id").agg(F.collect_list(F.expr("struct(item_id, d, size(item_words) as n)")).alias("candidates"))
-    whole = docs.join(by_doc, "doc_id", "left").select("doc_id", "candidates", F.inline(F.array(F.struct(words(F.col("text")).alias("words")))))
-    # the stretch of the document that stands against item words from .. to - 1 on the diagonal
-    cut = """transform(candidates, c -> struct(c.item_id as item_id, c.d as d, greatest(-c.d, 0) as skipped,
-        slice(words, greatest(c.d, 0) + 1, greatest(least(c.n, c.n + c.d), 0)) as stretch))"""
-    cuts = whole.select("doc_id", F.size("words").cast("long").alias("n_words"), F.explode_outer(F.expr(cut)).alias("c")).select("doc_id", "n_words", "c.*")
-    same = "zip_with(stretch, slice(item_words, skipped + 1, greatest(size(stretch), 0)), (x, y) -> x = y)"
-    starts = "filter(sequence(0, greatest(size(same) - span, 0)), i -> i + span <= size(same) and forall(slice(same, i + 1, span), x -> x))"
-    matched = cuts.join(wanted, "item_id", "left").withColumn("same", F.expr(same)).selectExpr("doc_id", "n_words", "item_id", "span", f"transform({starts}, i -> i + greatest(d, 0)) as starts")
-    return matched.selectExpr("doc_id", "n_words", "if(size(starts) > 0, item_id, null) as item_id", "span", "if(size(starts) > 0, starts, null) as starts")
+    keys = rare.select("item_id", "variant", F.explode(F.array("p1", "p2")).alias("p"), "item_words").selectExpr("item_id", "variant", "p", "element_at(item_words, p + 1) as term").distinct()
+    wanted = rare.groupBy("item_id", "variant", F.size("item_words").alias("n"), "span").agg(F.collect_list(F.struct("p1", "p2")).alias("wanted"))
+    diagonals = postings.join(bounded_broadcast(keys, MAX_ITEM_ROWS), "term").select("key", "item_id", "variant", (F.col("pos") - F.col("p")).alias("d"), "p")
+    diagonals = diagonals.groupBy("key", "item_id", "variant", "d").agg(F.collect_set("p").alias("found"))
+    candidates = diagonals.join(bounded_broadcast(wanted, MAX_ITEM_ROWS), ["item_id", "variant"]).filter("exists(wanted, w -> array_contains(found, w.p1) and array_contains(found, w.p2))")
+    candidates = materialise(candidates.select("key", "item_id", "variant", "n", "span", "d"), "decontamination-candidates")
+    stretch = lambda pos: F.floor(pos / STRETCH)
+    here = candidates.withColumn("stretch", F.explode(F.sequence(stretch(F.greatest("d", F.lit(0))), stretch(F.col("d") + F.col("n") - 1))))
+    there = postings.select("key", "term", "pos", stretch(F.col("pos")).alias("stretch"))
+    at = there.join(here, ["key", "stretch"]).withColumn("p", F.col("pos") - F.col("d")).filter("p between 0 and n - 1")
+    positions = windows.select("item_id", "variant", F.posexplode("item_words").alias("p", "term")).distinct()
+    on_diagonal = at.join(bounded_broadcast(positions, MAX_ITEM_ROWS), ["item_id", "variant", "p", "term"]).groupBy("key", "item_id", "variant", "span", "d").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    starts = "transform(filter(ps, (p, i) -> coalesce(get(ps, i + span - 1) = p + span - 1, false)), p -> p + d)"
+    return on_diagonal.selectExpr("key", "item_id", f"{starts} as starts", "span").filter("size(starts) > 0")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, terms: int = NEAR_TERMS, within: int = NEAR_WORDS, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(doc_id, item_id, pos): the item's `terms` rarest distinct words (all, if fewer) stand within `within` words that end at pos.
+    """(key, item_id, pos): the item's `terms` rarest distinct words (all, if fewer) stand within `within` words that end at pos.
 
     An item with a word that no document has is near in none if that word is among its rarest.
     """
     postings, counts = index or build_index(_plain(docs), items)
+    postings = postings.filter("term is not null and doc_id is not null")
     own = items.select(F.col("item_id").cast("string").alias("item_id"), F.explode(F.array_distinct(words(F.col("text")))).alias("term")).filter("item_id is not null").distinct()
     own = own.join(counts, "term", "left")
     ranked = own.groupBy("item_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))), 1, terms).alias("rarest"))
     keys = materialise(ranked.select("item_id", F.size("rarest").alias("need"), F.posexplode("rarest.term").alias("k", "term")), "decontamination-near")
-    hits = postings.join(bounded_broadcast(keys, MAX_ITEM_ROWS), "term").select("doc_id", "item_id", "need", "k", "pos")
+    hits = postings.join(bounded_broadcast(keys, MAX_ITEM_ROWS), "term").select("key", "item_id", "need", "k", "pos")
     # only documents that hold all of an item's terms go on
-    whole = hits.groupBy("doc_id", "item_id").agg(F.expr("bit_or(1 << k)").alias("seen"), F.max("need").alias("need")).filter("seen = (1 << need) - 1").select("doc_id", "item_id")
-    hits = hits.join(whole, ["doc_id", "item_id"], "left_semi")
-    last = [f"if({k} < need, max(if(k = {k}, pos, null)) over (partition by doc_id, item_id order by pos), pos)" for k in range(terms)]
-    near = hits.selectExpr("doc_id", "item_id", "pos", f"array({', '.join(last)}) as last")
-    return near.filter(f"forall(last, x -> coalesce(x > pos - {within}, false))").select("doc_id", "item_id", "pos")
+    whole = hits.groupBy("key", "item_id").agg(F.expr("bit_or(1 << k)").alias("seen"), F.max("need").alias("need")).filter("seen = (1 << need) - 1").select("key", "item_id")
+    hits = hits.join(whole, ["key", "item_id"], "left_semi")
+    last = [f"if({k} < need, max(if(k = {k}, pos, null)) over (partition by key, item_id order by pos), pos)" for k in range(terms)]
+    near = hits.selectExpr("key", "item_id", "pos", f"array({', '.join(last)}) as last")
+    return near.filter(f"forall(last, x -> coalesce(x > pos - {within}, false))").select("key", "item_id", "pos")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -124,22 +133,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> Da
 
     A word is hit if it lies in an occurrence of any item's window; near_items are those of proximity_matches, whether hit or not.
     Null and empty texts have no words, null and empty items no windows; items with a null item_id are left out. Each row with a
-    null doc_id comes back with its words counted and none hit. Rows with an equal doc_id count as one, of the greatest
-    n_words. Other columns of either table are ignored.
+    null doc_id comes back with its words counted and none hit. Repeated rows give a row each, rows of one doc_id with different
+    texts each by its own text. Other columns of either table are ignored.
     """
     docs = _plain(docs)
     index = build_index(docs, items)
-    named = docs.filter("doc_id is not null")
-    found = phrase_matches(named, items, length, index)
+    found = phrase_matches(docs, items, length, index)
     spans = "array_distinct(flatten(transform(flatten(hits), h -> sequence(h.s, h.s + h.span - 1))))"
     hits = found.withColumn("hit", F.expr("transform(starts, s -> struct(s, span))"))
-    whole = hits.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("hit").alias("hits"), F.sort_array(F.collect_set("item_id")).alias("items"))
-    whole = whole.select("doc_id", "n_words", F.size(F.expr(spans)).cast("long").alias("n_hit"), "items")
-    near = proximity_matches(named, items, index=index).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("near_items"))
+    hits = hits.groupBy("key").agg(F.collect_list("hit").alias("hits"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    hits = hits.select("key", F.size(F.expr(spans)).cast("long").alias("n_hit"), "items")
+    near = proximity_matches(docs, items, index=index).groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("near_items"))
     none = F.array().cast("array<string>")
-    whole = whole.join(near, "doc_id", "left")
-    apart = docs.filter("doc_id is null").select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items"), none.alias("near_items"))
-    both = whole.union(apart).withColumn("near_items", F.coalesce("near_items", none))
+    rows = index[0].filter("term is null").select("doc_id", "key", F.col("pos").cast("long").alias("n_words"))
+    both = rows.join(hits, "key", "left").join(near, "key", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", none), "near_items": F.coalesce("near_items", none)})
     digest = lambda c: F.sha2(F.array_join(c, ","), 256)
     return both.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", digest("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
@@ -148,6 +155,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> Da
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of docs, all columns, that hold no window of any item."""
-    hit = phrase_matches(docs, items, length).filter("item_id is not null").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long") == hit["_hit"], "left_anti")
+    """The rows of docs, all columns, that hold no window of any item; rows without a doc_id stay."""
+    hit = phrase_matches(docs, items, length).select(F.col("key").alias("_hit")).distinct()
+    return docs.join(hit, row_key(docs["doc_id"], docs["text"]) == hit["_hit"], "left_anti")

@@ -73,5 +73,33 @@ def test_empty_tables_and_null_ids(spark):
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "rare odd queer the")], "item_id long, text string")
     docs = documents(spark, [(1, "odd the the rare the queer"), (2, "odd " + "the " * 40 + "rare queer"), (3, "rare odd queer")])
-    found = D.proximity_matches(docs, items, terms=3, within=10).select("doc_id", "pos").collect()
+    found = D.proximity_matches(docs, items, terms=3, within=10).join(docs.select("doc_id", D.row_key(docs["doc_id"], docs["text"]).alias("key")), "key").select("doc_id", "pos").collect()
     assert sorted(map(tuple, found)) == [(1, 5), (3, 2)]
+
+
+def test_rows_of_one_doc_id_are_judged_each_by_its_text(spark):
+    """Two texts with ten hit words each at other places, and one row twice: a row for each."""
+    item = " ".join(f"w{i}" for i in range(10))
+    texts = [item + " tail", "head words here " + item, item + " tail"]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = documents(spark, [(7, t) for t in texts] + [(8, "clean"), (8, item)])
+    got = D.decontaminate(docs, items).select("doc_id", "n_words", "n_hit").collect()
+    assert sorted(map(tuple, got)) == [(7, 11, 10), (7, 11, 10), (7, 13, 10), (8, 1, 0), (8, 10, 10)]
+    assert [(r.doc_id, r.text) for r in D.drop_contaminated(docs, items).collect()] == [(8, "clean")]
+
+
+def test_texts_of_one_item_are_not_mixed(spark):
+    """An item with two texts: a stretch with words of both at their places is no window of either."""
+    a, b = [f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)]
+    mixed = [x if i % 2 else y for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    items = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(b))], "item_id long, text string")
+    rows = [(1, " ".join(mixed)), (2, " ".join(a[1:11])), (3, " ".join(b) + " x"), (4, " ".join(a[:6] + b[6:]))]
+    got = D.decontaminate(documents(spark, rows), items).select("doc_id", "n_hit").collect()
+    assert sorted(map(tuple, got)) == [(1, 0), (2, 10), (3, 12), (4, 0)]
+
+
+def test_a_passage_many_times_in_a_long_text(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    text = " filler ".join([item] * 300)
+    got = D.decontaminate(documents(spark, [(1, text), (2, text[9:])]), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.doc_id: r.n_hit for r in got} == {k: v[1] for k, v in brute([(1, text), (2, text[9:])], [(1, item)]).items()}
