@@ -32,7 +32,7 @@ from .transducers import CountTransducer, combine, sort_rows
 
 LONGEST, LEAST, SCALE, COVERED, TOP = 4, 30, 2_000_000, 80, 2000
 #: Words of a language for each of its ranges, and words of a task whose n-grams are counted together.
-RANGE_WORDS, RUN_WORDS = 2_000_000, 2_000_000
+RANGE_WORDS, RUN_WORDS = 1_500_000, 1_000_000
 #: Bits of a filter for each of its phrases, at least and at most of all, and in a segment.
 PHRASE_BITS, LEAST_BITS, FILTER_BITS, SEGMENT_BITS = 16, 1 << 20, 1 << 28, 1 << 20
 UNKNOWN = "und"
