@@ -7,7 +7,7 @@
    (Lawson and Hanson 1974) finds repeat counts that match the histogram; they are rounded down.
 4. What the rounded counts leave is packed greedily on the histogram: longest first, best fit.
 5. The recipe is applied where the pieces lie: a piece's rank within its bin picks its sequence. Ranks come from counts
-   by (bin, salt), so a bin with a third of all pieces is numbered by many tasks.
+   by (bin, salt), and there are salts by the number of pieces, so a bin with most of them is numbered by many tasks.
 
 Rounding up to bins costs less than `grain` ids of padding a piece, at the end of a sequence: pieces lie gapless.
 """
@@ -23,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded_broadcast, materialise
 
 WINDOW, GRAIN, END_ID = 2048, 8, 1
-SALTS = 256
+#: Salts of a bin at least, and rows of a salt from which on there are more.
+SALTS, SALT_ROWS = 256, 1_000_000
+#: Counts by bin and salt that may be broadcast.
+MAX_CELLS = 1_000_000
 #: Texts of more characters go to the slower library, whose memory doesn't grow with one match.
 LONG_TEXT = 1_000_000
 
@@ -226,7 +229,8 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", window: int = WINDOW
         raise ValueError("window must be a multiple of grain")
     spark = docs.sparkSession
     rows = materialise(pieces(docs, vocabulary, window, end_id), "packing-pieces")
-    rows = rows.withColumn("bin", F.ceil(F.col("length") / grain).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, -(-rows.count() // SALT_ROWS))
+    rows = rows.withColumn("bin", F.ceil(F.col("length") / grain).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     cells = rows.groupBy("bin", "salt").agg(F.count("*").alias("n"))
     counts = np.zeros(window // grain + 1, dtype=np.int64)
     for r in cells.groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most window / grain rows
@@ -234,7 +238,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", window: int = WINDOW
     shared = spark.sparkContext.broadcast(slots(recipe(counts, window // grain)))
     before = cells.selectExpr("bin", "salt", "sum(n) over (partition by bin order by salt rows between unbounded preceding and current row) - n as before")
     ranked = rows.selectExpr("*", "row_number() over (partition by bin, salt order by doc_id, start, ids_crc32, doc_tokens) - 1 as own")
-    ranked = ranked.join(F.broadcast(before), ["bin", "salt"]).withColumn("rank", F.col("before") + F.col("own"))  # at most SALTS * window / grain rows
+    ranked = ranked.join(bounded_broadcast(before, MAX_CELLS), ["bin", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin", "rank")
     placed = ranked.mapInArrow(_assign_batches(shared), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, place long")
     offset = "coalesce(sum(length) over (partition by sequence_id order by place rows between unbounded preceding and 1 preceding), 0) as offset"

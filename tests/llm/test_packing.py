@@ -82,3 +82,21 @@ def test_empty_and_null(spark):
     assert P.pack(documents(spark, [])).count() == 0
     got = P.pack(documents(spark, [(None, None), (1, ""), (1, "")])).collect()
     assert len(got) == 3 and {r.length for r in got} == {1} and {r.sequence_id for r in got} == {0}
+
+
+def test_salts_grow_with_the_rows(spark, monkeypatch):
+    """More salts than the least: every sequence is still whole and gapless."""
+    monkeypatch.setattr(P, "SALTS", 2)
+    monkeypatch.setattr(P, "SALT_ROWS", 5)
+    rows = [(i % 50 if i % 3 else None, "some words " * (i % 40)) for i in range(300)]
+    got = P.pack(documents(spark, rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(got) == 300 and sorted(by) == list(range(len(by)))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= P.WINDOW
