@@ -6,7 +6,7 @@ CELLS cells for each shard; a group heavier than a cell should be is an item of
 are few whatever the corpus, so their three-dimensional loads are gathered, and each, heaviest first, goes to the shard
 whose residual capacity has the highest dot product with it. Where that leaves bytes uneven (the last items balance three
 sums at once), single items are exchanged between the fullest and the emptiest shard. The places travel back as a small
-broadcast table. Slots are numbered from counts by (shard, cell), without gathering a shard.
+broadcast table. Slots are numbered from counts by cell and salt, without gathering a shard.
 
 The law is `bytes`: shard sizes come out near equal, as cells are small against a shard.
 """
@@ -17,10 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded_broadcast, materialise
 
 SHARDS, CELLS = 24, 128
 ROW_BYTES = 8
+#: Rows of a cell that one task numbers, and counts by cell and salt that may be broadcast.
+SALT_ROWS, MAX_SALTS = 1_000_000, 1_000_000
 #: The share of a shard from which on a group of equal texts is split, and that of its pieces.
 SPLIT, PIECE = 0.5, 1 / 16
 #: How far the fullest shard's bytes may lie above the emptiest's before items are exchanged.
@@ -113,7 +115,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS) -> DataFra
     for s in range(shards):
         own = np.flatnonzero(where == s)
         starts[own] = np.cumsum(loads["rows"].to_numpy()[own]) - loads["rows"].to_numpy()[own]
-    places = spark.createDataFrame([(int(c), int(s), int(b)) for c, s, b in zip(loads["cell"], where, starts, strict=True)], "cell long, shard int, before long")
-    rows = rows.join(F.broadcast(places), "cell")
-    slot = "before + row_number() over (partition by cell order by doc_id, group) - 1 as slot"
+    salts = -(-loads["rows"].to_numpy() // SALT_ROWS)
+    places = spark.createDataFrame([tuple(map(int, x)) for x in zip(loads["cell"], where, starts, salts, strict=True)], "cell long, shard int, before long, salts long")
+    rows = rows.join(F.broadcast(places), "cell").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), "salts"))
+    ahead = rows.groupBy("cell", "salt").agg(F.count("*").alias("n")).selectExpr("cell", "salt", "sum(n) over (partition by cell order by salt) - n as ahead")
+    rows = rows.join(bounded_broadcast(ahead, MAX_SALTS), ["cell", "salt"])
+    slot = "before + ahead + row_number() over (partition by cell, salt order by doc_id, group) - 1 as slot"
     return rows.selectExpr("doc_id", "size", "n_tokens", "text_crc32", "'bytes' as law", "shard", slot, "cast(null as int) as grown_shard")

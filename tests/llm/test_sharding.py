@@ -99,3 +99,9 @@ def test_place_prefers_what_is_left():
     where = S.place(loads, 2)
     sums = np.array([loads[where == s].sum(axis=0) for s in range(2)])
     assert (sums == 5).all()
+
+
+def test_cells_numbered_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(S, "SALT_ROWS", 3)
+    rows = odd_texts() + [(1000 + i, "one hot text") for i in range(200)]
+    check(rows, S.assign(documents(spark, rows).repartition(3), shards=4).collect(), 4)
