@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, first_of_key, hash_runs, materialise, mix, words_of
+from .common import U64, Words, first_of_key, hash_runs, materialise, mix, unused, words_of
 
 LENGTH, SEED = 20, 5
 #: Kinds of rows: to meet by anchor; known repeat; to be compared by windows.
@@ -215,8 +215,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Data
     A row with nothing to cut stays as it is. Where words go, text is the kept words joined by one space, and n_chars, if there
     is such a column, its length. A row that loses all its words goes. The text is shuffled with its row, not joined anew.
     """
-    marks = repeated_windows(docs, length, seed).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.expr("cast(lo as long) * 64 + n")).alias("_runs"))
-    both = docs.join(marks, docs["doc_id"].cast("long") == marks["_doc"], "left").drop(marks["_doc"])  # the runs come last
+    key = unused(docs, "_doc")
+    marks = repeated_windows(docs, length, seed).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.expr("cast(lo as long) * 64 + n")).alias(unused(docs, "_runs")))
+    both = docs.join(marks, docs["doc_id"].cast("long") == marks[key], "left").drop(marks[key])  # the runs come last
     schema = docs.schema
     counted = "n_chars" in schema.names
 

@@ -67,3 +67,14 @@ def test_doubled_rows_keep_their_words(spark, parts):
     found = S.dedup_substrings(docs).collect()
     assert len(found) == 12 and all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in found)
     assert S.cut_repeats(docs).filter("doc_id = 2").count() == 3
+
+
+def test_cut_repeats_beside_any_names(spark):
+    """Columns named like the internal ones stay as they are."""
+    passage = " ".join(f"w{i}" for i in range(30))
+    docs = documents(spark, [(1, f"a {passage}"), (2, f"b {passage}")])
+    names = ["_runs", "_RUNS_", "_doc_", "lo", "n", "w", "a", "first", "content", "many", "kept_text", "n_removed"]
+    docs = docs.selectExpr("*", *[f"'{i}' as `{c}`" for i, c in enumerate(names)])
+    got = {r.doc_id: r for r in S.cut_repeats(docs).collect()}
+    assert got[2].text == "b" and S.cut_repeats(docs).columns == docs.columns
+    assert all(got[k][c] == str(i) for k in (1, 2) for i, c in enumerate(names))
