@@ -17,9 +17,9 @@ words, if fewer). Two documents are linked if the Jaccard similarity of their sh
 4. A component's nodes are dealt to blocks, bounded in nodes and in bytes, by size level (linked sets differ in size by the
    threshold at most, so only the same or adjacent levels meet). Each pair of blocks is one group of two bounded blocks:
    pairs of all nodes of a group are looked at inside the task and never become rows.
-5. In a component of several blocks the minima alone meet first: only nodes with a pair that survives send their shingle
-   sets to that group. There what is left is verified on the sets (64-bit fingerprints) and counted. A group returns a count
-   and a root for each node.
+5. In a component of several blocks the minima alone meet first, a byte each, which only adds chance matches: nodes with a
+   pair that survives send their shingle sets to that group, and a bit for each such partner. There what is left is verified
+   on the sets (64-bit fingerprints) and counted. A group returns a count and a root for each node.
 6. The components of verified links are the classes.
 
 The joins of texts are merge joins at every size: a side grows with the corpus, so it is shuffled from the start.
@@ -201,17 +201,19 @@ def _near(n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
     return near & (n_a[:, None] > 0) & (n_b[None, :] > 0)
 
 
-def linked_pairs(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of linked rows of two blocks, or of one block with itself (i < j)."""
+def linked_pairs(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float, least: dict[int, int], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of linked rows of two blocks, or of one block with itself (i < j); among: the pairs that pruning left, if known."""
     one = right is None
     right = left if one else right
-    a = np.stack([np.frombuffer(x, dtype=np.uint32) for x in left["minima"]])
-    b = np.stack([np.frombuffer(x, dtype=np.uint32) for x in right["minima"]])
     sets_a = [np.frombuffer(x, dtype=U64) for x in left["shingles"]]
     sets_b = [np.frombuffer(x, dtype=U64) for x in right["shingles"]]
     n_a, n_b = np.array([len(x) for x in sets_a]), np.array([len(x) for x in sets_b])
     near = _near(n_a, n_b, threshold)
-    i, j = surviving(a, b, *np.nonzero(np.triu(near, 1) if one else near), least)
+    near = near if among is None else near & among
+    i, j = np.nonzero(np.triu(near, 1) if one else near)
+    if among is None:
+        a, b = (np.stack([np.frombuffer(x, dtype=np.uint32) for x in side["minima"]]) for side in (left, right))
+        i, j = surviving(a, b, i, j, least)
     if not len(i):
         return i, j
     both = _matched(sets_a, sets_b, (i, j))
@@ -259,37 +261,61 @@ def _prune_batches(threshold: float, least: dict[int, int]):
     return run
 
 
+def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The minima's lowest bytes: equal minima stay equal, others agree by chance once in 256."""
+    for batch in batches:
+        if len(batch):
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            columns["minima"] = _binary(_fixed(batch.column("minima"), np.uint32).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _sides(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of the group's two sides, and whether it is one block with itself."""
+    one, side = rows.iloc[0], rows["side"].to_numpy()
+    if (one["l1"], one["b1"]) == (one["l2"], one["b2"]):
+        return np.arange(len(rows)), np.arange(len(rows)), True
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1), False
+
+
 def _minima_pair(least: dict[int, int]):
-    """The nodes of a group that have a pair whose minima survive, with the group."""
+    """The nodes of a group that have a pair whose minima survive: the group, the node's place on its side, and bits of its partners' places."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
-        minima = np.stack([np.frombuffer(x, dtype=np.uint32) for x in rows["minima"]])
-        one, side = rows.iloc[0], rows["side"].to_numpy()
-        if (one["l1"], one["b1"]) != (one["l2"], one["b2"]):
-            i, j = (x.reshape(-1) for x in np.meshgrid(np.flatnonzero(side == 0), np.flatnonzero(side == 1), indexing="ij"))
-        else:
-            i, j = np.triu_indices(len(rows), 1)
-        kept = np.unique(np.concatenate(surviving(minima, minima, i, j, least)))
-        names = ["comp", "l1", "b1", "l2", "b2", "side"]
-        groups = rows[names].iloc[kept].to_dict("records")
-        return pd.DataFrame({"node": rows["node"].to_numpy()[kept], "pair": pd.Series(groups, dtype=object)})
+        left, right, own = _sides(rows)
+        minima = np.stack([np.frombuffer(x, dtype=np.uint8) for x in rows["minima"]])
+        i, j = np.triu_indices(len(left), 1) if own else (x.reshape(-1) for x in np.indices((len(left), len(right))))
+        i, j = surviving(minima[left], minima[right], i, j, least)
+        met = np.zeros((len(left), len(right)), dtype=bool)
+        met[i, j] = True
+        met = met | met.T if own else met
+        out = []
+        for at, bits in ((left, met),) if own else ((left, met), (right, met.T)):
+            some = np.flatnonzero(bits.any(axis=1))
+            groups = rows[["comp", "l1", "b1", "l2", "b2", "side"]].iloc[at[some]].to_dict("records")
+            out += [(node, {**g, "place": int(k), "partners": np.packbits(bits[k]).tobytes()}) for node, g, k in zip(rows["node"].to_numpy()[at[some]].tolist(), groups, some, strict=True)]
+        return pd.DataFrame({"node": np.array([n for n, _ in out], dtype=np.int64), "pair": pd.Series([p for _, p in out], dtype=object)})
 
     return run
 
 
+def _among(rows: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+    """Which pairs of the sides' rows _minima_pair left; None where it had no part."""
+    if rows["partners"].iloc[0] is None:
+        return None
+    there = rows["place"].to_numpy()[right]
+    return np.stack([np.unpackbits(np.frombuffer(rows["partners"].iloc[k], dtype=np.uint8))[there] for k in left]).astype(bool)
+
+
 def _block_pair(threshold: float, least: dict[int, int]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
-        left, right = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
-        one = rows.iloc[0]
-        if (one["l1"], one["b1"]) != (one["l2"], one["b2"]):
-            if not len(left) or not len(right):
-                return pd.DataFrame({x: np.zeros(0, dtype=np.int64) for x in ("node", "root", "texts", "links")})
-            i, j = linked_pairs(rows.iloc[left], rows.iloc[right], threshold, least)
-            i, j = left[i], right[j]
-        else:
-            i, j = linked_pairs(rows, None, threshold, least)
+        left, right, own = _sides(rows)
+        if not len(left) or not len(right):
+            return pd.DataFrame({x: np.zeros(0, dtype=np.int64) for x in ("node", "root", "texts", "links")})
+        i, j = linked_pairs(rows.iloc[left], None if own else rows.iloc[right], threshold, least, _among(rows, left, right))
+        i, j = left[i], right[j]
         n, copies, ids = len(rows), rows["copies"].to_numpy(), rows["node"].to_numpy()
         texts = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
         links = np.bincount(i, weights=copies[j], minlength=n) + np.bincount(j, weights=copies[i], minlength=n)
@@ -383,14 +409,20 @@ def _judged(docs: DataFrame, shingle: int, threshold: float, tolerance: float, b
            struct(comp as comp, level as l1, cast(block as int) as b1, o.level as l2, b as b2, 0 as side),
            struct(comp as comp, o.level as l1, b as b1, level as l2, cast(block as int) as b2, 1 as side)))))"""
     dealt = dealt.selectExpr("node", "copies", "aggregate(others, 0, (s, o) -> s + o.blocks) > 1 as several", f"{pairs} as pairs")
-    dealt = materialise(dealt.join(nodes.select("node", F.col("first_id").alias("doc_id"), "minima").hint("merge"), "node"), "jaccard-dealt")
+    dealt = materialise(dealt, "jaccard-dealt")
     key = ["comp", "l1", "b1", "l2", "b2"]
-    pair_type = "array<struct<comp:long,l1:int,b1:int,l2:int,b2:int,side:int>>"
+    group = "comp:long,l1:int,b1:int,l2:int,b2:int,side:int"
+    pair_type = f"array<struct<{group},place:int,partners:binary>>"
     # of several blocks: the groups in which a node has a pair that survives
-    met = dealt.filter("several").select("node", "minima", F.explode("pairs").alias("pair")).select("node", "minima", "pair.*")
+    met = dealt.filter("several").join(nodes.select("node", "minima").hint("merge"), "node").select("node", "minima", "pairs")
+    met = met.mapInArrow(_low_bytes, f"node long, minima binary, pairs array<struct<{group}>>").select("node", "minima", F.explode("pairs").alias("pair")).select("node", "minima", "pair.*")
     met = met.groupBy(*key).applyInPandas(_minima_pair(least), f"node long, pair {pair_type[6:-1]}").groupBy("node").agg(F.collect_list("pair").alias("pairs"))  # its own blocks and those opposite
-    several = dealt.filter("several").drop("pairs", "several").join(met.hint("merge"), "node")
-    dealt = materialise(dealt.filter("not several").drop("several").unionByName(several), "jaccard-meeting")
+    several = dealt.filter("several").select("node", "copies").join(met.hint("merge"), "node").select("node", "copies", "pairs")
+    alone = "transform(pairs, p -> named_struct('comp', p.comp, 'l1', p.l1, 'b1', p.b1, 'l2', p.l2, 'b2', p.b2, 'side', p.side, 'place', 0, 'partners', cast(null as binary))) as pairs"
+    meeting = several.withColumn("several", F.lit(True)).unionByName(dealt.filter("not several").selectExpr("node", "copies", alone, "several"))
+    # minima go on where they haven't met yet
+    dealt = meeting.join(nodes.select("node", F.col("first_id").alias("doc_id"), "minima").hint("merge"), "node").withColumn("minima", F.when(~F.col("several"), F.col("minima"))).drop("several")
+    dealt = materialise(dealt, "jaccard-meeting")
     sets = _texts_of(docs, dealt).join(dealt.select("node", "copies", "pairs", "minima"), "node").select("node", "text", "copies", "pairs", "minima")
     sets = sets.mapInArrow(_set_batches(shingle, ["node", "copies", "pairs", "minima"]), f"node long, copies long, pairs {pair_type}, minima binary, shingles binary")
     sets = sets.select("node", "copies", "shingles", "minima", F.explode("pairs").alias("pair")).select("node", "copies", "shingles", "minima", "pair.*")
