@@ -70,9 +70,9 @@ EXPORT = [
 ]
 
 
-def export_rows(found: DataFrame, map_date: str) -> DataFrame:
-    """The 26 text columns of an export, from rows with row_type ANCHOR or MATCH, sim_score, and the record's columns."""
+def export_rows(found: DataFrame, map_date: str, beside: tuple[str, ...] = ()) -> DataFrame:
+    """The 26 text columns of an export, from rows with row_type ANCHOR or MATCH, sim_score, and the record's columns; and those named in `beside` as they are."""
     score = F.when(F.col("row_type") == "ANCHOR", "1.000").otherwise(F.when(F.col("sim_score").isNotNull(), F.format_string("%.3f", "sim_score")).otherwise(""))
     have = found.withColumn("map_date", F.lit(map_date))
     columns = [score.alias(c) if c == "sim_score" else (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have.columns else F.lit("")).alias(c) for c in EXPORT]
-    return have.select(*columns)
+    return have.select(*columns, *beside)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, scores, text
-from ..operators import classify, ingest, layout, link, lookup, metrics, pages, records, reference_docs
+from ..operators import classify, ingest, layout, link, lookup, metrics, pages, records, reference_docs, substrings
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,6 +284,82 @@ def _(t):
     return lookup.search_text(p.withColumn("province", F.lit("first")), "e", "first").select("record_id", F.col("fsc_fn").alias("name"))
 
 
+def _names(t) -> DataFrame:
+    return t("part").select(F.col("p_partkey").alias("record_id"), F.col("p_brand").alias("province"), F.col("p_type").alias("fsc_code"), F.col("p_name").alias("fsc_fn"))
+
+
+_SUBSTRING_SQL = "select doc_id as record_id, md5(text) as name from documents where contains(upper(source), '{u}') or contains(lower(text), '{l}') order by doc_id limit 200"
+
+
+@query("fuzzy_search_all", "select p_partkey as record_id, p_name as name from part where contains(upper(p_type), 'E') or contains(lower(p_name), 'e') order by p_partkey limit 50")
+def _(t):
+    return lookup.search_text(_names(t), " e ", None, 50).select("record_id", F.col("fsc_fn").alias("name"))
+
+
+@query("fuzzy_search_blank", "select p_partkey as record_id, p_name as name from part where false")
+def _(t):
+    return lookup.search_text(_names(t), "  ").select("record_id", F.col("fsc_fn").alias("name"))
+
+
+@query("fuzzy_search_index", _SUBSTRING_SQL.format(u="LICENSE", l="license"))
+def _(t):
+    d = t("documents").select(F.col("doc_id").alias("record_id"), F.lit("all").alias("province"), F.col("source").alias("fsc_code"), F.col("text").alias("fsc_fn"))
+    return substrings.SubstringIndex.build(d).search(" License ", None, 200).select("record_id", F.md5("fsc_fn").alias("name"))
+
+
+@query("sorted_codes", "with c as (select distinct p_type as code from part where p_brand = (select min(p_brand) from part)) select code, cast(row_number() over (order by code) as int) as place from c")
+def _(t):
+    first = t("part").agg(F.min("p_brand")).first()[0]
+    codes = lookup.Lookup(_blank_record(_names(t))).all_codes_for_province(first)
+    return codes.groupBy().agg(F.collect_list("fsc_code").alias("codes")).select(F.posexplode("codes").alias("place", "code")).select("code", (F.col("place") + 1).alias("place"))
+
+
+def _blank_record(df: DataFrame) -> DataFrame:
+    blank = ["fsc_description", "fsc_section", "fsc_subsection", "fsc_chapter", "NGS_label"]
+    return df.withColumns({c: F.lit("") for c in blank if c not in df.columns})
+
+
+def _lookup_api(t) -> lookup.Lookup:
+    """Documents as records: their number in the source as category, nations as categories."""
+    r = doc_records(t).withColumns({"fsc_code": F.concat(F.lit("K"), "record_id"), "fsc_fn": F.col("text"), "NGS_code": F.concat(F.lit("n"), F.col("record_id") % 30)})
+    dim = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("ngs_code"), F.col("n_name").alias("ngs_label"), F.concat(F.lit("region "), "n_regionkey").alias("ngs_description"), F.col("n_nationkey").alias("ord"))
+    return lookup.Lookup(_blank_record(r.drop("fsc_description").withColumn("NGS_label", F.concat(F.lit("own "), F.col("NGS_code")))), categories=dim)
+
+
+_LOOKUP_SQL = f"""with r as (select doc_id as record_id, {PROV_SQL} as province, 'K' || doc_id as code, 'n' || (doc_id % 30) as ngs, {tokens_sql("concat_ws(' | ', nullif(" + strip_sql("text") + ", ''), 'own n' || (doc_id % 30))")} as t from documents),
+    a as (select * from r where province = 'ON' order by record_id limit 1),
+    c as (select a.code as anchor_code, a.ngs as anchor_ngs, r.record_id, r.ngs, round({_SCORE_SQL.format(a='a.t', b='r.t')}, 4) as sim_score from r, a where r.province = 'BC'),
+    top as (select *, cast(row_number() over (order by sim_score desc, record_id) as int) as rank from c qualify rank <= 5)
+    """
+
+
+@query("lookup_result", _LOOKUP_SQL + """select anchor_code, coalesce(n_name, 'own ' || anchor_ngs) as anchor_label, coalesce('region ' || n_regionkey, '') as anchor_description, record_id, rank, sim_score, ngs = anchor_ngs as ngs_match, 'jaccard' as score_method from top left join nation on anchor_ngs = 'n' || n_nationkey""")
+def _(t):
+    api = _lookup_api(t)
+    code = api.records.filter("province = 'ON'").agg(F.min_by("fsc_code", "record_id")).first()[0]
+    return api.search(code, "ON", "BC").select("anchor_code", "anchor_label", "anchor_description", "record_id", "rank", "sim_score", "ngs_match", "score_method")
+
+
+@query("lookup_export", _LOOKUP_SQL + """select code as anchor_code, 'ANCHOR' as row_type, '1.000' as sim_score, 'jaccard' as score_method, code as fsc_code, 0 as rank from a
+    union all select anchor_code, 'MATCH', printf('%.3f', sim_score), 'jaccard', 'K' || record_id, rank from top""")
+def _(t):
+    """The rows that an export shows of a search: one of the anchor, then its matches."""
+    api = _lookup_api(t)
+    first = api.records.filter("province = 'ON'").orderBy("record_id").limit(1).select("province", "fsc_code")
+    found = api.export(first, "BC")
+    return ingest.export_rows(found, "2024-01-31", ("rank",)).select("anchor_code", "row_type", "sim_score", "score_method", "fsc_code", "rank")
+
+
+_VECTOR_SQL = """with s as (select a.vec_id as anchor_id, c.vec_id as record_id, list_sum(list_transform(list_zip(a.embedding, c.embedding), lambda x: cast(x[1] as double) * cast(x[2] as double))) as s from embeddings a, embeddings c where a.label % 3 = 0 and c.label % 3 = 1)
+    select anchor_id, record_id, round(s, 6) as sim_score, cast(row_number() over (partition by anchor_id order by s desc, record_id) as int) as rank from s qualify rank <= 3"""
+
+
+@query("batch_lookup_vectors", _VECTOR_SQL)
+def _(t):
+    e = t("embeddings")
+    return lookup.batch_by_vectors(e.filter("label % 3 = 0").select(F.col("vec_id").alias("anchor_id"), "embedding"), e.filter("label % 3 = 1").select(F.col("vec_id").alias("record_id"), "embedding"), 3).withColumn("sim_score", F.round("sim_score", 6))
+
+
 @query("cosine_pairs", "select a.vec_id, b.vec_id as next_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: cast(x[1] as double) * cast(x[2] as double))), 6) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 def _(t):
     e = t("embeddings")

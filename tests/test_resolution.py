@@ -142,13 +142,16 @@ def test_lookup_by_vectors(spark):
     assert [(r.anchor_id, r.record_id, round(r.sim_score, 4)) for r in batch] == [(0, 4, 1.0), (0, 2, 0.6)]
 
 
-def test_batch_by_vectors_in_blocks(spark):
+def test_batch_by_vectors_in_blocks(spark, monkeypatch):
     import numpy as np
+    from codeweave.operators import cells
+
+    monkeypatch.setattr(cells, "BLOCK", 10)
 
     r = np.random.default_rng(3)
     x, y = r.normal(size=(7, 4)), r.normal(size=(50, 4)).round(1)
     frame = lambda m, name: spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())] + [(99, None)], f"{name} long, embedding array<double>")
-    got = {(r.anchor_id, r["rank"]): r.record_id for r in lookup.batch_by_vectors(frame(x, "anchor_id"), frame(y, "record_id"), 3, block=10).collect()}
+    got = {(r.anchor_id, r["rank"]): r.record_id for r in lookup.batch_by_vectors(frame(x, "anchor_id"), frame(y, "record_id"), 3).collect()}
     assert got == {(i, k + 1): int(j) for i in range(7) for k, j in enumerate(np.lexsort((np.arange(50), -(y @ x[i])))[:3])}
 
 
