@@ -123,8 +123,8 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(bands.reshape(-1).view(np.int64)), pa.array(node)], names=["band", "node"])
 
 
-def _set_batches(k: int, names: list[str]):
-    """Each node's distinct shingles, as bytes, beside the named columns."""
+def _set_batches(k: int):
+    """Each node's distinct shingles, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +133,7 @@ def _set_batches(k: int, names: list[str]):
                 text, prints = _shingles(w, k)
                 cuts = np.searchsorted(text, np.arange(end - first + 1))
                 sets += [np.unique(prints[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(sets, pa.binary())], names=[*names, "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return run
 
@@ -371,20 +371,24 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(nodes.select("node", "doc_id").hint("merge"), ["doc_id", "node"], "left_semi").groupBy("node").agg(F.max("text").alias("text"))
 
 
-def _candidate_components(docs: DataFrame, nodes: DataFrame, shingle: int, threshold: float, least: dict[int, int], small: int) -> DataFrame:
-    """(node, comp) of the nodes that have a partner which may reach the threshold. docs: doc_id, node, text; nodes: node, first_id, n, minima."""
+def _candidate_components(docs: DataFrame, nodes: DataFrame, shingle: int, threshold: float, least: dict[int, int], small: int) -> tuple[DataFrame, DataFrame]:
+    """((node, comp) of the nodes that have a partner which may reach the threshold, (node, shingles) of at least these). docs: doc_id, node, text; nodes: node, first_id, n, minima.
+
+    Texts are shuffled once, for the sets of all nodes that pruning left or that are in large buckets.
+    """
     banded = nodes.filter("n > 0").select("node", "minima").mapInArrow(_band_batches, "band long, node long")
     edges, large = _bucket_edges(banded, nodes, threshold, least, small)
-    large = materialise(large.select("node").distinct(), "jaccard-large")
+    edges, large = materialise(edges, "jaccard-edges"), materialise(large.select("node").distinct(), "jaccard-large")
+    wanted = edges.select("u").union(edges.select("v")).union(large).withColumnRenamed("u", "node").distinct().join(nodes.select("node", F.col("first_id").alias("doc_id")).hint("merge"), "node")
+    sets = materialise(_texts_of(docs, wanted).mapInArrow(_set_batches(shingle), "node long, shingles binary"), "jaccard-sets")
     if not large.isEmpty():
-        wide = large.join(nodes.select("node", F.col("first_id").alias("doc_id")).hint("merge"), "node")
-        sets = materialise(_texts_of(docs, wide).mapInArrow(_set_batches(shingle, ["node"]), "node long, shingles binary"), "jaccard-sets")
-        often = sets.select("shingles").mapInArrow(_shingle_batches, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > small)
+        own = sets.join(large, "node")
+        often = own.select("shingles").mapInArrow(_shingle_batches, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > small)
         hot = often.orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).select("shingle").toArrow()
         shared = docs.sparkSession.sparkContext.broadcast(np.sort(hot.column("shingle").to_numpy().view(U64)))
-        more, stars = _bucket_edges(sets.mapInArrow(_prefix_batches(shared, threshold), "band long, node long"), nodes, threshold, least, small)
+        more, stars = _bucket_edges(own.mapInArrow(_prefix_batches(shared, threshold), "band long, node long"), nodes, threshold, least, small)
         edges = edges.union(more).union(stars.filter("node <> centre").selectExpr("node as u", "centre as v"))
-    return connected_components(edges, "jaccard-candidates").withColumnRenamed("component", "comp")
+    return connected_components(edges, "jaccard-candidates").withColumnRenamed("component", "comp"), sets
 
 
 def _judged(docs: DataFrame, shingle: int, threshold: float, tolerance: float, block: int, small: int) -> DataFrame:
@@ -394,7 +398,8 @@ def _judged(docs: DataFrame, shingle: int, threshold: float, tolerance: float, b
     signed = materialise(docs.mapInArrow(_signature_batches(shingle), "doc_id long, node long, n long, minima binary"), "jaccard-signatures")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("minima").alias("minima"))
     nodes = materialise(nodes, "jaccard-nodes")
-    members = _candidate_components(docs, nodes, shingle, threshold, least, small).join(nodes.select("node", "copies", "n"), "node")
+    candidates, sets = _candidate_components(docs, nodes, shingle, threshold, least, small)
+    members = candidates.join(nodes.select("node", "copies", "n"), "node")
     total = members.groupBy("comp").agg(F.count("*").alias("total"), F.sum("n").alias("total_n"))
     fits = (F.col("total") <= block) & (F.col("total_n") * 8 <= BLOCK_BYTES)
     members = members.join(total.select(own_key("comp"), "total", "total_n"), "comp").withColumn("level", F.when(fits, 0).otherwise(F.floor(F.log("n") / -math.log(threshold))).cast("int")).drop("total", "total_n")
@@ -421,10 +426,8 @@ def _judged(docs: DataFrame, shingle: int, threshold: float, tolerance: float, b
     alone = "transform(pairs, p -> named_struct('comp', p.comp, 'l1', p.l1, 'b1', p.b1, 'l2', p.l2, 'b2', p.b2, 'side', p.side, 'place', 0, 'partners', cast(null as binary))) as pairs"
     meeting = several.withColumn("several", F.lit(True)).unionByName(dealt.filter("not several").selectExpr("node", "copies", alone, "several"))
     # minima go on where they haven't met yet
-    dealt = meeting.join(nodes.select("node", F.col("first_id").alias("doc_id"), "minima").hint("merge"), "node").withColumn("minima", F.when(~F.col("several"), F.col("minima"))).drop("several")
-    dealt = materialise(dealt, "jaccard-meeting")
-    sets = _texts_of(docs, dealt).join(dealt.select("node", "copies", "pairs", "minima"), "node").select("node", "text", "copies", "pairs", "minima")
-    sets = sets.mapInArrow(_set_batches(shingle, ["node", "copies", "pairs", "minima"]), f"node long, copies long, pairs {pair_type}, minima binary, shingles binary")
+    dealt = meeting.join(nodes.select("node", "minima").hint("merge"), "node").withColumn("minima", F.when(~F.col("several"), F.col("minima"))).drop("several")
+    sets = dealt.join(sets, "node")
     sets = sets.select("node", "copies", "shingles", "minima", F.explode("pairs").alias("pair")).select("node", "copies", "shingles", "minima", "pair.*")
     found = sets.groupBy(*key).applyInPandas(_block_pair(threshold, least), "node long, root long, texts long, links long")
     found = materialise(found, "jaccard-links")

@@ -81,7 +81,7 @@ def components(spark, rows):
     docs = documents(spark, rows).withColumn("node", J.text_digest(J.F.col("text"))).select("doc_id", "node", "text")
     nodes = docs.mapInArrow(J._signature_batches(5), "doc_id long, node long, n long, minima binary").withColumnRenamed("doc_id", "first_id")
     assert nodes.mapInArrow(J._band_batches, "band long, node long").groupBy("band").count().filter(f"count > {J.SMALL}").count() > 0
-    return J._candidate_components(docs, nodes, J.SHINGLE, J.THRESHOLD, J.least_matches(), J.SMALL)
+    return J._candidate_components(docs, nodes, J.SHINGLE, J.THRESHOLD, J.least_matches(), J.SMALL)[0]
 
 
 def test_weak_similarity_does_not_chain(spark):
