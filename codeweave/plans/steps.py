@@ -114,7 +114,7 @@ def run_pages(spark: SparkSession, root: str, services, provinces: list[str] | N
     out = {}
     if not skip_ocr and _exists(spark, f"{root}/page_counts"):
         counts = spark.read.parquet(f"{root}/page_counts")
-        extraction.read_missing_pages(spark, root, counts.filter(F.col("province").isin(provinces)) if provinces else counts, services.read, getattr(services, "delete", None))
+        extraction.read_missing_pages(spark, root, counts.filter(F.col("province").isin(provinces)) if provinces else counts, services.read, getattr(services, "delete", None), sign=getattr(services, "sign", None))
         out["read"] = "done"
     if not _exists(spark, f"{root}/ocr_pages"):
         return {**out, "extract": "waiting", "repair": "waiting"}

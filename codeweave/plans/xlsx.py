@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterable
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
@@ -39,20 +40,28 @@ def _row(number: int, cells: list[str], style: int) -> str:
     return f'<row r="{number}">' + "".join(f'<c r="{_letters(i)}{number}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(c)}</t></is></c>' for i, c in enumerate(cells)) + "</row>"
 
 
+_SHEET = '<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><sheetData>'
+_PARTS = (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS), ("xl/workbook.xml", _BOOK), ("xl/_rels/workbook.xml.rels", _BOOK_RELS), ("xl/styles.xml", _STYLES))
+
+
+def write_book(rows: Iterable, file, same: str | None = None) -> int:
+    """Export rows as a workbook, header frozen and filtered, streamed into `file`; `same` names a boolean field of same-category rows. The number of rows."""
+    styles, n = {"ON": 4, "BC": 5, "YT": 6}, 1
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in _PARTS:
+            z.writestr(name, text)
+        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
+            sheet.write((_SHEET + _row(1, TITLES, 1)).encode())
+            for r in rows:
+                n += 1
+                style = 2 if r["row_type"] == "ANCHOR" else 3 if same and r[same] else styles.get(r["province"], 0)
+                sheet.write(_row(n, [r[c] for c in EXPORT], style).encode())
+            sheet.write(f'</sheetData><autoFilter ref="A1:{_letters(len(EXPORT) - 1)}{n}"/></worksheet>'.encode())
+    return n - 1
+
+
 def workbook(rows: DataFrame, same: str | None = None) -> bytes:
-    """The export rows in their given order, header frozen and filtered; `same` names a boolean column of same-category rows."""
-    styles = {"ON": 4, "BC": 5, "YT": 6}
-    lines = [_row(1, TITLES, 1)]
-    for n, r in enumerate(rows.toLocalIterator(), 2):
-        style = 2 if r["row_type"] == "ANCHOR" else 3 if same and r[same] else styles.get(r["province"], 0)
-        lines.append(_row(n, [r[c] for c in EXPORT], style))
-    last = f"{_letters(len(EXPORT) - 1)}{len(lines)}"
-    sheet = (
-        '<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>'
-        f'<sheetData>{"".join(lines)}</sheetData><autoFilter ref="A1:{last}"/></worksheet>'
-    )
+    """The export rows of one small result in their given order, as bytes; sources.workbook writes larger ones from tasks."""
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS), ("xl/workbook.xml", _BOOK), ("xl/_rels/workbook.xml.rels", _BOOK_RELS), ("xl/styles.xml", _STYLES), ("xl/worksheets/sheet1.xml", sheet)):
-            z.writestr(name, text)
+    write_book(rows.toLocalIterator(), out, same)
     return out.getvalue()

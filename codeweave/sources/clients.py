@@ -32,26 +32,68 @@ def with_retries(call: Callable, attempts: int = 4, pause: float = 10.0, sleep:
     return run
 
 
-def read_pages(todo: DataFrame, read: Callable[[str, list[int]], list[str]], at_once: int = pages.SIZE) -> DataFrame:
-    """(province, page, markdown) of the pages in todo (province, page), `at_once` pages of a province a call."""
+#: Calls a second of the page reader and of the extractor, and calls after which a signed address is renewed.
+READ_RATE, EXTRACT_RATE, SIGNED_FOR = 1 / 0.3, 1 / 0.2, 20
+#: Tasks that share a rate.
+LANES = 4
+
+
+def paced(call: Callable, pause: float, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """call, begun `pause` seconds after its last beginning at the earliest."""
+    begin = -float("inf")
+
+    def run(*args):
+        nonlocal begin
+        sleep(max(0.0, begin + pause - now()))
+        begin = now()
+        return call(*args)
+
+    return run
+
+
+def in_lanes(todo: DataFrame, lanes: int, rate: float | None) -> tuple[DataFrame, float]:
+    """(todo in `lanes` partitions, the pause of each): so many tasks, each keeping its own pause, stay under `rate` calls a second together."""
+    return (todo, 0.0) if rate is None else (todo.repartition(lanes), lanes / rate)
+
+
+def read_pages(todo: DataFrame, read: Callable[[str, list[int]], list[str]], at_once: int = pages.SIZE, lanes: int = LANES, rate: float | None = READ_RATE, sign: Callable[[str], str] | None = None, signed_for: int = SIGNED_FOR) -> DataFrame:
+    """(province, page, markdown) of the pages in todo (province, page), `at_once` pages of a province a call.
+
+    At most `rate` calls a second, from `lanes` tasks. sign, if given, makes the address of a province that read gets in its place; it is
+    renewed after signed_for calls.
+    """
+    numbered = F.struct(F.col("page").cast("int").alias("page"))
+    calls = todo.groupBy("province", F.floor(F.col("page") / at_once).alias("call")).agg(F.sort_array(F.collect_set(numbered)).alias("pages"))  # at_once pages at most
+    calls, pause = in_lanes(calls.select("province", F.col("pages.page").alias("pages")), lanes, rate)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = with_retries(read)
+        call = with_retries(paced(read, pause))
+        address = with_retries(sign) if sign else None
+        signed: dict[str, tuple[str, int]] = {}
         for batch in batches:
-            for province, rows in batch.groupby("province"):
-                numbers = sorted(int(x) for x in rows["page"])
-                for at in range(0, len(numbers), at_once):
-                    part = numbers[at : at + at_once]
-                    yield pd.DataFrame({"province": province, "page": part, "markdown": call(province, part)})
+            for province, numbers in zip(batch["province"], batch["pages"], strict=True):
+                where, used = signed.get(province, (None, signed_for))
+                if address is None:
+                    where = province
+                elif used >= signed_for:
+                    where, used = address(province), 0
+                signed[province] = (where, used + 1)
+                part = [int(x) for x in numbers]
+                yield pd.DataFrame({"province": province, "page": part, "markdown": call(where, part)})
 
-    return todo.select("province", F.col("page").cast("int").alias("page")).mapInPandas(run, "province string, page int, markdown string")
+    return calls.mapInPandas(run, "province string, page int, markdown string")
 
 
-def extract_windows(texts: DataFrame, extract: Callable[[str], str]) -> DataFrame:
-    """(province, start, status, codes, chapter, section) of window texts (province, start, text); a failed call has the status failed and no codes."""
+def extract_windows(texts: DataFrame, extract: Callable[[str], str], lanes: int = LANES, rate: float | None = EXTRACT_RATE) -> DataFrame:
+    """(province, start, status, codes, chapter, section) of window texts (province, start, text); a failed call has the status failed and no codes.
+
+    At most `rate` calls a second, from `lanes` tasks.
+    """
+    prompts = texts.select("province", F.col("start").cast("int").alias("start"), truncated(F.col("text"), ingest.MAX_PROMPT, ingest.MARKER).alias("prompt"))
+    prompts, pause = in_lanes(prompts, lanes, rate)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = with_retries(extract)
+        call = with_retries(paced(extract, pause))
         for batch in batches:
             raw, status = [], []
             for prompt in batch["prompt"]:
@@ -63,7 +105,6 @@ def extract_windows(texts: DataFrame, extract: Callable[[str], str]) -> DataFram
                     status.append("failed")
             yield pd.DataFrame({"province": batch["province"], "start": batch["start"], "status": status, "raw": raw})
 
-    prompts = texts.select("province", F.col("start").cast("int").alias("start"), truncated(F.col("text"), ingest.MAX_PROMPT, ingest.MARKER).alias("prompt"))
     return ingest.parsed_windows(prompts.mapInPandas(run, "province string, start int, status string, raw string")).drop("raw")
 
 

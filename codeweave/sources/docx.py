@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BODY = "file STRING, ord INT, kind STRING, style STRING, text STRING, cells ARRAY<ARRAY<STRING>>"
+_NAMES = ("file", "ord", "kind", "style", "text", "cells")
+_TYPES = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.list_(pa.string())))
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -73,5 +77,18 @@ class DocxBody(DataSource):
         return _Reader([p for p in self.options["path"].split(",") if p])
 
 
+def bodies(spark: SparkSession, path: str, glob: str = "*.docx") -> DataFrame:
+    """The rows of all files of a folder, by Spark's own file source: any file system that it reads, each file in a task of its own memory."""
+
+    def run(batches):
+        for batch in batches:
+            for where, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                rows = [(where, *row) for row in body_of(io.BytesIO(content))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=list(_NAMES))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    return files.mapInArrow(run, BODY)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(DocxBody)

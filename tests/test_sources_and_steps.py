@@ -4,6 +4,7 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 from codeweave.plans import steps, xlsx
 from codeweave.operators import ingest, reference_docs
 from codeweave.sources import clients, docx, pdf, tables
@@ -66,7 +67,7 @@ def test_pdf(spark, monkeypatch):
     monkeypatch.setitem(sys.modules, "fake_pdf_backend", module)
     reader = pdf.PdfSpans({"path": "f", "pages": "7", "per_partition": "3", "backend": "fake_pdf_backend:spans"}).reader(None)
     parts = reader.partitions()
-    assert [p.value for p in parts] == [(1, 3), (4, 6), (7, 7)] and [r[4] for p in parts for r in reader.read(p)] == [f"f {i}" for i in range(1, 8)]
+    assert [p.value for p in parts] == [("f", 1, 3), ("f", 4, 6), ("f", 7, 7)] and [r[4] for p in parts for r in reader.read(p)] == [f"f {i}" for i in range(1, 8)]
 
 
 def test_retries():
@@ -148,13 +149,13 @@ def test_page_path_as_steps(spark, tmp_path):
 
     root = str(tmp_path / "root")
     spark.createDataFrame([("ON", 7), ("BC", 3)], "province string, n int").write.parquet(f"{root}/page_counts")
-    gone = []
+    gone = str(tmp_path / "gone")
     services = types.SimpleNamespace(
-        read=lambda province, numbers: [f"{province} K{n:03d}" for n in numbers], delete=lambda province: gone.append(province) or 1 / 0,
+        read=lambda province, numbers: [f"{province} K{n:03d}" for n in numbers], delete=lambda province: open(gone, "a").write(province) and 1 / 0,
         extract=lambda prompt: json.dumps({"codes": [{"fsc_code": w, "fsc_fn": "name"} for w in prompt.split() if w.startswith("K")]}),
     )
     done = steps.run(spark, root, services=services, provinces=["ON"])
-    assert done["read"] == done["extract"] == done["parse-codes"] == "done" and done["repair"] == "0 windows again" and gone == ["ON"]
+    assert done["read"] == done["extract"] == done["parse-codes"] == "done" and done["repair"] == "0 windows again" and open(gone).read() == "ON"
     assert spark.read.parquet(f"{root}/fee_codes").filter("province = 'ON'").count() == 7
     assert "read" not in steps.run(spark, root, services=services, skip_ocr=True) and spark.read.parquet(f"{root}/ocr_pages").count() == 7
 
@@ -176,3 +177,61 @@ def test_stream(spark, tmp_path):
         q = streaming.start(spark, src, table, mark, availableNow=True)
         q.awaitTermination(60)
     assert {(r.page, r.markdown) for r in spark.read.parquet(table).collect()} == {(0, "m0"), (1, "m0"), (2, "m1")}
+
+
+def test_workbooks_from_executors(spark, tmp_path):
+    """A file for each group of anchors, written by tasks; a failed job leaves none."""
+    from codeweave.sources import workbook
+
+    workbook.register(spark)
+    path = str(tmp_path / "books")
+    rows = [(a, k, "ANCHOR" if not k else "MATCH", 0.5 if k else None, "BC" if k else "ON", k == 1, f"K{a} <&> {k}") for a in range(7) for k in range(3)]
+    df = spark.createDataFrame(rows, "anchor_id long, rank int, row_type string, sim_score double, province string, ngs_match boolean, anchor_code string").repartition(5)
+    workbook.write(df, f"file://{path}", "2024-01-31", anchors_a_file=3)
+    files = sorted(f for f in os.listdir(path) if f.endswith(".xlsx"))
+    assert files == ["group-000000.xlsx", "group-000001.xlsx", "group-000002.xlsx"] and not [f for f in os.listdir(path) if f not in files and f != "_SUCCESS"]
+    seen = []
+    for f in files:
+        with zipfile.ZipFile(f"{path}/{f}") as z:
+            assert z.testzip() is None
+            sheet = z.read("xl/worksheets/sheet1.xml").decode()
+        import xml.etree.ElementTree as ET
+
+        cells = [[c.findtext(".//{*}t") for c in r] for r in ET.fromstring(sheet).iter("{http://schemas.openxmlformats.org/spreadsheetml/2006/main}row")]
+        assert cells[0] == xlsx.TITLES and f'ref="A1:Z{len(cells)}"' in sheet
+        seen += [(c[0], c[1], c[2]) for c in cells[1:]]
+    assert seen == [(f"K{a} <&> {k}", "ANCHOR" if not k else "MATCH", "1.000" if not k else "0.500") for a in range(7) for k in range(3)]
+    with pytest.raises(Exception):
+        bad = df.withColumn("anchor_code", F.when(F.col("anchor_id") == 6, F.raise_error(F.lit("stop"))).otherwise(F.col("anchor_code")))
+        workbook.write(bad, f"file://{path}2", "2024-01-31", anchors_a_file=3)
+    assert not [f for f in (os.listdir(path + "2") if os.path.isdir(path + "2") else []) if f.endswith(".xlsx")]
+
+
+def test_docx_bodies_from_any_file_system(spark, tmp_path):
+    """Two files of a folder, read through Spark's own file source."""
+    from codeweave.sources import docx
+
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    for name in ("a", "b"):
+        with zipfile.ZipFile(tmp_path / f"{name}.docx", "w") as z:
+            z.writestr("word/document.xml", f'<w:document {ns}><w:body><w:p><w:r><w:t>text {name}</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
+    got = docx.bodies(spark, f"file://{tmp_path}").collect()
+    assert sorted((os.path.basename(r.file), r.ord, r.kind, r.text) for r in got) == [("a.docx", 0, "p", "text a"), ("a.docx", 1, "tbl", None), ("b.docx", 0, "p", "text b"), ("b.docx", 1, "tbl", None)]
+    assert {str(r.cells) for r in got if r.kind == "tbl"} == {"[['cell']]"}
+
+
+def pages_backend(path, first, last):
+    for page in range(first, last + 1):
+        yield page, 0, 0, 0, f"{os.path.basename(path)} {page}", 1.0, 2.0, 9.0, "f"
+
+
+def test_pdf_page_ranges_are_pushed_down(spark, tmp_path):
+    from codeweave.sources import pdf
+
+    pdf.register(spark)
+    df = spark.read.format("pdf_spans").option("path", "x.pdf,y.pdf").option("backend", "tests.test_sources_and_steps:pages_backend").option("pages", "100,40").option("per_partition", 10).load()
+    assert df.rdd.getNumPartitions() == 14
+    some = df.filter("page >= 35 and page < 52")
+    assert some.rdd.getNumPartitions() == 3
+    assert sorted((r.text, r.page) for r in some.select("text", "page").collect()) == sorted([(f"x.pdf {p}", p) for p in range(35, 52)] + [(f"y.pdf {p}", p) for p in range(35, 41)])
+    assert sorted(r.page for r in df.filter("page = 7").collect()) == [7, 7]
