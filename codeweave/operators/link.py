@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from .blocks import shared_counts
-from .graph import materialise, own_key
+from .graph import connected_components, discard, materialise, stored
 from .records import numbered
 
 #: Least score of two records with tokens, and of others; score of two records without tokens.
@@ -103,18 +103,20 @@ def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float
 
 
 PAIR_ORDER = ["score", "prov_pair", "left_id", "right_id"]
-#: Pairs that one task may fold.
-LAST_PAIRS = 200_000
-STATE = ["left_id", "right_id", "left_group", "right_group", "left_taken", "right_taken"]
+#: Up to so many pairs one task folds all, and of a component it folds so many at a time; bands of pairs beyond that.
+LAST_PAIRS, FOLD_PAIRS, BANDS = 200_000, 200_000, 16
+_MEMBERS = "bucket string, record_id long, group long, founded long"
 
 
 def _fold(pairs: pd.DataFrame) -> pd.DataFrame:
-    """(record_id, group): what the pairs, taken in order, add to groups.
+    """(bucket, record_id, group, founded): what the pairs, taken in order, add to groups.
 
     A pair of two records without a group founds one, named by its left record; a record without a group joins the other's
-    group if that has no code of its province. left_group, right_group: groups already known; left_taken, right_taken: their provinces.
+    group if that has no code of its province. left_group, right_group: groups already known; left_taken, right_taken: their provinces;
+    no: the pair's number in the order of all. founded: that of the pair that founded the group, for both its records.
     """
     pairs = pairs.sort_values(PAIR_ORDER, ascending=[False, True, True, True], kind="stable", ignore_index=True)
+    numbers = pairs["no"] if pairs["no"].notna().all() else range(len(pairs))
     group: dict[int, int] = {}
     taken: dict[int, set[str]] = {}
     for side in ("left", "right"):
@@ -122,59 +124,90 @@ def _fold(pairs: pd.DataFrame) -> pd.DataFrame:
             if not pd.isna(g):
                 group[record] = int(g)
                 taken[int(g)] = set(provinces)
-    added: dict[int, int] = {}
-    for a, b, pa_, pb in zip(pairs["left_id"], pairs["right_id"], pairs["left_prov"], pairs["right_prov"], strict=True):
+    added: list[tuple] = []
+    for bucket, a, b, pa_, pb, no in zip(pairs["bucket"], pairs["left_id"], pairs["right_id"], pairs["left_prov"], pairs["right_prov"], numbers, strict=True):
         ga, gb = group.get(a), group.get(b)
         if ga is None and gb is None:
-            group[a] = group[b] = added[a] = added[b] = a
+            group[a] = group[b] = a
+            added += [(bucket, a, a, int(no)), (bucket, b, a, int(no))]
             taken[a] = {pa_, pb}
         elif ga is None or gb is None:
             g, new, province = (gb, a, pa_) if ga is None else (ga, b, pb)
             if province not in taken[g]:
-                group[new] = added[new] = g
+                group[new] = g
+                added.append((bucket, new, g, None))
                 taken[g].add(province)
-    return pd.DataFrame({"record_id": list(added), "group": list(added.values())}, dtype="int64")
+    return pd.DataFrame(added, columns=["bucket", "record_id", "group", "founded"]).astype({"record_id": "int64", "group": "int64", "founded": "Int64"})
 
 
-def greedy_groups(pairs: DataFrame, records: DataFrame, last_pairs: int = LAST_PAIRS) -> DataFrame:
-    """(bucket, record_id, group_no): the order-dependent fold over accepted pairs, in rounds of joins.
+def _undecided(pairs: DataFrame, members: DataFrame, who: DataFrame) -> DataFrame:
+    """The pairs that may still do something, with the groups of their records and the provinces these have."""
+    taken = members.join(who, "record_id").groupBy("group").agg(F.collect_set("province").alias("taken"))  # a code of each province at most
+    known = members.join(taken, "group")
+    for side in ("left", "right"):
+        pairs = pairs.join(known.selectExpr(f"record_id as {side}_id", f"group as {side}_group", f"taken as {side}_taken"), f"{side}_id", "left")
+    both = F.col("left_group").isNotNull() & F.col("right_group").isNotNull()
+    blocked = F.coalesce(F.array_contains("left_taken", F.col("right_prov")), F.lit(False)) | F.coalesce(F.array_contains("right_taken", F.col("left_prov")), F.lit(False))
+    return pairs.filter(~both & ~blocked)
+
+
+def _fold_band(band: DataFrame, members: DataFrame, path: str | None, who: DataFrame, last_pairs: int, fold_pairs: int) -> tuple[DataFrame, str | None]:
+    """members, stored, with what a band of consecutive pairs adds.
 
-    A pair founds or extends a group, named by its founding pair's left record, if the order lets it. What a pair does depends only
-    on earlier pairs of its two records or of their groups. So in a round every pair that is the first undecided one on both of its
-    sides is decided, at once with all others; a pair whose records both have a group, or whose joiner's province is taken, has
-    no effect any more and goes. A round accepts at least the first pair of all. Once last_pairs or fewer are left, one
-    task folds them. Groups are numbered within their bucket in the order of the pairs that founded them.
+    Only pairs of one component of records and groups depend on each other, so components are folded side by side. A component of more
+    than fold_pairs pairs is folded from its beginning, so many at a time.
     """
+    spark = band.sparkSession
+    while True:
+        left, left_path = stored(_undecided(band, members, who).withColumns({"a": F.coalesce("left_group", "left_id"), "b": F.coalesce("right_group", "right_id")}), "link-band")
+        n = left.count()
+        rest = None
+        if n <= last_pairs:
+            now = left.withColumn("component", F.lit(0).cast("long"))
+        else:
+            parts = connected_components(left.select(F.col("a").alias("u"), F.col("b").alias("v")), "link-components")
+            now = left.join(parts.withColumnRenamed("node", "a"), "a")
+            large = now.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > fold_pairs)
+            if not large.isEmpty():
+                now = now.withColumn("place", F.row_number().over(Window.partitionBy("component").orderBy("no")))
+                now, rest = now.filter(F.col("place") <= fold_pairs), now.filter(F.col("place") > fold_pairs)
+        if n:
+            added = now.groupBy("component").applyInPandas(_fold, _MEMBERS)
+            last, (members, path) = path, stored(members.union(added), "link-members")
+            if last:
+                discard(spark, last)
+        if rest is None:
+            discard(spark, left_path)
+            return members, path
+        band = materialise(rest.select(*band.columns), "link-rest")
+
+
+def greedy_groups(pairs: DataFrame, records: DataFrame, last_pairs: int = LAST_PAIRS, bands: int = BANDS, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
+    """(bucket, record_id, group_no): the order-dependent fold over accepted pairs.
+
+    Pairs are taken in order (see PAIR_ORDER). last_pairs or fewer are one task's. More are numbered in order and cut into bands of consecutive
+    pairs, one round each: pairs whose records both have a group, or whose joiner's province is taken, have no effect any more
+    and go, and the components of the others are folded side by side. Groups are numbered within their bucket in the
+    order of the pairs that founded them.
+    """
+    spark = pairs.sparkSession
     who = records.select("record_id", "province")
     pairs = pairs.join(who.selectExpr("record_id as left_id", "province as left_prov"), "left_id").join(who.selectExpr("record_id as right_id", "province as right_prov"), "right_id")
-    pairs = materialise(pairs.select("bucket", *PAIR_ORDER, "left_prov", "right_prov"), "link-pairs")
-    members = pairs.select(F.col("left_id").alias("record_id"), F.col("left_id").alias("group")).limit(0)
-    rank = F.struct((-F.col("score")).alias("s"), "prov_pair", "left_id", "right_id")
-    left = pairs
-    while True:
-        state = members.join(who, "record_id")
-        taken = state.groupBy("group").agg(F.collect_set("province").alias("taken"))  # a code of each province at most
-        known = members.join(taken, "group")
-        for side in ("left", "right"):
-            left = left.join(known.selectExpr(f"record_id as {side}_id", f"group as {side}_group", f"taken as {side}_taken"), f"{side}_id", "left")
-        both = F.col("left_group").isNotNull() & F.col("right_group").isNotNull()
-        blocked = F.coalesce(F.array_contains("left_taken", F.col("right_prov")), F.lit(False)) | F.coalesce(F.array_contains("right_taken", F.col("left_prov")), F.lit(False))
-        left = materialise(left.filter(~both & ~blocked), "link-round")
-        if left.limit(last_pairs + 1).count() <= last_pairs:
-            break
-        sided = left.select("*", rank.alias("rank"), F.coalesce("left_group", "left_id").alias("a"), F.coalesce("right_group", "right_id").alias("b"))
-        first = sided.select(F.explode(F.array("a", "b")).alias("e"), "rank").groupBy("e").agg(F.min("rank").alias("first")).select(own_key("e"), "first")
-        now = sided.join(first.selectExpr("e as a", "first as fa"), "a").filter("rank = fa").join(first.selectExpr("e as b", "first as fb"), "b").filter("rank = fb")
-        group = F.coalesce("left_group", "right_group", "left_id")
-        added = now.select(F.explode(F.filter(F.array(F.when(F.col("left_group").isNull(), F.col("left_id")), F.when(F.col("right_group").isNull(), F.col("right_id"))), lambda x: x.isNotNull())).alias("record_id"), group.alias("group"))
-        members = materialise(members.union(added), "link-members")
-        left = left.drop(*STATE[2:])
-    rest = left.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_fold, "record_id long, group long")
-    members = materialise(members.union(rest), "link-groups")
-    # a group's founding pair is the first of all pairs within it
-    inside = pairs.join(members.selectExpr("record_id as left_id", "group"), "left_id").join(members.selectExpr("record_id as right_id", "group as other"), "right_id").filter("group = other")
-    founders = inside.groupBy("bucket", "group").agg(F.min(rank).alias("rank")).select("bucket", "group", "rank.*")
-    no = numbered(founders, ["bucket"], ["s", "prov_pair", "left_id", "right_id"], "group_no").select("bucket", "group", (F.col("group_no") + 1).alias("group_no"))
+    pairs, path = stored(pairs.select("bucket", *PAIR_ORDER, "left_prov", "right_prov"), "link-pairs")
+    n = pairs.count()
+    if n <= last_pairs:
+        none = {"no": F.lit(None).cast("long"), "left_group": F.lit(None).cast("long"), "right_group": F.lit(None).cast("long"), "left_taken": F.lit(None).cast("array<string>"), "right_taken": F.lit(None).cast("array<string>")}
+        members = materialise(pairs.withColumns({"all": F.lit(0), **none}).groupBy("all").applyInPandas(_fold, _MEMBERS), "link-members")
+    else:
+        ordered, ordered_path = stored(numbered(pairs.withColumn("s", -F.col("score")), [], ["s", *PAIR_ORDER[1:]], "no").drop("s"), "link-ordered")
+        members, members_path = spark.createDataFrame([], _MEMBERS), None
+        size = -(-n // bands)
+        for at in range(0, n, size):
+            members, members_path = _fold_band(ordered.filter(F.col("no").between(at, at + size - 1)), members, members_path, who, last_pairs, fold_pairs)
+        discard(spark, ordered_path)
+    discard(spark, path)
+    founders = members.groupBy("bucket", "group").agg(F.min("founded").alias("founded"))
+    no = numbered(founders, ["bucket"], ["founded"], "group_no").select("group", (F.col("group_no") + 1).alias("group_no"))
     return members.join(no, "group").select("bucket", "record_id", "group_no")
 
 

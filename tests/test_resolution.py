@@ -78,8 +78,22 @@ def test_rounds_against_one_fold(spark):
     records = spark.createDataFrame([(i, r.choice(["ON", "BC", "YT", "NL"])) for i in range(60)], "record_id long, province string")
     pairs = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(300)})
     pairs = spark.createDataFrame([("b" if a % 2 else "c", a, b, "1-2", r.randint(1, 20) / 20) for a, b in pairs if a % 2 == b % 2], "bucket string, left_id long, right_id long, prov_pair string, score double")
-    groups = [sorted(map(tuple, link.greedy_groups(pairs, records, last).collect())) for last in (0, 40, 10**6)]
-    assert groups[0] == groups[1] == groups[2] and len(groups[0]) > 20
+    groups = [sorted(map(tuple, link.greedy_groups(pairs, records, last, bands, fold).collect())) for last, bands, fold in ((0, 5, 10**6), (20, 3, 10**6), (0, 2, 30), (10**6, 1, 1))]
+    assert groups[0] == groups[1] == groups[2] == groups[3] and len(groups[0]) > 20
+
+
+def test_a_chain_is_folded_in_few_rounds(spark, monkeypatch):
+    """10,000 pairs of descending scores, each with a record of the one before: a round for each band."""
+    rounds = []
+    plain = link.connected_components
+    monkeypatch.setattr(link, "connected_components", lambda *a, **k: rounds.append(1) or plain(*a, **k))
+    n = 10_000
+    records = spark.range(n + 1).selectExpr("id as record_id", "case id % 4 when 0 then 'ON' when 1 then 'BC' when 2 then 'YT' else 'NL' end as province")
+    pairs = spark.range(n).selectExpr("'b' as bucket", "id as left_id", "id + 1 as right_id", "'1-2' as prov_pair", "1 - id / 20000 as score")
+    got = sorted(map(tuple, link.greedy_groups(pairs, records, last_pairs=0, bands=4).collect()))
+    assert len(rounds) <= 20 and got == sorted(map(tuple, link.greedy_groups(pairs, records).collect()))
+    # the first four records of each run have four provinces
+    assert len(got) == n and max(g for _, _, g in got) == n // 4
 
 
 def test_best_by_tokens_both_ways(spark):
