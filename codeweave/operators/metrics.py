@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import nonblank, text_or_blank
@@ -13,12 +13,15 @@ def method_breakdown(mapped: DataFrame) -> DataFrame:
     return mapped.groupBy(F.coalesce(nonblank("match_method"), F.lit("none")).alias("match_method")).agg(F.count("*").alias("n"))
 
 
-def confidence_summary(mapped: DataFrame) -> DataFrame:
-    """One row: high, medium, low (very low included) and unassigned records."""
+def confidence_columns() -> dict[str, Column]:
+    """Aggregates: high, medium, low (very low included), unassigned and all records."""
     c, code = F.col("NGS_confidence"), text_or_blank("NGS_code")
-    return mapped.agg(
-        F.count_if(c == "high").alias("high"), F.count_if(c == "medium").alias("medium"), F.count_if(c.isin("low", "very_low")).alias("low"), F.count_if(code == "").alias("unassigned"), F.count("*").alias("total"),
-    )
+    return {"high": F.count_if(c == "high"), "medium": F.count_if(c == "medium"), "low": F.count_if(c.isin("low", "very_low")), "unassigned": F.count_if(code == ""), "total": F.count("*")}
+
+
+def confidence_summary(mapped: DataFrame) -> DataFrame:
+    """One row of the confidence_columns."""
+    return mapped.agg(*[c.alias(name) for name, c in confidence_columns().items()])
 
 
 def quality_counts(records: DataFrame) -> DataFrame:

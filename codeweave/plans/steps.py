@@ -16,16 +16,24 @@ import importlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import classify, ingest, layout, link, metrics, records, reference_docs
+from ..operators import classify, ingest, layout, link, lookup, metrics, records, reference_docs
 from ..sources import clients, tables
 from . import extraction
 
+#: How a record may have got its category.
+METHODS = ("role_code_table", "keyword_rule", "text_similarity", "section_fallback", "none")
 
-Reporter = Callable[[DataFrame], dict]
+
+@dataclass(frozen=True)
+class Counts:
+    """What a step tells of its rows: aggregates that the writing job observes, and how they are told."""
+
+    columns: Callable[[], dict[str, Column]]
+    told: Callable[[dict], dict] = dict
 
 
 @dataclass(frozen=True)
@@ -34,8 +42,12 @@ class Step:
     needs: tuple[str, ...]
     makes: str
     run: Callable[..., DataFrame]
-    report: Reporter | None = None
+    counts: Counts | None = None
     source: str | None = None
+    #: What can't be observed, of the table as it is read again.
+    report: Callable[[DataFrame], dict] | None = None
+    #: Raises if the table that is read again isn't what the counts say.
+    verify: Callable[[DataFrame, dict], None] | None = None
 
 
 def _parse(lines: DataFrame) -> DataFrame:
@@ -68,37 +80,60 @@ def _export(date: str) -> Callable[[DataFrame], DataFrame]:
     return lambda linked: ingest.export_rows(linked.withColumn("anchor_code", F.col("top_key")).withColumn("row_type", F.lit("ANCHOR")).withColumn("sim_score", F.lit(None).cast("double")), date)
 
 
-def _row(df: DataFrame) -> dict:
-    return df.first().asDict()
+ROWS = Counts(lambda: {"rows": F.count("*")})
 
 
-def _mapped_counts(mapped: DataFrame) -> dict:
-    methods = {r["match_method"]: r["n"] for r in metrics.method_breakdown(mapped).collect()}
-    return {**_row(metrics.confidence_summary(mapped)), "methods": methods}
+def _quality_columns() -> dict[str, Column]:
+    """By province; a step's codes are unique in it."""
+    out = {}
+    for p in (*lookup.PROVINCES, "others"):
+        own = F.col("province") == p if p in lookup.PROVINCES else ~F.coalesce(F.col("province").isin(*lookup.PROVINCES), F.lit(False))
+        out |= {f"{p} raw": F.count_if(own), f"{p} missing_fn": F.count_if(own & (text.text_or_blank("fsc_fn") == "")), f"{p} missing_price": F.count_if(own & (text.text_or_blank("price") == ""))}
+    return out
+
 
+def _by_province(seen: dict) -> dict:
+    out: dict[str, dict] = {}
+    for name, n in seen.items():
+        p, what = name.split(" ")
+        out.setdefault(p, {})[what] = n
+    return {p: {**v, "unique_codes": v["raw"]} for p, v in out.items() if v["raw"]}
 
-def steps(map_date: str = "") -> list[Step]:
-    routed = reference_docs.routed_tables
-    return [
-        Step("parse", ("layout_lines",), "fee_codes", _parse, _quality, "layout"),
-        Step("parse-codes", ("raw_codes",), "fee_codes", _from_codes, _quality, "pages"),
-        Step("categories", ("docx_body",), "ngs_categories", reference_docs.categories, _rows),
-        Step("roles", ("docx_body",), "role_tables", lambda body: reference_docs.role_tables(routed(body)), _rows),
-        Step("ccp", ("docx_body",), "ccp_map", lambda body: reference_docs.ccp_map(routed(body)), _rows),
-        Step("rules", ("docx_body",), "province_rules", _rules, _rows),
-        Step("map", ("fee_codes", "ngs_categories", "role_tables"), "mapped", classify.cascade, _mapped_counts),
-        Step("link", ("mapped",), "linked", lambda mapped: ingest.with_meta(link.link(mapped)), lambda linked: _row(link.group_sizes(linked))),
-        Step("embed", ("mapped",), "embeddings", _embed, _rows),
-        Step("export", ("linked",), "export_rows", _export(map_date), _rows),
-    ]
 
+def _mapped_columns() -> dict[str, Column]:
+    method = F.coalesce(text.nonblank("match_method"), F.lit("none"))
+    return metrics.confidence_columns() | {f"method {m}": F.count_if(method == m) for m in METHODS}
 
-def _rows(df: DataFrame) -> dict:
-    return {"rows": df.count()}
 
+def _mapped_told(seen: dict) -> dict:
+    methods = {k.split(" ", 1)[1]: n for k, n in seen.items() if k.startswith("method ") and n}
+    return {**{k: n for k, n in seen.items() if not k.startswith("method ")}, "methods": methods}
 
-def _quality(codes: DataFrame) -> dict:
-    return {r["province"]: {k: v for k, v in r.asDict().items() if k != "province"} for r in metrics.quality_counts(codes).collect()}
+
+QUALITY, MAPPED = Counts(_quality_columns, _by_province), Counts(_mapped_columns, _mapped_told)
+
+
+def _whole_vectors(again: DataFrame, seen: dict) -> None:
+    """All rows are there, with vectors of one length."""
+    r = again.agg(F.count("*").alias("rows"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
+    if r["rows"] != seen["rows"] or r["least"] != r["most"] or (r["rows"] and not r["least"]):
+        raise ValueError(f"embeddings: {r.asDict()} read again, {seen} written")
+
+
+def steps(map_date: str = "") -> list[Step]:
+    routed = reference_docs.routed_tables
+    return [
+        Step("parse", ("layout_lines",), "fee_codes", _parse, QUALITY, "layout"),
+        Step("parse-codes", ("raw_codes",), "fee_codes", _from_codes, QUALITY, "pages"),
+        Step("categories", ("docx_body",), "ngs_categories", reference_docs.categories, ROWS),
+        Step("roles", ("docx_body",), "role_tables", lambda body: reference_docs.role_tables(routed(body)), ROWS),
+        Step("ccp", ("docx_body",), "ccp_map", lambda body: reference_docs.ccp_map(routed(body)), ROWS),
+        Step("rules", ("docx_body",), "province_rules", _rules, ROWS),
+        Step("map", ("fee_codes", "ngs_categories", "role_tables"), "mapped", classify.cascade, MAPPED),
+        Step("link", ("mapped",), "linked", lambda mapped: ingest.with_meta(link.link(mapped)), report=lambda linked: link.group_sizes(linked).first().asDict()),
+        Step("embed", ("mapped",), "embeddings", _embed, ROWS, verify=_whole_vectors),
+        Step("export", ("linked",), "export_rows", _export(map_date), ROWS),
+    ]
 
 
 STEPS = steps()
@@ -146,10 +181,13 @@ def run(
         elif _exists(spark, made) and not force:
             out[step.name] = "skipped"
         else:
-            tables.write_array(step.run(*[spark.read.parquet(f"{root}/{t}") for t in step.needs]), made)
+            rows, seen = step.run(*[spark.read.parquet(f"{root}/{t}") for t in step.needs]), Observation()
+            tables.write_array(rows.observe(seen, *[c.alias(name) for name, c in step.counts.columns().items()]) if step.counts else rows, made)
+            if step.verify:
+                step.verify(spark.read.parquet(made), seen.get)
             out[step.name] = "done"
-            if say and step.report:
-                say(f"{step.name}: {step.report(spark.read.parquet(made))}")
+            if say and (step.counts or step.report):
+                say(f"{step.name}: {step.counts.told(seen.get) if step.counts else step.report(spark.read.parquet(made))}")
     return out
 
 

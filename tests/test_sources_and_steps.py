@@ -235,3 +235,23 @@ def test_pdf_page_ranges_are_pushed_down(spark, tmp_path):
     assert some.rdd.getNumPartitions() == 3
     assert sorted((r.text, r.page) for r in some.select("text", "page").collect()) == sorted([(f"x.pdf {p}", p) for p in range(35, 52)] + [(f"y.pdf {p}", p) for p in range(35, 41)])
     assert sorted(r.page for r in df.filter("page = 7").collect()) == [7, 7]
+
+
+def test_counts_come_from_the_writing_job(spark, tmp_path, body):
+    """What steps tell is observed while they write; only the groups' sizes are read again."""
+    root, said = str(tmp_path / "root"), {}
+    rows = [("ON", 1, 0, "K040 Ambulance transfer 5.00", 43.0, 12.0), ("ON", 1, 1, "K041", 43.0, 12.0), ("BC", 1, 0, "00158 Ambulance transfer", 70.0, 10.0)]
+    spark.createDataFrame(rows, "province string, page int, line_no int, text string, x0 double, font_size double").write.parquet(f"{root}/layout_lines")
+    body.write.parquet(f"{root}/docx_body")
+    steps.run(spark, root, say=lambda line: said.__setitem__(*line.split(": ", 1)))
+    assert eval(said["parse"]) == {"ON": {"raw": 2, "missing_fn": 1, "missing_price": 1, "unique_codes": 2}, "BC": {"raw": 1, "missing_fn": 0, "missing_price": 1, "unique_codes": 1}}
+    mapped = eval(said["map"])
+    assert mapped["total"] == sum(mapped["methods"].values()) == 3 and eval(said["embed"]) == {"rows": 3} and "groups" in said["link"]
+
+
+def test_vectors_are_read_again(spark):
+    good = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "record_id long, embedding array<float>")
+    steps._whole_vectors(good, {"rows": 2})
+    for bad, n in ((good, 3), (good.union(spark.createDataFrame([(3, [1.0])], good.schema)), 3)):
+        with pytest.raises(ValueError):
+            steps._whole_vectors(bad, {"rows": n})
