@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -114,9 +116,66 @@ def first_hit(tests: list[tuple[Column, Column]], otherwise: Column | None = Non
     return reduce(lambda rest, t: F.when(t[0], t[1]).otherwise(rest), reversed(tests), none)
 
 
+def required_literals(pattern: str) -> frozenset[str] | None:
+    """Lower-case strings of which any text that the pattern matches has one, ignoring case; None if none can be told."""
+
+    def of(items) -> frozenset[str] | None:
+        found: list[frozenset[str]] = []
+        run = ""
+        for op, value in [*items, (None, None)]:
+            if op is _parser.LITERAL:
+                run += chr(value).lower()
+                continue
+            if run:
+                found.append(frozenset([run]))
+            run = ""
+            inner = None
+            if op is _parser.BRANCH:
+                parts = [of(x) for x in value[1]]
+                inner = None if None in parts else frozenset().union(*parts)
+            elif op is _parser.SUBPATTERN:
+                inner = of(value[3])
+            elif op is _parser.MAX_REPEAT and value[0] > 0:
+                inner = of(value[2])
+            if inner:
+                found.append(inner)
+        return max(found, key=lambda x: min(map(len, x)), default=None)
+
+    return of(_parser.parse(pattern))
+
+
+def _folded(text: Column) -> Column:
+    """The text in lower case, as the patterns compare: the four letters beyond ASCII that fold to one of ASCII count as that."""
+    return F.lower(reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), [("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k")], text))
+
+
+def _worth_running(folded: Column, pattern: str) -> Column:
+    literals = required_literals(pattern)
+    return F.lit(True) if literals is None else reduce(lambda a, b: a | b, [folded.contains(x) for x in sorted(literals)])
+
+
+def _of_folded(text: Column, make: Callable[[Column], Column]) -> Column:
+    """make(folded text), which is computed once for all that is made of it."""
+    return F.get(F.transform(F.array(_folded(text)), make), F.lit(0))
+
+
+def _found(text: Column, folded: Column, pattern: str) -> Column:
+    return _worth_running(folded, pattern) & text.rlike(f"(?iud){pattern}")
+
+
 def first_rule(text: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """Position from 1 of the first pattern found in the text, ignoring case; null if none is. A dot passes all but a line feed."""
-    return first_hit([(text.rlike(f"(?iud){pattern}"), F.lit(i)) for i, (pattern, *_) in enumerate(rules, 1)], F.lit(None).cast("int"))
+    """Position from 1 of the first pattern found in the text, ignoring case; null if none is. A dot passes all but a line feed.
+
+    Only patterns that have one of their required literals in the text are run.
+    """
+    return _of_folded(text, lambda folded: first_hit([(_found(text, folded, pattern), F.lit(i)) for i, (pattern, *_) in enumerate(rules, 1)], F.lit(None).cast("int")))
+
+
+def patterns_run(text: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """How many patterns first_rule runs on the text."""
+    hit = first_rule(text, rules)
+    run = [F.when(_worth_running(_folded(text), pattern) & (F.lit(i) <= F.coalesce(hit, F.lit(len(rules)))), 1).otherwise(0) for i, (pattern, *_) in enumerate(rules, 1)]
+    return reduce(lambda a, b: a + b, run)
 
 
 def rule_field(position: Column, rules: list[tuple], field: int) -> Column:

@@ -62,3 +62,31 @@ def test_vectors(spark):
 def test_hints(spark):
     assert col(spark, "K040 S2071 00158", text.code_hints) == 3
     assert col(spark, "x" * 30, lambda c: text.truncated(c, 24, "!")) == "x" * 24 + "!"
+
+
+def test_literals_that_patterns_need():
+    from codeweave.functions.rules import KEYWORD_RULES, required_literals
+
+    assert required_literals(r"\bc.?section|obstetric") == {"section", "obstetric"} and required_literals(r"a|b?") is None
+    assert required_literals(r"counsell?ing") == {"counsel"} and required_literals(r"(?:ab|cde)+x") in ({"ab", "cde"}, {"x"}) and required_literals(r".*") is None
+    assert all(required_literals(p) for p, *_ in KEYWORD_RULES)
+
+
+def test_rules_by_literals_against_all_patterns(spark):
+    """Texts around each pattern, in odd cases, with letters that fold to plain ones: the first pattern found is the same, few are run."""
+    import random
+    import re
+
+    from codeweave.functions import rules
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    words = sorted({w for p, *_ in rules.KEYWORD_RULES for w in re.findall(r"[a-z]{3,}", p)}) + ["of", "the", "\u017f", "\u212a", "\u0130", "\u0131", "\n", "ß"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 6))) for _ in range(400)]
+    texts += [t.upper() for t in texts[:100]] + [t.replace("s", "\u017f").replace("k", "\u212a") for t in texts[100:200]] + [t.replace("i", "\u0130") for t in texts[200:250]] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    plain = rules.first_hit([(F.col("x").rlike(f"(?iud){p}"), F.lit(i)) for i, (p, *_) in enumerate(rules.KEYWORD_RULES, 1)], F.lit(None).cast("int"))
+    rows = df.select(rules.first_rule(F.col("x"), rules.KEYWORD_RULES).alias("got"), plain.alias("want"), rules.patterns_run(F.col("x"), rules.KEYWORD_RULES).alias("n")).collect()
+    assert all(x.got == x.want for x in rows) and sum(x.got is not None for x in rows) > 100
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert docs.agg(F.avg(rules.patterns_run(F.col("text"), rules.KEYWORD_RULES))).first()[0] < 5
