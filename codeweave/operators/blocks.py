@@ -1,36 +1,136 @@
-"""Blocks of token sets that meet as 0/1 matrices inside a task."""
+"""Blocks of token sets, packed into one row each, that meet inside a task.
+
+Of two sets of a and b tokens with n in common, n is at most k + s: k common ones among the p tokens of the left set that are rarest in
+the right block, s = a - p others. A score of `near` needs a least n that follows from a and b, so pairs with a smaller k + s
+drop out by counting alone; the rest are counted on the whole sets.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+
+#: Cells of counts, and posting entries, that are held at a time.
+CELLS, ENTRIES = 1 << 22, 1 << 22
+PACKED = "ids binary, vocabulary binary, cells binary, n_cells long"
 
 
-def shared_counts(left: pd.Series, right: pd.Series, wide: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sizes of the left sets as a column, of the right sets as a row, sizes of their intersections); sets are arrays of 64-bit hashes.
+def pack(ids: np.ndarray, tokens: list[np.ndarray]) -> pd.DataFrame:
+    """One row (see PACKED) of sets of 64-bit hashes, in ascending order of size.
 
-    Counted through the tokens that both sides have, `wide` of them at a time, so memory follows the blocks' sizes.
+    The vocabulary is in descending order of frequency. A cell is a set's place times the vocabulary's size, plus a token's place; the
+    sorted cells travel as compressed differences.
     """
-    sizes, sides = [], []
-    for tokens in (left, right):
-        n = tokens.map(len).to_numpy()
-        sizes.append(n)
-        sides.append((np.repeat(np.arange(len(tokens)), n), np.concatenate(tokens.to_numpy()).astype(np.int64)))
-    both = np.intersect1d(sides[0][1], sides[1][1])
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
-    cells = []
-    for row, token in sides:
-        cell = np.searchsorted(both, token)
-        known = both[np.minimum(cell, len(both) - 1)] == token if len(both) else np.zeros(len(token), bool)
-        row, cell = row[known], cell[known]
-        by = np.argsort(cell, kind="stable")
-        cells.append((row[by], cell[by]))
-    for at in range(0, len(both), wide):
-        m = []
-        for (row, cell), rows in zip(cells, (left, right), strict=True):
-            a, b = np.searchsorted(cell, [at, at + wide])
-            x = np.zeros((len(rows), min(wide, len(both) - at)), dtype=np.float32)
-            x[row[a:b], cell[a:b] - at] = 1
-            m.append(x)
-        out += m[0] @ m[1].T
-    return sizes[0][:, None], sizes[1][None, :], out.astype(np.float64)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    by = np.argsort(sizes, kind="stable")
+    vocabulary, token, df = np.unique(np.concatenate([tokens[i] for i in by]), return_inverse=True, return_counts=True)
+    order = np.argsort(-df, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    cells = np.sort(np.repeat(np.arange(len(by)), sizes[by]) * len(order) + place[token])
+    steps = np.diff(cells, prepend=0).astype(np.uint32 if len(order) < 1 << 31 else np.int64)
+    squeezed = pa.compress(steps.tobytes(), codec="zstd", asbytes=True)
+    return pd.DataFrame({"ids": [ids[by].astype(np.int64).tobytes()], "vocabulary": [vocabulary[order].astype(np.int64).tobytes()], "cells": [squeezed], "n_cells": [len(cells)]})
+
+
+class Block:
+    """A packed row: ids, vocabulary, sizes by set, and the cells' tokens, set by set; starts[i]:starts[i+1] are those of set i."""
+
+    def __init__(self, row: pd.Series):
+        self.ids, self.vocabulary = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vocabulary"], np.int64)
+        kind = np.dtype(np.uint32 if len(self.vocabulary) < 1 << 31 else np.int64)
+        steps = np.frombuffer(pa.decompress(row["cells"], int(row["n_cells"]) * kind.itemsize, codec="zstd", asbytes=True), kind)
+        cells = np.cumsum(steps, dtype=np.int64)
+        self.set = (cells // len(self.vocabulary)).astype(np.int32)
+        self.token = (cells - self.set.astype(np.int64) * len(self.vocabulary)).astype(np.int32)
+        self.sizes = np.bincount(self.set, minlength=len(self.ids))
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, start + size), one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def least_shared(a: float, b: np.ndarray, near: float, weights: tuple[float, float]) -> np.ndarray:
+    """The common tokens that sets of a and b tokens need for a score of near: the least root of a quadratic, with an allowance for rounding."""
+    j, o = weights
+    linear, constant = j * a + o * (a + b) + near * a, near * a * (a + b)
+    root = (linear - np.sqrt(np.maximum(linear * linear - 4 * o * constant, 0))) / (2 * o)
+    return np.ceil(np.maximum(root, near * a) - 1e-6).astype(np.int64)
+
+
+def meet(left: Block, right: Block, near: float, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left places, right places, scores) of the pairs of two blocks that reach near."""
+    j, o = weights
+    # the left tokens as the right side numbers them; tokens that it lacks are one more
+    sorted_ = np.argsort(right.vocabulary)
+    at = np.minimum(np.searchsorted(right.vocabulary, left.vocabulary, sorter=sorted_), len(sorted_) - 1)
+    other = np.where(right.vocabulary[sorted_[at]] == left.vocabulary, sorted_[at], len(sorted_))
+    df = np.append(np.bincount(right.token, minlength=len(sorted_)), 0)
+    posting = np.append(np.cumsum(df) - df, 0)
+    posted = right.set[np.argsort(right.token, kind="stable")]
+    token = other[left.token]
+    by = np.lexsort((df[token], left.set))
+    token = token[by]
+    need = np.maximum(np.ceil(near * left.sizes - 1e-9).astype(np.int64), 1)
+    prefix = left.sizes - need + 1
+    # right tokens by the power of two of their frequency: how many of a set are at least as frequent as a level
+    level = np.frexp(df.astype(np.float64))[1]  # 0 for 0, else one more than the power of two
+    levels = int(level.max()) + 2
+    many = np.bincount(right.set * np.int64(levels) + level[right.token], minlength=len(right.ids) * levels).reshape(-1, levels)
+    frequent = np.ascontiguousarray(many[:, ::-1].cumsum(axis=1)[:, ::-1].T)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    flags = np.zeros(len(df), dtype=np.int32)
+    known: tuple = ()
+    first = 0
+    while first < len(left.ids):
+        low = int(np.searchsorted(right.sizes, near * left.sizes[first] - 1e-6))  # smaller sets can't reach it; both sides go by size
+        wide = len(right.ids) - low
+        if not wide:
+            break
+        end = min(len(left.ids), first + max(1, CELLS // wide))
+        entries = token[ranges(left.starts[first:end], prefix[first:end])]
+        row = np.repeat(np.arange(end - first), prefix[first:end])
+        counts = np.zeros((end - first) * wide, dtype=np.int64)
+        held = np.cumsum(df[entries])
+        at = 0
+        while at < len(entries):
+            to = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + ENTRIES, side="right")))
+            n = df[entries[at:to]]
+            cell = np.repeat(row[at:to] * wide - low, n) + posted[ranges(posting[entries[at:to]], n)]
+            if low:
+                cell = cell[cell >= np.repeat(row[at:to] * wide, n)]
+            counts += np.bincount(cell, minlength=len(counts))
+            at = to
+        counts = counts.reshape(end - first, wide)
+        for i in range(first, end):
+            a, p = int(left.sizes[i]), int(prefix[i])
+            rest = token[left.starts[i] + p : left.starts[i + 1]]
+            cut = int(level[rest[0]]) if len(rest) else 0
+            if known[:3] != (a, cut, low):
+                b = right.sizes[low:]
+                known = (a, cut, low, least_shared(a, b, near, weights) - np.minimum(a - p, frequent[cut, low:]))
+            shared = counts[i - first]
+            some = np.flatnonzero(shared >= known[3])
+            if not len(some):
+                continue
+            n = shared[some]
+            if len(rest):
+                flags[rest] = 1
+                flags[-1] = 0
+                places = some + low
+                parts = [np.add.reduceat(flags[right.token[ranges(right.starts[x], right.sizes[x])]], np.cumsum(right.sizes[x]) - right.sizes[x]) for x in np.array_split(places, -(-len(places) // 4096))]
+                n = n + np.concatenate(parts)
+                flags[rest] = 0
+            b = right.sizes[some + low]
+            score = j * (n / (a + b - n)) + o * (n / a)
+            good = score >= near
+            if good.any():
+                out.append((np.full(int(good.sum()), i), some[good] + low, score[good]))
+        first = end
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from .blocks import shared_counts
+from . import blocks
 from .graph import connected_components, discard, materialise, stored
 from .records import numbered
 
@@ -28,7 +27,7 @@ def _blank_pairs(r: DataFrame, every: bool) -> DataFrame:
 
     The fold that builds groups takes the i-th such record of each province together, so it needs no others.
     """
-    empty = r.filter("size(tokens) = 0").select("bucket", "place", "record_id")
+    empty = r.select("bucket", "place", "record_id")
     keys = ["bucket"]
     if not every:
         empty, keys = numbered(empty, ["bucket", "place"], ["record_id"], "i"), ["bucket", "i"]
@@ -57,47 +56,68 @@ def bucket_pairs(records: DataFrame, near: float = NEAR, both_empty: float = BOT
     sets = r.select("record_id", "tokens")
     pairs = pairs.join(sets.select(F.col("record_id").alias("left_id"), F.col("tokens").alias("lt")), "left_id").join(sets.select(F.col("record_id").alias("right_id"), F.col("tokens").alias("rt")), "right_id")
     scored = pairs.withColumn("score", scores.token_score(F.col("lt"), F.col("rt"))).filter(F.col("score") >= near)
-    blank = _blank_pairs(r, every_blank)
+    blank = _blank_pairs(r.filter("size(tokens) = 0"), every_blank)
     pair = F.format_string("%06d-%06d", "lp", "rp").alias("prov_pair")
     out = ["bucket", "left_id", "right_id", pair]
     return scored.select(*out, "score").union(blank.select(*out, F.lit(both_empty).alias("score")))
 
 
-def _dense_block(near: float):
+def _packed_block(key: tuple, sets: pd.DataFrame) -> pd.DataFrame:
+    bucket, place, block = key
+    return blocks.pack(sets["record_id"].to_numpy(), list(sets["tokens"])).assign(bucket=bucket, place=place, block=block)
+
+
+def _block_pairs(near: float):
     """Pairs of two blocks that reach `near`."""
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        bucket, lp, _, rp, _ = key
         if not len(left) or not len(right):
-            return pd.DataFrame({"left_id": np.zeros(0, np.int64), "right_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        na, nb, n = shared_counts(left["tokens"], right["tokens"])
-        j, o = scores.LOOKUP
-        score = j * (n / (na + nb - n)) + o * (n / na)
-        i, k = np.nonzero(score >= near)
-        return pd.DataFrame({"left_id": left["record_id"].to_numpy()[i], "right_id": right["record_id"].to_numpy()[k], "score": score[i, k]})
+            return pd.DataFrame({"bucket": [], "lp": [], "rp": [], "left_id": [], "right_id": [], "score": []})
+        x, y = blocks.Block(left.iloc[0]), blocks.Block(right.iloc[0])
+        i, k, score = blocks.meet(x, y, near, scores.LOOKUP)
+        return pd.DataFrame({"bucket": bucket, "lp": lp, "rp": rp, "left_id": x.ids[i], "right_id": y.ids[k], "score": score})
 
     return run
 
 
-def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float = BOTH_EMPTY, block: int = 1000, every_blank: bool = True) -> DataFrame:
-    """bucket_pairs for buckets in which most pairs share tokens: blocks of both sides meet as 0/1 matrices.
+#: Weight of a block (its tokens, and SET_WEIGHT for each record), at least and at most; between them all blocks are so many.
+LEAST_BLOCK, MOST_BLOCK, BLOCKS, SET_WEIGHT = 500_000, 6_000_000, 40, 64
+
 
-    Blocks hold about `block` records of one bucket and province; each pair of blocks is one group, so no bucket is gathered. Tokens
-    travel, and are compared, as 64-bit hashes.
+def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float = BOTH_EMPTY, block: int | None = None, every_blank: bool = True) -> DataFrame:
+    """bucket_pairs for buckets in which most pairs share tokens: blocks of both sides meet in a task.
+
+    Blocks hold records of one bucket and province of neighbouring sizes, up to a weight (block, else a share of the whole weight); each pair of
+    blocks whose sizes can reach `near` is one group, so no bucket is gathered. A block travels as one packed row (see blocks), to as
+    many tasks as there are blocks opposite; tokens are compared as 64-bit hashes.
     """
     r = records.filter(F.col("bucket") != NO_CATEGORY)
-    first = r.groupBy("bucket", "province").agg(F.min("record_id").alias("first"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    place = first.selectExpr("bucket", "province", "blocks", "row_number() over (partition by bucket order by first) as place", "count(*) over (partition by bucket) as provinces")
-    others = place.groupBy("bucket").agg(F.collect_list(F.struct("place", "blocks")).alias("others"))  # a row for each province
-    r = r.join(place.filter("provinces > 1"), ["bucket", "province"]).join(others, "bucket").withColumn("own", F.pmod(F.xxhash64("record_id"), "blocks"))
-    full = r.filter("size(tokens) > 0").withColumn("tokens", F.transform("tokens", lambda t: F.xxhash64(t)))
-    left = full.selectExpr("bucket", "place as lp", "own as lb", "record_id", "tokens", "explode(flatten(transform(filter(others, o -> o.place > place), o -> transform(sequence(0, o.blocks - 1), b -> struct(o.place as rp, cast(b as bigint) as rb))))) as p").select("bucket", "lp", "lb", "p.rp", "p.rb", "record_id", "tokens")
-    right = full.selectExpr("bucket", "place as rp", "own as rb", "record_id", "tokens", "explode(flatten(transform(filter(others, o -> o.place < place), o -> transform(sequence(0, o.blocks - 1), b -> struct(o.place as lp, cast(b as bigint) as lb))))) as p").select(*[F.col(c).alias(c.split(".")[-1]) for c in ("bucket", "p.lp", "p.lb", "rp", "rb", "record_id", "tokens")])
+    # stored, since what follows needs little of a record twice: what is small of these is broadcast, so tokens are shuffled once
+    sets = materialise(r.select("bucket", "province", "record_id", F.size("tokens").alias("n")), "link-sets")
+    first = sets.groupBy("bucket", "province").agg(F.min("record_id").alias("first"))
+    place = first.selectExpr("bucket", "province", "row_number() over (partition by bucket order by first) as place", "count(*) over (partition by bucket) as provinces")
+    place = materialise(place.filter("provinces > 1").drop("provinces"), "link-places")
+    sets = sets.join(place, ["bucket", "province"])
+    full = r.join(place, ["bucket", "province"]).select("bucket", "place", "record_id", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
+    sizes = sets.filter("n > 0").groupBy("bucket", "place", "n").agg((F.count("*") * (F.col("n") + SET_WEIGHT)).alias("weight"))
+    if block is None:
+        whole = sizes.agg(F.sum("weight")).first()[0] or 0
+        block = min(max(whole // BLOCKS, LEAST_BLOCK), MOST_BLOCK)
+    # a row for each size of a bucket and province: the blocks that its records are dealt to
+    upto = "sum(weight) over (partition by bucket, place order by n)"
+    dealt = materialise(sizes.selectExpr("bucket", "place", "n", f"cast(floor(({upto} - weight) / {block}) as int) as from_block", f"cast(floor(({upto} - 1) / {block}) as int) as to_block"), "link-sizes")
+    placed = full.join(dealt, ["bucket", "place", "n"]).withColumn("block", F.col("from_block") + F.pmod(F.xxhash64("record_id"), F.col("to_block") - F.col("from_block") + 1).cast("int"))
+    packed = materialise(placed.groupBy("bucket", "place", "block").applyInPandas(_packed_block, f"bucket string, place int, block int, {blocks.PACKED}"), "link-blocks")
+    spans = dealt.select("bucket", "place", F.explode(F.sequence("from_block", "to_block")).alias("block"), "n").groupBy("bucket", "place", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    left = spans.selectExpr("bucket", "place as lp", "block as lb", "least")
+    meets = left.join(spans.selectExpr("bucket", "place as rp", "block as rb", "most"), "bucket").filter((F.col("lp") < F.col("rp")) & (F.col("most") >= near * F.col("least") - 1e-6)).drop("least", "most")
     key = ["bucket", "lp", "lb", "rp", "rb"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_dense_block(near), "left_id long, right_id long, score double")
-    where = r.select("record_id", "bucket", "place")
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = [packed.withColumnsRenamed({"place": f"{s}p", "block": f"{s}b"}).join(meets, ["bucket", f"{s}p", f"{s}b"]).selectExpr(*[f"{c} as {c}" for c in [*key, "ids", "vocabulary", "cells", "n_cells"]]).repartition(parts, *key) for s in "lr"]
+    found = sides[0].groupBy(*key).cogroup(sides[1].groupBy(*key)).applyInPandas(_block_pairs(near), "bucket string, lp int, rp int, left_id long, right_id long, score double")
+    blank = _blank_pairs(sets.filter("n = 0"), every_blank)
     pair = F.format_string("%06d-%06d", "lp", "rp").alias("prov_pair")
-    found = found.join(where.selectExpr("record_id as left_id", "bucket", "place as lp"), "left_id").join(where.selectExpr("record_id as right_id", "place as rp"), "right_id")
-    blank = _blank_pairs(r, every_blank)
     out = ["bucket", "left_id", "right_id", pair]
     return found.select(*out, "score").union(blank.select(*out, F.lit(both_empty).alias("score")))
 

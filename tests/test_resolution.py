@@ -216,3 +216,41 @@ def test_export(spark):
     df = spark.createDataFrame([("K1", "ANCHOR", None, "ON", 3), ("K1", "MATCH", 0.25, "BC", None)], "anchor_code string, row_type string, sim_score double, province string, page int")
     got = ingest.export_rows(df, "2024-01-31").collect()
     assert got[0].asDict().keys() == dict.fromkeys(ingest.EXPORT).keys() and [r.sim_score for r in got] == ["1.000", "0.250"] and [r.page for r in got] == ["3", ""]
+
+
+def test_packed_blocks_find_every_pair():
+    """Blocks of sets of all sizes against all pairs of sets; a packed block takes half of its hashes' bytes at most."""
+    import numpy as np
+    from codeweave.functions import scores
+    from codeweave.operators import blocks
+
+    r = np.random.default_rng(3)
+    hashes = r.integers(-(2**63), 2**63 - 1, 3000)
+    pick = lambda n: hashes[np.unique((3000 * r.random(n) ** 3).astype(int))]
+    left = [pick(int(n)) for n in r.integers(1, 90, 150)]
+    right = [np.unique(np.concatenate([r.permutation(x)[: max(1, int(len(x) * r.uniform(0.3, 1)))], pick(int(r.integers(1, 60)))])) for x in left]
+    packed = [blocks.pack(np.arange(len(x)), x) for x in (left, right)]
+    i, k, score = blocks.meet(*(blocks.Block(p.iloc[0]) for p in packed), 0.55, scores.LOOKUP)
+    x, y = (blocks.Block(p.iloc[0]) for p in packed)
+    got = {(int(x.ids[a]), int(y.ids[b])): s for a, b, s in zip(i, k, score, strict=True)}
+    want = {}
+    for a, s in enumerate(left):
+        for b, t in enumerate(right):
+            n = len(np.intersect1d(s, t))
+            if 0.4 * (n / (len(s) + len(t) - n)) + 0.6 * (n / len(s)) >= 0.55:
+                want[a, b] = 0.4 * (n / (len(s) + len(t) - n)) + 0.6 * (n / len(s))
+    assert got == want and len(want) > 100
+    many = [pick(200) for _ in range(1000)]
+    assert len(blocks.pack(np.arange(1000), many).loc[0, "cells"]) < sum(map(len, many)) * 4
+
+
+def test_blocks_of_sizes_give_the_same_pairs(spark):
+    """Many small blocks, one block, and the join by rarest tokens: the same pairs."""
+    import random
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, r.choice(["ON", "BC", "YT"]), r.choice("ab"), r.sample(words[: r.choice([6, 40])], r.randint(0, 6))) for i in range(200)]
+    records = spark.createDataFrame(rows, "record_id long, province string, bucket string, tokens array<string>")
+    found = [sorted((*p[:4], round(p[4], 9)) for p in df.collect()) for df in (link.bucket_pairs(records), link.bucket_pairs_dense(records), link.bucket_pairs_dense(records, block=500))]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
