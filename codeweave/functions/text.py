@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as the tokenizers of the rules see it, ASCII separators 1C-1F and all Unicode blanks included.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same for the JVM's patterns: printable ASCII fails the first test, not the last of a dozen.
+BLANK = rf"[[^!-~]&&{SPACE}]"
 
 #: Words that carry no meaning in fee names. The first list serves lookup and linking, the second classification.
 STOP_BOTH = (
@@ -27,11 +29,11 @@ def nonblank(c: Column | str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}++$", "")
 
 
 def _squeezed(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(c, f"{SPACE}+", " "))  # runs are single blanks by then
+    return F.btrim(F.regexp_replace(c, f"{BLANK}+", " "))  # runs are single blanks by then
 
 
 def clean(c: Column) -> Column:
@@ -51,11 +53,11 @@ def strip_leaders(c: Column) -> Column:
 
 def price_at_end(c: Column) -> Column:
     """The amount with two decimals that ends the text, or null."""
-    return nonblank(F.regexp_extract(c, rf"\$?(\d{{1,6}}\.\d{{2}}){SPACE}*$", 1))
+    return nonblank(F.regexp_extract(c, rf"\$?(\d{{1,6}}\.\d{{2}}){BLANK}*$", 1))
 
 
 def without_price(c: Column) -> Column:
-    return strip_leaders(F.regexp_replace(c, rf"\$?\d{{1,6}}\.\d{{2}}{SPACE}*$", ""))
+    return strip_leaders(F.regexp_replace(c, rf"\$?\d{{1,6}}\.\d{{2}}{BLANK}*$", ""))
 
 
 def tokens(c: Column, stop: list[str] = STOP_LOOKUP) -> Column:
@@ -64,9 +66,19 @@ def tokens(c: Column, stop: list[str] = STOP_LOOKUP) -> Column:
     return F.array_distinct(F.array_except(F.filter(words, lambda w: F.length(w) > 2), F.array(*map(F.lit, stop))))
 
 
+def letters(c: Column) -> Column:
+    """The letters of a text; runs of other characters go at once."""
+    return F.regexp_replace(c, r"\P{L}+", "")
+
+
+def upper_share(letters: Column | str) -> Column:
+    """Share of upper-case letters among letters (see letters()); null without letters."""
+    return F.length(F.regexp_replace(letters, r"\P{Lu}+", "")) / F.nullif(F.length(letters), F.lit(0))
+
+
 def upper_ratio(c: Column) -> Column:
-    """Share of upper-case letters among letters; null without letters."""
-    return F.regexp_count(c, F.lit(r"\p{Lu}")) / F.nullif(F.regexp_count(c, F.lit(r"\p{L}")), F.lit(0))
+    """Share of upper-case letters among the letters of a text; null without letters."""
+    return upper_share(letters(c))
 
 
 def joined_nonblank(sep: str, *parts: Column) -> Column:

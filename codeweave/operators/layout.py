@@ -55,8 +55,8 @@ def _prepared(lines: DataFrame, default_size: float) -> DataFrame:
     return _once(lines, text=text.clean(text.text_or_blank("_raw"))).drop("_raw").filter("text <> ''")
 
 
-def _mostly_upper(c: Column) -> Column:
-    return F.coalesce(text.upper_ratio(c) > 0.80, F.lit(False))
+def _mostly_upper(letters: Column | str) -> Column:
+    return F.coalesce(text.upper_share(letters) > 0.80, F.lit(False))
 
 
 def _opened(line: Column, code: Column, rest: Column) -> Column:
@@ -67,10 +67,10 @@ def _opened(line: Column, code: Column, rest: Column) -> Column:
 def classify_on(lines: DataFrame) -> DataFrame:
     t, x, size = F.col("text"), F.col("x0"), F.col("size")
     hashed, plain = (x < 45) & t.rlike(ON_HASH), (x < 60) & t.rlike(ON_CODE)
-    heading = ~t.rlike(ON_CODE) & ~t.rlike(ON_HASH) & (F.length(t) > 4) & _mostly_upper(t) & (F.size(F.split(t, " ")) <= 18)
+    heading = ~t.rlike(ON_CODE) & ~t.rlike(ON_HASH) & (F.length(t) > 4) & _mostly_upper(text.letters(t)) & (F.size(F.split(t, " ")) <= 18)
     kind = rules.first_hit([
         (t.rlike(ON_SKIP), F.lit("none")), (hashed | plain, F.lit("code")), (t.rlike(r"^[A-Z]{1,3}\d+\s*$"), F.lit("none")), ((x > 85) & (size >= 14) & heading, F.lit("chapter")),
-        ((x < 65) & (size >= 10) & heading, F.lit("close")), (t.rlike(PRICE_ONLY) & (x > 350), F.lit("price")), (t.rlike(r"^\d{1,2}$") & (x > 380), F.lit("none")),
+        ((x < 65) & (size >= 10) & heading, F.lit("close")), ((x > 350) & t.rlike(PRICE_ONLY), F.lit("price")), ((x > 380) & t.rlike(r"^\d{1,2}$"), F.lit("none")),
     ], F.lit("body"))
     after = F.when(hashed, text.strip_leaders(F.regexp_replace(t, ON_HASH, ""))).otherwise(F.regexp_replace(t, ON_CODE, ""))
     code = F.when(hashed, F.regexp_extract(t, ON_HASH, 1)).otherwise(F.regexp_extract(t, ON_CODE, 1))
@@ -82,9 +82,9 @@ def classify_on(lines: DataFrame) -> DataFrame:
 
 def classify_bc(lines: DataFrame) -> DataFrame:
     t, x, size = F.col("text"), F.col("x0"), F.col("size")
-    header = t.contains("Medical Services Commission") & (x < 82)
+    header = (x < 82) & t.contains("Medical Services Commission")
     kind = rules.first_hit([
-        (t.rlike(r"^\d+-\d+$") | t.isin("$", "Anes.", "Level", "Anes"), F.lit("none")), (header, F.lit("chapter")), (t.rlike(PRICE_ONLY) & (x > 400), F.lit("price")), ((size > 10.4) & (x < 82), F.lit("close")),
+        (t.rlike(r"^\d+-\d+$") | t.isin("$", "Anes.", "Level", "Anes"), F.lit("none")), (header, F.lit("chapter")), ((x > 400) & t.rlike(PRICE_ONLY), F.lit("price")), ((size > 10.4) & (x < 82), F.lit("close")),
         ((x > 80) & (x < 115) & (size >= 9.5), F.lit("sub")), ((x > 60) & (x < 82) & (size > 9.5) & (size < 10.4) & t.rlike(BC_CODE), F.lit("code")), (x > 115, F.lit("body")),
     ], F.lit("none"))
     small = size < 9.7
@@ -100,12 +100,13 @@ def classify_bc(lines: DataFrame) -> DataFrame:
 
 
 def classify_yt(lines: DataFrame) -> DataFrame:
-    t, x, size = F.col("text"), F.col("x0"), F.col("size")
-    upper = _mostly_upper(t)
+    t, x, size, upper = F.col("text"), F.col("x0"), F.col("size"), F.col("upper")
+    # the letters' cases count nowhere else
+    lines = _once(_once(lines, letters=F.when((x <= 55) & (size <= 12), text.letters(t))), upper=_mostly_upper("letters"))
     sub = (x <= 55) & (size <= 12) & ~t.rlike(YT_CODE) & t.rlike(r"\p{L}") & (upper | t.endswith(":"))
     kind = rules.first_hit([
-        (t.rlike(YT_SKIP), F.lit("none")), (t.rlike(PRICE_ONLY) & (x > 350), F.lit("price")), (size >= 14, F.lit("close")), (sub, F.lit("close")),
-        (t.rlike(YT_CODE) & x.between(35, 80) & (size < 11), F.lit("code")), (x >= 90, F.lit("body")),
+        (t.rlike(YT_SKIP), F.lit("none")), ((x > 350) & t.rlike(PRICE_ONLY), F.lit("price")), (size >= 14, F.lit("close")), (sub, F.lit("close")),
+        (x.between(35, 80) & (size < 11) & t.rlike(YT_CODE), F.lit("code")), (x >= 90, F.lit("body")),
     ], F.lit("none"))
     note = F.lower("body").rlike(YT_NOTE)
     closing, big, label = F.col("kind") == "close", size >= 14, F.rtrim(t, F.lit(":"))

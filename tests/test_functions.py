@@ -90,3 +90,23 @@ def test_rules_by_literals_against_all_patterns(spark):
     assert all(x.got == x.want for x in rows) and sum(x.got is not None for x in rows) > 100
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert docs.agg(F.avg(rules.patterns_run(F.col("text"), rules.KEYWORD_RULES))).first()[0] < 5
+
+
+def test_blanks_and_letters_as_before(spark):
+    """The quicker patterns hit what the plain ones do, on every kind of blank and letter; the blanks' one begins with what rules printable ASCII out."""
+    import re
+
+    from codeweave.functions import text as t
+
+    parts = ["a", "B", "Ä", "ß", "\U0001d400", "中", "7", ".", " ", "\t", "\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", " ", "　", "​", "12.50", "!", "~", "\x7f"]
+    import random
+
+    r = random.Random(1)
+    rows = [("".join(r.choices(parts, k=r.randint(0, 12))),) for _ in range(400)]
+    df = spark.createDataFrame(rows, "s string")
+    plain = F.regexp_replace("s", f"^{t.SPACE}+|{t.SPACE}+$", "")
+    ratio = F.regexp_count("s", F.lit(r"\p{Lu}")) / F.nullif(F.regexp_count("s", F.lit(r"\p{L}")), F.lit(0))
+    price = t.nonblank(F.regexp_extract("s", rf"\$?(\d{{1,6}}\.\d{{2}}){t.SPACE}*$", 1))
+    same = t.strip(F.col("s")).eqNullSafe(plain) & t.upper_ratio(F.col("s")).eqNullSafe(ratio) & t.price_at_end(F.col("s")).eqNullSafe(price)
+    assert df.filter(~same).count() == 0
+    assert re.match(r"\[\[\^!-~\]&&", t.BLANK)
