@@ -1,13 +1,16 @@
 """A stored trigram index of codes and names for substring search.
 
-Postings (gram, record_id) lie sorted by gram, texts by record_id, so a search reads little of either: its rarest grams are
-intersected, and the candidates, in order of record_id, verified on the texts of so many ids at a time.
+Postings (gram, record_id) lie in runs that are sorted by gram, texts sorted by record_id, so a search reads little of either (a few pages
+of each run): its rarest grams are intersected, and the candidates, in order of record_id, verified on the texts of so many ids at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from .graph import materialise
 SIZE = 3
 #: Grams of a search that are intersected, and candidates verified at a time.
 RAREST, AT_ONCE = 4, 500
+#: Characters that make a run of postings, and postings that leave a task at a time.
+RUN_CHARS, POSTED = 1 << 22, 1 << 18
 
 
 def contains_query(code: str, name: str, query: str) -> Column:
@@ -24,9 +29,39 @@ def contains_query(code: str, name: str, query: str) -> Column:
     return F.contains(F.upper(text.text_or_blank(code)), F.lit(query.upper())) | F.contains(F.lower(text.text_or_blank(name)), F.lit(query.lower()))
 
 
-def grams(c: Column) -> Column:
-    """The distinct runs of SIZE characters; a look-ahead finds them all in one pass."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{SIZE}}}))"), F.lit(1)))
+def gram_codes(text_: str) -> np.ndarray:
+    """The runs of SIZE characters as numbers, in order of appearance."""
+    points = np.frombuffer(text_.encode("utf-32-le"), np.uint32).astype(np.int64)
+    if len(points) < SIZE:
+        return np.zeros(0, np.int64)
+    out = np.zeros(len(points) - SIZE + 1, np.int64)
+    for i in range(SIZE):
+        out = (out << 21) | points[i : len(points) - SIZE + 1 + i]
+    return out
+
+
+def gram_texts(codes: np.ndarray) -> list[str]:
+    points = np.stack([codes >> 21 * i & 0x1FFFFF for i in reversed(range(SIZE))], axis=1).astype("<u4")
+    all_ = points.tobytes().decode("utf-32-le")
+    return [all_[i : i + SIZE] for i in range(0, len(all_), SIZE)]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records (record_id, province, code, name) to postings, so many characters at a time sorted by gram."""
+    for whole in batches:
+        sizes = np.array([len(c or "") + len(n or "") for c, n in zip(whole.column("code").to_pylist(), whole.column("name").to_pylist(), strict=True)], dtype=np.int64)
+        run = (np.cumsum(sizes) - sizes) // RUN_CHARS
+        for at in np.unique(run):
+            here = np.flatnonzero(run == at)
+            batch = whole.slice(int(here[0]), len(here))
+            own = [np.unique(np.concatenate([gram_codes(c), gram_codes(n)])) for c, n in zip(batch.column("code").to_pylist(), batch.column("name").to_pylist(), strict=True)]
+            gram, row = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+            codes, place = np.unique(gram, return_inverse=True)
+            by, texts = np.argsort(place, kind="stable"), pa.array(gram_texts(codes), pa.string())
+            for first in range(0, len(by), POSTED):
+                some = by[first : first + POSTED]
+                rows = pa.array(row[some])
+                yield pa.RecordBatch.from_arrays([texts.take(pa.array(place[some])), batch.column("province").take(rows), batch.column("record_id").take(rows)], names=["gram", "province", "record_id"])
 
 
 @dataclass
@@ -41,10 +76,11 @@ class SubstringIndex:
     def build(cls, records: DataFrame) -> SubstringIndex:
         """From records with record_id, province, fsc_code, fsc_fn."""
         # both in the case that the search compares in; a gram of either may stand for a hit
-        cased = F.array_union(grams(F.upper(text.text_or_blank("fsc_code"))), grams(F.lower(text.text_or_blank("fsc_fn"))))
-        each = records.select("record_id", "province", F.explode(cased).alias("gram"))
+        cased = records.select("record_id", "province", F.upper(text.text_or_blank("fsc_code")).alias("code"), F.lower(text.text_or_blank("fsc_fn")).alias("name"))
+        key, province = (records.schema[c].dataType.simpleString() for c in ("record_id", "province"))
         parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        postings = materialise(each.repartitionByRange(parts, "gram", "record_id").sortWithinPartitions("gram", "record_id"), "substring-postings")
+        # written where they are made: nothing is shuffled, and no text read twice for its ranges
+        postings = materialise(cased.mapInArrow(_runs, f"gram string, province {province}, record_id {key}"), "substring-postings")
         counts = materialise(postings.groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange(parts, "gram").sortWithinPartitions("gram"), "substring-counts")
         return cls(postings, counts, materialise(records.repartitionByRange(parts, "record_id").sortWithinPartitions("record_id"), "substring-texts"))
 
@@ -53,7 +89,7 @@ class SubstringIndex:
         found = None
         own = self.postings if province is None else self.postings.filter(F.col("province") == province)
         for cased in (query.upper(), query.lower()):
-            all_ = sorted({cased[i : i + SIZE] for i in range(len(cased) - SIZE + 1)})
+            all_ = gram_texts(np.unique(gram_codes(cased)))
             known = {r["gram"]: r["n"] for r in self.counts.filter(F.col("gram").isin(all_)).collect()}  # a row for each gram of the query
             if len(known) < len(all_):
                 continue  # some gram is nowhere

@@ -108,3 +108,18 @@ def test_cells_of_nothing(spark):
     assert lookup.batch_by_vectors(some, none).count() == 0
     assert lookup.batch_by_vectors(some.limit(0), none.union(spark.createDataFrame([(1, [1.0, 0.0])], none.schema))).count() == 0
     assert [tuple(r) for r in lookup.batch_by_vectors(some, none.union(spark.createDataFrame([(7, [1.0, 0.5])], none.schema))).collect()] == [(1, 7, 2.0, 1)]
+
+
+def test_substring_index_reads_records_once(spark, tmp_path):
+    """Postings are written by the tasks that read the records, in runs sorted by gram, with every gram of code and name in the search's case."""
+    from codeweave.operators import substrings
+
+    names = ["Ab\x00c", "Élan 中文字", "\U0001d400bcd", None, "ab", "abab"]
+    records = spark.createDataFrame([(i, "ON", f"k{i}9", n) for i, n in enumerate(names)], "record_id long, province string, fsc_code string, fsc_fn string").coalesce(1)
+    index = substrings.SubstringIndex.build(records)
+    want = {(g, i) for i, n in enumerate(names) for x in (f"K{i}9", (n or "").lower()) for g in (x[j : j + 3] for j in range(len(x) - 2))}
+    rows = [(r.gram, r.record_id) for r in index.postings.collect()]
+    assert set(rows) == want and len(rows) == len(want) and [r[0] for r in rows] == sorted(r[0] for r in rows)
+    assert [r.record_id for r in index.search("文字").collect()] == [1] and [r.record_id for r in index.search("BAB").collect()] == [5]
+    codes = substrings.gram_codes("xabcabc")
+    assert substrings.gram_texts(codes) == ["xab", "abc", "bca", "cab", "abc"]
