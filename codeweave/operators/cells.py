@@ -30,6 +30,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _vectors(df: DataFrame, key: str) -> DataFrame:
+    """(key, embedding); single precision travels as it is, at half the bytes, and is widened where it is computed with."""
+    single = df.schema["embedding"].dataType.simpleString() == "array<float>"
+    return df.select(key, F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin(np.einsum("ij,ij->i", centres, centres)[None, :] - 2 * x @ centres.T, axis=1)
 
@@ -63,7 +69,7 @@ class VectorCells:
         Centres come from a bounded sample (SAMPLE_ROWS); every row is in a cell, and results don't depend on the centres.
         """
         spark = vectors.sparkSession
-        v = vectors.filter("embedding is not null").select("record_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        v = _vectors(vectors.filter("embedding is not null"), "record_id")
         n = v.count()
         sample = v.orderBy(F.xxhash64("record_id")).limit(SAMPLE_ROWS).select("embedding").toArrow().column("embedding").combine_chunks()
         centres = _centres(_matrix(sample), max(1, min(cells, n // CELL_ROWS))) if n else np.zeros((0, 1))
@@ -77,7 +83,7 @@ class VectorCells:
                     yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *batch.columns, pa.array(np.linalg.norm(x - shared.value[own], axis=1))], names=["cell", *batch.schema.names, "far"])
 
         key = v.schema["record_id"].dataType.simpleString()
-        placed = materialise(v.mapInArrow(assign, f"cell int, record_id {key}, embedding array<double>, far double"), "vector-cells")
+        placed = materialise(v.mapInArrow(assign, f"cell int, record_id {key}, embedding {v.schema['embedding'].dataType.simpleString()}, far double"), "vector-cells")
         radii, sizes = np.zeros(len(centres)), np.zeros(len(centres), dtype=np.int64)
         for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # a row for each cell
             radii[r["cell"]], sizes[r["cell"]] = r["far"], r["n"]
@@ -115,7 +121,7 @@ class VectorCells:
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32))], names=["anchor_id", "embedding", "cell", "block"])
 
         key = anchors.schema["anchor_id"].dataType.simpleString()
-        return anchors.mapInArrow(run, f"anchor_id {key}, embedding array<double>, cell int, block int")
+        return anchors.mapInArrow(run, f"anchor_id {key}, embedding {anchors.schema['embedding'].dataType.simpleString()}, cell int, block int")
 
     def _best(self, visits: DataFrame, n: int) -> DataFrame:
         """(anchor_id, record_id, sim_score): the n best of each visited block."""
@@ -124,10 +130,10 @@ class VectorCells:
             if not len(x) or not len(y):
                 return pd.DataFrame({"anchor_id": x["anchor_id"].iloc[:0], "record_id": y["record_id"].iloc[:0], "sim_score": np.zeros(0)})
             y = y.sort_values("record_id", ignore_index=True)
-            theirs, parts = np.stack(y["embedding"].to_numpy()), []
+            theirs, parts = np.stack(y["embedding"].to_numpy()).astype(np.float64), []
             for at in range(0, len(x), 1024):
                 some = x.iloc[at : at + 1024]
-                s = np.stack(some["embedding"].to_numpy()) @ theirs.T
+                s = np.stack(some["embedding"].to_numpy()).astype(np.float64) @ theirs.T
                 best = np.argsort(-s, axis=1, kind="stable")[:, :n]
                 parts.append(pd.DataFrame({"anchor_id": np.repeat(some["anchor_id"].to_numpy(), best.shape[1]), "record_id": y["record_id"].to_numpy()[best.reshape(-1)], "sim_score": np.take_along_axis(s, best, 1).reshape(-1)}))
             return pd.concat(parts)
@@ -145,7 +151,7 @@ class VectorCells:
 
         The n largest inner products in double precision; equal ones go by record_id.
         """
-        a = anchors.select("anchor_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        a = _vectors(anchors, "anchor_id")
         if not len(self.centres):
             a = a.limit(0)
         w = Window.partitionBy("anchor_id").orderBy(F.desc("sim_score"), "record_id")

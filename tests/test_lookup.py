@@ -123,3 +123,17 @@ def test_substring_index_reads_records_once(spark, tmp_path):
     assert [r.record_id for r in index.search("文字").collect()] == [1] and [r.record_id for r in index.search("BAB").collect()] == [5]
     codes = substrings.gram_codes("xabcabc")
     assert substrings.gram_texts(codes) == ["xab", "abc", "bca", "cab", "abc"]
+
+
+def test_single_precision_travels_as_it_is(spark):
+    """Vectors of floats stay floats in cells and visits; scores are in double precision all the same."""
+    from codeweave.operators.cells import VectorCells
+
+    rows = [(i, [0.1 * i, 1.0 / (i + 1)]) for i in range(30)]
+    e = spark.createDataFrame(rows, "record_id long, embedding array<float>")
+    wide = e.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    cells = VectorCells.build(e)
+    anchors = e.withColumnRenamed("record_id", "anchor_id")
+    assert cells.rows.schema["embedding"].dataType.simpleString() == cells._visits(anchors, 3, True).schema["embedding"].dataType.simpleString() == "array<float>"
+    want = VectorCells.build(wide).search(wide.withColumnRenamed("record_id", "anchor_id"), 3)[0]
+    assert sorted(cells.search(anchors, 3)[0].collect()) == sorted(want.collect())
