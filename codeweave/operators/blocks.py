@@ -7,6 +7,8 @@ drop out by counting alone; the rest are counted on the whole sets.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,7 +39,7 @@ def pack(ids: np.ndarray, tokens: list[np.ndarray]) -> pd.DataFrame:
 class Block:
     """A packed row: ids, vocabulary, sizes by set, and the cells' tokens, set by set; starts[i]:starts[i+1] are those of set i."""
 
-    def __init__(self, row: pd.Series):
+    def __init__(self, row: Mapping | pd.Series):
         self.ids, self.vocabulary = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vocabulary"], np.int64)
         kind = np.dtype(np.uint32 if len(self.vocabulary) < 1 << 31 else np.int64)
         steps = np.frombuffer(pa.decompress(row["cells"], int(row["n_cells"]) * kind.itemsize, codec="zstd", asbytes=True), kind)

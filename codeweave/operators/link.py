@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,20 +64,26 @@ def bucket_pairs(records: DataFrame, near: float = NEAR, both_empty: float = BOT
 
 
 def _packed_block(key: tuple, sets: pd.DataFrame) -> pd.DataFrame:
-    bucket, place, block = key
-    return blocks.pack(sets["record_id"].to_numpy(), list(sets["tokens"])).assign(bucket=bucket, place=place, block=block)
+    bucket, place, province, _ = key
+    return blocks.pack(sets["record_id"].to_numpy(), list(sets["tokens"])).assign(bucket=bucket, place=place, province=province, least=sets["n"].min(), most=sets["n"].max())
 
 
-def _block_pairs(near: float):
-    """Pairs of two blocks that reach `near`."""
+_FOUND = "bucket string, lp int, rp int, left_prov string, right_prov string, left_id long, right_id long, score double"
+
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        bucket, lp, _, rp, _ = key
-        if not len(left) or not len(right):
-            return pd.DataFrame({"bucket": [], "lp": [], "rp": [], "left_id": [], "right_id": [], "score": []})
-        x, y = blocks.Block(left.iloc[0]), blocks.Block(right.iloc[0])
-        i, k, score = blocks.meet(x, y, near, scores.LOOKUP)
-        return pd.DataFrame({"bucket": bucket, "lp": lp, "rp": rp, "left_id": x.ids[i], "right_id": y.ids[k], "score": score})
+def _block_pairs(near: float):
+    """Pairs that reach `near` of the two blocks l and r of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                both = batch.slice(i, 1).to_pylist()[0]
+                left, right = both["l"], both["r"]
+                x, y = blocks.Block(left), blocks.Block(right)
+                a, b, score = blocks.meet(x, y, near, scores.LOOKUP)
+                fixed = [pa.repeat(pa.scalar(v, kind), len(a)) for v, kind in ((left["bucket"], pa.string()), (left["place"], pa.int32()), (right["place"], pa.int32()), (left["province"], pa.string()), (right["province"], pa.string()))]
+                found = pa.table([*fixed, x.ids[a], y.ids[b], score], names=[c.split()[0] for c in _FOUND.split(", ")])
+                yield from found.to_batches(max_chunksize=1 << 16)
 
     return run
 
@@ -86,11 +93,11 @@ LEAST_BLOCK, MOST_BLOCK, BLOCKS, SET_WEIGHT = 500_000, 6_000_000, 40, 64
 
 
 def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float = BOTH_EMPTY, block: int | None = None, every_blank: bool = True) -> DataFrame:
-    """bucket_pairs for buckets in which most pairs share tokens: blocks of both sides meet in a task.
+    """bucket_pairs, with left_prov and right_prov, for buckets in which most pairs share tokens: blocks of both sides meet in a task.
 
-    Blocks hold records of one bucket and province of neighbouring sizes, up to a weight (block, else a share of the whole weight); each pair of
-    blocks whose sizes can reach `near` is one group, so no bucket is gathered. A block travels as one packed row (see blocks), to as
-    many tasks as there are blocks opposite; tokens are compared as 64-bit hashes.
+    Blocks hold records of one bucket and province of neighbouring sizes, up to a weight (block, else a share of the whole weight); each is one
+    packed row (see blocks) of a stored table. Two blocks of different provinces whose sizes can reach `near` meet in the task
+    that reads them both, so blocks aren't copied to each other through a shuffle. Tokens are compared as 64-bit hashes.
     """
     r = records.filter(F.col("bucket") != NO_CATEGORY)
     # stored, since what follows needs little of a record twice: what is small of these is broadcast, so tokens are shuffled once
@@ -99,7 +106,7 @@ def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float
     place = first.selectExpr("bucket", "province", "row_number() over (partition by bucket order by first) as place", "count(*) over (partition by bucket) as provinces")
     place = materialise(place.filter("provinces > 1").drop("provinces"), "link-places")
     sets = sets.join(place, ["bucket", "province"])
-    full = r.join(place, ["bucket", "province"]).select("bucket", "place", "record_id", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
+    full = r.join(place, ["bucket", "province"]).select("bucket", "place", "province", "record_id", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
     sizes = sets.filter("n > 0").groupBy("bucket", "place", "n").agg((F.count("*") * (F.col("n") + SET_WEIGHT)).alias("weight"))
     if block is None:
         whole = sizes.agg(F.sum("weight")).first()[0] or 0
@@ -108,18 +115,16 @@ def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float
     upto = "sum(weight) over (partition by bucket, place order by n)"
     dealt = materialise(sizes.selectExpr("bucket", "place", "n", f"cast(floor(({upto} - weight) / {block}) as int) as from_block", f"cast(floor(({upto} - 1) / {block}) as int) as to_block"), "link-sizes")
     placed = full.join(dealt, ["bucket", "place", "n"]).withColumn("block", F.col("from_block") + F.pmod(F.xxhash64("record_id"), F.col("to_block") - F.col("from_block") + 1).cast("int"))
-    packed = materialise(placed.groupBy("bucket", "place", "block").applyInPandas(_packed_block, f"bucket string, place int, block int, {blocks.PACKED}"), "link-blocks")
-    spans = dealt.select("bucket", "place", F.explode(F.sequence("from_block", "to_block")).alias("block"), "n").groupBy("bucket", "place", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    left = spans.selectExpr("bucket", "place as lp", "block as lb", "least")
-    meets = left.join(spans.selectExpr("bucket", "place as rp", "block as rb", "most"), "bucket").filter((F.col("lp") < F.col("rp")) & (F.col("most") >= near * F.col("least") - 1e-6)).drop("least", "most")
-    key = ["bucket", "lp", "lb", "rp", "rb"]
-    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sides = [packed.withColumnsRenamed({"place": f"{s}p", "block": f"{s}b"}).join(meets, ["bucket", f"{s}p", f"{s}b"]).selectExpr(*[f"{c} as {c}" for c in [*key, "ids", "vocabulary", "cells", "n_cells"]]).repartition(parts, *key) for s in "lr"]
-    found = sides[0].groupBy(*key).cogroup(sides[1].groupBy(*key)).applyInPandas(_block_pairs(near), "bucket string, lp int, rp int, left_id long, right_id long, score double")
+    packed = materialise(placed.groupBy("bucket", "place", "province", "block").applyInPandas(_packed_block, f"bucket string, place int, province string, least int, most int, {blocks.PACKED}"), "link-blocks")
+    l, r = (packed.select(F.struct("*").alias(side)) for side in "lr")  # noqa: E741
+    meets = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.place") < F.col("r.place")) & (F.col("r.most") >= near * F.col("l.least") - 1e-6)
+    found = l.join(r.hint("shuffle_replicate_nl"), meets).mapInArrow(_block_pairs(near), _FOUND)
     blank = _blank_pairs(sets.filter("n = 0"), every_blank)
+    for side in "lr":
+        blank = blank.join(place.selectExpr("bucket", f"place as {side}p", f"province as {dict(l='left', r='right')[side]}_prov"), ["bucket", f"{side}p"])
     pair = F.format_string("%06d-%06d", "lp", "rp").alias("prov_pair")
-    out = ["bucket", "left_id", "right_id", pair]
-    return found.select(*out, "score").union(blank.select(*out, F.lit(both_empty).alias("score")))
+    out, provinces = ["bucket", "left_id", "right_id", pair], ["left_prov", "right_prov"]
+    return found.select(*out, "score", *provinces).union(blank.select(*out, F.lit(both_empty).alias("score"), *provinces))
 
 
 PAIR_ORDER = ["score", "prov_pair", "left_id", "right_id"]
@@ -212,20 +217,23 @@ def greedy_groups(pairs: DataFrame, records: DataFrame, last_pairs: int = LAST_P
     """
     spark = pairs.sparkSession
     who = records.select("record_id", "province")
-    pairs = pairs.join(who.selectExpr("record_id as left_id", "province as left_prov"), "left_id").join(who.selectExpr("record_id as right_id", "province as right_prov"), "right_id")
+    for side in ("left", "right"):
+        if f"{side}_prov" not in pairs.columns:
+            pairs = pairs.join(who.selectExpr(f"record_id as {side}_id", f"province as {side}_prov"), f"{side}_id")
     pairs, path = stored(pairs.select("bucket", *PAIR_ORDER, "left_prov", "right_prov"), "link-pairs")
     n = pairs.count()
     if n <= last_pairs:
         none = {"no": F.lit(None).cast("long"), "left_group": F.lit(None).cast("long"), "right_group": F.lit(None).cast("long"), "left_taken": F.lit(None).cast("array<string>"), "right_taken": F.lit(None).cast("array<string>")}
         members = materialise(pairs.withColumns({"all": F.lit(0), **none}).groupBy("all").applyInPandas(_fold, _MEMBERS), "link-members")
+        discard(spark, path)
     else:
         ordered, ordered_path = stored(numbered(pairs.withColumn("s", -F.col("score")), [], ["s", *PAIR_ORDER[1:]], "no").drop("s"), "link-ordered")
+        discard(spark, path)
         members, members_path = spark.createDataFrame([], _MEMBERS), None
         size = -(-n // bands)
         for at in range(0, n, size):
             members, members_path = _fold_band(ordered.filter(F.col("no").between(at, at + size - 1)), members, members_path, who, last_pairs, fold_pairs)
         discard(spark, ordered_path)
-    discard(spark, path)
     founders = members.groupBy("bucket", "group").agg(F.min("founded").alias("founded"))
     no = numbered(founders, ["bucket"], ["founded"], "group_no").select("group", (F.col("group_no") + 1).alias("group_no"))
     return members.join(no, "group").select("bucket", "record_id", "group_no")

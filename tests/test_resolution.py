@@ -254,3 +254,19 @@ def test_blocks_of_sizes_give_the_same_pairs(spark):
     records = spark.createDataFrame(rows, "record_id long, province string, bucket string, tokens array<string>")
     found = [sorted((*p[:4], round(p[4], 9)) for p in df.collect()) for df in (link.bucket_pairs(records), link.bucket_pairs_dense(records), link.bucket_pairs_dense(records, block=500))]
     assert found[0] == found[1] == found[2] and len(found[0]) > 100
+
+
+def test_blocks_meet_without_a_shuffle(spark):
+    """Packed blocks aren't copied through a shuffle to the blocks opposite; pairs name their provinces, which the fold needs no join for."""
+    import random
+
+    r = random.Random(6)
+    rows = [(i, r.choice(["ON", "BC", "YT"]), r.choice("ab"), r.sample([f"w{k}" for k in range(12)], r.randint(0, 6))) for i in range(120)]
+    records = spark.createDataFrame(rows, "record_id long, province string, bucket string, tokens array<string>")
+    pairs = link.bucket_pairs_dense(records, block=500, every_blank=False)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    where = {row[0]: row[1] for row in rows}
+    assert all((p.left_prov, p.right_prov) == (where[p.left_id], where[p.right_id]) for p in pairs.collect())
+    groups = [sorted(map(tuple, link.greedy_groups(p, records).collect())) for p in (pairs, link.bucket_pairs(records, every_blank=False))]
+    assert groups[0] == groups[1] and len(groups[0]) > 50
