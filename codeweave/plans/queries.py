@@ -554,7 +554,7 @@ def _(t):
 
 def _keyed(t) -> DataFrame:
     r = _link_records(t)
-    return link.top_keys(r, link.greedy_groups(link.bucket_pairs_dense(r, every_blank=False), r))
+    return link.top_keys(r.drop("tokens"), link.greedy_groups(link.bucket_pairs_dense(r, every_blank=False), r))
 
 
 #: The fold in SQL: a recursion that takes the pairs of each bucket in order, with the members known so far as a list.

@@ -270,3 +270,14 @@ def test_blocks_meet_without_a_shuffle(spark):
     assert all((p.left_prov, p.right_prov) == (where[p.left_id], where[p.right_id]) for p in pairs.collect())
     groups = [sorted(map(tuple, link.greedy_groups(p, records).collect())) for p in (pairs, link.bucket_pairs(records, every_blank=False))]
     assert groups[0] == groups[1] and len(groups[0]) > 50
+
+
+def test_keys_are_numbered_without_tokens(spark, monkeypatch):
+    """Single records are numbered and joined as narrow rows: their tokens have done their work in the pairs."""
+    from codeweave.operators import records
+    from codeweave.plans import queries
+
+    seen, store = [], records.materialise
+    monkeypatch.setattr(records, "materialise", lambda df, name: seen.append(df.columns) or store(df, name))
+    assert queries.QUERIES["top_keys"](spark, "/root/testdata/sf0.001").count() == 200
+    assert seen and not any("tokens" in columns for columns in seen)
