@@ -33,17 +33,23 @@ def strip(c: Column) -> Column:
 
 
 def _squeezed(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(c, f"{BLANK}+", " "))  # runs are single blanks by then
+    # single plain blanks, nearly all of them, are no match, so they aren't replaced by themselves
+    return F.btrim(F.regexp_replace(c, f"{BLANK}(?:(?<! ){BLANK}*+|{BLANK}++)", " "))  # runs are single blanks by then
+
+
+def _translated(c: Column, old: str, new: str) -> Column:
+    """translate(), which goes character by character, for texts that hold one of the characters."""
+    return F.when(c.rlike(f"[{old}]"), F.translate(c, old, new)).otherwise(c)
 
 
 def clean(c: Column) -> Column:
     """Plain dashes and quotes, no trademark signs or bullets, single blanks."""
-    return _squeezed(F.translate(c, "–—’‘\N{NO-BREAK SPACE}®\N{REPLACEMENT CHARACTER}•", "--'' "))
+    return _squeezed(_translated(c, "–—’‘\N{NO-BREAK SPACE}®\N{REPLACEMENT CHARACTER}•", "--'' "))
 
 
 def norm(c: Column) -> Column:
     """As clean, for reference documents: an e with an acute loses it; opening quotes, trademark signs and bullets stay."""
-    return _squeezed(F.translate(c, "–—’é\N{NO-BREAK SPACE}\N{REPLACEMENT CHARACTER}", "--'e "))
+    return _squeezed(_translated(c, "–—’é\N{NO-BREAK SPACE}\N{REPLACEMENT CHARACTER}", "--'e "))
 
 
 def strip_leaders(c: Column) -> Column:

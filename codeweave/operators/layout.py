@@ -59,9 +59,15 @@ def _mostly_upper(letters: Column | str) -> Column:
     return F.coalesce(text.upper_share(letters) > 0.80, F.lit(False))
 
 
-def _opened(line: Column, code: Column, rest: Column) -> Column:
-    rest = text.strip(rest)
-    return F.struct(code.alias("code"), text.without_price(rest).alias("title"), text.price_at_end(rest).alias("price"))
+def _classified(lines: DataFrame, kind: Column, after: Column) -> DataFrame:
+    """Lines with their kind; body lines with their body, code lines with the rest, which follows the code. Others need neither."""
+    only = lambda which, c: F.when(F.col("kind") == which, c)
+    return _once(_once(lines, kind=kind), body=only("body", text.strip_leaders(F.col("text"))), rest=only("code", text.strip(after)))
+
+
+def _opened(code: Column) -> Column:
+    rest = F.col("rest")
+    return F.when(F.col("kind") == "code", F.struct(code.alias("code"), text.without_price(rest).alias("title"), text.price_at_end(rest).alias("price"))).alias("opened")
 
 
 def classify_on(lines: DataFrame) -> DataFrame:
@@ -75,8 +81,8 @@ def classify_on(lines: DataFrame) -> DataFrame:
     after = F.when(hashed, text.strip_leaders(F.regexp_replace(t, ON_HASH, ""))).otherwise(F.regexp_replace(t, ON_CODE, ""))
     code = F.when(hashed, F.regexp_extract(t, ON_HASH, 1)).otherwise(F.regexp_extract(t, ON_CODE, 1))
     note = F.lower("body").rlike(ON_NOTE)
-    return _once(before_index(lines), kind=kind, body=text.strip_leaders(t)).select(
-        "*", F.when(F.col("kind") == "code", _opened(t, code, after)).alias("opened"), note.alias("note"), ((x >= 60) & ~note).alias("can_name"), ((x < 60) & ~note).alias("margin"), F.lit(True).alias("splits"),
+    return _classified(before_index(lines), kind, after).select(
+        "*", _opened(code), note.alias("note"), ((x >= 60) & ~note).alias("can_name"), ((x < 60) & ~note).alias("margin"), F.lit(True).alias("splits"),
     ).withColumns({"chapter_event": F.when(F.col("kind") == "chapter", rules.on_chapter(t)), "section_event": F.when(F.col("kind") == "close", t), "sub_event": F.lit(None).cast("string")})
 
 
@@ -88,11 +94,11 @@ def classify_bc(lines: DataFrame) -> DataFrame:
         ((x > 80) & (x < 115) & (size >= 9.5), F.lit("sub")), ((x > 60) & (x < 82) & (size > 9.5) & (size < 10.4) & t.rlike(BC_CODE), F.lit("code")), (x > 115, F.lit("body")),
     ], F.lit("none"))
     small = size < 9.7
-    note = small | F.lower("body").rlike(BC_NOTE)
+    note = small | F.col("body").rlike(f"(?i){BC_NOTE}")  # no other letter's lower case is one of these
     k = F.col("kind")
-    return _once(lines, kind=kind, body=text.strip_leaders(t)).select(
-        "*", F.when(k == "code", _opened(t, F.regexp_extract(t, BC_CODE, 1), F.regexp_replace(t, BC_CODE, ""))).alias("opened"), note.alias("note"),
-        (~small & ~F.lower("body").startswith("note")).alias("can_name"), F.lit(False).alias("margin"), F.lit(True).alias("splits"),
+    return _classified(lines, kind, F.regexp_replace(t, BC_CODE, "")).select(
+        "*", _opened(F.regexp_extract(t, BC_CODE, 1)), note.alias("note"),
+        (~small & ~F.col("body").rlike("(?i)^note")).alias("can_name"), F.lit(False).alias("margin"), F.lit(True).alias("splits"),
     ).withColumns({
         "chapter_event": F.when(k == "chapter", rules.first_contained(t, [(c, c) for c in rules.BC_CHAPTERS])), "section_event": F.when(k == "close", t),
         "sub_event": F.when(k == "close", F.lit("")).when(k == "sub", t),
@@ -110,8 +116,8 @@ def classify_yt(lines: DataFrame) -> DataFrame:
     ], F.lit("none"))
     note = F.lower("body").rlike(YT_NOTE)
     closing, big, label = F.col("kind") == "close", size >= 14, F.rtrim(t, F.lit(":"))
-    return _once(lines, kind=kind, body=text.strip_leaders(t)).select(
-        "*", F.when(F.col("kind") == "code", _opened(t, F.regexp_extract(t, YT_CODE, 1), F.regexp_replace(t, YT_CODE, ""))).alias("opened"), note.alias("note"),
+    return _classified(lines, kind, F.regexp_replace(t, YT_CODE, "")).select(
+        "*", _opened(F.regexp_extract(t, YT_CODE, 1)), note.alias("note"),
         (~note).alias("can_name"), F.lit(False).alias("margin"), F.lit(False).alias("splits"),
     ).withColumns({
         "chapter_event": F.when(closing & big, t), "section_event": F.when(closing & big, F.lit("")).when(closing & upper, label),
@@ -125,7 +131,7 @@ def _parts(lines: DataFrame, by: Sequence[str], range_pages: int) -> DataFrame:
     seg names the record by its boundary line; null where the boundary lies before the range. chapter, section and sub are null where
     the range has no event yet.
     """
-    lines = lines.filter("kind <> 'none'").withColumn("rng", F.floor(F.coalesce("page", F.lit(-1)) / range_pages))
+    lines = lines.filter("kind <> 'none'").withColumn("text", F.when(F.col("kind") == "price", F.col("text"))).withColumn("rng", F.floor(F.coalesce("page", F.lit(-1)) / range_pages))
     here = up_to_now([*by, "rng"], ORDER)
     last = lambda e: F.last_value(e, ignoreNulls=F.lit(True)).over(here)
     boundary = F.when(F.col("kind").isin("code", "close"), F.struct(*ORDER, (F.col("kind") == "code").alias("is_code")))

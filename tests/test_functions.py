@@ -110,3 +110,15 @@ def test_blanks_and_letters_as_before(spark):
     same = t.strip(F.col("s")).eqNullSafe(plain) & t.upper_ratio(F.col("s")).eqNullSafe(ratio) & t.price_at_end(F.col("s")).eqNullSafe(price)
     assert df.filter(~same).count() == 0
     assert re.match(r"\[\[\^!-~\]&&", t.BLANK)
+
+
+def test_runs_of_blanks_are_squeezed(spark):
+    """Runs of plain and other blanks in any order become one blank; a single plain blank is no match of the pattern."""
+    import random
+
+    r = random.Random(2)
+    raw = ["".join(r.choice(["a", "b", " ", " ", "\t", " ", "\x1c", " ", "–"]) for _ in range(r.randint(0, 12))) for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in raw], "x string").select("x", text.clean(F.col("x")).alias("y"), text.norm(F.col("x")).alias("z"))
+    assert all(row.y == row.z == " ".join(row.x.replace("–", "-").split()) for row in df.collect())
+    plan = spark.range(1).select(text.clean(F.concat(F.lit("a b "), "id"))).where("true")._jdf.queryExecution().analyzed().toString()
+    assert "(?<! )" in plan

@@ -125,3 +125,12 @@ def test_a_document_key_and_page_may_be_null(spark):
     assert got == [] or {r.file for r in got} == {None}
     df = lines(spark, "ON", ON).withColumn("file", F.lit(None).cast("string"))
     assert {r.fsc_code for r in layout.parse_layout(df, ["file", "province"]).collect()} == {"K040", "S207"}
+
+
+def test_texts_only_where_they_are_used(spark):
+    """Bodies are made for body lines alone, and only these and code lines take theirs further."""
+    rows = [("BC", 1, i, *x) for i, x in enumerate([("00100 Visit 12.00", 70.0, 10.0), ("NOTE: one", 120.0, 10.0), ("İ) two", 120.0, 10.0), ("IV) three", 120.0, 10.0), ("A Section", 70.0, 12.0)])]
+    df = spark.createDataFrame(rows, "province string, page int, line_no int, text string, x0 double, font_size double")
+    got = layout.classify_bc(layout._prepared(df, 10)).orderBy("line_no").collect()
+    assert [(r.kind, r.body, r.rest) for r in got] == [("code", None, "Visit 12.00"), ("body", "NOTE: one", None), ("body", "İ) two", None), ("body", "IV) three", None), ("close", None, None)]
+    assert [(r.note, r.can_name) for r in got[1:4]] == [(True, False), (False, True), (True, True)]
