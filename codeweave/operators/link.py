@@ -130,18 +130,19 @@ def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float
 PAIR_ORDER = ["score", "prov_pair", "left_id", "right_id"]
 #: Up to so many pairs one task folds all, and of a component it folds so many at a time; bands of pairs beyond that.
 LAST_PAIRS, FOLD_PAIRS, BANDS = 200_000, 200_000, 16
-_MEMBERS = "bucket string, record_id long, group long, founded long"
+#: Up to so many records with a group go to the tasks that read pairs; bands are cut at the keys of about so many sampled pairs.
+MAP_MEMBERS, CUT_PAIRS = 500_000, 20_000
+_MEMBERS = "bucket string, record_id long, province string, group long, score double, prov_pair string"
 
 
 def _fold(pairs: pd.DataFrame) -> pd.DataFrame:
-    """(bucket, record_id, group, founded): what the pairs, taken in order, add to groups.
+    """(bucket, record_id, province, group, score, prov_pair): what the pairs, taken in order, add to groups.
 
     A pair of two records without a group founds one, named by its left record; a record without a group joins the other's
-    group if that has no code of its province. left_group, right_group: groups already known; left_taken, right_taken: their provinces;
-    no: the pair's number in the order of all. founded: that of the pair that founded the group, for both its records.
+    group if that has no code of its province. left_group, right_group: groups already known; left_taken, right_taken: their provinces.
+    score, prov_pair: those of the pair that founded the group, for both its records.
     """
     pairs = pairs.sort_values(PAIR_ORDER, ascending=[False, True, True, True], kind="stable", ignore_index=True)
-    numbers = pairs["no"] if pairs["no"].notna().all() else range(len(pairs))
     group: dict[int, int] = {}
     taken: dict[int, set[str]] = {}
     for side in ("left", "right"):
@@ -150,41 +151,48 @@ def _fold(pairs: pd.DataFrame) -> pd.DataFrame:
                 group[record] = int(g)
                 taken[int(g)] = set(provinces)
     added: list[tuple] = []
-    for bucket, a, b, pa_, pb, no in zip(pairs["bucket"], pairs["left_id"], pairs["right_id"], pairs["left_prov"], pairs["right_prov"], numbers, strict=True):
+    columns = ["bucket", "left_id", "right_id", "left_prov", "right_prov", "score", "prov_pair"]
+    for bucket, a, b, pa_, pb, score, prov_pair in zip(*(pairs[c] for c in columns), strict=True):
         ga, gb = group.get(a), group.get(b)
         if ga is None and gb is None:
             group[a] = group[b] = a
-            added += [(bucket, a, a, int(no)), (bucket, b, a, int(no))]
+            added += [(bucket, a, pa_, a, score, prov_pair), (bucket, b, pb, a, score, prov_pair)]
             taken[a] = {pa_, pb}
         elif ga is None or gb is None:
             g, new, province = (gb, a, pa_) if ga is None else (ga, b, pb)
             if province not in taken[g]:
                 group[new] = g
-                added.append((bucket, new, g, None))
+                added.append((bucket, new, province, g, None, None))
                 taken[g].add(province)
-    return pd.DataFrame(added, columns=["bucket", "record_id", "group", "founded"]).astype({"record_id": "int64", "group": "int64", "founded": "Int64"})
+    return pd.DataFrame(added, columns=["bucket", "record_id", "province", "group", "score", "prov_pair"]).astype({"record_id": "int64", "group": "int64", "score": "float64"})
 
 
-def _undecided(pairs: DataFrame, members: DataFrame, who: DataFrame) -> DataFrame:
-    """The pairs that may still do something, with the groups of their records and the provinces these have."""
-    taken = members.join(who, "record_id").groupBy("group").agg(F.collect_set("province").alias("taken"))  # a code of each province at most
-    known = members.join(taken, "group")
+def _undecided(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs that may still do something, with the groups of their records and the provinces these have.
+
+    Most pairs do nothing any more, so they are looked up where they are read, as long as members are counted to be few.
+    """
+    taken = members.groupBy("group").agg(F.collect_set("province").alias("taken"))  # a code of each province at most
+    known = members.select("record_id", "group").join(taken, "group")
+    few = members.count() <= MAP_MEMBERS
     for side in ("left", "right"):
-        pairs = pairs.join(known.selectExpr(f"record_id as {side}_id", f"group as {side}_group", f"taken as {side}_taken"), f"{side}_id", "left")
+        own = known.selectExpr(f"record_id as {side}_id", f"group as {side}_group", f"taken as {side}_taken")
+        pairs = pairs.join(F.broadcast(own) if few else own, f"{side}_id", "left")
     both = F.col("left_group").isNotNull() & F.col("right_group").isNotNull()
     blocked = F.coalesce(F.array_contains("left_taken", F.col("right_prov")), F.lit(False)) | F.coalesce(F.array_contains("right_taken", F.col("left_prov")), F.lit(False))
     return pairs.filter(~both & ~blocked)
 
 
-def _fold_band(band: DataFrame, members: DataFrame, path: str | None, who: DataFrame, last_pairs: int, fold_pairs: int) -> tuple[DataFrame, str | None]:
+def _fold_band(band: DataFrame, members: DataFrame, path: str | None, last_pairs: int, fold_pairs: int) -> tuple[DataFrame, str | None]:
     """members, stored, with what a band of consecutive pairs adds.
 
     Only pairs of one component of records and groups depend on each other, so components are folded side by side. A component of more
     than fold_pairs pairs is folded from its beginning, so many at a time.
     """
     spark = band.sparkSession
+    rest_path = None
     while True:
-        left, left_path = stored(_undecided(band, members, who).withColumns({"a": F.coalesce("left_group", "left_id"), "b": F.coalesce("right_group", "right_id")}), "link-band")
+        left, left_path = stored(_undecided(band, members).withColumns({"a": F.coalesce("left_group", "left_id"), "b": F.coalesce("right_group", "right_id")}), "link-band")
         n = left.count()
         rest = None
         if n <= last_pairs:
@@ -194,23 +202,42 @@ def _fold_band(band: DataFrame, members: DataFrame, path: str | None, who: DataF
             now = left.join(parts.withColumnRenamed("node", "a"), "a")
             large = now.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > fold_pairs)
             if not large.isEmpty():
-                now = now.withColumn("place", F.row_number().over(Window.partitionBy("component").orderBy("no")))
+                now = now.withColumn("place", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("score"), *PAIR_ORDER[1:])))
                 now, rest = now.filter(F.col("place") <= fold_pairs), now.filter(F.col("place") > fold_pairs)
         if n:
             added = now.groupBy("component").applyInPandas(_fold, _MEMBERS)
             last, (members, path) = path, stored(members.union(added), "link-members")
             if last:
                 discard(spark, last)
+        last = rest_path
+        if rest is not None:
+            band, rest_path = stored(rest.select(*band.columns), "link-rest")
+        discard(spark, left_path)
+        if last:
+            discard(spark, last)
         if rest is None:
-            discard(spark, left_path)
             return members, path
-        band = materialise(rest.select(*band.columns), "link-rest")
+
+
+def _bands(pairs: DataFrame, n: int, bands: int) -> Iterator[DataFrame]:
+    """n pairs in their order, cut at the keys of sampled ones into bands of about as many; where the cuts are changes no result.
+
+    Pairs aren't sorted for this: a band is a filter on the stored table.
+    """
+    key = [(-F.col("score")).alias("s"), *map(F.col, PAIR_ORDER[1:])]
+    sampled = sorted(map(tuple, pairs.select(*key).sample(min(1.0, CUT_PAIRS / n), seed=1).collect()))
+    cuts = sorted({sampled[k * len(sampled) // bands] for k in range(1, bands)}) if sampled else []
+    kinds = dict(s="double", prov_pair="string", left_id="long", right_id="long")
+    at = [F.struct(*(F.lit(v).cast(kind).alias(c) for v, (c, kind) in zip(cut, kinds.items(), strict=True))) for cut in cuts]
+    for first, last in zip([None, *at], [*at, None], strict=True):
+        band = pairs if first is None else pairs.filter(F.struct(*key) > first)
+        yield band if last is None else band.filter(F.struct(*key) <= last)
 
 
 def greedy_groups(pairs: DataFrame, records: DataFrame, last_pairs: int = LAST_PAIRS, bands: int = BANDS, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
     """(bucket, record_id, group_no): the order-dependent fold over accepted pairs.
 
-    Pairs are taken in order (see PAIR_ORDER). last_pairs or fewer are one task's. More are numbered in order and cut into bands of consecutive
+    Pairs are taken in order (see PAIR_ORDER). last_pairs or fewer are one task's. More are stored once and read band by band of consecutive
     pairs, one round each: pairs whose records both have a group, or whose joiner's province is taken, have no effect any more
     and go, and the components of the others are folded side by side. Groups are numbered within their bucket in the
     order of the pairs that founded them.
@@ -223,19 +250,16 @@ def greedy_groups(pairs: DataFrame, records: DataFrame, last_pairs: int = LAST_P
     pairs, path = stored(pairs.select("bucket", *PAIR_ORDER, "left_prov", "right_prov"), "link-pairs")
     n = pairs.count()
     if n <= last_pairs:
-        none = {"no": F.lit(None).cast("long"), "left_group": F.lit(None).cast("long"), "right_group": F.lit(None).cast("long"), "left_taken": F.lit(None).cast("array<string>"), "right_taken": F.lit(None).cast("array<string>")}
+        none = {"left_group": F.lit(None).cast("long"), "right_group": F.lit(None).cast("long"), "left_taken": F.lit(None).cast("array<string>"), "right_taken": F.lit(None).cast("array<string>")}
         members = materialise(pairs.withColumns({"all": F.lit(0), **none}).groupBy("all").applyInPandas(_fold, _MEMBERS), "link-members")
-        discard(spark, path)
     else:
-        ordered, ordered_path = stored(numbered(pairs.withColumn("s", -F.col("score")), [], ["s", *PAIR_ORDER[1:]], "no").drop("s"), "link-ordered")
-        discard(spark, path)
         members, members_path = spark.createDataFrame([], _MEMBERS), None
-        size = -(-n // bands)
-        for at in range(0, n, size):
-            members, members_path = _fold_band(ordered.filter(F.col("no").between(at, at + size - 1)), members, members_path, who, last_pairs, fold_pairs)
-        discard(spark, ordered_path)
-    founders = members.groupBy("bucket", "group").agg(F.min("founded").alias("founded"))
-    no = numbered(founders, ["bucket"], ["founded"], "group_no").select("group", (F.col("group_no") + 1).alias("group_no"))
+        for band in _bands(pairs, n, bands):
+            members, members_path = _fold_band(band, members, members_path, last_pairs, fold_pairs)
+    discard(spark, path)
+    # a group's left founder names it, so that order is the founding pairs'
+    founders = members.filter("record_id = group").selectExpr("bucket", "group", "-score as s", "prov_pair")
+    no = numbered(founders, ["bucket"], ["s", "prov_pair", "group"], "group_no").select("group", (F.col("group_no") + 1).alias("group_no"))
     return members.join(no, "group").select("bucket", "record_id", "group_no")
 
 

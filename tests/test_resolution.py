@@ -96,6 +96,47 @@ def test_a_chain_is_folded_in_few_rounds(spark, monkeypatch):
     assert len(got) == n and max(g for _, _, g in got) == n // 4
 
 
+def test_pairs_are_stored_once(spark, monkeypatch):
+    """Beyond one task's pairs, no second table and no shuffle holds all pairs: bands are read from the first, and members looked up there."""
+    from codeweave.operators import records as rec
+
+    import random
+
+    r = random.Random(8)
+    records = spark.createDataFrame([(i, ["ON", "BC", "YT"][i % 3]) for i in range(90)], "record_id long, province string")
+    rows = [("b", a, b, f"{a % 3}-{b % 3}", r.randint(1, 9) / 10) for a in range(90) for b in range(90) if a % 3 < b % 3]
+    pairs = spark.createDataFrame(rows, "bucket string, left_id long, right_id long, prov_pair string, score double")
+    want = sorted(map(tuple, link.greedy_groups(pairs, records).collect()))
+    held, plans = [], []
+
+    def kept(module, name):
+        plain = getattr(module, name)
+
+        def run(df, table):
+            if table == "link-band":
+                plans.append(df._jdf.queryExecution().executedPlan().toString())
+            out = plain(df, table)
+            held.append((table, (out if name == "materialise" else out[0]).count()))
+            return out
+
+        monkeypatch.setattr(module, name, run)
+
+    for module, name in ((link, "stored"), (link, "materialise"), (rec, "materialise")):
+        kept(module, name)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(map(tuple, link.greedy_groups(pairs, records, last_pairs=100, bands=8).collect()))
+        shuffled = [p for p in plans if "SortMergeJoin LeftOuter" in p or "SortMergeJoin [left_id" in p or "SortMergeJoin [right_id" in p]
+        monkeypatch.setattr(link, "MAP_MEMBERS", 0, raising=False)
+        again = sorted(map(tuple, link.greedy_groups(pairs, records, last_pairs=100, bands=8).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == again == want and len(want) == 90
+    assert plans and not shuffled
+    assert [t for t, n in held if n == len(rows)] == ["link-pairs"] * 2
+
+
 def test_best_by_tokens_both_ways(spark):
     import random
 
