@@ -7,7 +7,7 @@ drop out by counting alone; the rest are counted on the whole sets.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -18,22 +18,37 @@ CELLS, ENTRIES = 1 << 22, 1 << 22
 PACKED = "ids binary, vocabulary binary, cells binary, n_cells long"
 
 
-def pack(ids: np.ndarray, tokens: list[np.ndarray]) -> pd.DataFrame:
-    """One row (see PACKED) of sets of 64-bit hashes, in ascending order of size.
+def packed(ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> dict:
+    """One row (see PACKED) of sets of 64-bit hashes, set by set in tokens, in ascending order of size.
 
     The vocabulary is in descending order of frequency. A cell is a set's place times the vocabulary's size, plus a token's place; the
-    sorted cells travel as compressed differences.
+    sorted cells travel as compressed differences, first all their lowest bytes, then all the next.
     """
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     by = np.argsort(sizes, kind="stable")
-    vocabulary, token, df = np.unique(np.concatenate([tokens[i] for i in by]), return_inverse=True, return_counts=True)
+    vocabulary, token, df = np.unique(tokens[ranges((np.cumsum(sizes) - sizes)[by], sizes[by])], return_inverse=True, return_counts=True)
     order = np.argsort(-df, kind="stable")
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
     cells = np.sort(np.repeat(np.arange(len(by)), sizes[by]) * len(order) + place[token])
-    steps = np.diff(cells, prepend=0).astype(np.uint32 if len(order) < 1 << 31 else np.int64)
-    squeezed = pa.compress(steps.tobytes(), codec="zstd", asbytes=True)
-    return pd.DataFrame({"ids": [ids[by].astype(np.int64).tobytes()], "vocabulary": [vocabulary[order].astype(np.int64).tobytes()], "cells": [squeezed], "n_cells": [len(cells)]})
+    steps = np.diff(cells, prepend=0).astype(_step(len(order)))
+    planes = steps.view(np.uint8).reshape(-1, steps.itemsize).T
+    squeezed = pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return {"ids": ids[by].astype(np.int64).tobytes(), "vocabulary": vocabulary[order].astype(np.int64).tobytes(), "cells": squeezed, "n_cells": len(cells)}
+
+
+def _step(words: int) -> np.dtype:
+    return np.dtype(np.uint32 if words < 1 << 31 else np.int64)
+
+
+def pack(ids: np.ndarray, tokens: list[np.ndarray]) -> pd.DataFrame:
+    """packed() of a list of sets."""
+    return pd.DataFrame([packed(ids, np.fromiter(map(len, tokens), np.int64, len(tokens)), np.concatenate(tokens))])
+
+
+def merged(rows: Iterable[Mapping]) -> dict:
+    """One packed row of the sets of several."""
+    parts = [Block(row) for row in rows]
+    return packed(*(np.concatenate(x) for x in zip(*((p.ids, p.sizes, p.vocabulary[p.token]) for p in parts), strict=True)))
 
 
 class Block:
@@ -41,8 +56,9 @@ class Block:
 
     def __init__(self, row: Mapping | pd.Series):
         self.ids, self.vocabulary = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vocabulary"], np.int64)
-        kind = np.dtype(np.uint32 if len(self.vocabulary) < 1 << 31 else np.int64)
-        steps = np.frombuffer(pa.decompress(row["cells"], int(row["n_cells"]) * kind.itemsize, codec="zstd", asbytes=True), kind)
+        kind = _step(len(self.vocabulary))
+        planes = np.frombuffer(pa.decompress(row["cells"], int(row["n_cells"]) * kind.itemsize, codec="zstd", asbytes=True), np.uint8)
+        steps = np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
         cells = np.cumsum(steps, dtype=np.int64)
         self.set = (cells // len(self.vocabulary)).astype(np.int32)
         self.token = (cells - self.set.astype(np.int64) * len(self.vocabulary)).astype(np.int32)

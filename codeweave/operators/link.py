@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -63,9 +64,44 @@ def bucket_pairs(records: DataFrame, near: float = NEAR, both_empty: float = BOT
     return scored.select(*out, "score").union(blank.select(*out, F.lit(both_empty).alias("score")))
 
 
-def _packed_block(key: tuple, sets: pd.DataFrame) -> pd.DataFrame:
-    bucket, place, province, _ = key
-    return blocks.pack(sets["record_id"].to_numpy(), list(sets["tokens"])).assign(bucket=bucket, place=place, province=province, least=sets["n"].min(), most=sets["n"].max())
+_BLOCK = ["bucket", "place", "province", "block"]
+_PACKED = f"bucket string, place int, province string, block int, least int, most int, {blocks.PACKED}"
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+#: Tokens that a task packs at a time.
+PACK_TOKENS = 8_000_000
+
+
+def _packed_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One packed row for each block of the records that a task reads, so many tokens at a time."""
+    held: list[pa.RecordBatch] = []
+    weight = 0
+    for batch in batches:
+        held.append(batch)
+        weight += len(batch["tokens"].flatten())
+        if weight >= PACK_TOKENS:
+            yield from _packed_rows(held)
+            held, weight = [], 0
+    if held:
+        yield from _packed_rows(held)
+
+
+def _packed_rows(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    records = pa.Table.from_batches(batches)
+    if not records.num_rows:
+        return
+    ids, tokens = records["record_id"].to_numpy(), records["tokens"].combine_chunks()
+    starts, values = tokens.offsets.to_numpy().astype(np.int64), tokens.values.to_numpy()
+    schema = pa.schema([(name, _KINDS[kind]) for name, kind in map(str.split, _PACKED.split(", "))])
+    for key, at in records.select(_BLOCK).to_pandas().groupby(_BLOCK, sort=False).indices.items():
+        sizes = starts[at + 1] - starts[at]
+        bounds = {"least": int(sizes.min()), "most": int(sizes.max())}
+        row = dict(zip(_BLOCK, key, strict=True)) | bounds | blocks.packed(ids[at], sizes, values[blocks.ranges(starts[at], sizes)])
+        yield pa.RecordBatch.from_pylist([row], schema)
+
+
+def _merged_block(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+    bounds = {"least": parts["least"].min(), "most": parts["most"].max()}
+    return pd.DataFrame([dict(zip(_BLOCK, key, strict=True)) | bounds | blocks.merged(parts.to_dict("records"))])
 
 
 _FOUND = "bucket string, lp int, rp int, left_prov string, right_prov string, left_id long, right_id long, score double"
@@ -88,6 +124,14 @@ def _block_pairs(near: float):
     return run
 
 
+#: Up to so many sizes of sets, or provinces of buckets, go to the tasks that read records.
+MAP_SIZES = 200_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MAP_SIZES else df
+
+
 #: Weight of a block (its tokens, and SET_WEIGHT for each record), at least and at most; between them all blocks are so many.
 LEAST_BLOCK, MOST_BLOCK, BLOCKS, SET_WEIGHT = 500_000, 6_000_000, 40, 64
 
@@ -96,17 +140,18 @@ def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float
     """bucket_pairs, with left_prov and right_prov, for buckets in which most pairs share tokens: blocks of both sides meet in a task.
 
     Blocks hold records of one bucket and province of neighbouring sizes, up to a weight (block, else a share of the whole weight); each is one
-    packed row (see blocks) of a stored table. Two blocks of different provinces whose sizes can reach `near` meet in the task
+    packed row (see blocks) of a stored table. The tasks that read records pack what they have of each block, so that token sets are
+    shuffled packed, and parts are merged. Two blocks of different provinces whose sizes can reach `near` meet in the task
     that reads them both, so blocks aren't copied to each other through a shuffle. Tokens are compared as 64-bit hashes.
     """
     r = records.filter(F.col("bucket") != NO_CATEGORY)
-    # stored, since what follows needs little of a record twice: what is small of these is broadcast, so tokens are shuffled once
+    # stored, since what follows needs little of a record twice: what is counted to be small of these is broadcast, so tokens meet it where they are read
     sets = materialise(r.select("bucket", "province", "record_id", F.size("tokens").alias("n")), "link-sets")
     first = sets.groupBy("bucket", "province").agg(F.min("record_id").alias("first"))
     place = first.selectExpr("bucket", "province", "row_number() over (partition by bucket order by first) as place", "count(*) over (partition by bucket) as provinces")
     place = materialise(place.filter("provinces > 1").drop("provinces"), "link-places")
     sets = sets.join(place, ["bucket", "province"])
-    full = r.join(place, ["bucket", "province"]).select("bucket", "place", "province", "record_id", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
+    full = r.join(_few(place), ["bucket", "province"]).select("bucket", "place", "province", "record_id", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
     sizes = sets.filter("n > 0").groupBy("bucket", "place", "n").agg((F.count("*") * (F.col("n") + SET_WEIGHT)).alias("weight"))
     if block is None:
         whole = sizes.agg(F.sum("weight")).first()[0] or 0
@@ -114,8 +159,9 @@ def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float
     # a row for each size of a bucket and province: the blocks that its records are dealt to
     upto = "sum(weight) over (partition by bucket, place order by n)"
     dealt = materialise(sizes.selectExpr("bucket", "place", "n", f"cast(floor(({upto} - weight) / {block}) as int) as from_block", f"cast(floor(({upto} - 1) / {block}) as int) as to_block"), "link-sizes")
-    placed = full.join(dealt, ["bucket", "place", "n"]).withColumn("block", F.col("from_block") + F.pmod(F.xxhash64("record_id"), F.col("to_block") - F.col("from_block") + 1).cast("int"))
-    packed = materialise(placed.groupBy("bucket", "place", "province", "block").applyInPandas(_packed_block, f"bucket string, place int, province string, least int, most int, {blocks.PACKED}"), "link-blocks")
+    placed = full.join(_few(dealt), ["bucket", "place", "n"]).withColumn("block", F.col("from_block") + F.pmod(F.xxhash64("record_id"), F.col("to_block") - F.col("from_block") + 1).cast("int"))
+    parts = placed.select(*_BLOCK, "record_id", "tokens").mapInArrow(_packed_parts, _PACKED)
+    packed = materialise(parts.groupBy(_BLOCK).applyInPandas(_merged_block, _PACKED), "link-blocks")
     l, r = (packed.select(F.struct("*").alias(side)) for side in "lr")  # noqa: E741
     meets = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.place") < F.col("r.place")) & (F.col("r.most") >= near * F.col("l.least") - 1e-6)
     found = l.join(r.hint("shuffle_replicate_nl"), meets).mapInArrow(_block_pairs(near), _FOUND)
@@ -297,5 +343,6 @@ def group_sizes(keyed: DataFrame, key: str = "top_key") -> DataFrame:
 def sample_groups(keyed: DataFrame, key: str = "top_key", members: Sequence[str] = ("province", "fsc_code"), limit: int = 8) -> DataFrame:
     """The first `limit` groups, by key, of two to four records of several provinces."""
     rows = F.array_sort(F.collect_list(F.struct(*members)))
-    g = keyed.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct("province").alias("provinces"), rows.alias("members"))
+    # a set's size, since a distinct count would have the records shuffled twice
+    g = keyed.groupBy(key).agg(F.count("*").alias("n"), F.size(F.collect_set("province")).cast("long").alias("provinces"), rows.alias("members"))
     return g.filter("n between 2 and 4 and provinces >= 2").orderBy(key).limit(limit)

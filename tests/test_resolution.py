@@ -313,6 +313,63 @@ def test_blocks_meet_without_a_shuffle(spark):
     assert groups[0] == groups[1] and len(groups[0]) > 50
 
 
+def test_parts_of_blocks_merge_into_the_block(monkeypatch):
+    """Parts packed by several tasks, a few tokens at a time, hold what one block of all records holds, in less than half of its hashes' bytes."""
+    import numpy as np
+    import pyarrow as pa
+    from codeweave.operators import blocks
+
+    r = np.random.default_rng(7)
+    hashes = r.integers(-(2**63), 2**63 - 1, 2000)
+    sets = [np.unique(hashes[(2000 * r.random(int(n)) ** 3).astype(int)]) for n in r.integers(1, 300, 900)]
+    kinds = pa.schema([("bucket", pa.string()), ("place", pa.int32()), ("province", pa.string()), ("block", pa.int32()), ("record_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    rows = [{"bucket": "a", "place": 1, "province": "ON", "block": i % 2, "record_id": i, "tokens": x.tolist()} for i, x in enumerate(sets)]
+    batch = pa.RecordBatch.from_pylist(rows, kinds)
+    monkeypatch.setattr(link, "PACK_TOKENS", 20_000)
+    parts = pa.Table.from_batches(link._packed_parts(iter([batch.slice(0, 0), *(batch.slice(i, 100) for i in range(0, 900, 100))]))).to_pandas()
+    assert len(parts) > 4 and sum(len(x) for c in ("ids", "vocabulary", "cells") for x in parts[c]) < 8 * sum(map(len, sets)) / 2
+    for block, own in parts.groupby("block"):
+        row = link._merged_block(("a", 1, "ON", block), own).iloc[0]
+        ids = np.arange(block, 900, 2)
+        assert (row["least"], row["most"]) == (min(len(sets[i]) for i in ids), max(len(sets[i]) for i in ids))
+        one = blocks.Block(row)
+        assert sorted(one.ids) == sorted(ids) and (np.diff(one.sizes) >= 0).all()
+        for k, i in enumerate(one.ids):
+            assert np.array_equal(np.sort(one.vocabulary[one.token[one.starts[k] : one.starts[k + 1]]]), sets[i])
+        assert len(row["vocabulary"]) == 8 * len(np.unique(np.concatenate([sets[i] for i in ids])))
+    assert not list(link._packed_parts(iter([])))
+
+
+def test_token_sets_are_shuffled_packed(spark, monkeypatch):
+    """The shuffle into blocks carries packed parts, not a record's tokens; without broadcasts by Spark's own estimate too."""
+    import random
+
+    r = random.Random(9)
+    rows = [(i, r.choice(["ON", "BC", "YT"]), r.choice("ab"), r.sample([f"w{k}" for k in range(12)], r.randint(0, 6))) for i in range(120)]
+    records = spark.createDataFrame(rows, "record_id long, province string, bucket string, tokens array<string>").repartition(5)
+    plans, plain = {}, link.materialise
+    monkeypatch.setattr(link, "materialise", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and plain(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = sorted((*p[:4], round(p[4], 9)) for p in link.bucket_pairs_dense(records, block=200).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = plans["link-blocks"].split("\n")
+    above = plan[: next((i for i, line in enumerate(plan) if "MapInArrow" in line), 0)]
+    assert sum("Exchange hashpartitioning" in line for line in above) == 1 and "SortMergeJoin" not in plans["link-blocks"]
+    assert found == sorted((*p[:4], round(p[4], 9)) for p in link.bucket_pairs(records).collect()) and len(found) > 100
+
+
+def test_samples_shuffle_records_once(spark):
+    """Groups of two to four records of several provinces; a province that is null counts as none, and records go through one shuffle."""
+    rows = [("a", "ON", "1"), ("a", "BC", "2"), ("b", "ON", "3"), ("b", None, "4"), ("c", "ON", "5"), ("c", "ON", "6"), *(("d", p, "7") for p in "vwxyz"), ("e", "ON", "9"), ("e", "ON", "8"), ("e", "YT", "7")]
+    got = link.sample_groups(spark.createDataFrame(rows, "top_key string, province string, fsc_code string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert [(r.top_key, r.n, r.provinces, [tuple(m) for m in r.members]) for r in got.collect()] == [("a", 2, 2, [("BC", "2"), ("ON", "1")]), ("e", 3, 2, [("ON", "8"), ("ON", "9"), ("YT", "7")])]
+    assert dict(got.dtypes)["provinces"] == "bigint" and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_keys_are_numbered_without_tokens(spark, monkeypatch):
     """Single records are numbered and joined as narrow rows: their tokens have done their work in the pairs."""
     from codeweave.operators import records
