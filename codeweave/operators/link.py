@@ -104,22 +104,27 @@ def _merged_block(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([dict(zip(_BLOCK, key, strict=True)) | bounds | blocks.merged(parts.to_dict("records"))])
 
 
-_FOUND = "bucket string, lp int, rp int, left_prov string, right_prov string, left_id long, right_id long, score double"
+_FOUND = "bucket string, left_id long, right_id long, prov_pair string, score double, left_prov string, right_prov string"
 
 
 def _block_pairs(near: float):
     """Pairs that reach `near` of the two blocks l and r of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, x = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 both = batch.slice(i, 1).to_pylist()[0]
                 left, right = both["l"], both["r"]
-                x, y = blocks.Block(left), blocks.Block(right)
-                a, b, score = blocks.meet(x, y, near, scores.LOOKUP)
-                fixed = [pa.repeat(pa.scalar(v, kind), len(a)) for v, kind in ((left["bucket"], pa.string()), (left["place"], pa.int32()), (right["place"], pa.int32()), (left["province"], pa.string()), (right["province"], pa.string()))]
-                found = pa.table([*fixed, x.ids[a], y.ids[b], score], names=[c.split()[0] for c in _FOUND.split(", ")])
-                yield from found.to_batches(max_chunksize=1 << 16)
+                # a left block comes with one right block after the other
+                if key != (key := tuple(left[c] for c in _BLOCK)):
+                    x = blocks.Block(left)
+                y = blocks.Block(right)
+                pair = f"{left['place']:06d}-{right['place']:06d}"
+                for a, b, score in blocks.met(x, y, near, scores.LOOKUP):
+                    bucket, prov_pair, *provinces = (pa.repeat(pa.scalar(v, pa.string()), len(a)) for v in (left["bucket"], pair, left["province"], right["province"]))
+                    found = pa.table([bucket, x.ids[a], y.ids[b], prov_pair, score, *provinces], names=[c.split()[0] for c in _FOUND.split(", ")])
+                    yield from found.to_batches(max_chunksize=1 << 16)
 
     return run
 
@@ -133,7 +138,7 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 #: Weight of a block (its tokens, and SET_WEIGHT for each record), at least and at most; between them all blocks are so many.
-LEAST_BLOCK, MOST_BLOCK, BLOCKS, SET_WEIGHT = 500_000, 6_000_000, 40, 64
+LEAST_BLOCK, MOST_BLOCK, BLOCKS, SET_WEIGHT = 500_000, 6_000_000, 24, 64
 
 
 def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float = BOTH_EMPTY, block: int | None = None, every_blank: bool = True) -> DataFrame:
@@ -142,7 +147,8 @@ def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float
     Blocks hold records of one bucket and province of neighbouring sizes, up to a weight (block, else a share of the whole weight); each is one
     packed row (see blocks) of a stored table. The tasks that read records pack what they have of each block, so that token sets are
     shuffled packed, and parts are merged. Two blocks of different provinces whose sizes can reach `near` meet in the task
-    that reads them both, so blocks aren't copied to each other through a shuffle. Tokens are compared as 64-bit hashes.
+    that reads them both, so blocks aren't copied to each other through a shuffle. Tokens are compared as 64-bit hashes, and so are sets
+    of one size within a block, of which equal ones are compared once.
     """
     r = records.filter(F.col("bucket") != NO_CATEGORY)
     # stored, since what follows needs little of a record twice: what is counted to be small of these is broadcast, so tokens meet it where they are read
@@ -169,8 +175,7 @@ def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float
     for side in "lr":
         blank = blank.join(place.selectExpr("bucket", f"place as {side}p", f"province as {dict(l='left', r='right')[side]}_prov"), ["bucket", f"{side}p"])
     pair = F.format_string("%06d-%06d", "lp", "rp").alias("prov_pair")
-    out, provinces = ["bucket", "left_id", "right_id", pair], ["left_prov", "right_prov"]
-    return found.select(*out, "score", *provinces).union(blank.select(*out, F.lit(both_empty).alias("score"), *provinces))
+    return found.union(blank.select("bucket", "left_id", "right_id", pair, F.lit(both_empty).alias("score"), "left_prov", "right_prov"))
 
 
 PAIR_ORDER = ["score", "prov_pair", "left_id", "right_id"]

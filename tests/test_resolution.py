@@ -285,6 +285,33 @@ def test_packed_blocks_find_every_pair():
     assert len(blocks.pack(np.arange(1000), many).loc[0, "cells"]) < sum(map(len, many)) * 4
 
 
+def test_few_pairs_are_counted_whole(monkeypatch):
+    """Sets that share frequent words only are not counted on their whole sets, and copies of a set are counted once; all pairs are found, some at a time."""
+    import numpy as np
+    from codeweave.functions import scores
+    from codeweave.operators import blocks
+
+    r = np.random.default_rng(11)
+    frequent, rare = r.integers(-(2**63), 2**63 - 1, 60), r.integers(-(2**63), 2**63 - 1, 50_000)
+    base = [np.unique(np.concatenate([r.choice(frequent, 40), r.choice(rare, int(n))])) for n in r.integers(60, 120, 300)]
+    left = [base[i] for i in (*range(200), *[7] * 40)]
+    right = [*base[150:], *[base[7]] * 30, *(np.append(base[i], rare[i]) for i in range(5))]
+    counted, plain = [], blocks._common
+    monkeypatch.setattr(blocks, "_common", lambda x, i, *rest: counted.append(len(i)) or plain(x, i, *rest))
+    monkeypatch.setattr(blocks, "FOUND", 100)
+    x, y = (blocks.Block(blocks.pack(np.arange(len(sets)), sets).iloc[0]) for sets in (left, right))
+    parts = list(blocks.met(x, y, 0.55, scores.LOOKUP))
+    got = {(int(x.ids[a]), int(y.ids[b])): score for part in parts for a, b, score in zip(*part, strict=True)}
+    want = {}
+    for a, s in enumerate(left):
+        for b, t in enumerate(right):
+            n = len(np.intersect1d(s, t))
+            if 0.4 * (n / (len(s) + len(t) - n)) + 0.6 * (n / len(s)) >= 0.55:
+                want[a, b] = 0.4 * (n / (len(s) + len(t) - n)) + 0.6 * (n / len(s))
+    assert got == want and len(want) > 41 * 30 and sum(len(a) for a, _, _ in parts) == len(want)
+    assert sum(counted) < 200 and len(parts) > 10 and max(len(a) for a, _, _ in parts) <= 100
+
+
 def test_blocks_of_sizes_give_the_same_pairs(spark):
     """Many small blocks, one block, and the join by rarest tokens: the same pairs."""
     import random
