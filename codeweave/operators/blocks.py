@@ -69,16 +69,20 @@ class Block:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self._distinct: tuple[np.ndarray, np.ndarray] | None = None
 
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each set, the same in any block and order of its tokens."""
+        mixed = self.vocabulary.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((mixed * mixed)[self.token], dtype=np.uint64)])
+        return (sums[self.starts[1:]] - sums[self.starts[:-1]]).view(np.int64)
+
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """The sets ascending by size, equal ones (by size and a 64-bit hash) side by side, and where each begins."""
+        """The sets ascending by size, equal ones (by size and hash) side by side, and where each begins."""
         if self._distinct is None:
-            mixed = self.vocabulary.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((mixed * mixed)[self.token], dtype=np.uint64)])
-            own = sums[self.starts[1:]] - sums[self.starts[:-1]]
+            own = self.hashes()
             by = np.lexsort((own, self.sizes))
             new = np.ones(len(by), dtype=bool)
-            new[1:] = (np.diff(own[by]) != 0) | (np.diff(self.sizes[by]) != 0)
+            new[1:] = (own[by][1:] != own[by][:-1]) | (np.diff(self.sizes[by]) != 0)
             self._distinct = by, np.flatnonzero(new)
         return self._distinct
 
@@ -201,8 +205,8 @@ def _within(at: slice, sizes: np.ndarray) -> Iterator[slice]:
         yield slice(at.start + part.start, at.start + part.stop)
 
 
-def met(left: Block, right: Block, near: float, weights: tuple[float, float]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(left places, right places, scores) of the pairs of two blocks that reach near, about FOUND pairs at a time."""
+def met(left: Block, right: Block, near: float, weights: tuple[float, float], equal: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left places, right places, scores) of the pairs of two blocks that reach near, about FOUND pairs at a time; with or without those of equal sets."""
     j, o = weights
     _, mine, theirs = np.intersect1d(left.vocabulary, right.vocabulary, assume_unique=True, return_indices=True)
     tokens = len(mine)
@@ -237,7 +241,7 @@ def met(left: Block, right: Block, near: float, weights: tuple[float, float]) ->
                 # the tokens of the smaller sets are looked up
                 n = _common(x, l0 + left_at, y, r0 + right_at, flags, tokens) if a[-1] >= b[0] else _common(y, r0 + right_at, x, l0 + left_at, flags, tokens)
                 score = j * (n / (a[left_at] + b[right_at] - n)) + o * (n / a[left_at])
-                good = np.flatnonzero(score >= near)
+                good = np.flatnonzero((score >= near) & (equal | (n < a[left_at]) | (n < b[right_at])))
                 yield from _copied(x, l0 + left_at[good], y, r0 + right_at[good], score[good])
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,16 +26,18 @@ def bucket_of(category: Column) -> Column:
     return F.coalesce(text.nonblank(category), F.lit(NO_CATEGORY))
 
 
-def _blank_pairs(r: DataFrame, every: bool) -> DataFrame:
-    """(bucket, lp, rp, left_id, right_id) of records without tokens: every pair, or only those of the same rank in their provinces.
+def _equal_pairs(r: DataFrame, every: bool, by: Sequence[str] = ()) -> DataFrame:
+    """(bucket, *by, lp, rp, left_id, right_id) of records without tokens, or with equal sets by `by`: every pair, or only those of the same rank in their provinces.
 
-    The fold that builds groups takes the i-th such record of each province together, so it needs no others.
+    The fold that builds groups takes the i-th such record of each province together, so it needs no others: records without
+    tokens have no other pairs, and equal sets the highest score, so that their pairs come before all others.
     """
-    empty = r.select("bucket", "place", "record_id")
-    keys = ["bucket"]
+    own = r.select("bucket", *by, "place", "record_id")
+    keys = ["bucket", *by]
     if not every:
-        empty, keys = numbered(empty, ["bucket", "place"], ["record_id"], "i"), ["bucket", "i"]
-    return empty.withColumnsRenamed({"place": "lp", "record_id": "left_id"}).join(empty.withColumnsRenamed({"place": "rp", "record_id": "right_id"}), keys).filter("lp < rp")
+        own, keys = numbered(own, [*keys, "place"], ["record_id"], "i"), [*keys, "i"]
+    pairs = own.withColumnsRenamed({"place": "lp", "record_id": "left_id"}).join(own.withColumnsRenamed({"place": "rp", "record_id": "right_id"}), keys)
+    return pairs.filter("lp < rp").select("bucket", *by, "lp", "rp", "left_id", "right_id")
 
 
 def bucket_pairs(records: DataFrame, near: float = NEAR, both_empty: float = BOTH_EMPTY, every_blank: bool = True) -> DataFrame:
@@ -58,7 +62,7 @@ def bucket_pairs(records: DataFrame, near: float = NEAR, both_empty: float = BOT
     sets = r.select("record_id", "tokens")
     pairs = pairs.join(sets.select(F.col("record_id").alias("left_id"), F.col("tokens").alias("lt")), "left_id").join(sets.select(F.col("record_id").alias("right_id"), F.col("tokens").alias("rt")), "right_id")
     scored = pairs.withColumn("score", scores.token_score(F.col("lt"), F.col("rt"))).filter(F.col("score") >= near)
-    blank = _blank_pairs(r.filter("size(tokens) = 0"), every_blank)
+    blank = _equal_pairs(r.filter("size(tokens) = 0"), every_blank)
     pair = F.format_string("%06d-%06d", "lp", "rp").alias("prov_pair")
     out = ["bucket", "left_id", "right_id", pair]
     return scored.select(*out, "score").union(blank.select(*out, F.lit(both_empty).alias("score")))
@@ -107,8 +111,17 @@ def _merged_block(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
 _FOUND = "bucket string, left_id long, right_id long, prov_pair string, score double, left_prov string, right_prov string"
 
 
-def _block_pairs(near: float):
-    """Pairs that reach `near` of the two blocks l and r of each row."""
+def _set_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, place, record_id, n, h): size and hash of the sets of each block."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            block = blocks.Block(row)
+            n = len(block.ids)
+            yield pa.record_batch([pa.repeat(row["bucket"], n), pa.repeat(pa.scalar(row["place"], pa.int32()), n), block.ids, block.sizes.astype(np.int32), block.hashes()], names=["bucket", "place", "record_id", "n", "h"])
+
+
+def _block_pairs(near: float, equal: bool):
+    """Pairs that reach `near` of the two blocks l and r of each row, with or without those of equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, x = None, None
@@ -121,7 +134,7 @@ def _block_pairs(near: float):
                     x = blocks.Block(left)
                 y = blocks.Block(right)
                 pair = f"{left['place']:06d}-{right['place']:06d}"
-                for a, b, score in blocks.met(x, y, near, scores.LOOKUP):
+                for a, b, score in blocks.met(x, y, near, scores.LOOKUP, equal):
                     bucket, prov_pair, *provinces = (pa.repeat(pa.scalar(v, pa.string()), len(a)) for v in (left["bucket"], pair, left["province"], right["province"]))
                     found = pa.table([bucket, x.ids[a], y.ids[b], prov_pair, score, *provinces], names=[c.split()[0] for c in _FOUND.split(", ")])
                     yield from found.to_batches(max_chunksize=1 << 16)
@@ -148,7 +161,7 @@ def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float
     packed row (see blocks) of a stored table. The tasks that read records pack what they have of each block, so that token sets are
     shuffled packed, and parts are merged. Two blocks of different provinces whose sizes can reach `near` meet in the task
     that reads them both, so blocks aren't copied to each other through a shuffle. Tokens are compared as 64-bit hashes, and so are sets
-    of one size within a block, of which equal ones are compared once.
+    of one size within a block, of which equal ones are compared once. Without every_blank, equal sets too have only pairs of the same rank.
     """
     r = records.filter(F.col("bucket") != NO_CATEGORY)
     # stored, since what follows needs little of a record twice: what is counted to be small of these is broadcast, so tokens meet it where they are read
@@ -170,52 +183,84 @@ def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float
     packed = materialise(parts.groupBy(_BLOCK).applyInPandas(_merged_block, _PACKED), "link-blocks")
     l, r = (packed.select(F.struct("*").alias(side)) for side in "lr")  # noqa: E741
     meets = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.place") < F.col("r.place")) & (F.col("r.most") >= near * F.col("l.least") - 1e-6)
-    found = l.join(r.hint("shuffle_replicate_nl"), meets).mapInArrow(_block_pairs(near), _FOUND)
-    blank = _blank_pairs(sets.filter("n = 0"), every_blank)
+    found = l.join(r.hint("shuffle_replicate_nl"), meets).mapInArrow(_block_pairs(near, every_blank), _FOUND)
+    alike, score = _equal_pairs(sets.filter("n = 0"), every_blank), F.lit(both_empty)
+    if not every_blank:
+        hashes = packed.mapInArrow(_set_hashes, "bucket string, place int, record_id long, n int, h long")
+        several = hashes.groupBy("bucket", "n", "h").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").select("bucket", "n", "h")
+        whole = _equal_pairs(hashes.join(several, ["bucket", "n", "h"]), False, ["n", "h"])
+        alike = alike.withColumn("score", score).union(whole.drop("n", "h").withColumn("score", F.lit(float(sum(scores.LOOKUP)))))
+        score = F.col("score")
     for side in "lr":
-        blank = blank.join(place.selectExpr("bucket", f"place as {side}p", f"province as {dict(l='left', r='right')[side]}_prov"), ["bucket", f"{side}p"])
+        alike = alike.join(place.selectExpr("bucket", f"place as {side}p", f"province as {dict(l='left', r='right')[side]}_prov"), ["bucket", f"{side}p"])
     pair = F.format_string("%06d-%06d", "lp", "rp").alias("prov_pair")
-    return found.union(blank.select("bucket", "left_id", "right_id", pair, F.lit(both_empty).alias("score"), "left_prov", "right_prov"))
+    return found.union(alike.select("bucket", "left_id", "right_id", pair, score.alias("score"), "left_prov", "right_prov"))
 
 
 PAIR_ORDER = ["score", "prov_pair", "left_id", "right_id"]
-#: Up to so many pairs one task folds all, and of a component it folds so many at a time; bands of pairs beyond that.
-LAST_PAIRS, FOLD_PAIRS, BANDS = 200_000, 200_000, 16
-#: Up to so many records with a group go to the tasks that read pairs; bands are cut at the keys of about so many sampled pairs.
-MAP_MEMBERS, CUT_PAIRS = 500_000, 20_000
+#: Up to so many pairs one task folds all, and of a component it folds so many at a time; beyond that the first band of pairs is this share.
+LAST_PAIRS, FOLD_PAIRS, BANDS = 500_000, 500_000, 16
+#: Small components are folded together, about so many pairs in a task.
+LOT_PAIRS = 50_000
+#: Up to so many records with a group go to the tasks that read pairs; bands are cut at the keys of about so many sampled pairs, and hold so many pairs at least.
+MAP_MEMBERS, CUT_PAIRS, LEAST_BAND = 2_000_000, 20_000, 20_000
 _MEMBERS = "bucket string, record_id long, province string, group long, score double, prov_pair string"
 
 
-def _fold(pairs: pd.DataFrame) -> pd.DataFrame:
+def _fold(pairs: pa.Table) -> pa.Table:
     """(bucket, record_id, province, group, score, prov_pair): what the pairs, taken in order, add to groups.
 
     A pair of two records without a group founds one, named by its left record; a record without a group joins the other's
-    group if that has no code of its province. left_group, right_group: groups already known; left_taken, right_taken: their provinces.
+    group if that has no code of its province. left_group, right_group: groups already known; left_taken, right_taken: their provinces, as JSON.
     score, prov_pair: those of the pair that founded the group, for both its records.
     """
-    pairs = pairs.sort_values(PAIR_ORDER, ascending=[False, True, True, True], kind="stable", ignore_index=True)
-    group: dict[int, int] = {}
-    taken: dict[int, set[str]] = {}
-    for side in ("left", "right"):
-        for record, g, provinces in zip(pairs[f"{side}_id"], pairs[f"{side}_group"], pairs[f"{side}_taken"], strict=True):
-            if not pd.isna(g):
-                group[record] = int(g)
-                taken[int(g)] = set(provinces)
-    added: list[tuple] = []
-    columns = ["bucket", "left_id", "right_id", "left_prov", "right_prov", "score", "prov_pair"]
-    for bucket, a, b, pa_, pb, score, prov_pair in zip(*(pairs[c] for c in columns), strict=True):
-        ga, gb = group.get(a), group.get(b)
-        if ga is None and gb is None:
-            group[a] = group[b] = a
-            added += [(bucket, a, pa_, a, score, prov_pair), (bucket, b, pb, a, score, prov_pair)]
-            taken[a] = {pa_, pb}
-        elif ga is None or gb is None:
-            g, new, province = (gb, a, pa_) if ga is None else (ga, b, pb)
-            if province not in taken[g]:
-                group[new] = g
-                added.append((bucket, new, province, g, None, None))
-                taken[g].add(province)
-    return pd.DataFrame(added, columns=["bucket", "record_id", "province", "group", "score", "prov_pair"]).astype({"record_id": "int64", "group": "int64", "score": "float64"})
+    whole = {c: pairs[c].combine_chunks() for c in pairs.column_names}
+    sides = ("left", "right")
+    ids, score = [whole[f"{s}_id"].to_numpy() for s in sides], whole["score"].to_numpy()
+    places = whole["prov_pair"].dictionary_encode()
+    rank = np.argsort(np.argsort(np.array(places.dictionary.to_pylist(), dtype=object)))[places.indices.to_numpy()]
+    order = np.lexsort((ids[1], ids[0], rank, -score))
+    _, at = np.unique(np.concatenate(ids), return_inverse=True)
+    at = [at[: len(score)], at[len(score) :]]
+    records = [x.tolist() for x in at]
+    # provinces are bits of a number
+    bits: dict[str | None, int] = {}
+    bit: list[list[int]] = []
+    group, taken, names = [-1] * (max(map(max, records), default=-1) + 1 if len(score) else 0), [], []
+    number: dict[int, int] = {}
+    for side, own in enumerate(sides):
+        provinces = whole[f"{own}_prov"].dictionary_encode(null_encoding="encode")
+        own_bits = [bits.setdefault(p, 1 << len(bits)) for p in provinces.dictionary.to_pylist()]
+        bit.append([own_bits[k] for k in provinces.indices.to_pylist()])
+        named, listed = whole[f"{own}_group"], whole[f"{own}_taken"]
+        known = np.flatnonzero(named.is_valid().to_numpy(zero_copy_only=False))
+        for i in known[np.unique(at[side][known], return_index=True)[1]].tolist():
+            if (name := named[i].as_py()) not in number:
+                number[name] = len(names)
+                names.append(name)
+                taken.append(sum(bits.setdefault(p, 1 << len(bits)) for p in json.loads(listed[i].as_py())))
+            group[records[side][i]] = number[name]
+    added: list[tuple[int, int, int, bool]] = []
+    for i in order.tolist():
+        a, b = records[0][i], records[1][i]
+        ga, gb = group[a], group[b]
+        if ga < 0 and gb < 0:
+            group[a] = group[b] = g = len(names)
+            names.append(int(ids[0][i]))
+            taken.append(bit[0][i] | bit[1][i])
+            added += [(i, 0, g, True), (i, 1, g, True)]
+        elif ga < 0 or gb < 0:
+            side, g = (0, gb) if ga < 0 else (1, ga)
+            if not taken[g] & bit[side][i]:
+                group[records[side][i]] = g
+                taken[g] |= bit[side][i]
+                added.append((i, side, g, False))
+    row, side, g, founds = (np.array(x) for x in zip(*added, strict=True)) if added else (np.zeros(0, np.int64),) * 4
+    row, founds = pa.array(row.astype(np.int64)), pa.array(founds.astype(bool))
+    left = pa.array(side == 0)
+    of = lambda c: pc.if_else(left, whole[f"left_{c}"].take(row), whole[f"right_{c}"].take(row))
+    founding = [pc.if_else(founds, whole[c].take(row), pa.scalar(None, whole[c].type)) for c in ("score", "prov_pair")]
+    return pa.table([whole["bucket"].take(row), of("id"), of("prov"), pa.array(np.array(names, dtype=np.int64)[g.astype(np.int64)]), *founding], names=[c.split()[0] for c in _MEMBERS.split(", ")])
 
 
 def _undecided(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -231,23 +276,25 @@ def _undecided(pairs: DataFrame, members: DataFrame) -> DataFrame:
         pairs = pairs.join(F.broadcast(own) if few else own, f"{side}_id", "left")
     both = F.col("left_group").isNotNull() & F.col("right_group").isNotNull()
     blocked = F.coalesce(F.array_contains("left_taken", F.col("right_prov")), F.lit(False)) | F.coalesce(F.array_contains("right_taken", F.col("left_prov")), F.lit(False))
-    return pairs.filter(~both & ~blocked)
+    # lists are slow to pass to a task's Python
+    return pairs.filter(~both & ~blocked).withColumns({f"{side}_taken": F.to_json(f"{side}_taken") for side in ("left", "right")})
 
 
-def _fold_band(band: DataFrame, members: DataFrame, path: str | None, last_pairs: int, fold_pairs: int) -> tuple[DataFrame, str | None]:
-    """members, stored, with what a band of consecutive pairs adds.
+def _fold_band(band: DataFrame, members: DataFrame, path: str | None, last_pairs: int, fold_pairs: int) -> tuple[DataFrame, str | None, int]:
+    """members, stored, with what a band of consecutive pairs adds, and how many of its pairs were undecided.
 
     Only pairs of one component of records and groups depend on each other, so components are folded side by side. A component of more
     than fold_pairs pairs is folded from its beginning, so many at a time.
     """
     spark = band.sparkSession
-    rest_path = None
+    rest_path, undecided = None, None
     while True:
         left, left_path = stored(_undecided(band, members).withColumns({"a": F.coalesce("left_group", "left_id"), "b": F.coalesce("right_group", "right_id")}), "link-band")
         n = left.count()
+        undecided = n if undecided is None else undecided
         rest = None
         if n <= last_pairs:
-            now = left.withColumn("component", F.lit(0).cast("long"))
+            now = left.withColumn("lot", F.lit(0).cast("long"))
         else:
             parts = connected_components(left.select(F.col("a").alias("u"), F.col("b").alias("v")), "link-components")
             now = left.join(parts.withColumnRenamed("node", "a"), "a")
@@ -255,8 +302,10 @@ def _fold_band(band: DataFrame, members: DataFrame, path: str | None, last_pairs
             if not large.isEmpty():
                 now = now.withColumn("place", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("score"), *PAIR_ORDER[1:])))
                 now, rest = now.filter(F.col("place") <= fold_pairs), now.filter(F.col("place") > fold_pairs)
+            # a call for each of many small components would take longer than their pairs
+            now = now.withColumn("lot", F.pmod(F.xxhash64("component"), F.lit(n // LOT_PAIRS + 1)))
         if n:
-            added = now.groupBy("component").applyInPandas(_fold, _MEMBERS)
+            added = now.groupBy("lot").applyInArrow(_fold, _MEMBERS)
             last, (members, path) = path, stored(members.union(added), "link-members")
             if last:
                 discard(spark, last)
@@ -267,22 +316,37 @@ def _fold_band(band: DataFrame, members: DataFrame, path: str | None, last_pairs
         if last:
             discard(spark, last)
         if rest is None:
-            return members, path
+            return members, path, undecided
 
 
-def _bands(pairs: DataFrame, n: int, bands: int) -> Iterator[DataFrame]:
-    """n pairs in their order, cut at the keys of sampled ones into bands of about as many; where the cuts are changes no result.
+def _fold_bands(pairs: DataFrame, n: int, last_pairs: int, bands: int, fold_pairs: int) -> DataFrame:
+    """The members after n stored pairs, taken band by band in their order.
 
-    Pairs aren't sorted for this: a band is a filter on the stored table.
+    Bands are cut at the keys of sampled pairs; where the cuts are changes no result. The first holds the bands-th part of the pairs or
+    last_pairs, a later one twice as many as the last at most, and so many that about last_pairs would be undecided at the last one's
+    share. Pairs aren't sorted or shuffled for this: a band is a filter on the stored table, whose pages are skipped by score.
     """
+    spark = pairs.sparkSession
     key = [(-F.col("score")).alias("s"), *map(F.col, PAIR_ORDER[1:])]
-    sampled = sorted(map(tuple, pairs.select(*key).sample(min(1.0, CUT_PAIRS / n), seed=1).collect()))
-    cuts = sorted({sampled[k * len(sampled) // bands] for k in range(1, bands)}) if sampled else []
     kinds = dict(s="double", prov_pair="string", left_id="long", right_id="long")
-    at = [F.struct(*(F.lit(v).cast(kind).alias(c) for v, (c, kind) in zip(cut, kinds.items(), strict=True))) for cut in cuts]
-    for first, last in zip([None, *at], [*at, None], strict=True):
-        band = pairs if first is None else pairs.filter(F.struct(*key) > first)
-        yield band if last is None else band.filter(F.struct(*key) <= last)
+    sampled = sorted(map(tuple, pairs.select(*key).sample(min(1.0, CUT_PAIRS / n), seed=1).collect()))
+    each = n / (len(sampled) + 1)  # pairs between two cuts
+    members, path = spark.createDataFrame([], _MEMBERS), None
+    step = min(n / bands, max(last_pairs, LEAST_BAND))
+    at, before = 0, None
+    while at is not None:
+        at += max(1, round(step / each))
+        cut = sampled[at - 1] if at <= len(sampled) else None
+        band = pairs
+        for bound, first in ((before, True), (cut, False)):
+            if bound is not None:
+                place = F.struct(*(F.lit(v).cast(kind).alias(c) for v, (c, kind) in zip(bound, kinds.items(), strict=True)))
+                # the score by itself, so that reading stops at it
+                band = band.filter((F.col("score") <= -bound[0]) & (F.struct(*key) > place) if first else (F.col("score") >= -bound[0]) & (F.struct(*key) <= place))
+        members, path, undecided = _fold_band(band, members, path, last_pairs, fold_pairs)
+        before, at = cut, at if cut is not None else None
+        step = min(2 * step, max(LEAST_BAND, last_pairs * step / max(undecided, 1)))
+    return members
 
 
 def greedy_groups(pairs: DataFrame, records: DataFrame, last_pairs: int = LAST_PAIRS, bands: int = BANDS, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
@@ -298,15 +362,13 @@ def greedy_groups(pairs: DataFrame, records: DataFrame, last_pairs: int = LAST_P
     for side in ("left", "right"):
         if f"{side}_prov" not in pairs.columns:
             pairs = pairs.join(who.selectExpr(f"record_id as {side}_id", f"province as {side}_prov"), f"{side}_id")
-    pairs, path = stored(pairs.select("bucket", *PAIR_ORDER, "left_prov", "right_prov"), "link-pairs")
+    pairs, path = stored(pairs.select("bucket", *PAIR_ORDER, "left_prov", "right_prov").sortWithinPartitions(F.desc("score")), "link-pairs")
     n = pairs.count()
     if n <= last_pairs:
-        none = {"left_group": F.lit(None).cast("long"), "right_group": F.lit(None).cast("long"), "left_taken": F.lit(None).cast("array<string>"), "right_taken": F.lit(None).cast("array<string>")}
-        members = materialise(pairs.withColumns({"all": F.lit(0), **none}).groupBy("all").applyInPandas(_fold, _MEMBERS), "link-members")
+        none = {"left_group": F.lit(None).cast("long"), "right_group": F.lit(None).cast("long"), "left_taken": F.lit(None).cast("string"), "right_taken": F.lit(None).cast("string")}
+        members = materialise(pairs.withColumns({"all": F.lit(0), **none}).groupBy("all").applyInArrow(_fold, _MEMBERS), "link-members")
     else:
-        members, members_path = spark.createDataFrame([], _MEMBERS), None
-        for band in _bands(pairs, n, bands):
-            members, members_path = _fold_band(band, members, members_path, last_pairs, fold_pairs)
+        members = _fold_bands(pairs, n, last_pairs, bands, fold_pairs)
     discard(spark, path)
     # a group's left founder names it, so that order is the founding pairs'
     founders = members.filter("record_id = group").selectExpr("bucket", "group", "-score as s", "prov_pair")

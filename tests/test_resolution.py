@@ -340,6 +340,45 @@ def test_blocks_meet_without_a_shuffle(spark):
     assert groups[0] == groups[1] and len(groups[0]) > 50
 
 
+def test_equal_sets_pair_by_rank(spark):
+    """For the fold, copies of a set have a pair for each rank, not for each two of them; groups are those of all pairs."""
+    import random
+
+    r = random.Random(12)
+    copies = [("ON", 30), ("BC", 20), ("YT", 25)]
+    sets = [(p, ["w1", "w2", "w3"]) for p, n in copies for _ in range(n)] + [(r.choice(["ON", "BC", "YT"]), r.sample([f"w{k}" for k in range(6)], r.randint(0, 5))) for _ in range(40)]
+    r.shuffle(sets)
+    # in any order of its tokens a set is the same
+    records = spark.createDataFrame([(i, p, "a", r.sample(t, len(t))) for i, (p, t) in enumerate(sets)], "record_id long, province string, bucket string, tokens array<string>")
+    pairs = link.bucket_pairs_dense(records, block=800, every_blank=False)
+    rows = pairs.collect()
+    tokens = {i: frozenset(t) for i, (_, t) in enumerate(sets)}
+    alike = [p for p in rows if tokens[p.left_id] == tokens[p.right_id] == {"w1", "w2", "w3"}]
+    assert {p.score for p in alike} == {1.0} and len(alike) < 90
+    assert all((p.score == 1.0) == (tokens[p.left_id] == tokens[p.right_id]) for p in rows if tokens[p.left_id])
+    groups = [sorted(map(tuple, link.greedy_groups(p, records).collect())) for p in (pairs, link.bucket_pairs(records))]
+    assert groups[0] == groups[1] and len(groups[0]) > 75
+
+
+def test_bands_follow_what_is_undecided(spark, monkeypatch):
+    """Bands begin small and grow while little of them is undecided; each stops reading at its scores, and no lists go to Python."""
+    import random
+
+    r = random.Random(13)
+    records = spark.createDataFrame([(i, ["ON", "BC", "YT"][i % 3]) for i in range(120)], "record_id long, province string")
+    rows = [("b", a, b, f"{a % 3}-{b % 3}", r.random()) for a in range(120) for b in range(120) if a % 3 < b % 3]
+    pairs = spark.createDataFrame(rows, "bucket string, left_id long, right_id long, prov_pair string, score double")
+    want = sorted(map(tuple, link.greedy_groups(pairs, records).collect()))
+    undecided, plans, kinds, plain, store = [], [], [], link._fold_band, link.stored
+    monkeypatch.setattr(link, "_fold_band", lambda *a: undecided.append((out := plain(*a))[2]) or out)
+    monkeypatch.setattr(link, "stored", lambda df, name: (name == "link-band" and (plans.append(df._jdf.queryExecution().executedPlan().toString()), kinds.extend(k for _, k in df.dtypes))) and None or store(df, name))
+    monkeypatch.setattr(link, "LEAST_BAND", 100)
+    got = sorted(map(tuple, link.greedy_groups(pairs, records, last_pairs=300, bands=4).collect()))
+    # of 4,800 pairs, a first band of a quarter would be undecided as a whole
+    assert got == want and undecided[0] <= 400 and len(undecided) < 12 and max(undecided) <= 600
+    assert all("PushedFilters: [IsNotNull(score)" in p and "ThanOrEqual(score," in p for p in plans) and not any("array" in k for k in kinds)
+
+
 def test_parts_of_blocks_merge_into_the_block(monkeypatch):
     """Parts packed by several tasks, a few tokens at a time, hold what one block of all records holds, in less than half of its hashes' bytes."""
     import numpy as np
