@@ -184,13 +184,13 @@ def bucket_pairs_dense(records: DataFrame, near: float = NEAR, both_empty: float
     l, r = (packed.select(F.struct("*").alias(side)) for side in "lr")  # noqa: E741
     meets = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.place") < F.col("r.place")) & (F.col("r.most") >= near * F.col("l.least") - 1e-6)
     found = l.join(r.hint("shuffle_replicate_nl"), meets).mapInArrow(_block_pairs(near, every_blank), _FOUND)
-    alike, score = _equal_pairs(sets.filter("n = 0"), every_blank), F.lit(both_empty)
+    own = sets.filter("n = 0").select("bucket", "place", "record_id", "n", F.lit(0).cast("long").alias("h"))
     if not every_blank:
         hashes = packed.mapInArrow(_set_hashes, "bucket string, place int, record_id long, n int, h long")
         several = hashes.groupBy("bucket", "n", "h").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").select("bucket", "n", "h")
-        whole = _equal_pairs(hashes.join(several, ["bucket", "n", "h"]), False, ["n", "h"])
-        alike = alike.withColumn("score", score).union(whole.drop("n", "h").withColumn("score", F.lit(float(sum(scores.LOOKUP)))))
-        score = F.col("score")
+        own = own.unionByName(hashes.join(several, ["bucket", "n", "h"]))
+    alike = _equal_pairs(own, every_blank, ["n", "h"])
+    score = F.when(F.col("n") == 0, F.lit(both_empty)).otherwise(F.lit(float(sum(scores.LOOKUP))))
     for side in "lr":
         alike = alike.join(place.selectExpr("bucket", f"place as {side}p", f"province as {dict(l='left', r='right')[side]}_prov"), ["bucket", f"{side}p"])
     pair = F.format_string("%06d-%06d", "lp", "rp").alias("prov_pair")
